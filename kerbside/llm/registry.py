@@ -3,9 +3,19 @@
 from __future__ import annotations
 
 from .chat import op3_chat_format
+from .lm import op7_lm_scoring
 from .media import op1_media_columns
 from .near import op4_ngram_jaccard_join
 from .urlfilter import op9_url_filter
 
-QUERIES = {f.__name__: f for f in (op1_media_columns, op3_chat_format, op4_ngram_jaccard_join, op9_url_filter)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_media_columns,
+        op3_chat_format,
+        op4_ngram_jaccard_join,
+        op7_lm_scoring,
+        op9_url_filter,
+    )
+}
 SQL: dict[str, str] = {}
