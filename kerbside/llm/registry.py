@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .chat import op3_chat_format
+from .decontaminate import op2_benchmark_decontamination
 from .lm import op7_lm_scoring
 from .media import op1_media_columns
 from .near import op4_ngram_jaccard_join
@@ -12,6 +13,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_media_columns,
+        op2_benchmark_decontamination,
         op3_chat_format,
         op4_ngram_jaccard_join,
         op7_lm_scoring,
