@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .chat import op3_chat_format
 from .decontaminate import op2_benchmark_decontamination
+from .lines import op10_line_dedup
 from .lm import op7_lm_scoring
 from .media import op1_media_columns
 from .near import op4_ngram_jaccard_join
@@ -18,6 +19,7 @@ QUERIES = {
         op4_ngram_jaccard_join,
         op7_lm_scoring,
         op9_url_filter,
+        op10_line_dedup,
     )
 }
 SQL: dict[str, str] = {}
