@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .chat import op3_chat_format
 from .decontaminate import op2_benchmark_decontamination
+from .langid import op6_language_id
 from .lines import op10_line_dedup
 from .lm import op7_lm_scoring
 from .media import op1_media_columns
@@ -17,6 +18,7 @@ QUERIES = {
         op2_benchmark_decontamination,
         op3_chat_format,
         op4_ngram_jaccard_join,
+        op6_language_id,
         op7_lm_scoring,
         op9_url_filter,
         op10_line_dedup,
