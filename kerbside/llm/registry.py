@@ -9,6 +9,7 @@ from .lines import op10_line_dedup
 from .lm import op7_lm_scoring
 from .media import op1_media_columns
 from .near import op4_ngram_jaccard_join
+from .pieces import op5_sentencepiece
 from .urlfilter import op9_url_filter
 
 QUERIES = {
@@ -18,6 +19,7 @@ QUERIES = {
         op2_benchmark_decontamination,
         op3_chat_format,
         op4_ngram_jaccard_join,
+        op5_sentencepiece,
         op6_language_id,
         op7_lm_scoring,
         op9_url_filter,
