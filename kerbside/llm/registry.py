@@ -11,6 +11,7 @@ from .media import op1_media_columns
 from .near import op4_ngram_jaccard_join
 from .pieces import op5_sentencepiece
 from .urlfilter import op9_url_filter
+from .warc import op8_warc
 
 QUERIES = {
     f.__name__: f
@@ -22,6 +23,7 @@ QUERIES = {
         op5_sentencepiece,
         op6_language_id,
         op7_lm_scoring,
+        op8_warc,
         op9_url_filter,
         op10_line_dedup,
     )
