@@ -76,12 +76,16 @@ def nearest_edge(points: DataFrame, edges: DataFrame, key: str, reach: float = 3
 def nearest_site(points: DataFrame, sites: DataFrame, key: str, site: str, reach: float, doublings: int = 8, p: tuple[str, str] = ("x", "y"), s: tuple[str, str] = ("sx", "sy")) -> DataFrame:
     """(key, site, d2) of the nearest site at any distance up to reach * 2**doublings: rings of growing radius, each for the
     points that are still without one. Ties go to the smallest site."""
+    from .graph import checkpointed
+
     left, out = points.select(key, *p), None
     for i in range(doublings + 1):
         found = within(left, sites.select(site, *s), reach * 2**i, p, s).withColumn("d2", geo.distance2(*p, *s))
-        best = found.groupBy(key).agg(F.min(F.struct("d2", site)).alias("best")).select(key, f"best.{site}", "best.d2")
+        best = checkpointed(found.groupBy(key).agg(F.min(F.struct("d2", site)).alias("best")).select(key, f"best.{site}", "best.d2"))
         out = best if out is None else out.unionByName(best)
-        left = left.join(best.select(key), key, "left_anti")
+        left = checkpointed(left.join(best.select(key), key, "left_anti"))
+        if left.isEmpty():
+            break
     return out
 
 
