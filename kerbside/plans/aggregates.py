@@ -53,7 +53,7 @@ def upper_median(df: DataFrame, value: str) -> DataFrame:
 def density_intensity(counts: DataFrame, areas: DataFrame, key: str) -> DataFrame:
     """(key, intensity): count per area against the upper median of the positive densities, clamped to 0..8; 0 without area."""
     d = areas.join(counts, key, "left").select(key, F.when(F.col("area") > 0, F.coalesce("n", F.lit(0)) / F.col("area")).alias("d"))
-    return d.crossJoin(F.broadcast(upper_median(d.where("d > 0"), "d"))).select(key, F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(8.0), F.col("d") / F.col("median"))), F.lit(0.0)).alias("intensity"))
+    return d.crossJoin(F.broadcast(upper_median(d.where("d > 0"), "d"))).select(key, F.when(F.col("d").isNull(), 0.0).otherwise(geo.clamp(F.col("d") / F.col("median"), 0.0, 8.0)).alias("intensity"))
 
 
 DENSITY = """SELECT z.zone_id, CASE WHEN z.zone_id % 9 = 0 THEN 0.0e0 ELSE 160000.0e0 + z.zone_id * 1000 END AS area, COALESCE(q.n, 0) AS n FROM v_zones z LEFT JOIN (SELECT pu_zone, COUNT(*) AS n FROM v_trips GROUP BY pu_zone) q ON q.pu_zone = z.zone_id"""
@@ -297,7 +297,7 @@ POWER = f"SELECT s.size, ROUND(SUM(1 - POWER(1 - c * 1.0e0 / m, s.size)) / 880.0
 def sensing_power(counts: DataFrame, trips: int | Column, segments: int, sizes=SIZES) -> DataFrame:
     """(size, coverage) C(N) of counts(c, k): k segments that c of all trips traverse."""
     q = 1 - F.col("c") / (trips if isinstance(trips, Column) else F.lit(trips))
-    rows = counts.select("*", F.explode(F.array(*map(F.lit, sizes))).cast("long").alias("size"))
+    rows = counts.select("*", F.explode(F.array(*(F.lit(n).cast("long") for n in sizes))).alias("size"))
     return rows.groupBy("size").agg((F.sum(F.col("k") * (1 - F.pow(q, F.col("size")))) / segments).alias("coverage"))
 
 

@@ -323,4 +323,4 @@ def set_replicate(t: Tables) -> DataFrame:
 def replicated(rows: DataFrame, median) -> DataFrame:
     """Each row round(median) times, numbered k from 1."""
     n = F.round(median).cast("int")
-    return rows.where(n > 0).withColumn("k", F.explode(F.sequence(F.lit(1), n)).cast("long"))
+    return rows.where(n > 0).withColumn("k", F.explode(F.sequence(F.lit(1), n))).withColumn("k", F.col("k").cast("long"))
