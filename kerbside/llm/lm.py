@@ -165,11 +165,15 @@ def build_table(train: DataFrame, words: DataFrame) -> tuple[Table, np.ndarray]:
     top = np.lexsort((hashes, -counts))[:SINGLES]
     table = Table(hashes, counts, np.sort(hashes[top]), n_docs, tokens, types)
 
-    def weigh(h: np.ndarray, n: np.ndarray):
-        c = table.classes(h)
-        return np.arange(CLASSES), np.bincount(c, weights=n + WEIGHT, minlength=CLASSES)
+    def weigh(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(CLASSES)  # one row for each class and task
+        for part in parts:
+            for h, n in zip(part.column("hashes"), part.column("counts"), strict=True):
+                sums += np.bincount(table.classes(np.frombuffer(h.as_py(), np.uint64)), weights=np.frombuffer(n.as_py(), np.int64) + WEIGHT, minlength=CLASSES)
+        some = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(sums[some])], ["class", "weight"])
 
-    rows = _over_buckets(words, weigh, [("class", pa.int64()), ("weight", pa.float64())], "class long, weight double").groupBy("class").agg(F.sum("weight").alias("weight")).collect()
+    rows = words.select("hashes", "counts").mapInArrow(weigh, "class long, weight double").groupBy("class").agg(F.sum("weight").alias("weight")).collect()
     mass = np.zeros(CLASSES)
     for r in rows:
         mass[r["class"]] = r["weight"]
