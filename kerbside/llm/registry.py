@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import chat
 from .chat import op3_chat_format
 from .decontaminate import op2_benchmark_decontamination
 from .langid import op6_language_id
@@ -28,4 +29,4 @@ QUERIES = {
         op10_line_dedup,
     )
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op3_chat_format": chat.SQL}
