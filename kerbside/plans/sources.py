@@ -7,8 +7,8 @@ import tempfile
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kerbside.functions import scalar
-from kerbside.operators import geometry
+from kerbside.functions import geo, scalar
+from kerbside.operators import geometry, spatial
 from kerbside.sources import readers, sinks
 
 from .registry import query
@@ -158,3 +158,28 @@ def sink_quant_polyline(t: Tables) -> DataFrame:
     q = geometry.rings(t.route_points, "route_id", "seq").select("route_id", origin.alias("origin"), dx.alias("dx"), dy.alias("dy"))
     back = q.select("route_id", F.posexplode(geometry.dequantized(F.col("origin"), F.col("dx"), F.col("dy"))).alias("seq", "p"))
     return back.select("route_id", F.col("seq").cast("long").alias("seq"), r("p.x").alias("x"))
+
+
+@query("scan_citygml", "SELECT zone_id, COUNT(*) AS corners FROM v_ring_points GROUP BY zone_id")
+def scan_citygml(t: Tables) -> DataFrame:
+    """Buildings of an XML file with the places that their ground rings contain; every ring contains its own centre."""
+    ring = F.expr("array_join(transform(ring, p -> concat(p.x, ' ', p.y)), ' ')")
+    cx, cy = geo.vertex_mean("ring")
+    made = t.zone_rings.select(F.concat(F.lit("<Building><id>"), "zone_id", F.lit("</id><ground>"), ring, F.lit("</ground></Building>")).alias("value"))
+    made.agg(F.concat(F.lit("<City>"), F.array_join(F.collect_list("value"), ""), F.lit("</City>")).alias("value")).write.text(path := place(t, "citygml"))
+    rows = readers.citygml_buildings(t.spark, path, "id long, ground string")
+    n = F.split("ground", " ")
+    at = lambda k: F.transform(F.filter(n, lambda _, i: i % 2 == k), lambda v: v.cast("double"))
+    rings = rows.select("id", F.transform(F.arrays_zip(at(0).alias("x"), at(1).alias("y")), lambda p: F.struct(p.x.alias("x"), p.y.alias("y"))).alias("ring"))
+    rings = rings.withColumns(dict(zip(("minx", "miny", "maxx", "maxy"), geo.ring_bbox("ring"), strict=True)))
+    marks = t.zone_rings.select("zone_id", cx.alias("px"), cy.alias("py"))
+    found = spatial.in_polygons(marks, rings, 200.0, ("px", "py")).where("id = zone_id")
+    return found.select("zone_id", F.size("ring").cast("long").alias("corners"))
+
+
+@query("scan_http_api", "SELECT CAST(n_nationkey AS BIGINT) AS id, n_name AS name FROM nation WHERE n_regionkey = 1")
+def scan_http_api(t: Tables) -> DataFrame:
+    """An answer of an open-data query, as it lands: an array of objects with every value as text."""
+    row = F.struct(F.col("n_nationkey").cast("string").alias("id"), F.col("n_name").alias("name"))
+    t.nation.where("n_regionkey = 1").agg(F.to_json(F.collect_list(row)).alias("value")).write.text(path := place(t, "answer"))
+    return readers.json_rows(t.spark, path, "id string, name string").select(F.col("id").try_cast("long").alias("id"), "name")

@@ -147,3 +147,11 @@ def facilities(rows: DataFrame, borough: str | None = None) -> DataFrame:
     out = rows if borough is None else rows.where(F.upper(F.trim("boro")) == borough.upper())
     kind = scalar.facility_kind("facgroup")
     return out.select(F.col("facname").alias("name"), F.col("latitude").try_cast("double").alias("lat"), F.col("longitude").try_cast("double").alias("lon"), kind.alias("kind")).where("kind IS NOT NULL AND lat IS NOT NULL AND lon IS NOT NULL")
+
+
+def soda_url(base: str, where: str = "", select: tuple[str, ...] = (), group: tuple[str, ...] = (), limit: int | None = None) -> str:
+    """The address of an open-data query; its answer is landed as JSON and read by json_rows."""
+    from urllib.parse import quote, urlencode
+
+    parts = {"$where": where, "$select": ",".join(select), "$group": ",".join(group), "$limit": limit}
+    return f"{base}?{urlencode({k: v for k, v in parts.items() if v}, quote_via=quote)}"
