@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +15,30 @@ def _tally(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
 
+def _forest(edges: DataFrame) -> DataFrame:
+    """Within each task the links of a batch become stars on their components' smallest nodes: fewer rows, same components."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            up: dict[int, int] = {}
+
+            def root(x: int) -> int:
+                while (y := up.get(x, x)) != x:
+                    up[x] = up.get(y, y)
+                    x = y
+                return x
+
+            for a, b in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                a, b = root(a), root(b)
+                up[max(a, b)] = min(a, b)
+            rows = [(x, root(x)) for x in up]
+            rows = [(x, r) for x, r in rows if x != r]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["a", "b"])
+
+    return edges.mapInArrow(run, "a long, b long")
+
+
 def components(links: DataFrame, most_rounds: int = 50) -> DataFrame:
     """links(a, b) -> (node, label) for every node with a link; label is the smallest node of its component.
 
@@ -19,12 +46,12 @@ def components(links: DataFrame, most_rounds: int = 50) -> DataFrame:
     node with map-side combine and two equi-joins, whose hot nodes adaptive execution can split. Rounds grow as the
     logarithm of a component's width. Every round is written to the shared folder.
     """
-    edges = common.stored(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+    edges = common.stored(_forest(links.where("a <> b").select("a", "b")), "links")
     before = None
     for _ in range(most_rounds):
         both = edges.union(edges.select("b", "a"))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         large = common.stored(large, "star")
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))

@@ -6,10 +6,14 @@ p = n - ceil(0.8 n) + 1. Rare tokens of that prefix are indexed singly. Where a
 extended by g, so that linked sets share g + 1 tokens there; frequent tokens are dealt into g groups by hash, and every
 pair of tokens within a group is indexed instead: of g + 1 shared tokens two meet in a group. g follows the class of n, and
 a set indexes for its class and the next, as linked sets are at most a class apart. Combinations grow as n, not as n squared.
+Rare tokens are indexed over p + SHARED - 1, where linked sets share SHARED tokens: a set without frequent tokens there that
+shares fewer entries than that with others has no link, and leaves before any set travels.
 
-Equal sets are one class, found by the set's hash. Of the classes that share an index entry, each is first checked
-against one of them; when that has formed components, only members in different components are checked, so a group
-of copies costs its size and not its square. Checking compares whole sets.
+Equal sets are one class, found by the set's hash. The classes that share an index entry form a group with the one of them
+whose tokens are the most frequent, the likely original. A group of up to BLOCK_ALL tokens is checked in one task, where a
+class is compared on until it is in the group's largest component. In a larger one all are first compared with the original;
+when that has formed components, those outside the largest meet all of the group in blocks of a bounded number of tokens,
+and one link to each component is enough. No group is held whole and pairs are never rows. Checking compares whole sets.
 
 Scale: three scans of the texts and no shuffle of them. Tokens and index entries travel as packed blobs by hash bucket (as
 many buckets as shuffle partitions). What is broadcast is bounded: at most KNOWN frequent tokens, whatever the corpus, and
@@ -17,7 +21,8 @@ a bitmap of FILTER_BITS bits; if either is too small for a corpus, more entries
 
 Defined cases: null, empty or white text: an empty set, linked with nothing, its own component; fewer than five words: the
 whole sequence is the one token; repeated rows: one class; a null doc_id takes part but never names a component; other
-columns are ignored; an empty table gives no rows. Hashes are of 64 bits.
+columns are ignored; an empty table gives no rows. Hashes are of 64 bits; sets travel with 48 bits a token, so a comparison of
+sets of n and m tokens counts one too many with a chance of n * m / 2**48.
 """
 
 from __future__ import annotations
@@ -39,7 +44,11 @@ LEAST, HOT = 4, 6
 KNOWN = 500_000
 FILTER_BITS = 1 << 25
 FLUSH = 2_000_000
-LOW32 = U(0xFFFFFFFF)
+#: Tokens that linked sets must share in their prefixes.
+SHARED = 4
+#: Tokens in a block of a group, of either side.
+BLOCK_ONE, BLOCK_ALL = 250_000, 2_000_000
+LOW32, LOW26 = U(0xFFFFFFFF), U((1 << 26) - 1)
 
 
 def prefix(n: int) -> int:
@@ -65,9 +74,20 @@ def set_key(tokens: np.ndarray) -> int:
     return int(mix(np.array([mix(tokens).sum(dtype=np.uint64) ^ mix(np.array([n]))[0]]))[0].astype(np.int64))
 
 
-def slots(tokens: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket and 32-bit slot of each token: the space for frequencies grows with the buckets."""
-    return tokens % U(buckets), (tokens // U(buckets)) & LOW32
+def slots(tokens: np.ndarray, buckets: int, mask: np.uint64 = LOW32) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket and slot of each token: the space of slots grows with the buckets."""
+    return tokens % U(buckets), (tokens // U(buckets)) & mask
+
+
+def packed(tokens: np.ndarray) -> bytes:
+    """The high 48 bits of each token, in order."""
+    return np.ascontiguousarray((tokens >> U(16)).view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+
+
+def unpacked(blob) -> np.ndarray:
+    out = np.zeros((len(blob) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(blob, np.uint8).reshape(-1, 6)
+    return out.view(np.uint64).ravel()
 
 
 def _planes(slot: np.ndarray) -> bytes:
@@ -91,7 +111,7 @@ def frequencies(docs: DataFrame, buckets: int) -> DataFrame:
         size = 0
 
         def flush() -> pa.RecordBatch:
-            bucket, slot = slots(np.concatenate(held), buckets)
+            bucket, slot = slots(np.concatenate(held), buckets, LOW26)
             order = np.lexsort((slot, bucket))
             bucket, slot = bucket[order], slot[order]
             cuts = np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
@@ -143,7 +163,7 @@ class Order:
         return (code ^ (code >> 29)) & ((1 << 22) - 1)
 
     def ranks(self, tokens: np.ndarray) -> np.ndarray:
-        bucket, slot = slots(tokens, self.buckets)
+        bucket, slot = slots(tokens, self.buckets, LOW26)
         code = ((bucket << U(32)) | slot).astype(np.int64)
         out = np.zeros(len(tokens), np.int8)
         maybe = np.flatnonzero(self.seen[self._spot(code)])
@@ -154,13 +174,13 @@ class Order:
 
 
 def entries(tokens: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """Index entries of one set: its rare prefix tokens, and combinations of frequent ones where the prefix has any."""
+    """Index entries of one set: its rare prefix tokens, and combinations of frequent ones where the base prefix has any."""
     n = len(tokens)
     p = prefix(n)
     if rank.any():
         by = np.argsort(rank, kind="stable")
         tokens, rank = tokens[by], rank[by]
-    out = [tokens[:p][rank[:p] < HOT]]
+    out = [tokens[: p + SHARED - 1][rank[: p + SHARED - 1] < HOT]]
     if rank[p - 1] >= HOT:
         for c in (size_class(n), size_class(n) + 1):
             g = groups(c)
@@ -176,30 +196,31 @@ def entries(tokens: np.ndarray, rank: np.ndarray) -> np.ndarray:
 
 
 def index(docs: DataFrame, order, buckets: int) -> DataFrame:
-    """Blobs by bucket of (slot of the entry, class key, set size), a class once a task at least."""
+    """Blobs by bucket of (slot of the entry, class key, set size, mark), a class once a task at least. The mark is the mean
+    rank of the set's tokens, plus 128 if no frequent token lies in its longest prefix."""
 
     def deal(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = Order(*order.value, buckets).ranks
         seen: set[int] = set()
-        held: list[tuple[np.ndarray, int, int]] = []
+        held: list[tuple[np.ndarray, int, int, int]] = []
         size = 0
 
         def flush() -> pa.RecordBatch:
-            counts = [len(e) for e, _, _ in held]
-            bucket, slot = slots(np.concatenate([e for e, _, _ in held]), buckets)
-            key = np.repeat(np.array([k for _, k, _ in held], np.int64), counts)
-            n = np.repeat(np.array([n for _, _, n in held], np.uint32), counts)
+            counts = [len(h[0]) for h in held]
+            bucket, slot = slots(np.concatenate([h[0] for h in held]), buckets)
+            key, n, mean = (np.repeat(np.array([h[i] for h in held], t), counts) for i, t in ((1, np.int64), (2, np.uint32), (3, np.uint8)))
             by = np.lexsort((slot, bucket))
-            bucket, slot, key, n = bucket[by], slot[by], key[by], n[by]
+            bucket, slot, key, n, mean = bucket[by], slot[by], key[by], n[by], mean[by]
             cuts = np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
             cuts = list(zip(cuts[:-1], cuts[1:], strict=True))
-            return pa.RecordBatch.from_arrays([pa.array(range(buckets), pa.int32()), pa.array([_planes(slot[a:b]) for a, b in cuts], pa.binary()), pa.array([key[a:b].tobytes() for a, b in cuts], pa.binary()), pa.array([n[a:b].tobytes() for a, b in cuts], pa.binary())], ["bucket", "slots", "keys", "sizes"])
+            return pa.RecordBatch.from_arrays([pa.array(range(buckets), pa.int32()), pa.array([_planes(slot[a:b]) for a, b in cuts], pa.binary()), pa.array([key[a:b].tobytes() for a, b in cuts], pa.binary()), pa.array([n[a:b].tobytes() for a, b in cuts], pa.binary()), pa.array([mean[a:b].tobytes() for a, b in cuts], pa.binary())], ["bucket", "slots", "keys", "sizes", "marks"])
 
         for part in parts:
             for tokens in shingle_sets(part.column(1)):
                 if len(tokens) and (key := set_key(tokens)) not in seen:
                     seen.add(key)
-                    held.append((entries(tokens, ranks(tokens)), key, len(tokens)))
+                    rank = ranks(tokens)
+                    held.append((entries(tokens, rank), key, len(tokens), min(127, int(8 * rank.mean())) + 128 * bool(np.sort(rank)[: prefix(len(tokens)) + SHARED - 1][-1] < HOT)))
                     size += len(held[-1][0])
                     if size >= FLUSH // 2:
                         yield flush()
@@ -209,55 +230,52 @@ def index(docs: DataFrame, order, buckets: int) -> DataFrame:
         if held:
             yield flush()
 
-    return _texts(docs).mapInArrow(deal, "bucket int, slots binary, keys binary, sizes binary")
+    return _texts(docs).mapInArrow(deal, "bucket int, slots binary, keys binary, sizes binary, marks binary")
 
 
-FOUND = "entry long, a long, b long, n long, m long"
+FOUND = "entry long, key long, n long, mean int, plain boolean"
 
 
 def shared_entries(blobs: DataFrame) -> DataFrame:
-    """Rows (entry, a, b, n, m): a is the least class of an entry with two classes or more, b another. An entry null in
-    `entry` has just these two; else all of its classes have a row, a's own too."""
+    """Rows (entry, key, n, mean, plain) of every entry that two classes or more share."""
 
     def meet(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-        cols = {c: rows.column(c).to_pylist() for c in ("slots", "keys", "sizes")}
+        cols = {c: rows.column(c).to_pylist() for c in ("slots", "keys", "sizes", "marks")}
         slot = np.concatenate([_unplanes(x) for x in cols["slots"]])
-        keys = np.concatenate([np.frombuffer(x, np.int64) for x in cols["keys"]])
-        n = np.concatenate([np.frombuffer(x, np.uint32) for x in cols["sizes"]])
-        # most entries have one class: leave them before the costly sort
-        by = np.argsort(slot, kind="stable")
-        s = slot[by]
-        twin = np.zeros(len(s), bool)
-        twin[1:] = s[1:] == s[:-1]
-        twin[:-1] |= s[1:] == s[:-1]
-        by = by[twin]
+        keys, n, mark = (np.concatenate([np.frombuffer(x, t) for x in cols[c]]) for c, t in (("keys", np.int64), ("sizes", np.uint32), ("marks", np.uint8)))
+
+        def twins(x: np.ndarray) -> np.ndarray:
+            out = np.zeros(len(x), bool)
+            out[1:] = x[1:] == x[:-1]
+            out[:-1] |= x[1:] == x[:-1]
+            return out
+
+        by = np.argsort(slot, kind="stable")  # most entries have one class: they leave before the costly sort
+        by = by[twins(slot[by])]
         by = by[np.lexsort((keys[by], slot[by]))]
-        slot, keys, n = slot[by], keys[by], n[by].astype(np.int64)
-        new = np.ones(len(slot), bool)
-        new[1:] = (slot[1:] != slot[:-1]) | (keys[1:] != keys[:-1])
-        slot, keys, n = slot[new], keys[new], n[new]
-        first = np.ones(len(slot), bool)
-        first[1:] = slot[1:] != slot[:-1]
-        run = np.cumsum(first) - 1
-        starts = np.flatnonzero(first)
-        lengths = np.diff(np.append(starts, len(slot)))
-        size, lead = lengths[run], starts[run]
-        a, na = keys[lead], n[lead]
-        few = (size == 2) & ~first & (5 * np.minimum(n, na) >= 4 * np.maximum(n, na))
-        many = size > 2
-        pairs = np.unique(np.stack([a[few], keys[few], na[few], n[few]], axis=1), axis=0)
-        entry = (U(key[0].as_py()) << U(32) | slot[many]).astype(np.int64)
-        return pa.table({
-            "entry": pa.concat_arrays([pa.nulls(len(pairs), pa.int64()), pa.array(entry)]),
-            "a": np.concatenate([pairs[:, 0], a[many]]),
-            "b": np.concatenate([pairs[:, 1], keys[many]]),
-            "n": np.concatenate([pairs[:, 2], na[many]]),
-            "m": np.concatenate([pairs[:, 3], n[many]]),
-        })
+        new = np.ones(len(by), bool)
+        new[1:] = (slot[by][1:] != slot[by][:-1]) | (keys[by][1:] != keys[by][:-1])
+        by = by[new]
+        by = by[twins(slot[by])]
+        entry = ((U(key[0].as_py()) << U(32)) | slot[by]).astype(np.int64)
+        return pa.table({"entry": entry, "key": keys[by], "n": n[by].astype(np.int64), "mean": (mark[by] & 127).astype(np.int32), "plain": mark[by] >= 128})
 
     return blobs.groupBy("bucket").applyInArrow(meet, FOUND)
 
 
+def candidate_groups(found: DataFrame) -> DataFrame:
+    """(grp, key, n): the classes that share an entry, by the entry's class of the highest mean rank."""
+    for _ in range(2):  # a class that leaves may take others' entries with it
+        few = found.groupBy("key").agg(F.count("*").alias("c"), F.first("n").alias("n"), F.first("plain").alias("plain"))
+        few = few.where(F.col("plain") & (F.col("c") < F.least(F.lit(SHARED), F.ceil(F.col("n") * 4 / 5))))
+        found = found.join(few.select("key"), "key", "left_anti")
+        lead = found.groupBy("entry").agg(F.count("*").alias("c"), F.min(F.struct(-F.col("mean"), "key")).getField("key").alias("grp")).where("c > 1").select("entry", "grp")
+        found = common.stored(found.join(lead, "entry"), "near-shared")
+        groups_ = found.select("grp", "key", "n")
+        found = found.drop("grp")
+    return common.stored(groups_.distinct(), "near-groups")
+
+
 def bitmap(keys: DataFrame) -> np.ndarray:
     """FILTER_BITS bits, set at each key's hash: at most FILTER_BITS / 8 bytes, whatever the number of keys."""
     spot = F.pmod(F.xxhash64("key"), F.lit(FILTER_BITS)) + 1  # buckets and positions count from 1
@@ -269,8 +287,8 @@ def bitmap(keys: DataFrame) -> np.ndarray:
     return out
 
 
-DOCS = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("tokens", pa.binary())])
-DOCS_DDL = "doc_id long, key long, n long, tokens binary"
+DOCS = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("tokens", pa.binary())])
+DOCS_DDL = "row long, doc_id long, key long, n long, tokens binary"
 
 
 def spots(keys: list[int]) -> np.ndarray:
@@ -299,41 +317,101 @@ def classes(docs: DataFrame, wanted) -> DataFrame:
             inside = (bits[spot >> U(3)] >> (spot & U(7)).astype(np.uint8)) & 1
 
             def rows() -> Iterator[tuple]:
-                for i, key, tokens, maybe in zip(part.column(0).to_pylist(), keys, sets, inside.tolist(), strict=True):
+                for row, i, key, tokens, maybe in zip(part.column(2).to_pylist(), part.column(0).to_pylist(), keys, sets, inside.tolist(), strict=True):
                     send = maybe and len(tokens) and key not in sent
                     if send:
                         sent.add(key)
-                    yield i, key if len(tokens) else None, len(tokens), tokens.tobytes() if send else None
+                    yield row, i, key if len(tokens) else None, len(tokens), packed(tokens) if send else None
 
-            yield from common.batches(DOCS, rows())
+            yield from common.batches(DOCS, rows(), weigh=lambda r: len(r[4] or b""))
             if len(sent) > 1_000_000:
                 sent.clear()
 
-    return _texts(docs).mapInArrow(find, DOCS_DDL)
+    return _texts(docs).withColumn("row", F.monotonically_increasing_id()).mapInArrow(find, DOCS_DDL)
+
+
+class _Sets:
+    """Sets indexed by token, to count what one shares with each."""
+
+    def __init__(self, tokens: list[np.ndarray]) -> None:
+        self.n = np.array([len(t) for t in tokens], np.int64)
+        flat = np.concatenate(tokens) if tokens else np.zeros(0, np.uint64)
+        by = np.argsort(flat, kind="stable")
+        self.flat, self.owner = flat[by], np.repeat(np.arange(len(tokens)), self.n)[by]
+
+    def near(self, tokens: np.ndarray) -> np.ndarray:
+        """Which of the sets are similar to tokens."""
+        low, high = np.searchsorted(self.flat, tokens, "left"), np.searchsorted(self.flat, tokens, "right")
+        hits = [self.owner[a:b] for a, b in zip(low.tolist(), high.tolist(), strict=True) if a < b]
+        shared = np.bincount(np.concatenate(hits), minlength=len(self.n)) if hits else np.zeros(len(self.n), np.int64)
+        return np.flatnonzero(similar(shared, len(tokens), self.n))
 
 
-def checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those (a, b) of pairs whose sets are similar."""
+LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def _links(found: set[tuple[int, int]]) -> pa.Table:
+    return pa.Table.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], schema=LINKS)
+
+
+def whole(members: DataFrame) -> DataFrame:
+    """Links (a, b) that connect what is connected in each group of members(grp, key, tokens), in one task each."""
+
+    def meet(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        keys = rows.column("key").to_pylist()
+        tokens = [unpacked(t.as_buffer().to_pybytes()) for t in rows.column("tokens")]
+        sets = _Sets(tokens)
+        label = np.arange(len(keys))
+        found: set[tuple[int, int]] = set()
+        at = key[0].as_py()
+        order = sorted(range(len(keys)), key=lambda i: keys[i] != at)  # the original first
+        for i in order:
+            if (label == label[i]).sum() * 2 > len(keys):
+                continue  # in the largest component: what it links to is found from the other side
+            for j in sets.near(tokens[i]):
+                if label[i] != label[j]:
+                    found.add((keys[i], keys[j]))
+                    label[label == label[j]] = label[i]
+        return _links(found)
+
+    return members.groupBy("grp").applyInArrow(meet, "a long, b long")
+
+
+def star(members: DataFrame) -> DataFrame:
+    """Links (a, b) of each group's original with its members(grp, key, tokens, origin)."""
 
     def check(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            keep = []
-            for x, y in zip(part.column(2), part.column(3), strict=True):
-                s, t = (np.frombuffer(z.as_buffer(), np.uint64) for z in (x, y))
-                if len(t) < len(s):
-                    s, t = t, s
-                at = np.searchsorted(t, s)
-                shared = int((t[np.minimum(at, len(t) - 1)] == s).sum())
-                keep.append(similar(shared, len(s), len(t)))
+            keep = [bool(len(_Sets([unpacked(x.as_buffer().to_pybytes())]).near(unpacked(y.as_buffer().to_pybytes())))) for x, y in zip(part.column(2), part.column(3), strict=True)]
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    one = pairs.select("a", "b").join(sets.select(F.col("key").alias("b"), F.col("tokens").alias("t")), "b")
-    both = one.join(sets.select(F.col("key").alias("a"), F.col("tokens").alias("s")), "a")
-    return both.select("a", "b", "s", "t").mapInArrow(check, "a long, b long")
+    return members.where("grp <> key").select(F.col("grp").alias("a"), F.col("key").alias("b"), "origin", "tokens").mapInArrow(check, "a long, b long")
 
 
-def _near_sizes(n: str, m: str):
-    return F.expr(f"5 * least({n}, {m}) >= 4 * greatest({n}, {m})")
+def blocked(members: DataFrame) -> DataFrame:
+    """Pairs (a, b) of components (label) of members(key, n, label, grp, tokens) that a link joins: each member outside its group's
+    largest component against all others of the group, in blocks."""
+    main = members.groupBy("grp", "label").agg(F.count("*").alias("c")).groupBy("grp").agg(F.max_by("label", F.struct("c", "label")).alias("main"))
+    sized = members.join(main, "grp").withColumn("one", F.col("label") != F.col("main"))
+    blocks = sized.groupBy("grp").agg(F.ceil(F.sum(F.when(F.col("one"), F.col("n"))) / BLOCK_ONE).cast("int").alias("ones"), F.ceil(F.sum("n") / BLOCK_ALL).cast("int").alias("alls"))
+    sized = sized.join(blocks.where("ones > 0"), "grp")
+    by_hash = lambda n: F.pmod(F.hash("key"), F.col(n))
+    one = sized.where("one").select("grp", by_hash("ones").alias("i"), F.explode(F.sequence(F.lit(0), F.col("alls") - 1)).alias("j"), F.lit(True).alias("one"), "label", "tokens")
+    every = sized.select("grp", F.explode(F.sequence(F.lit(0), F.col("ones") - 1)).alias("i"), by_hash("alls").alias("j"), F.lit(False).alias("one"), "label", "tokens")
+
+    def meet(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        one = np.array(rows.column("one").to_pylist(), bool)
+        labels = rows.column("label").to_numpy()
+        tokens = [unpacked(t.as_buffer().to_pybytes()) for t in rows.column("tokens")]
+        all_, ones = np.flatnonzero(~one), np.flatnonzero(one)
+        sets = _Sets([tokens[i] for i in all_])
+        found: set[tuple[int, int]] = set()
+        for i in ones:
+            near = labels[all_[sets.near(tokens[i])]]
+            found.update((int(labels[i]), int(x)) for x in np.unique(near[near != labels[i]]))
+        return _links(found)
+
+    return one.unionByName(every).groupBy("grp", "i", "j").applyInArrow(meet, "a long, b long").distinct()
 
 
 def near_components(docs: DataFrame) -> DataFrame:
@@ -341,29 +419,25 @@ def near_components(docs: DataFrame) -> DataFrame:
     spark = common.prepare(docs.sparkSession)
     buckets = common.n_parts(spark)
     order = spark.sparkContext.broadcast(frequent(common.stored(frequencies(docs, buckets), "near-frequent")))
-    found = common.stored(shared_entries(index(docs, order, buckets)), "near-found")
-    keys = found.select(F.explode(F.array("a", "b")).alias("key"))
-    wanted = spark.sparkContext.broadcast(bitmap(keys).tobytes())
+    members = candidate_groups(common.stored(shared_entries(index(docs, order, buckets)), "near-found"))
+    wanted = spark.sparkContext.broadcast(bitmap(members.select("key")).tobytes())
     own = common.stored(classes(docs, wanted), "near-classes")
-    sets = common.stored(own.where("tokens IS NOT NULL").groupBy("key").agg(F.first("tokens").alias("tokens")), "near-sets")
-
-    # First every class of an entry against the least of them.
-    pairs = common.stored(found.where("a <> b").where(_near_sizes("n", "m")).select("a", "b").distinct(), "near-pairs")
-    links = common.stored(checked(pairs, sets), "near-links")
-    label = components(links)
 
-    # Then, within an entry, what is still apart. Its largest component is not compared with itself.
-    many = found.where("entry IS NOT NULL").select("entry", F.col("b").alias("key"), F.col("m").alias("n"))
-    many = many.join(label.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
-    many = common.stored(many, "near-many")
-    main = many.groupBy("entry", "label").count().groupBy("entry").agg(F.max_by("label", F.struct("count", "label")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
-    rest = common.stored(many.join(main.select("entry", "main"), "entry"), "near-apart")
-    other = rest.where("label <> main").select("entry", F.col("key").alias("k"), F.col("n").alias("m"), F.col("label").alias("l"))
-    across = rest.join(other, "entry").where("label <> l AND (label = main OR key < k)").where(_near_sizes("n", "m"))
-    across = across.select(F.least("key", "k").alias("a"), F.greatest("key", "k").alias("b")).distinct()
-    across = common.stored(across.join(pairs, ["a", "b"], "left_anti"), "near-across")
-    links = links.union(common.stored(checked(across, sets), "near-links"))
+    # A class's set from one of the rows that carry it.
+    sent = own.where("tokens IS NOT NULL")
+    one = members.join(sent.groupBy("key").agg(F.min("row").alias("row")), "key")
+    sized = common.stored(members.groupBy("grp").agg((F.sum("n") > BLOCK_ALL).alias("large")), "near-sized")
+    held = one.join(sized, "grp").join(sent.select("key", "row", "tokens"), ["key", "row"]).select("grp", "key", "n", "large", "tokens")
+    links = common.stored(whole(held.where("NOT large").select("grp", "key", "tokens")), "near-links")
+    any_large = not sized.where("large").isEmpty()
+    if any_large:
+        large = common.stored(held.where("large").drop("large"), "near-large")
+        origin = large.where("grp = key").select("grp", F.col("tokens").alias("origin"))
+        links = links.union(common.stored(star(large.join(origin, "grp")), "near-links"))
     label = components(links)
+    if any_large:
+        large = large.join(label.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
+        label = components(links.union(common.stored(blocked(large), "near-links")))
 
     least = own.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("least"))
     named = common.stored(least.join(label.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key")), "near-named")
