@@ -2,7 +2,7 @@
 
 Merges follow the byte-pair agenda: of all adjacent symbols whose union is a piece, the one with the best score (then the
 leftmost) is merged next. With dropout each candidate is judged once, when it enters the agenda: a keyed hash of (seed,
-variant, chunk, place, length) below the rate skips it. Every occurrence of a chunk has a variant of its own, one of
+variant, chunk, place, lengths) below the rate skips it. Every occurrence of a chunk has a variant of its own, one of
 VARIANTS, by a keyed hash of its document and its place, so segmentations vary from one occurrence to the next, while runs
 and retries agree, and a bounded cache serves repeated chunks.
 
@@ -34,7 +34,8 @@ from . import common
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 RATE, SEED, VARIANTS = 0.1, 20240229, 4
-CACHED = 200_000
+#: Chunks that a worker remembers, in two generations.
+CACHED = 800_000
 SPACE = "▁"
 _CHUNK = re.compile(" +[^ ]*|[^ ]+")
 
@@ -73,7 +74,7 @@ def merge(chunk: str, vocab: Vocabulary, key: int | None, rate: float) -> tuple[
         found = rank.get(joined)
         if found is None:
             return
-        if key is not None and xxhash.xxh32_intdigest(f"{i},{len(joined)},{len(symbols[i])},{joined}", key & 0xFFFFFFFF) < bar:
+        if key is not None and ((key ^ (i * 0x9E3779B1 + len(joined) * 0x85EBCA6B + len(symbols[i]) * 0xC2B2AE35)) * 0x2545F4914F6CDD1D >> 32) & 0xFFFFFFFF < bar:
             return
         heapq.heappush(agenda, (found[0], i, j, joined))
 
@@ -102,16 +103,17 @@ def merge(chunk: str, vocab: Vocabulary, key: int | None, rate: float) -> tuple[
 
 
 class Encoder:
-    """Encodes texts; `variants` caches are kept and emptied when they hold `cached` chunks."""
+    """Encodes texts. Of `cached` remembered chunks the older half is forgotten when the newer is full."""
 
     def __init__(self, path: str = MODEL, rate: float = RATE, seed: int = SEED, variants: int = VARIANTS, cached: int = CACHED) -> None:
         self.vocab = vocabulary(path)
         self.rate, self.seed, self.variants, self.cached = rate, seed, variants if rate > 0 else 1, cached
         self.caches: list[dict[str, tuple[int, ...]]] = [{} for _ in range(self.variants)]
+        self.older: list[dict[str, tuple[int, ...]]] = [{} for _ in range(self.variants)]
 
     def chunk(self, chunk: str, variant: int) -> tuple[int, ...]:
         marked = chunk.replace(" ", SPACE)
-        key = xxhash.xxh32_intdigest(f"{self.seed}/{variant}/{chunk}", self.seed & 0xFFFFFFFF) if self.rate > 0 else None
+        key = xxhash.xxh64_intdigest(f"{self.seed}/{variant}/{chunk}", self.seed) if self.rate > 0 else None
         if SPACE in chunk:  # a literal mark is spelled as bytes
             ids: list[int] = []
             for i, part in enumerate(chunk.split(SPACE)):
@@ -134,10 +136,10 @@ class Encoder:
         for c, v in zip(chunks, picks, strict=True):
             ids = caches[v].get(c)
             if ids is None:
-                if len(caches[v]) * self.variants >= self.cached:
-                    caches[v].clear()
-                ids = self.chunk(c, v)
+                ids = self.older[v].get(c) or self.chunk(c, v)
                 if len(c) <= 64:
+                    if len(caches[v]) * self.variants * 2 >= self.cached:
+                        self.older[v], caches[v] = caches[v], {}
                     caches[v][c] = ids
             out += ids
         return np.array(out, np.int32)
