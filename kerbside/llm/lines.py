@@ -1,15 +1,16 @@
-"""Line dedup over content-defined chunks of lines.
+"""Line dedup over every shortest window of lines.
 
-A line ends at a line break or after a sentence's end. A rolling hash over WINDOW line hashes chooses chunk boundaries (one
-line in DIVISOR on average), so an insertion moves no boundary but those next to it, and a passage shared by two documents
-is cut alike inside. A chunk of two lines or more with MIN_WORDS words or more that occurs again, in any document or the
-same one, is removed but for its first occurrence (by doc_id, then text hash, then place), after its bytes were compared
-with those of the first: equal hashes over unequal bytes remove nothing.
+A line ends at a line break or after a sentence's end (in CJK also without a space). A window is the shortest run of lines
+with MIN_WORDS words or more that begins, or that ends, with a given line; one long line is a window of its own. Both kinds
+depend on their own lines alone, so a passage has the same windows wherever it stands, and they cover each of its lines. A
+window that occurs again, in any document or the same one, is removed but for its first occurrence (by doc_id, then text
+hash, then place), after its bytes were compared with those of the first: equal hashes over unequal bytes remove nothing. An
+occurrence that overlaps the first of the same document is no repeat. Characters of scripts without spaces count as words.
 
-Scale: hashes travel first: one row of (hash, place) for each chunk, aggregated with map-side combine. A bitmap of
-FILTER_BITS bits, a fixed size, then tells a second scan which chunks may repeat, and only their texts travel, to an
-equi-join with the first occurrence on the hash (adaptive execution splits a hot chunk). Whole texts are shuffled once, to
-be rewritten next to the places to remove.
+Scale: hashes travel first: one row of (hash, place) for each window, two a line at most, aggregated with map-side combine. A
+bitmap of FILTER_BITS bits, a fixed size, then tells a second scan which windows may repeat, and only their texts travel, to
+an equi-join with the first occurrence on the hash (adaptive execution splits a hot window). Whole texts are shuffled once,
+to be rewritten next to the places to remove.
 
 Defined cases: a null text stays null, an empty one empty; rows with equal doc_id and text are one document and are rewritten
 alike; a null doc_id comes first; a text may lose every line and is then empty; other columns are kept as they are; an empty
@@ -20,6 +21,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -31,12 +33,10 @@ from . import common
 from .near import bitmap, spots
 from .words import U
 
-#: Lines under the rolling hash; one line in DIVISOR ends a chunk; a chunk has at most LONGEST lines.
-WINDOW, DIVISOR, LONGEST = 2, 2, 64
-MIN_LINES, MIN_WORDS = 2, 10
-_END = re.compile(r"\n+|[.!?]\s+")
-_MULTIPLIER = 0x9E3779B97F4A7C15
-_MASK = (1 << 64) - 1
+#: Words of a window, at least.
+MIN_WORDS = 10
+_END = re.compile(r"\n+|[.!?]\s+|[。！？｡]+\s*")
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 
 
 def lines(text: str) -> list[str]:
@@ -45,21 +45,32 @@ def lines(text: str) -> list[str]:
     return [text[a:b] for a, b in zip(cuts, cuts[1:], strict=False) if a < b]
 
 
+def n_words(line: str) -> int:
+    n = len(line.split())
+    return n if line.isascii() else max(n, len(_UNSPACED.findall(line)))
+
+
 def chunks(own: list[str]) -> Iterator[tuple[int, int, int]]:
-    """(first line, past the last, hash) of every chunk that may be removed."""
-    hashes = [xxhash.xxh3_64_intdigest(x.strip().encode()) for x in own]
-    start = total = 0
-    last = len(own) - 1
-    for i, h in enumerate(hashes):
-        total = ((total ^ h) * _MULTIPLIER) & _MASK
-        total ^= total >> 31
-        rolling = h
-        for j in range(max(start, i - WINDOW + 1), i):
-            rolling = (rolling * _MULTIPLIER + hashes[j]) & _MASK
-        if (rolling >> 40) % DIVISOR == 0 or i - start + 1 == LONGEST or i == last:
-            if i + 1 - start >= MIN_LINES and sum(len(x.split()) for x in own[start : i + 1]) >= MIN_WORDS:
-                yield start, i + 1, total - (1 << 64) if total >> 63 else total
-            start, total = i + 1, 0
+    """(first line, past the last, hash) of every window that may be removed, in order; none begins or ends in a blank line."""
+    upto = [0, *accumulate(map(n_words, own))]
+    total, found, a, b = upto[-1], set(), 0, 0
+    for i in range(len(own)):
+        if upto[i] == upto[i + 1]:
+            continue
+        if total - upto[i] >= MIN_WORDS:  # the shortest that begins here
+            while upto[b] - upto[i] < MIN_WORDS:
+                b += 1
+            found.add((i, b))
+        if upto[i + 1] >= MIN_WORDS:  # the shortest that ends here
+            while upto[i + 1] - upto[a + 1] >= MIN_WORDS:
+                a += 1
+            found.add((a, i + 1))
+    bare = [x.strip() for x in own]
+    ends: dict[int, int] = {}
+    for a, b in sorted(found):
+        h = xxhash.xxh3_64_intdigest("\n".join(bare[a:b]).encode("utf-8", "surrogatepass"))
+        if ends.setdefault(h, b) <= a or ends[h] == b:
+            yield a, b, h - (1 << 64) if h >> 63 else h
 
 
 def chunk_text(own: list[str], start: int, end: int) -> str:
@@ -76,7 +87,7 @@ KEYS_DDL = "hash long, doc_id long, row_key long, place long"
 
 
 def chunk_keys(docs: DataFrame) -> DataFrame:
-    """(hash, doc_id, row_key, place) of every chunk."""
+    """(hash, doc_id, row_key, place) of every window."""
 
     def cut(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -87,7 +98,7 @@ def chunk_keys(docs: DataFrame) -> DataFrame:
 
 
 def chunk_texts(docs: DataFrame, wanted) -> DataFrame:
-    """The same with the texts, of chunks whose hash is in the bitmap."""
+    """The same with the texts, of windows whose hash is in the bitmap."""
 
     def cut(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(wanted.value, np.uint8)
@@ -109,7 +120,7 @@ def chunk_texts(docs: DataFrame, wanted) -> DataFrame:
 
 
 def repeats(docs: DataFrame) -> DataFrame:
-    """(row_key, place, end) of every chunk to remove, its bytes compared with the first occurrence's."""
+    """(row_key, place, end) of every window to remove, its bytes compared with the first occurrence's."""
     spark = docs.sparkSession
     keys = chunk_keys(docs)
     first = keys.groupBy("hash").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "row_key", "place")).alias("first")).where("n > 1")

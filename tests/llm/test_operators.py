@@ -196,6 +196,24 @@ def test_line_dedup(spark):
     assert got[len(ODD) + 1][1] > 0 and got[len(texts) - 1] == (texts[-1], 0)
 
 
+def test_line_dedup_loses_no_part_of_a_passage(spark):
+    rng = random.Random(6)
+    passages = [
+        f"{prose(rng, 60)}. ",  # one line
+        f"{prose(rng, 200)}\n",
+        "一二三四五六七八九十甲乙丙丁。",
+        "".join(f"{prose(rng, n)}. " for n in (2, 3, 30, 1, 14, 2, 1)),  # short lines at either end
+        "".join(f"{prose(rng, 1)}\n" for _ in range(25)),
+    ]
+    around = [(f"{prose(rng, 3, tag='x')}\n", f"{prose(rng, 4, tag='y')}.") for _ in passages]
+    texts = [a + p + b for p in passages for a, b in (around[0], *around[1:3])] + ["same.\n" * 45]
+    got = {r.doc_id: r.text for r in lines.dedup(docs(spark, texts)).collect()}
+    for k in range(len(passages)):
+        assert got[3 * k] == texts[3 * k]
+        assert [got[3 * k + j] for j in (1, 2)] == [a + b for a, b in around[1:3]]
+    assert got[len(texts) - 1] == "same.\n" * 10
+
+
 def test_sentencepiece():
     import sentencepiece
 
