@@ -1,10 +1,10 @@
 """SentencePiece encoding with seeded merge-dropout, and lossless decoding.
 
 Merges follow the byte-pair agenda: of all adjacent symbols whose union is a piece, the one with the best score (then the
-leftmost) is merged next. With dropout each candidate is judged once, when it enters the agenda: a keyed hash of (seed,
-variant, chunk, place, lengths) below the rate skips it. Every occurrence of a chunk has a variant of its own, one of
-VARIANTS, by a keyed hash of its document and its place, so segmentations vary from one occurrence to the next, while runs
-and retries agree, and a bounded cache serves repeated chunks.
+leftmost) is merged next. With dropout each candidate is judged once, when it enters the agenda, and skipped at the rate. The
+candidates of a document are judged in the order of its text by a random stream of its own, keyed by (seed, doc_id), that
+tells how many are kept up to the next skipped one. So each occurrence of a chunk is judged anew, in its own place, while
+runs and retries agree. What is remembered of a chunk depends on no place: its ids for given skipped candidates.
 
 A space is written as U+2581, and one is put before the text. Characters outside the vocabulary, and a literal U+2581, are
 spelled as byte pieces; so decoding gives back every text exactly. No piece has U+2581 after another character, hence
@@ -20,22 +20,26 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import math
 import re
-from collections.abc import Iterator
+from collections.abc import Container, Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-RATE, SEED, VARIANTS = 0.1, 20240229, 4
-#: Chunks that a worker remembers, in two generations.
+RATE, SEED = 0.1, 20240229
+#: Chunks, with the candidates skipped, that a worker remembers, in two generations.
 CACHED = 800_000
+#: Symbols that are merged without a heap.
+SHORT = 48
+#: Characters of a chunk that is remembered, at most.
+LONG = 64
 SPACE = "▁"
 _CHUNK = re.compile(" +[^ ]*|[^ ]+")
 
@@ -60,23 +64,52 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-def merge(chunk: str, vocab: Vocabulary, key: int | None, rate: float) -> tuple[int, ...]:
-    """Ids of one chunk, its spaces as U+2581; key is the keyed hash's seed, None for no dropout."""
+def merge_short(symbols: list[str], rank: dict[str, tuple[float, int]], skipped: Container[int], seen: int) -> int:
+    """Merges a few symbols in place, the agenda a plain list of the adjacent pairs' scores; the candidates seen."""
+    scores = [0.0] * (len(symbols) - 1)
+
+    def judge(k: int) -> None:
+        nonlocal seen
+        found = rank.get(symbols[k] + symbols[k + 1])
+        if found is None:
+            scores[k] = math.inf
+            return
+        scores[k] = math.inf if seen in skipped else found[0]
+        seen += 1
+
+    for k in range(len(scores)):
+        judge(k)
+    while scores and (low := min(scores)) < math.inf:
+        k = scores.index(low)
+        symbols[k] += symbols.pop(k + 1)
+        del scores[k]
+        if k < len(scores):
+            judge(k)
+        if k:
+            judge(k - 1)
+    return seen
+
+
+def merge(chunk: str, vocab: Vocabulary, skipped: Container[int] = (), seen: int = 0) -> tuple[list[int], int]:
+    """Ids of one chunk, its spaces as U+2581, and the candidates seen; those at the numbers in `skipped` are dropped."""
     rank = vocab.rank
     symbols: list[str | None] = list(chunk)
     n = len(symbols)
+    if n <= SHORT:
+        seen = merge_short(symbols, rank, skipped, seen)
+        n = 0
     ahead, behind = list(range(1, n + 1)), list(range(-1, n - 1))
-    bar = int(rate * (1 << 32))
     agenda: list[tuple[float, int, int, str]] = []
 
     def offer(i: int, j: int) -> None:
+        nonlocal seen
         joined = symbols[i] + symbols[j]
         found = rank.get(joined)
         if found is None:
             return
-        if key is not None and ((key ^ (i * 0x9E3779B1 + len(joined) * 0x85EBCA6B + len(symbols[i]) * 0xC2B2AE35)) * 0x2545F4914F6CDD1D >> 32) & 0xFFFFFFFF < bar:
-            return
-        heapq.heappush(agenda, (found[0], i, j, joined))
+        if seen not in skipped:
+            heapq.heappush(agenda, (found[0], i, j, joined))
+        seen += 1
 
     for i in range(n - 1):
         offer(i, i + 1)
@@ -99,48 +132,94 @@ def merge(chunk: str, vocab: Vocabulary, key: int | None, rate: float) -> tuple[
             ids.append(rank[s][1])
         else:
             ids += [vocab.bytes[b] for b in s.encode("utf-8", "surrogatepass")]
-    return tuple(ids)
+    return ids, seen
+
+
+class Merged:
+    """(candidates seen, ids) of chunks by the candidates skipped. Of `cached` the older half is forgotten when the newer is full."""
+
+    def __init__(self, vocab: Vocabulary, cached: int) -> None:
+        self.vocab, self.cached = vocab, cached
+        self.newer: dict[str | tuple, tuple[int, tuple[int, ...]]] = {}
+        self.older: dict[str | tuple, tuple[int, tuple[int, ...]]] = {}
+
+    def get(self, chunk: str, skipped: tuple[int, ...] = ()) -> tuple[int, tuple[int, ...]]:
+        key = (chunk, skipped) if skipped else chunk
+        found = self.newer.get(key)
+        if found is None:
+            found = self.older.get(key) or self.find(chunk, skipped)
+            if len(chunk) <= LONG and len(skipped) <= 2:
+                if len(self.newer) * 2 >= self.cached:
+                    self.older, self.newer = self.newer, {}
+                self.newer[key] = found
+        return found
+
+    def find(self, chunk: str, skipped: Container[int]) -> tuple[int, tuple[int, ...]]:
+        ids: list[int] = []
+        seen = 0
+        for i, part in enumerate(chunk.split(SPACE)):  # a literal mark is spelled as bytes
+            ids += [self.vocab.bytes[b] for b in SPACE.encode()] if i else ()
+            more, seen = merge(part.replace(" ", SPACE), self.vocab, skipped, seen)
+            ids += more
+        return seen, tuple(ids)
+
+
+@cache
+def merged(path: str, cached: int) -> Merged:
+    return Merged(vocabulary(path), cached)
+
+
+class Skipped:
+    """The candidates to skip, told as they are asked for in order: for long chunks, which are merged once."""
+
+    def __init__(self, at: int, gaps: Iterator[int]) -> None:
+        self.at, self.gaps = at, gaps
+
+    def __contains__(self, number: int) -> bool:
+        if number != self.at:
+            return False
+        self.at += 1 + next(self.gaps)
+        return True
 
 
 class Encoder:
-    """Encodes texts. Of `cached` remembered chunks the older half is forgotten when the newer is full."""
-
-    def __init__(self, path: str = MODEL, rate: float = RATE, seed: int = SEED, variants: int = VARIANTS, cached: int = CACHED) -> None:
-        self.vocab = vocabulary(path)
-        self.rate, self.seed, self.variants, self.cached = rate, seed, variants if rate > 0 else 1, cached
-        self.caches: list[dict[str, tuple[int, ...]]] = [{} for _ in range(self.variants)]
-        self.older: list[dict[str, tuple[int, ...]]] = [{} for _ in range(self.variants)]
-
-    def chunk(self, chunk: str, variant: int) -> tuple[int, ...]:
-        marked = chunk.replace(" ", SPACE)
-        key = xxhash.xxh64_intdigest(f"{self.seed}/{variant}/{chunk}", self.seed) if self.rate > 0 else None
-        if SPACE in chunk:  # a literal mark is spelled as bytes
-            ids: list[int] = []
-            for i, part in enumerate(chunk.split(SPACE)):
-                ids += [self.vocab.bytes[b] for b in SPACE.encode()] if i else ()
-                ids += merge(part.replace(" ", SPACE), self.vocab, key, self.rate)
-            return tuple(ids)
-        return merge(marked, self.vocab, key, self.rate)
+    """Encodes texts; encoders of one vocabulary and `cached` share what they remember."""
+
+    def __init__(self, path: str = MODEL, rate: float = RATE, seed: int = SEED, cached: int = CACHED) -> None:
+        self.vocab, self.merged = vocabulary(path), merged(path, cached)
+        self.rate, self.seed = rate, seed
+
+    def gaps(self, key: int) -> Iterator[int]:
+        """How many candidates are kept before each skipped one, in one document."""
+        stream = np.random.Generator(np.random.Philox(key=[self.seed, key & 0xFFFFFFFFFFFFFFFF]))
+        while True:
+            yield from (stream.geometric(self.rate, 128) - 1).tolist()
 
     def encode(self, text: str, key: int = 0) -> np.ndarray:
         if not text:
             return np.zeros(0, np.int32)
-        chunks = _CHUNK.findall(f" {text}")
-        if self.variants == 1:
-            picks = bytes(len(chunks))
-        else:
-            # one keyed hash for each document gives a stream of variants over its chunks
-            stream = np.random.Generator(np.random.Philox(key=[self.seed, key & 0xFFFFFFFFFFFFFFFF])).integers(0, self.variants, len(chunks), np.uint8)
-            picks = stream.tobytes()
-        caches, out = self.caches, []
-        for c, v in zip(chunks, picks, strict=True):
-            ids = caches[v].get(c)
-            if ids is None:
-                ids = self.older[v].get(c) or self.chunk(c, v)
-                if len(c) <= 64:
-                    if len(caches[v]) * self.variants * 2 >= self.cached:
-                        self.older[v], caches[v] = caches[v], {}
-                    caches[v][c] = ids
+        get, out = self.merged.get, []
+        if self.rate <= 0:
+            for c in _CHUNK.findall(f" {text}"):
+                out += get(c)[1]
+            return np.array(out, np.int32)
+        gaps = self.gaps(key)
+        left = next(gaps)
+        for c in _CHUNK.findall(f" {text}"):
+            if len(c) > LONG:
+                live = Skipped(left, gaps)
+                n, ids = self.merged.find(c, live)
+                left = live.at - n
+                out += ids
+                continue
+            n, ids = get(c)
+            if left < n:
+                skipped: tuple[int, ...] = ()
+                while left < n:
+                    skipped += (left,)
+                    n, ids = get(c, skipped)
+                    left += 1 + next(gaps)
+            left -= n
             out += ids
         return np.array(out, np.int32)
 

@@ -231,6 +231,40 @@ def test_sentencepiece():
     assert ids != plain.encode(t).tolist() and ids == pieces.Encoder().encode(t, 1).tolist()
 
 
+def joined_by_get(chunk, key):
+    """Ids of one chunk by asking again after each skipped candidate."""
+    e = pieces.Encoder(rate=0.3)
+    gaps, skipped = e.gaps(key), ()
+    left, (n, ids) = next(gaps), e.merged.get(f" {chunk}")
+    while left < n:
+        skipped += (left,)
+        n, ids = e.merged.get(f" {chunk}", skipped)
+        left += 1 + next(gaps)
+    return list(ids)
+
+
+def test_sentencepiece_judges_each_occurrence():
+    e, small, word = pieces.Encoder(), pieces.Encoder(cached=2), "internationalization"
+    assert len({tuple(e.encode(word, i)) for i in range(400)}) > 20  # by document
+    text = f"{word} " * 400
+    ids = e.encode(text, 7).tolist()
+    assert len({tuple(w) for w in np.split(ids, np.flatnonzero([e.vocab.pieces[i].startswith(pieces.SPACE) for i in ids]))}) > 20  # by place
+    assert ids == small.encode(text, 7).tolist() == e.encode(text, 7).tolist() != e.encode(text, 8).tolist()
+    long = word * 12
+    assert pieces.Encoder(rate=0.3).encode(long, 3).tolist() == joined_by_get(long, 3)
+    never, always = pieces.Encoder(rate=1e-9), pieces.Encoder(rate=1.0)
+    assert never.encode(text).tolist() == pieces.Encoder(rate=0.0).encode(text).tolist()
+    assert len(always.encode(word)) == len(word) + 1 and always.decode(always.encode(text)) == text
+
+
+@pytest.mark.parametrize("skipped", [(), (0,), (1, 4), (2, 3, 5)])
+def test_short_merges_are_the_long_ones(skipped, monkeypatch):
+    vocab, chunks = pieces.vocabulary(pieces.MODEL), ["▁internationalization", "▁the", "▁zzzé漢", "▁", "▁▁a"]
+    short = [pieces.merge(c, vocab, skipped) for c in chunks]
+    monkeypatch.setattr(pieces, "SHORT", 0)
+    assert short == [pieces.merge(c, vocab, skipped) for c in chunks]
+
+
 def test_language_id(spark):
     rng = random.Random(2)
     roots = {"en": "th ing the and er on", "de": "sch ung der die ein ch", "fr": "eau que les ment ré ai", "es": "ción dad los que rr ña"}
