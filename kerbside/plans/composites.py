@@ -123,9 +123,15 @@ def q_neighborhood_live(t: Tables) -> DataFrame:
 
 @query("q_institutions", f"SELECT facility_id, cameras, CAST(ROW_NUMBER() OVER (ORDER BY cameras DESC, name, facility_id) AS BIGINT) AS rank FROM (SELECT f.facility_id, f.name, COUNT(DISTINCT s.sensor_id) AS cameras FROM ({SITES}) f JOIN v_sensors s ON (s.x - f.sx) ** 2 + (s.y - f.sy) ** 2 <= 40000.0e0 GROUP BY 1, 2) q ORDER BY rank LIMIT 50")
 def q_institutions(t: Tables) -> DataFrame:
-    n = spatial.within(own_groups(t).withColumnsRenamed({"ax": "x", "ay": "y"}), sites(t), 200.0).select("facility_id", "name", "grp").distinct().groupBy("facility_id", "name").agg(F.count("*").alias("cameras"))
-    top = n.orderBy(F.desc("cameras"), "name", "facility_id").limit(50)  # the rank is over fifty rows
-    return top.select("facility_id", "cameras", F.row_number().over(Window.orderBy(F.desc("cameras"), "name", "facility_id")).cast("long").alias("rank"))
+    """Every institution, ranked by the groups within 200 m; those with none come last. Ranks are two-level: within the parts
+    of a range-partitioned sort, which is written first so that parts stay as they are, and over the parts' counts."""
+    n = spatial.within(own_groups(t).withColumnsRenamed({"ax": "x", "ay": "y"}), sites(t), 200.0).select("facility_id", "grp").distinct().groupBy("facility_id").agg(F.count("*").alias("n"))
+    all_ = sites(t).select("facility_id", "name").join(n, "facility_id", "left").withColumn("cameras", F.coalesce("n", F.lit(0)))
+    at = graph.checkpointed(all_.orderBy(F.desc("cameras"), "name", "facility_id").select("facility_id", "cameras", F.monotonically_increasing_id().alias("at")))
+    at = at.select("facility_id", "cameras", F.shiftright("at", 33).alias("part"), F.expr("at & 8589934591").alias("inside"))
+    parts = at.groupBy("part").agg(F.count("*").alias("n"))  # a row for each part
+    before = parts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    return at.join(F.broadcast(before), "part").select("facility_id", "cameras", (F.col("before") + F.col("inside") + 1).alias("rank"))
 
 
 @query("q_cctv_merge", "SELECT COUNT(*) AS cameras, SUM(CASE WHEN src = 0 THEN 1 ELSE 0 END)::BIGINT AS census FROM (SELECT 0 AS src FROM v_nodes CROSS JOIN (SELECT UNNEST(RANGE(1, 5)) AS k) n WHERE k <= CAST(ROUND((node_id % 9) / 2.0e0) AS BIGINT) UNION ALL SELECT 1 FROM v_sensors s WHERE NOT EXISTS (SELECT 1 FROM v_nodes n WHERE node_id % 9 > 0 AND (s.x - n.x) ** 2 + (s.y - n.y) ** 2 <= 2500.0e0)) q")

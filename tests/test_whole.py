@@ -23,3 +23,13 @@ def test_all_ways_are_split(spark):
             want[way, part] += 1
             part += k > 0 and uses[node] > 1
     assert {(r.way, r.part): r.nodes for r in QUERIES["split_ways"](spark, SF).collect()} == want
+
+
+def test_every_institution_is_ranked(spark):
+    larger = SF.replace("0.001", "0.01")
+    t = Tables(spark, larger)
+    cameras = [(s.x, s.y) for s in t.sensors.select("x", "y").collect()]
+    near = [(-sum((x - f.x) ** 2 + (y - f.y) ** 2 <= 40000.0 for x, y in cameras), f.name, f.facility_id) for f in t.facilities.select("facility_id", "name", "x", "y").collect()]
+    want = [(i, -n, k) for k, (n, _, i) in enumerate(sorted(near), 1)]
+    got = sorted(((r.facility_id, r.cameras, r["rank"]) for r in QUERIES["q_institutions"](spark, larger).collect()), key=lambda r: r[2])
+    assert got == want and len(want) > 50
