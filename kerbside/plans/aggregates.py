@@ -185,7 +185,7 @@ def agg_fraction_surveilled(t: Tables) -> DataFrame:
 
 @query("agg_breakdown", f"SELECT q.kind, d.label, ROUND(n * CASE WHEN d.recall_corrected THEN 1.0e0 / 0.63e0 ELSE 1.0e0 END, 6) AS devices, ROUND(1 - EXP(-(n * CASE WHEN d.recall_corrected THEN 1.0e0 / 0.63e0 ELSE 1.0e0 END)), 6) AS p FROM (SELECT kind, COUNT(DISTINCT sensor_id) AS n FROM ({CAPTURED}) c WHERE edge_id < 100 GROUP BY kind) q JOIN ({DIM}) d ON d.kind = q.kind")
 def agg_breakdown(t: Tables) -> DataFrame:
-    n = captured(t).where("edge_id < 100").select("kind", "sensor_id").distinct().groupBy("kind").agg(F.count("*").alias("n"))
+    n = captured(t).select("kind", "sensor_id").distinct().groupBy("kind").agg(F.count("*").alias("n"))
     devices = F.col("n") * F.when(F.col("recall_corrected"), RECALL).otherwise(1.0)
     out = n.join(F.broadcast(scalar.source_dim(t.spark)), "kind").withColumn("devices", devices).where("devices > 1e-6")
     return out.select("kind", "label", F.round("devices", 6).alias("devices"), F.round(scalar.p_at_least_one("devices"), 6).alias("p"))
@@ -281,8 +281,8 @@ INCIDENCE = "SELECT trip_id AS route_id, (trip_id * 7 + k * 13) % 880 AS edge_id
 
 
 def incidence(t: Tables) -> DataFrame:
-    """(route_id, edge_id): five edges for each second trip."""
-    return t.trips.where("trip_id % 2 = 0").select(F.col("trip_id").alias("route_id"), F.explode(F.sequence(F.lit(0), F.lit(4))).alias("k")).select("route_id", F.expr("(route_id * 7 + k * 13) % 880").alias("edge_id"))
+    """(route_id, edge_id): five edges for each trip."""
+    return t.trips.select(F.col("trip_id").alias("route_id"), F.explode(F.sequence(F.lit(0), F.lit(4))).alias("k")).select("route_id", F.expr("(route_id * 7 + k * 13) % 880").alias("edge_id"))
 
 
 @query("agg_edge_traversals", f"SELECT CAST(edge_id AS BIGINT) AS edge_id, COUNT(*) AS traversals FROM ({INCIDENCE}) i GROUP BY 1")
@@ -304,7 +304,7 @@ def sensing_power(counts: DataFrame, trips: int | Column, segments: int, sizes=S
 def traversal_histogram(t: Tables) -> DataFrame:
     """(c, k, m): how many edges have c traversals, and the number of trips."""
     c = incidence(t).groupBy("edge_id").agg(F.count("*").alias("c")).groupBy("c").agg(F.count("*").alias("k"))
-    return c.crossJoin(F.broadcast(t.trips.where("trip_id % 2 = 0").agg(F.count("*").alias("m"))))
+    return c.crossJoin(F.broadcast(t.trips.agg(F.count("*").alias("m"))))
 
 
 @query("agg_sensing_power", POWER)

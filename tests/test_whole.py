@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import collections
 
+import pytest
+
 from kerbside.plans import catalog
 from kerbside.plans.views import Tables
 
+from test_oracle import SQL, con, rows  # noqa: F401
+
 SF = "/root/testdata/sf0.001"
 QUERIES = catalog.queries()
 
@@ -33,3 +37,17 @@ def test_every_institution_is_ranked(spark):
     want = [(i, -n, k) for k, (n, _, i) in enumerate(sorted(near), 1)]
     got = sorted(((r.facility_id, r.cameras, r["rank"]) for r in QUERIES["q_institutions"](spark, larger).collect()), key=lambda r: r[2])
     assert got == want and len(want) > 50
+
+
+HALF = " WHERE trip_id % 2 = 0"
+
+
+@pytest.mark.parametrize(
+    ("name", "cut"),
+    [(n, HALF) for n in ("agg_edge_traversals", "agg_sensing_power", "q_sensing_power", "agg_edge_class_coverage")] + [("join_asof_keyframe", " WHERE trip_id % 3 = 0"), ("agg_breakdown", " WHERE edge_id < 100")],
+)
+def test_all_trips_and_edges(spark, con, name, cut):  # noqa: F811
+    """The rows of the query's SQL without its cut."""
+    assert cut in SQL[name]
+    df, want = QUERIES[name](spark, SF), con.execute(SQL[name].replace(cut, ""))
+    assert rows(df.columns, df.collect()) == rows([c[0] for c in want.description], want.fetchall())
