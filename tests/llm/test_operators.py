@@ -14,6 +14,7 @@ import zlib
 import numpy as np
 import pytest
 from pyarrow import fs as pafs
+from pyspark.sql import functions as F
 
 from kerbside.llm import chat, common, decontaminate, langid, lines, lm, media, near, pieces, urlfilter, warc, words
 
@@ -214,55 +215,108 @@ def test_line_dedup_loses_no_part_of_a_passage(spark):
     assert got[len(texts) - 1] == "same.\n" * 10
 
 
-def test_sentencepiece():
+def spread(x):
+    """splitmix's finish on whole numbers."""
+    x = ((x ^ (x >> 33)) * 0xFF51AFD7ED558CCD) % 2**64
+    x = ((x ^ (x >> 33)) * 0xC4CEB9FE1A85EC53) % 2**64
+    return x ^ (x >> 33)
+
+
+GOLD = 0x9E3779B97F4A7C15
+
+
+def naive_ids(library, text, doc, rate, judged=None):
+    """Every chunk by itself: always the best adjacent pair that is a piece and not skipped, by score, then from the left."""
+    size = library.get_piece_size()
+    plain = {library.id_to_piece(i): i for i in range(size) if not (library.is_byte(i) or library.is_control(i) or library.is_unknown(i))}
+    spell = {int(library.id_to_piece(i)[3:5], 16): i for i in range(size) if library.is_byte(i)}
+    out = []
+    for place, chunk in enumerate(re.findall(" +[^ ]*|[^ ]+", f" {text}") if text else []):
+        key = spread(spread(doc % 2**64 ^ spread(pieces.SEED)) + place * GOLD & (2**64 - 1))
+        symbols = []
+        for c in chunk:
+            c = {" ": "▁", "▁": None}.get(c, c)
+            symbols += [c] if c in plain else [b for b in (c or "▁").encode()]
+        bounds = list(range(len(symbols) + 1))
+        verdicts = {}
+
+        def skipped(span):
+            if span not in verdicts:
+                i, j, k = span
+                verdicts[span] = spread(key ^ ((i | j << 21 | k << 42) * GOLD) % 2**64) < rate * 2.0**64
+            return verdicts[span]
+
+        while True:
+            best = None
+            for k in range(len(symbols) - 1):
+                if isinstance(symbols[k], str) and isinstance(symbols[k + 1], str) and (i := plain.get(symbols[k] + symbols[k + 1])) is not None:
+                    if not skipped(tuple(bounds[k : k + 3])) and (best is None or -library.get_score(i) < best[0]):
+                        best = (-library.get_score(i), k)
+            if best is None:
+                break
+            k = best[1]
+            symbols[k : k + 2] = [symbols[k] + symbols[k + 1]]
+            del bounds[k + 1]
+        if judged is not None:
+            judged += verdicts.values()
+        out += [plain[s] if isinstance(s, str) else spell[s] for s in symbols]
+    return out
+
+
+def sp_library():
     import sentencepiece
 
-    library = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
-    plain, varied = pieces.Encoder(rate=0.0), pieces.Encoder(cached=64)
+    return sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+
+
+def test_sentencepiece(monkeypatch):
+    library = sp_library()
+    plain, varied = pieces.Encoder(rate=0.0), pieces.Encoder()
     rng = random.Random(1)
-    texts = [t or "" for t in ODD] + ["  two  spaces ", "▁▁ ▁", "<s></s><0x41>\n"] + [prose(rng, 50, tag="word") for _ in range(20)]
+    texts = [t or "" for t in ODD] + ["  two  spaces ", "▁▁ ▁", "<s></s><0x41>\n", " ", "x" * 70, "ab" * 600, "漢字é" * 100] + [prose(rng, 50, tag="word") for _ in range(20)]
+    whole = varied.encode_many(texts, range(len(texts)))
     for i, t in enumerate(texts):
         for e in (plain, varied):
             assert e.decode(e.encode(t, i).tolist()) == t
+        assert varied.encode(t, i).tolist() == whole[0][i].tolist() and whole[1][i] == len(plain.encode(t))
+        if len(t) < 600:
+            assert varied.encode(t, i).tolist() == naive_ids(library, t, i, pieces.RATE)
         if "▁" not in t and "\x00" not in t:
             assert plain.encode(t).tolist() == library.encode(t)
-    t = "internationalization " * 40
-    ids = varied.encode(t, 1).tolist()
-    assert ids != plain.encode(t).tolist() and ids == pieces.Encoder().encode(t, 1).tolist()
-
-
-def joined_by_get(chunk, key):
-    """Ids of one chunk by asking again after each skipped candidate."""
-    e = pieces.Encoder(rate=0.3)
-    gaps, skipped = e.gaps(key), ()
-    left, (n, ids) = next(gaps), e.merged.get(f" {chunk}")
-    while left < n:
-        skipped += (left,)
-        n, ids = e.merged.get(f" {chunk}", skipped)
-        left += 1 + next(gaps)
-    return list(ids)
+    for name, value in (("STRETCH", 40), ("BLOCK", 7), ("CELLS", 1 << 6), ("CACHED", 20), ("WIDEST", 16), ("REMEMBERED", 9)):
+        monkeypatch.setattr(pieces, name, value)
+        pieces.book.cache_clear()
+        some = [*range(7), *range(8, 16)]
+        assert [i.tolist() for i in pieces.Encoder().encode_many([texts[i] for i in some], some)[0]] == [whole[0][i].tolist() for i in some]
+    pieces.book.cache_clear()
 
 
 def test_sentencepiece_judges_each_occurrence():
-    e, small, word = pieces.Encoder(), pieces.Encoder(cached=2), "internationalization"
-    assert len({tuple(e.encode(word, i)) for i in range(400)}) > 20  # by document
+    e, word, library = pieces.Encoder(), "internationalization", sp_library()
+    own = e.encode_many([word] * 5000, range(5000))[0]
+    assert len({tuple(i) for i in own}) > 30  # by document
+    judged = []
+    assert [i.tolist() for i in own[:600]] == [naive_ids(library, word, i, pieces.RATE, judged) for i in range(600)]
+    assert abs(sum(judged) / len(judged) - pieces.RATE) < 0.01 and len(judged) > 5_000
     text = f"{word} " * 400
     ids = e.encode(text, 7).tolist()
     assert len({tuple(w) for w in np.split(ids, np.flatnonzero([e.vocab.pieces[i].startswith(pieces.SPACE) for i in ids]))}) > 20  # by place
-    assert ids == small.encode(text, 7).tolist() == e.encode(text, 7).tolist() != e.encode(text, 8).tolist()
-    long = word * 12
-    assert pieces.Encoder(rate=0.3).encode(long, 3).tolist() == joined_by_get(long, 3)
+    assert ids == e.encode(text, 7).tolist() != e.encode(text, 8).tolist() and ids != pieces.Encoder(seed=1).encode(text, 7).tolist()
     never, always = pieces.Encoder(rate=1e-9), pieces.Encoder(rate=1.0)
     assert never.encode(text).tolist() == pieces.Encoder(rate=0.0).encode(text).tolist()
     assert len(always.encode(word)) == len(word) + 1 and always.decode(always.encode(text)) == text
 
 
-@pytest.mark.parametrize("skipped", [(), (0,), (1, 4), (2, 3, 5)])
-def test_short_merges_are_the_long_ones(skipped, monkeypatch):
-    vocab, chunks = pieces.vocabulary(pieces.MODEL), ["▁internationalization", "▁the", "▁zzzé漢", "▁", "▁▁a"]
-    short = [pieces.merge(c, vocab, skipped) for c in chunks]
-    monkeypatch.setattr(pieces, "SHORT", 0)
-    assert short == [pieces.merge(c, vocab, skipped) for c in chunks]
+def test_sentencepiece_of_odd_rows(spark):
+    rows = docs(spark, [*ODD, ODD[-1]]).withColumn("doc_id", F.expr("if(doc_id > 7, null, doc_id)"))
+    back = pieces.decode(pieces.encode(rows)).collect()
+    assert sorted((r.text, r.decoded) for r in back if r.text is not None) == sorted((t, t) for t in [*ODD[1:], ODD[-1]])
+    assert [(r.ids, r.decoded) for r in back if r.text is None] == [(None, None)]
+    assert len({tuple(r.ids) for r in back if r.text == ODD[-1]}) == 1 and back[0].source == "s"
+    assert pieces.encode(rows.limit(0)).count() == 0
+    for clash in ("ids", "IDS"):
+        with pytest.raises(ValueError, match="ids"):
+            pieces.encode(rows.withColumn(clash, F.lit(1)))
 
 
 def test_language_id(spark):
