@@ -28,10 +28,12 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Only where that is unset (tests, one machine) a
-    temporary folder takes its place."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a session on one machine (local master) that
+    leaves it unset gets a temporary folder; on a cluster that is an error."""
     if found := spark.conf.get("spark.checkpoint.dir", None):
         return found
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     made = f"file://{tempfile.mkdtemp(prefix='kerbside-')}"
     spark.sparkContext.setCheckpointDir(made)
     spark.conf.set("spark.checkpoint.dir", made)
@@ -54,6 +56,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def without(df: DataFrame, *names: str) -> DataFrame:
+    """df without the columns of these names, in any case: what an operator adds takes their place."""
+    return df.select(*(df[f"`{c}`"] for c in df.columns if c.lower() not in names))
+
+
 def text_of(df: DataFrame, column: str = "text") -> Column:
     """The text; empty where it is null."""
     return F.coalesce(df[column], F.lit(""))

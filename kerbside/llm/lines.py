@@ -1,20 +1,30 @@
-"""Line dedup over every shortest window of lines.
-
-A line ends at a line break or after a sentence's end (in CJK also without a space). A window is the shortest run of lines
-with MIN_WORDS words or more that begins, or that ends, with a given line; one long line is a window of its own. Both kinds
-depend on their own lines alone, so a passage has the same windows wherever it stands, and they cover each of its lines. A
-window that occurs again, in any document or the same one, is removed but for its first occurrence (by doc_id, then text
-hash, then place), after its bytes were compared with those of the first: equal hashes over unequal bytes remove nothing. An
-occurrence that overlaps the first of the same document is no repeat. Characters of scripts without spaces count as words.
-
-Scale: hashes travel first: one row of (hash, place) for each window, two a line at most, aggregated with map-side combine. A
-bitmap of FILTER_BITS bits, a fixed size, then tells a second scan which windows may repeat, and only their texts travel, to
-an equi-join with the first occurrence on the hash (adaptive execution splits a hot window). Whole texts are shuffled once,
-to be rewritten next to the places to remove.
+"""Line dedup by content-defined chunks of lines.
+
+A line ends at a line break or after a sentence's end (in CJK also without a space); characters of scripts without spaces
+count as words. Blank lines are passed over.
+
+1. Boundaries. A rolling hash over the hashes of WINDOW lines deals each line to one of two families. A chunk runs from one
+   boundary of a family to the next of the same family that gives it MIN_WORDS words; a line of LONG words or more is a chunk
+   by itself and ends the others. Both families cut every text, and a boundary depends on its own lines alone; so whatever
+   stands around a passage, its chunks are the same, and every run of whole lines with more than REACH words holds at least
+   one whole chunk: without one it has at most 3 * (LONG - 1) + 2 * (MIN_WORDS - 1) = 48 words.
+2. Repeats. A chunk is known by a rolling hash over its lines' hashes. Those that occur twice in all documents mark their own
+   lines and those up to REACH words away, which is as far as a repeated passage can go on beyond its chunks.
+3. Removal. Among the marked lines every shortest run with MIN_WORDS words that begins, or ends, with a line is compared byte
+   by byte with its first occurrence (by doc_id, then text hashes, then place); equal runs go. White space around a run is no
+   part of it, white space within it is. An occurrence that overlaps the first of the same document is no repeat.
+
+So a repeated passage of more than REACH words goes whole, ends included, wherever it stands. What stays: lines that repeat
+only in part, runs under MIN_WORDS words, and shorter runs that hold no chunk.
+
+Scale: 8 bytes a chunk are shuffled and counted with map-side combine; a bitmap of FILTER_BITS bits, a fixed size, tells the
+second scan which chunks may repeat (if it is too small for a corpus, more runs are compared, and results stay the same). Only
+marked runs travel as texts, to an equi-join on their hash (adaptive execution splits a hot run). Whole texts are shuffled
+once, to be rewritten next to the places to remove.
 
 Defined cases: a null text stays null, an empty one empty; rows with equal doc_id and text are one document and are rewritten
-alike; a null doc_id comes first; a text may lose every line and is then empty; other columns are kept as they are; an empty
-table gives no rows.
+alike; a null doc_id comes first; a text may lose every line and is then empty; other columns are kept as they are, but input
+columns named n_lines or removed_lines give way to those that are added; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -31,12 +41,14 @@ from pyspark.sql import functions as F
 
 from . import common
 from .near import bitmap, spots
-from .words import U
+from .words import U, mix, powers
 
-#: Words of a window, at least.
-MIN_WORDS = 10
+#: Words of a chunk, and of a run that goes, at least; words of a line that is a chunk by itself.
+MIN_WORDS, LONG = 10, 11
+#: Words around a repeated chunk that are looked at; lines in the rolling hash that sets boundaries.
+REACH, WINDOW = 50, 2
 _END = re.compile(r"\n+|[.!?]\s+|[。！？｡]+\s*")
-_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
+_UNSPACED = re.compile("[฀-໿က-႟ក-៿぀-ヿ㐀-鿿豈-﫿\U00020000-\U0003ffff]")
 
 
 def lines(text: str) -> list[str]:
@@ -45,116 +57,183 @@ def lines(text: str) -> list[str]:
     return [text[a:b] for a, b in zip(cuts, cuts[1:], strict=False) if a < b]
 
 
-def n_words(line: str) -> int:
-    n = len(line.split())
-    return n if line.isascii() else max(n, len(_UNSPACED.findall(line)))
-
-
-def chunks(own: list[str]) -> Iterator[tuple[int, int, int]]:
-    """(first line, past the last, hash) of every window that may be removed, in order; none begins or ends in a blank line."""
-    upto = [0, *accumulate(map(n_words, own))]
+def n_words(own: list[str]) -> list[int]:
+    """Each line's words."""
+    out = [len(x.split()) for x in own]
+    if any(not x.isascii() and _UNSPACED.search(x) for x in own):
+        out = [max(n, len(_UNSPACED.findall(x))) for n, x in zip(out, own, strict=True)]
+    return out
+
+
+class Lines:
+    """The lines of some texts, with arrays over those that are not blank."""
+
+    def __init__(self, texts: list[str | None]) -> None:
+        self.own = [lines(t) if t else [] for t in texts]
+        self.words = [n_words(own) for own in self.own]
+        count = np.array([len(o) for o in self.own], np.int64)
+        flat = np.array([n for w in self.words for n in w], np.int64)
+        kept = np.flatnonzero(flat)
+        hashed = xxhash.xxh3_64_intdigest
+        self.size = flat[kept]
+        self.hash = np.array([hashed(x.strip().encode()) for own, ns in zip(self.own, self.words, strict=True) for x, n in zip(own, ns, strict=True) if n], np.uint64)
+        self.doc = np.repeat(np.arange(len(texts)), count)[kept]
+        self.number = kept - (np.cumsum(count) - count)[self.doc]
+
+    def chunks(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First line, past the last, and hash of each chunk; lines count over all texts, blank ones left out."""
+        n = len(self.size)
+        if not n:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        up, down = powers(n + 1)
+        first = np.searchsorted(self.doc, self.doc)
+        at = np.arange(n)
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.hash * up[:n])])
+        low = np.maximum(first, at + 1 - WINDOW)
+        family = mix((sums[1:] - sums[low]) * down[low]) >> U(63)
+        upto = np.concatenate([[0], np.cumsum(self.size)])
+        long = self.size >= LONG
+        begins = (at == first) | long
+        begins[1:] |= long[:-1]
+        stretch = np.cumsum(begins)  # short lines between long ones, or one long line
+        ends = np.append(begins[1:], True)
+        starts, past = [at[long]], [at[long] + 1]
+        for f in (0, 1):
+            inside = family == U(f)
+            begin = np.flatnonzero((begins | np.append(False, (inside & ~ends)[:-1])) & ~long)
+            end = np.flatnonzero((ends | inside) & ~long) + 1
+            to = np.searchsorted(upto[end], upto[begin] + MIN_WORDS)
+            begin, to = begin[to < len(end)], to[to < len(end)]
+            same = stretch[begin] == stretch[end[to] - 1]
+            starts.append(begin[same])
+            past.append(end[to[same]])
+        a, b = np.unique(np.stack([np.concatenate(starts), np.concatenate(past)]), axis=1)
+        return a, b, mix(mix((sums[b] - sums[a]) * down[a]) ^ (b - a).astype(np.uint64))
+
+    def marked(self, a: np.ndarray, b: np.ndarray) -> dict[int, list[tuple[int, int]]]:
+        """For each text with such chunks the ranges of lines, blank ones counted, within REACH words of them."""
+        upto = np.concatenate([[0], np.cumsum(self.size)])
+        low = np.maximum(np.searchsorted(upto, upto[a] - REACH), np.searchsorted(self.doc, self.doc[a]))
+        high = np.minimum(np.searchsorted(upto, upto[b] + REACH, "right") - 1, np.searchsorted(self.doc, self.doc[a], "right"))
+        out: dict[int, list[tuple[int, int]]] = {}
+        for d, i, j in zip(self.doc[a].tolist(), self.number[low].tolist(), self.number[high - 1].tolist(), strict=True):
+            ranges = out.setdefault(d, [])
+            if ranges and i <= ranges[-1][1]:
+                ranges[-1] = ranges[-1][0], max(ranges[-1][1], j + 1)
+            else:
+                ranges.append((i, j + 1))
+        return out
+
+
+def runs(words: list[int], low: int, high: int) -> Iterator[tuple[int, int]]:
+    """(first line, past the last) of the shortest runs with MIN_WORDS words among lines low to high; none begins or ends in
+    a blank line."""
+    upto = [0, *accumulate(words[low:high])]
     total, found, a, b = upto[-1], set(), 0, 0
-    for i in range(len(own)):
+    for i in range(high - low):
         if upto[i] == upto[i + 1]:
             continue
         if total - upto[i] >= MIN_WORDS:  # the shortest that begins here
             while upto[b] - upto[i] < MIN_WORDS:
                 b += 1
-            found.add((i, b))
+            found.add((low + i, low + b))
         if upto[i + 1] >= MIN_WORDS:  # the shortest that ends here
             while upto[i + 1] - upto[a + 1] >= MIN_WORDS:
                 a += 1
-            found.add((a, i + 1))
-    bare = [x.strip() for x in own]
-    ends: dict[int, int] = {}
-    for a, b in sorted(found):
-        h = xxhash.xxh3_64_intdigest("\n".join(bare[a:b]).encode("utf-8", "surrogatepass"))
-        if ends.setdefault(h, b) <= a or ends[h] == b:
-            yield a, b, h - (1 << 64) if h >> 63 else h
+            found.add((low + a, low + i + 1))
+    return iter(sorted(found))
 
 
-def chunk_text(own: list[str], start: int, end: int) -> str:
-    return "\n".join(x.strip() for x in own[start:end])
+#: What tells one row from another.
+KEYS = [("doc_id", pa.int64()), ("key", pa.int64()), ("key2", pa.int64())]
+RUNS = pa.schema([("hash", pa.int64()), *KEYS, ("place", pa.int64()), ("past", pa.int64()), ("bytes", pa.string())])
+RUNS_DDL = "hash long, doc_id long, key long, key2 long, place long, past long, bytes string"
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("doc_id", "text").alias("row_key"), F.col("text").cast("string"))
+def _keys() -> list:
+    return [F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), F.xxhash64(F.lit(1), F.col("text")).alias("key2")]
 
 
-KEYS = pa.schema([("hash", pa.int64()), ("doc_id", pa.int64()), ("row_key", pa.int64()), ("place", pa.int64())])
-TEXTS = pa.schema([*KEYS, ("end", pa.int64()), ("bytes", pa.string())])
-KEYS_DDL = "hash long, doc_id long, row_key long, place long"
-
-
-def chunk_keys(docs: DataFrame) -> DataFrame:
-    """(hash, doc_id, row_key, place) of every window."""
+def chunk_hashes(docs: DataFrame) -> DataFrame:
+    """The hash of every chunk."""
 
     def cut(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            rows = ((h, i, k, a) for i, k, text in zip(*(c.to_pylist() for c in part.columns), strict=True) if text for a, _, h in chunks(lines(text)))
-            yield from common.batches(KEYS, rows, 20_000)
+            yield pa.RecordBatch.from_arrays([pa.array(Lines(part.column(0).to_pylist()).chunks()[2].astype(np.int64))], ["key"])
 
-    return _keyed(docs).mapInArrow(cut, KEYS_DDL)
+    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(cut, "key long")
 
 
-def chunk_texts(docs: DataFrame, wanted) -> DataFrame:
-    """The same with the texts, of windows whose hash is in the bitmap."""
+def marked_runs(docs: DataFrame, wanted) -> DataFrame:
+    """(hash, row's keys, place, past, bytes) of the runs near chunks in the bitmap."""
 
     def cut(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(wanted.value, np.uint8)
+        for part in parts:
+            texts = part.column(3).to_pylist()
+            cut_ = Lines(texts)
+            a, b, h = cut_.chunks()
+            spot = spots(h.astype(np.int64))
+            inside = ((bits[spot >> U(3)] >> (spot & U(7)).astype(np.uint8)) & 1).astype(bool)
+            marked = cut_.marked(a[inside], b[inside])
 
-        def rows(part: pa.RecordBatch) -> Iterator[tuple]:
-            for i, k, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                found = list(chunks(own := lines(text))) if text else []
-                if found:
-                    spot = spots([h for _, _, h in found])
-                    inside = (bits[spot >> U(3)] >> (spot & U(7)).astype(np.uint8)) & 1
-                    for (a, b, h), maybe in zip(found, inside.tolist(), strict=True):
-                        if maybe:
-                            yield h, i, k, a, b, chunk_text(own, a, b)
+            def rows(part: pa.RecordBatch = part, cut_: Lines = cut_, marked: dict = marked) -> Iterator[tuple]:
+                ids = [part.column(k).to_pylist() for k in range(3)]
+                for d, ranges in marked.items():
+                    own, keys, ends = cut_.own[d], tuple(x[d] for x in ids), {}
+                    for low, high in ranges:
+                        for i, j in runs(cut_.words[d], low, high):
+                            body = "".join(own[i:j]).strip()
+                            h = xxhash.xxh3_64_intdigest(body.encode())
+                            if ends.setdefault(h, j) <= i or ends[h] == j:
+                                yield h - (1 << 64) if h >> 63 else h, *keys, i, j, body
 
-        for part in parts:
-            yield from common.batches(TEXTS, rows(part), weigh=lambda r: len(r[5]))
+            yield from common.batches(RUNS, rows(), 20_000, weigh=lambda r: len(r[6]))
 
-    return _keyed(docs).mapInArrow(cut, f"{KEYS_DDL}, end long, bytes string")
+    return docs.select(*_keys(), F.col("text").cast("string").alias("text")).mapInArrow(cut, RUNS_DDL)
 
 
 def repeats(docs: DataFrame) -> DataFrame:
-    """(row_key, place, end) of every window to remove, its bytes compared with the first occurrence's."""
+    """(row's keys, place, past) of every run to remove, its bytes compared with the first occurrence's."""
     spark = docs.sparkSession
-    keys = chunk_keys(docs)
-    first = keys.groupBy("hash").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "row_key", "place")).alias("first")).where("n > 1")
-    first = common.stored(first.select("hash", "first"), "line-first")
-    wanted = spark.sparkContext.broadcast(bitmap(first.select(F.col("hash").alias("key"))).tobytes())
-    texts = common.stored(chunk_texts(docs, wanted), "line-texts")
-    place = F.struct("doc_id", "row_key", "place")
-    model = first.join(texts.groupBy("hash").agg(F.min_by("bytes", place).alias("kept")), "hash")
-    others = texts.join(model, "hash").where("bytes = kept").where(~place.eqNullSafe(F.col("first")))
-    return others.select("row_key", "place", "end").distinct()
+    twice = common.stored(chunk_hashes(docs).groupBy("key").count().where("count > 1").select("key"), "line-twice")
+    wanted = spark.sparkContext.broadcast(bitmap(twice).tobytes())
+    found = common.stored(marked_runs(docs, wanted), "line-runs")
+    where = F.struct("doc_id", "key", "key2", "place")
+    first = found.groupBy("hash").agg(F.count("*").alias("n"), F.min(where).alias("first")).where("n > 1").select("hash", "first")
+    first = common.stored(first, "line-first")
+    kept = found.withColumn("first", where).join(first, ["hash", "first"]).groupBy("hash", "first").agg(F.min("bytes").alias("kept"))
+    others = found.join(kept, "hash").where("bytes = kept").where(~where.eqNullSafe(F.col("first")))
+    return others.select("doc_id", "key", "key2", "place", "past").distinct()
 
 
 def dedup(docs: DataFrame) -> DataFrame:
     """docs with text rewritten, and n_lines and removed_lines."""
     common.prepare(docs.sparkSession)
-    gone = common.stored(repeats(docs), "line-repeats").groupBy("row_key").agg(F.sort_array(F.collect_list(F.struct("place", "end"))).alias("gone"))
+    docs = common.without(docs, "n_lines", "removed_lines")
+    gone = common.stored(repeats(docs), "line-repeats").groupBy("doc_id", "key", "key2").agg(F.sort_array(F.collect_list(F.struct("place", "past"))).alias("gone"))
     columns = docs.columns
     at = columns.index("text")
-    keyed = docs.withColumn("__row", F.xxhash64("doc_id", "text")).join(gone.withColumnRenamed("row_key", "__row"), "__row", "left")
+    keys = [f"k{i}" for i in range(3)]
+    keyed = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)), *(k.alias(n) for k, n in zip(_keys(), keys, strict=True)))
+    gone = gone.toDF("g0", "g1", "g2", "gone")
+    same = keyed.k0.eqNullSafe(gone.g0) & (keyed.k1 == gone.g1) & (keyed.k2 == gone.g2)
+    keyed = keyed.join(gone, same, "left").drop(*keys, "g0", "g1", "g2")
 
     def rewrite(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             texts, counts, removed = [], [], []
-            for text, runs in zip(part.column(at).to_pylist(), part.column(len(columns)).to_pylist(), strict=True):
+            for text, runs_ in zip(part.column(at).to_pylist(), part.column(len(columns)).to_pylist(), strict=True):
                 own = lines(text or "")
                 counts.append(len(own))
-                out = {i for r in runs or () for i in range(r["place"], r["end"])}
+                out = {i for r in runs_ or () for i in range(r["place"], r["past"])}
                 removed.append(len(out))
                 texts.append("".join(x for i, x in enumerate(own) if i not in out) if out else text)
             kept = part.columns[: len(columns)]
             kept[at] = pa.array(texts, kept[at].type)
             yield pa.RecordBatch.from_arrays([*kept, pa.array(counts, pa.int64()), pa.array(removed, pa.int64())], [*columns, "n_lines", "removed_lines"])
 
-    return keyed.select(*columns, "gone").mapInArrow(rewrite, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "n_lines long", "removed_lines long"]))
+    return keyed.mapInArrow(rewrite, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "n_lines long", "removed_lines long"]))
 
 
 def op10_line_dedup(spark, sf_dir: str) -> DataFrame:

@@ -291,7 +291,7 @@ DOCS = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("key", pa.int64(
 DOCS_DDL = "row long, doc_id long, key long, n long, tokens binary"
 
 
-def spots(keys: list[int]) -> np.ndarray:
+def spots(keys: list[int] | np.ndarray) -> np.ndarray:
     """Spark's xxhash64 of each key, modulo FILTER_BITS."""
     m = [0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5]
     p1, p2, p3, p4, p5 = map(U, m)

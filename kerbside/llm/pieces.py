@@ -17,8 +17,8 @@ Scale: a scan without a shuffle, whole texts, every row; the vocabulary is read
 is held at a time, whatever a text's length.
 
 Defined cases: a null text has no ids and decodes to null; an empty one has no ids; repeated rows are encoded alike; a null
-doc_id is keyed as 0; other columns are kept, but a column `ids` (or `decoded`, in decode) is an error; an empty table gives
-no rows.
+doc_id is keyed as 0; other columns are kept, but an input column `ids` (in decode: `decoded`) gives way to the one that is
+added; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -422,8 +422,6 @@ def _lists(ids: list[np.ndarray | None]) -> pa.Array:
 
 def _mapped(docs: DataFrame, names: list[tuple[str, str]], derive) -> DataFrame:
     """docs with columns of derive(part); a part is cut into pieces of a bounded number of rows."""
-    if clash := {n.lower() for n, _ in names} & {c.lower() for c in docs.columns}:
-        raise ValueError(f"a column is named like one that is added: {', '.join(sorted(clash))}")
     ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), *(f"{n} {d}" for n, d in names)])
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -437,6 +435,7 @@ def _mapped(docs: DataFrame, names: list[tuple[str, str]], derive) -> DataFrame:
 
 def encode(docs: DataFrame, path: str = MODEL, rate: float = RATE, seed: int = SEED) -> DataFrame:
     """docs(doc_id, text, ...) with `ids`."""
+    docs = common.without(docs, "ids")
     at, key = docs.columns.index("text"), docs.columns.index("doc_id")
 
     def derive(part: pa.RecordBatch) -> list[pa.Array]:
@@ -449,6 +448,7 @@ def encode(docs: DataFrame, path: str = MODEL, rate: float = RATE, seed: int = S
 
 def decode(encoded: DataFrame, path: str = MODEL) -> DataFrame:
     """encoded(ids, ...) with `decoded`."""
+    encoded = common.without(encoded, "decoded")
     at = encoded.columns.index("ids")
 
     def derive(part: pa.RecordBatch) -> list[pa.Array]:

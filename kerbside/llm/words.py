@@ -41,6 +41,7 @@ class _Powers:
 
 
 _powers = _Powers()
+powers = _powers.upto
 
 
 def mix(x: np.ndarray) -> np.ndarray:
