@@ -11,7 +11,7 @@ count as words. Blank lines are passed over.
 2. Repeats. A chunk is known by a rolling hash over its lines' hashes. Those that occur twice in all documents mark their own
    lines and those up to REACH words away, which is as far as a repeated passage can go on beyond its chunks.
 3. Removal. Among the marked lines every shortest run with MIN_WORDS words that begins, or ends, with a line is compared byte
-   by byte with its first occurrence (by doc_id, then text hashes, then place); equal runs go. White space around a run is no
+   by byte with its first occurrence (by doc_id, then the text's hash, then place); equal runs go. White space around a run is no
    part of it, white space within it is. An occurrence that overlaps the first of the same document is no repeat.
 
 So a repeated passage of more than REACH words goes whole, ends included, wherever it stands. What stays: lines that repeat
@@ -19,8 +19,9 @@ only in part, runs under MIN_WORDS words, and shorter runs that hold no chunk.
 
 Scale: 8 bytes a chunk are shuffled and counted with map-side combine; a bitmap of FILTER_BITS bits, a fixed size, tells the
 second scan which chunks may repeat (if it is too small for a corpus, more runs are compared, and results stay the same). Only
-marked runs travel as texts, to an equi-join on their hash (adaptive execution splits a hot run). Whole texts are shuffled
-once, to be rewritten next to the places to remove.
+marked runs travel as texts: each task compares its own first, HELD bytes at a time, and sends one of equal runs to the bucket
+of its hash (BUCKETS for each shuffle partition), so that a hot run comes once for HELD bytes, and a bucket is compared in one
+task. Whole texts are shuffled once, to be rewritten next to the places to remove.
 
 Defined cases: a null text stays null, an empty one empty; rows with equal doc_id and text are one document and are rewritten
 alike; a null doc_id comes first; a text may lose every line and is then empty; other columns are kept as they are, but input
@@ -31,7 +32,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import accumulate, compress
 
 import numpy as np
 import pyarrow as pa
@@ -41,12 +42,14 @@ from pyspark.sql import functions as F
 
 from . import common
 from .near import bitmap, spots
-from .words import U, mix, powers
+from .words import U, mix, powers, utf8
 
 #: Words of a chunk, and of a run that goes, at least; words of a line that is a chunk by itself.
 MIN_WORDS, LONG = 10, 11
 #: Words around a repeated chunk that are looked at; lines in the rolling hash that sets boundaries.
 REACH, WINDOW = 50, 2
+#: Bytes of runs that a task compares before it sends them; buckets for each shuffle partition.
+HELD, BUCKETS = 32 << 20, 4
 _END = re.compile(r"\n+|[.!?]\s+|[。！？｡]+\s*")
 _UNSPACED = re.compile("[฀-໿က-႟ក-៿぀-ヿ㐀-鿿豈-﫿\U00020000-\U0003ffff]")
 
@@ -65,20 +68,83 @@ def n_words(own: list[str]) -> list[int]:
     return out
 
 
+_WHITE = np.zeros(256, bool)
+_WHITE[[*range(0x09, 0x0E), *range(0x1C, 0x21)]] = True
+_STOP = np.zeros(256, bool)
+_STOP[list(b".!?")] = True
+#: First bytes of characters that may be white space, a line's end or of a script without spaces.
+_WIDE = np.zeros(256, bool)
+_WIDE[[0xE0, 0xE1, *range(0xE3, 0xEA), 0xEF, *range(0xF0, 0xF5)]] = True
+
+
 class Lines:
-    """The lines of some texts, with arrays over those that are not blank."""
-
-    def __init__(self, texts: list[str | None]) -> None:
-        self.own = [lines(t) if t else [] for t in texts]
-        self.words = [n_words(own) for own in self.own]
-        count = np.array([len(o) for o in self.own], np.int64)
-        flat = np.array([n for w in self.words for n in w], np.int64)
-        kept = np.flatnonzero(flat)
-        hashed = xxhash.xxh3_64_intdigest
-        self.size = flat[kept]
-        self.hash = np.array([hashed(x.strip().encode()) for own, ns in zip(self.own, self.words, strict=True) for x, n in zip(own, ns, strict=True) if n], np.uint64)
-        self.doc = np.repeat(np.arange(len(texts)), count)[kept]
-        self.number = kept - (np.cumsum(count) - count)[self.doc]
+    """The lines of some texts: where each begins and ends in their UTF-8, and arrays over those that are not blank."""
+
+    def __init__(self, column: pa.Array) -> None:
+        data, bounds = utf8(column)
+        self.bytes = data.tobytes()
+        low, high, bare, past, words, doc = self._cut(data, bounds)
+        if odd := self._odd(data, bounds):
+            kept = ~np.isin(doc, list(odd))
+            parts = [np.stack([low, high, bare, past, words, doc])[:, kept], *(self._cut_text(d, int(bounds[d]), int(bounds[d + 1])) for d in odd)]
+            low, high, bare, past, words, doc = (x := np.concatenate(parts, axis=1))[:, np.argsort(x[0], kind="stable")]
+        self.low, self.high, self.words = low, high, words
+        self.at = np.searchsorted(doc, np.arange(len(bounds)))  # each text's first line
+        kept = np.flatnonzero(words)
+        hashed, raw = xxhash.xxh3_64_intdigest, self.bytes
+        self.size, self.doc = words[kept], doc[kept]
+        self.hash = np.array([hashed(raw[i:j]) for i, j in zip(bare[kept].tolist(), past[kept].tolist(), strict=True)], np.uint64)
+        self.number = kept - self.at[self.doc]
+
+    @staticmethod
+    def _odd(data: np.ndarray, bounds: np.ndarray) -> list[int]:
+        """Texts with characters that the cut by bytes does not know."""
+        at = np.flatnonzero(_WIDE[data])
+        near = np.flatnonzero((data == 0xC2) | (data == 0xE2))
+        pad = np.concatenate([data, np.zeros(2, np.uint8)])
+        one, two, three = pad[near], pad[near + 1], pad[near + 2]
+        space = (one == 0xC2) & ((two == 0x85) | (two == 0xA0)) | (one == 0xE2) & ((two == 0x80) & ((three <= 0x8A) | (three == 0xA8) | (three == 0xA9) | (three == 0xAF)) | (two == 0x81) & (three == 0x9F))
+        return np.unique(np.searchsorted(bounds, np.concatenate([at, near[space]]), "right") - 1).tolist()
+
+    @staticmethod
+    def _cut(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
+        """What `lines` and `n_words` give for texts whose white space and stops are ASCII: begin, end, both without white
+        space, words and text of each line."""
+        n = len(data)
+        first, last = np.zeros(n + 1, bool), np.zeros(n + 1, bool)
+        first[bounds[:-1]] = last[bounds[1:] - 1] = True
+        first, last = first[:n], last[:n]
+        white, feed = _WHITE[data], data == 10
+        begins = white & (first | np.append(True, ~white[:-1])[:n])
+        after = np.flatnonzero(begins)
+        stopped = ~first[after] & _STOP[data[after - 1]]  # white space after a sentence's stop
+        run = np.cumsum(begins, dtype=np.int32) - 1
+        ends = np.flatnonzero(feed & (last | np.append(~feed[1:], True)[:n]))
+        ends = ends[~stopped[run[ends]]]
+        closes = np.flatnonzero(white & (last | np.append(~white[1:], True)[:n]))
+        cuts = np.unique(np.concatenate([ends + 1, closes[stopped[run[closes]]] + 1, bounds]))
+        low, high = cuts[:-1], cuts[1:]
+        dark = np.flatnonzero(~white)
+        i, j = np.searchsorted(dark, low), np.searchsorted(dark, high)
+        blank = i == j
+        bare, past = low.copy(), low.copy()
+        bare[~blank], past[~blank] = dark[i[~blank]], dark[j[~blank] - 1] + 1
+        word = np.flatnonzero(~white & (first | np.append(True, white[:-1])[:n]))
+        return low, high, bare, past, np.searchsorted(word, high) - np.searchsorted(word, low), np.searchsorted(bounds, low, "right") - 1
+
+    def _cut_text(self, d: int, low: int, high: int) -> np.ndarray:
+        """The same of one text, by its characters."""
+        own = lines(self.bytes[low:high].decode())
+        size = np.array([len(x.encode()) for x in own], np.int64)
+        begin = low + np.cumsum(size) - size
+        words = np.array(n_words(own), np.int64)
+        bare = begin + [len(x[: len(x) - len(x.lstrip())].encode()) for x in own]
+        past = bare + [len(x.strip().encode()) for x in own]
+        return np.stack([begin, begin + size, bare, past, words, np.full(len(own), d)])
+
+    def text(self, i: int, j: int) -> bytes:
+        """The lines i to j of all, without the white space around them."""
+        return self.bytes[self.low[i] : self.high[j - 1]].decode().strip().encode()
 
     def chunks(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """First line, past the last, and hash of each chunk; lines count over all texts, blank ones left out."""
@@ -144,14 +210,64 @@ def runs(words: list[int], low: int, high: int) -> Iterator[tuple[int, int]]:
     return iter(sorted(found))
 
 
-#: What tells one row from another.
-KEYS = [("doc_id", pa.int64()), ("key", pa.int64()), ("key2", pa.int64())]
-RUNS = pa.schema([("hash", pa.int64()), *KEYS, ("place", pa.int64()), ("past", pa.int64()), ("bytes", pa.string())])
-RUNS_DDL = "hash long, doc_id long, key long, key2 long, place long, past long, bytes string"
-
-
-def _keys() -> list:
-    return [F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), F.xxhash64(F.lit(1), F.col("text")).alias("key2")]
+def _keyed(docs: DataFrame) -> DataFrame:
+    """What tells one row from another (equal rows aside), and the text."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), F.col("text").cast("string").alias("text"))
+
+
+class Runs:
+    """Occurrences of runs: the hash of each, its row, its lines and its bytes."""
+
+    FIELDS = (("hash", np.uint64), ("known", np.uint8), ("doc_id", np.int64), ("key", np.int64), ("place", np.int32), ("past", np.int32), ("gone", np.uint8))
+
+    def __init__(self, columns: dict[str, np.ndarray], texts: list[bytes]) -> None:
+        self.columns, self.texts = columns, texts
+
+    @classmethod
+    def of(cls, rows: list[tuple]) -> Runs:
+        return cls({n: np.array(c, t) for (n, t), c in zip(cls.FIELDS, zip(*(r[:-1] for r in rows), strict=True), strict=True)}, [r[-1] for r in rows])
+
+    def judge(self) -> None:
+        """Marks as gone what equals its hash's first occurrence byte by byte; what was gone before stays so."""
+        c, texts = self.columns, self.texts
+        by = np.lexsort((c["place"], c["key"], c["doc_id"], c["known"], c["hash"]))
+        by = by[c["gone"][by] == 0]
+        h = c["hash"][by]
+        new = np.append(True, h[1:] != h[:-1])[: len(h)]
+        first = by[np.flatnonzero(new)][np.cumsum(new) - 1]
+        later = np.flatnonzero(np.logical_or.reduce([c[n][by] != c[n][first] for n in ("known", "doc_id", "key", "place")]))
+        same = [texts[i] == texts[j] for i, j in zip(by[later].tolist(), first[later].tolist(), strict=True)]
+        c["gone"][by[later[np.array(same, bool)]]] = 1
+
+    def blobs(self, buckets: int) -> pa.RecordBatch:
+        """One row for each bucket, in order of hash; what is gone goes without its text."""
+        c = self.columns
+        bucket = c["hash"] % U(buckets)
+        by = np.lexsort((c["hash"], bucket))
+        cuts = np.searchsorted(bucket[by], np.arange(buckets + 1, dtype=np.uint64))
+        out: dict[str, list] = {n: [] for n in ("bucket", "runs", "sizes", "texts")}
+        for k in np.flatnonzero(cuts[1:] > cuts[:-1]).tolist():
+            own = by[cuts[k] : cuts[k + 1]]
+            texts = [b"" if gone else self.texts[i] for i, gone in zip(own.tolist(), c["gone"][own].tolist(), strict=True)]
+            out["bucket"].append(k)
+            out["runs"].append(b"".join(c[n][own].tobytes() for n, _ in self.FIELDS))
+            out["sizes"].append(np.array([len(t) for t in texts], np.int32).tobytes())
+            out["texts"].append(pa.compress(b"".join(texts), codec="zstd", asbytes=True))
+        return pa.RecordBatch.from_arrays([pa.array(out["bucket"], pa.int32()), *(pa.array(out[n], pa.binary()) for n in ("runs", "sizes", "texts"))], list(out))
+
+    @classmethod
+    def read(cls, blobs: pa.Table) -> Runs:
+        columns: dict[str, list] = {n: [] for n, _ in cls.FIELDS}
+        texts: list[bytes] = []
+        for runs_, sizes, body in zip(*(blobs.column(n).to_pylist() for n in ("runs", "sizes", "texts")), strict=True):
+            n, low = len(sizes) // 4, 0
+            for name, t in cls.FIELDS:
+                columns[name].append(np.frombuffer(runs_, t, n, low))
+                low += n * np.dtype(t).itemsize
+            ends = np.cumsum(np.frombuffer(sizes, np.int32), dtype=np.int64)
+            whole = pa.decompress(body, int(ends[-1]), codec="zstd", asbytes=True)
+            texts += [whole[i:j] for i, j in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+        return cls({n: np.concatenate(x) for n, x in columns.items()}, texts)
 
 
 def chunk_hashes(docs: DataFrame) -> DataFrame:
@@ -159,79 +275,99 @@ def chunk_hashes(docs: DataFrame) -> DataFrame:
 
     def cut(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            yield pa.RecordBatch.from_arrays([pa.array(Lines(part.column(0).to_pylist()).chunks()[2].astype(np.int64))], ["key"])
+            yield pa.RecordBatch.from_arrays([pa.array(Lines(part.column(0)).chunks()[2].astype(np.int64))], ["key"])
 
     return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(cut, "key long")
 
 
-def marked_runs(docs: DataFrame, wanted) -> DataFrame:
-    """(hash, row's keys, place, past, bytes) of the runs near chunks in the bitmap."""
+def marked_runs(docs: DataFrame, wanted, buckets: int) -> DataFrame:
+    """Blobs by bucket of the runs near chunks in the bitmap."""
 
     def cut(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(wanted.value, np.uint8)
+        held: list[tuple] = []
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            own = Runs.of(held)
+            own.judge()
+            return own.blobs(buckets)
+
         for part in parts:
-            texts = part.column(3).to_pylist()
-            cut_ = Lines(texts)
-            a, b, h = cut_.chunks()
+            own = Lines(part.column(2))
+            a, b, h = own.chunks()
             spot = spots(h.astype(np.int64))
             inside = ((bits[spot >> U(3)] >> (spot & U(7)).astype(np.uint8)) & 1).astype(bool)
-            marked = cut_.marked(a[inside], b[inside])
-
-            def rows(part: pa.RecordBatch = part, cut_: Lines = cut_, marked: dict = marked) -> Iterator[tuple]:
-                ids = [part.column(k).to_pylist() for k in range(3)]
-                for d, ranges in marked.items():
-                    own, keys, ends = cut_.own[d], tuple(x[d] for x in ids), {}
-                    for low, high in ranges:
-                        for i, j in runs(cut_.words[d], low, high):
-                            body = "".join(own[i:j]).strip()
-                            h = xxhash.xxh3_64_intdigest(body.encode())
-                            if ends.setdefault(h, j) <= i or ends[h] == j:
-                                yield h - (1 << 64) if h >> 63 else h, *keys, i, j, body
-
-            yield from common.batches(RUNS, rows(), 20_000, weigh=lambda r: len(r[6]))
-
-    return docs.select(*_keys(), F.col("text").cast("string").alias("text")).mapInArrow(cut, RUNS_DDL)
+            ids, keys = part.column(0).to_pylist(), part.column(1).to_pylist()
+            for d, ranges in own.marked(a[inside], b[inside]).items():
+                at = int(own.at[d])
+                words = own.words[at : own.at[d + 1]].tolist()
+                ends: dict[int, int] = {}
+                for low, high in ranges:
+                    for i, j in runs(words, low, high):
+                        body = own.text(at + i, at + j)
+                        h = xxhash.xxh3_64_intdigest(body)
+                        if ends.setdefault(h, j) <= i or ends[h] == j:
+                            held.append((h, ids[d] is not None, ids[d] or 0, keys[d], i, j, 0, body))
+                            size += len(body) + 150
+                if size >= HELD:
+                    yield flush()
+                    held, size = [], 0
+        if held:
+            yield flush()
+
+    return _keyed(docs).mapInArrow(cut, "bucket int, runs binary, sizes binary, texts binary")
+
+
+def compared(blobs: DataFrame) -> DataFrame:
+    """(doc_id, key, place, past) of every run that equals an earlier one, byte by byte."""
+
+    def meet(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        own = Runs.read(rows)
+        own.judge()
+        c = own.columns
+        gone = c["gone"] == 1
+        out = {n: pa.array(c[n][gone]) for n in ("key", "place", "past")}
+        return pa.table({"doc_id": pa.array(c["doc_id"][gone], mask=c["known"][gone] == 0), **out})
+
+    return blobs.groupBy("bucket").applyInArrow(meet, "doc_id long, key long, place int, past int")
 
 
 def repeats(docs: DataFrame) -> DataFrame:
-    """(row's keys, place, past) of every run to remove, its bytes compared with the first occurrence's."""
+    """(doc_id, key, place, past) of every run to remove."""
     spark = docs.sparkSession
     twice = common.stored(chunk_hashes(docs).groupBy("key").count().where("count > 1").select("key"), "line-twice")
     wanted = spark.sparkContext.broadcast(bitmap(twice).tobytes())
-    found = common.stored(marked_runs(docs, wanted), "line-runs")
-    where = F.struct("doc_id", "key", "key2", "place")
-    first = found.groupBy("hash").agg(F.count("*").alias("n"), F.min(where).alias("first")).where("n > 1").select("hash", "first")
-    first = common.stored(first, "line-first")
-    kept = found.withColumn("first", where).join(first, ["hash", "first"]).groupBy("hash", "first").agg(F.min("bytes").alias("kept"))
-    others = found.join(kept, "hash").where("bytes = kept").where(~where.eqNullSafe(F.col("first")))
-    return others.select("doc_id", "key", "key2", "place", "past").distinct()
+    return compared(marked_runs(docs, wanted, BUCKETS * common.n_parts(spark)))
 
 
 def dedup(docs: DataFrame) -> DataFrame:
     """docs with text rewritten, and n_lines and removed_lines."""
     common.prepare(docs.sparkSession)
     docs = common.without(docs, "n_lines", "removed_lines")
-    gone = common.stored(repeats(docs), "line-repeats").groupBy("doc_id", "key", "key2").agg(F.sort_array(F.collect_list(F.struct("place", "past"))).alias("gone"))
+    gone = repeats(docs).groupBy("doc_id", "key").agg(F.collect_set(F.struct("place", "past")).alias("gone"))
+    gone = common.stored(gone, "line-repeats").toDF("g0", "g1", "gone")
     columns = docs.columns
     at = columns.index("text")
-    keys = [f"k{i}" for i in range(3)]
-    keyed = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)), *(k.alias(n) for k, n in zip(_keys(), keys, strict=True)))
-    gone = gone.toDF("g0", "g1", "g2", "gone")
-    same = keyed.k0.eqNullSafe(gone.g0) & (keyed.k1 == gone.g1) & (keyed.k2 == gone.g2)
-    keyed = keyed.join(gone, same, "left").drop(*keys, "g0", "g1", "g2")
+    keyed = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)), *(k.alias(f"k{i}") for i, k in enumerate((F.col("doc_id").cast("long"), F.xxhash64("text")))))
+    keyed = keyed.join(gone, keyed.k0.eqNullSafe(gone.g0) & (keyed.k1 == gone.g1), "left").drop("k0", "k1", "g0", "g1")
 
     def rewrite(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            texts, counts, removed = [], [], []
-            for text, runs_ in zip(part.column(at).to_pylist(), part.column(len(columns)).to_pylist(), strict=True):
-                own = lines(text or "")
-                counts.append(len(own))
-                out = {i for r in runs_ or () for i in range(r["place"], r["past"])}
-                removed.append(len(out))
-                texts.append("".join(x for i, x in enumerate(own) if i not in out) if out else text)
-            kept = part.columns[: len(columns)]
-            kept[at] = pa.array(texts, kept[at].type)
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(counts, pa.int64()), pa.array(removed, pa.int64())], [*columns, "n_lines", "removed_lines"])
+            own = Lines(part.column(at))
+            texts, raw, removed = part.column(at).to_pylist(), own.bytes, np.zeros(part.num_rows, np.int64)
+            for d, found in enumerate(part.column(len(columns)).to_pylist()):
+                if found:
+                    low = int(own.at[d])
+                    kept = np.ones(own.at[d + 1] - low, bool)
+                    for r in found:
+                        kept[r["place"] : r["past"]] = False
+                    removed[d] = len(kept) - kept.sum()
+                    whole = zip(own.low[low : own.at[d + 1]].tolist(), own.high[low : own.at[d + 1]].tolist(), strict=True)
+                    texts[d] = b"".join(raw[i:j] for i, j in compress(whole, kept.tolist())).decode()
+            out = part.columns[: len(columns)]
+            out[at] = pa.array(texts, out[at].type)
+            yield pa.RecordBatch.from_arrays([*out, pa.array(np.diff(own.at)), pa.array(removed)], [*columns, "n_lines", "removed_lines"])
 
     return keyed.mapInArrow(rewrite, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "n_lines long", "removed_lines long"]))
 

@@ -13,6 +13,7 @@ import unicodedata
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyarrow import fs as pafs
 from pyspark.sql import functions as F
@@ -36,8 +37,6 @@ ODD = [None, "", " \n\t ", "one", "one", "a b c d", "A b C d", "e" * 50_000, "é
 
 
 def test_words_match_the_pattern():
-    import pyarrow as pa
-
     for piece in (16, 64, 1 << 20):
         words.PIECE = piece
         hashes, at, _ = words.word_hashes(*words.utf8(pa.array(ODD)))
@@ -223,7 +222,9 @@ def repeated_runs(texts, least=10):
     return out
 
 
-def test_line_dedup(spark):
+@pytest.mark.parametrize("held", [32 << 20, 400])
+def test_line_dedup(spark, monkeypatch, held):
+    monkeypatch.setattr(lines, "HELD", held)
     rng = random.Random(5)
     shared = "".join(f"{prose(rng, 8)}. " if k % 2 else f"{prose(rng, 8)}\n" for k in range(14))
     texts = [*ODD, *(f"{prose(rng, 7)}.\n{shared}{prose(rng, 7)}." for _ in range(6)), prose(rng, 80)]
@@ -248,6 +249,18 @@ def test_line_dedup_compares_bytes(spark):
     assert got == {0: texts[0], 1: texts[1], 2: ""}
 
 
+def test_lines_by_bytes_are_those_by_characters():
+    rng = random.Random(2)
+    marks = [". ", "! \n ", "\n\n", " \n ", "?", "...  ", "。", "！ ", "\u00a0", "\u2003", ".\u3000", "é", "漢字", "ก", "’", " ", "\x1c", "\t"]
+    texts = [None, "", "\n", ". ", " a", "a.\n"] + ["".join(rng.choice(marks) if rng.random() < 0.4 else rng.choice("ab .") for _ in range(rng.randrange(60))) for _ in range(400)]
+    for some in (texts, [t for t in texts if t and t.isascii()], [""], []):
+        found = lines.Lines(pa.array(some, pa.string()).slice(0))
+        for d, t in enumerate(some):
+            own = [found.bytes[i:j].decode() for i, j in zip(found.low[found.at[d] : found.at[d + 1]], found.high[found.at[d] : found.at[d + 1]], strict=True)]
+            assert own == lines.lines(t or "") == cut_lines(t or "")
+            assert found.words[found.at[d] : found.at[d + 1]].tolist() == lines.n_words(own)
+
+
 def test_every_passage_holds_a_chunk():
     rng = random.Random(8)
     for _ in range(300):
@@ -257,7 +270,7 @@ def test_every_passage_holds_a_chunk():
         found = []
         for tag in "ab":
             text = f"{prose(rng, rng.randrange(1, 9), tag=tag)}. {passage}{prose(rng, 3, tag=tag)}."
-            cut = lines.Lines([None, text, ""])
+            cut = lines.Lines(pa.array([None, text, ""]))
             a, b, h = cut.chunks()
             found.append(set(h.tolist()))
             assert all(sum(cut.size[i:j]) >= lines.MIN_WORDS for i, j in zip(a, b, strict=True))
