@@ -32,7 +32,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import accumulate, compress
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -91,11 +91,15 @@ class Lines:
         self.low, self.high, self.words = low, high, words
         self.at = np.searchsorted(doc, np.arange(len(bounds)))  # each text's first line
         kept = np.flatnonzero(words)
-        hashed, raw = xxhash.xxh3_64_intdigest, self.bytes
-        self.size, self.doc = words[kept], doc[kept]
-        self.hash = np.array([hashed(raw[i:j]) for i, j in zip(bare[kept].tolist(), past[kept].tolist(), strict=True)], np.uint64)
+        self.size, self.doc, self.bare, self.past = words[kept], doc[kept], bare[kept], past[kept]
         self.number = kept - self.at[self.doc]
 
+    def hashes(self, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+        """The bytes from each line that is not blank to another, without the white space around them, and their hash."""
+        raw, hashed = self.bytes, xxhash.xxh3_64_intdigest
+        body = [raw[i:j] for i, j in zip(self.bare[low].tolist(), self.past[high].tolist(), strict=True)]
+        return np.array([hashed(x) for x in body], np.uint64), body
+
     @staticmethod
     def _odd(data: np.ndarray, bounds: np.ndarray) -> list[int]:
         """Texts with characters that the cut by bytes does not know."""
@@ -122,7 +126,10 @@ class Lines:
         ends = np.flatnonzero(feed & (last | np.append(~feed[1:], True)[:n]))
         ends = ends[~stopped[run[ends]]]
         closes = np.flatnonzero(white & (last | np.append(~white[1:], True)[:n]))
-        cuts = np.unique(np.concatenate([ends + 1, closes[stopped[run[closes]]] + 1, bounds]))
+        marks = np.zeros(n + 1, bool)
+        for cuts in (ends + 1, closes[stopped[run[closes]]] + 1, bounds):
+            marks[cuts] = True
+        cuts = np.flatnonzero(marks)
         low, high = cuts[:-1], cuts[1:]
         dark = np.flatnonzero(~white)
         i, j = np.searchsorted(dark, low), np.searchsorted(dark, high)
@@ -142,10 +149,6 @@ class Lines:
         past = bare + [len(x.strip().encode()) for x in own]
         return np.stack([begin, begin + size, bare, past, words, np.full(len(own), d)])
 
-    def text(self, i: int, j: int) -> bytes:
-        """The lines i to j of all, without the white space around them."""
-        return self.bytes[self.low[i] : self.high[j - 1]].decode().strip().encode()
-
     def chunks(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """First line, past the last, and hash of each chunk; lines count over all texts, blank ones left out."""
         n = len(self.size)
@@ -154,7 +157,7 @@ class Lines:
         up, down = powers(n + 1)
         first = np.searchsorted(self.doc, self.doc)
         at = np.arange(n)
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.hash * up[:n])])
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.hashes(at, at)[0] * up[:n])])
         low = np.maximum(first, at + 1 - WINDOW)
         family = mix((sums[1:] - sums[low]) * down[low]) >> U(63)
         upto = np.concatenate([[0], np.cumsum(self.size)])
@@ -173,41 +176,39 @@ class Lines:
             same = stretch[begin] == stretch[end[to] - 1]
             starts.append(begin[same])
             past.append(end[to[same]])
-        a, b = np.unique(np.stack([np.concatenate(starts), np.concatenate(past)]), axis=1)
+        a, b = _pairs(np.concatenate(starts), np.concatenate(past))
         return a, b, mix(mix((sums[b] - sums[a]) * down[a]) ^ (b - a).astype(np.uint64))
 
-    def marked(self, a: np.ndarray, b: np.ndarray) -> dict[int, list[tuple[int, int]]]:
-        """For each text with such chunks the ranges of lines, blank ones counted, within REACH words of them."""
+    def marked(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Which lines lie in such chunks or within REACH words of them in the same text."""
         upto = np.concatenate([[0], np.cumsum(self.size)])
         low = np.maximum(np.searchsorted(upto, upto[a] - REACH), np.searchsorted(self.doc, self.doc[a]))
         high = np.minimum(np.searchsorted(upto, upto[b] + REACH, "right") - 1, np.searchsorted(self.doc, self.doc[a], "right"))
-        out: dict[int, list[tuple[int, int]]] = {}
-        for d, i, j in zip(self.doc[a].tolist(), self.number[low].tolist(), self.number[high - 1].tolist(), strict=True):
-            ranges = out.setdefault(d, [])
-            if ranges and i <= ranges[-1][1]:
-                ranges[-1] = ranges[-1][0], max(ranges[-1][1], j + 1)
-            else:
-                ranges.append((i, j + 1))
-        return out
-
-
-def runs(words: list[int], low: int, high: int) -> Iterator[tuple[int, int]]:
-    """(first line, past the last) of the shortest runs with MIN_WORDS words among lines low to high; none begins or ends in
-    a blank line."""
-    upto = [0, *accumulate(words[low:high])]
-    total, found, a, b = upto[-1], set(), 0, 0
-    for i in range(high - low):
-        if upto[i] == upto[i + 1]:
-            continue
-        if total - upto[i] >= MIN_WORDS:  # the shortest that begins here
-            while upto[b] - upto[i] < MIN_WORDS:
-                b += 1
-            found.add((low + i, low + b))
-        if upto[i + 1] >= MIN_WORDS:  # the shortest that ends here
-            while upto[i + 1] - upto[a + 1] >= MIN_WORDS:
-                a += 1
-            found.add((low + a, low + i + 1))
-    return iter(sorted(found))
+        n = len(self.size)
+        return np.cumsum(np.bincount(low, minlength=n + 1) - np.bincount(high, minlength=n + 1))[:n] > 0
+
+    def runs(self, marked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First line and past the last of the shortest runs with MIN_WORDS words that begin, or end, with a marked line and
+        leave neither the marked lines nor the text."""
+        at = np.flatnonzero(marked)
+        if not len(at):
+            return at, at
+        first = np.append(True, (np.diff(at) > 1) | (np.diff(self.doc[at]) > 0))
+        low = at[np.flatnonzero(first)][np.cumsum(first) - 1]
+        last = np.append(first[1:], True)
+        high = at[np.flatnonzero(last)][np.cumsum(first) - 1] + 1
+        upto = np.concatenate([[0], np.cumsum(self.size)])
+        to = np.searchsorted(upto, upto[at] + MIN_WORDS)
+        back = np.searchsorted(upto, upto[at + 1] - MIN_WORDS, "right") - 1
+        ahead, behind = to <= high, back >= low
+        return _pairs(np.concatenate([at[ahead], back[behind]]), np.concatenate([to[ahead], at[behind] + 1]))
+
+
+def _pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct pairs, in order."""
+    both = np.sort((a << 32) | b)
+    both = both[np.append(True, both[1:] != both[:-1])[: len(both)]]
+    return both >> 32, both & 0xFFFFFFFF
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -224,8 +225,22 @@ class Runs:
         self.columns, self.texts = columns, texts
 
     @classmethod
-    def of(cls, rows: list[tuple]) -> Runs:
-        return cls({n: np.array(c, t) for (n, t), c in zip(cls.FIELDS, zip(*(r[:-1] for r in rows), strict=True), strict=True)}, [r[-1] for r in rows])
+    def of(cls, own: Lines, marked: np.ndarray, known: np.ndarray, doc_id: np.ndarray, key: np.ndarray) -> Runs:
+        """The runs among the marked lines of texts, but for those that overlap their first occurrence in the same text."""
+        low, high = own.runs(marked)
+        hashes, texts = own.hashes(low, high - 1)
+        doc = own.doc[low]
+        by = np.lexsort((low, hashes, doc))
+        new = np.append(True, (np.diff(doc[by]) > 0) | (hashes[by][1:] != hashes[by][:-1]))[: len(by)]
+        first = by[np.flatnonzero(new)][np.cumsum(new) - 1]
+        kept = by[new | (low[by] >= high[first])]
+        doc, low, high = doc[kept], low[kept], high[kept]
+        columns = (hashes[kept], known[doc], doc_id[doc], key[doc], own.number[low], own.number[high - 1] + 1, np.zeros(len(kept)))
+        return cls({n: c.astype(t) for (n, t), c in zip(cls.FIELDS, columns, strict=True)}, [texts[i] for i in kept.tolist()])
+
+    @classmethod
+    def joined(cls, parts: list[Runs]) -> Runs:
+        return cls({n: np.concatenate([p.columns[n] for p in parts]) for n, _ in cls.FIELDS}, [t for p in parts for t in p.texts])
 
     def judge(self) -> None:
         """Marks as gone what equals its hash's first occurrence byte by byte; what was gone before stays so."""
@@ -285,11 +300,11 @@ def marked_runs(docs: DataFrame, wanted, buckets: int) -> DataFrame:
 
     def cut(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(wanted.value, np.uint8)
-        held: list[tuple] = []
+        held: list[Runs] = []
         size = 0
 
         def flush() -> pa.RecordBatch:
-            own = Runs.of(held)
+            own = Runs.joined(held)
             own.judge()
             return own.blobs(buckets)
 
@@ -298,21 +313,13 @@ def marked_runs(docs: DataFrame, wanted, buckets: int) -> DataFrame:
             a, b, h = own.chunks()
             spot = spots(h.astype(np.int64))
             inside = ((bits[spot >> U(3)] >> (spot & U(7)).astype(np.uint8)) & 1).astype(bool)
-            ids, keys = part.column(0).to_pylist(), part.column(1).to_pylist()
-            for d, ranges in own.marked(a[inside], b[inside]).items():
-                at = int(own.at[d])
-                words = own.words[at : own.at[d + 1]].tolist()
-                ends: dict[int, int] = {}
-                for low, high in ranges:
-                    for i, j in runs(words, low, high):
-                        body = own.text(at + i, at + j)
-                        h = xxhash.xxh3_64_intdigest(body)
-                        if ends.setdefault(h, j) <= i or ends[h] == j:
-                            held.append((h, ids[d] is not None, ids[d] or 0, keys[d], i, j, 0, body))
-                            size += len(body) + 150
-                if size >= HELD:
-                    yield flush()
-                    held, size = [], 0
+            if inside.any():
+                known = part.column(0).is_valid().to_numpy(False)
+                held.append(Runs.of(own, own.marked(a[inside], b[inside]), known, part.column(0).fill_null(0).to_numpy(), part.column(1).to_numpy()))
+                size += sum(map(len, held[-1].texts)) + 100 * len(held[-1].texts)
+            if size >= HELD:
+                yield flush()
+                held, size = [], 0
         if held:
             yield flush()
 
@@ -320,21 +327,21 @@ def marked_runs(docs: DataFrame, wanted, buckets: int) -> DataFrame:
 
 
 def compared(blobs: DataFrame) -> DataFrame:
-    """(doc_id, key, place, past) of every run that equals an earlier one, byte by byte."""
+    """(doc_id, key, span) of every run that equals an earlier one, byte by byte; a span is its first line and past the last."""
 
     def meet(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         own = Runs.read(rows)
         own.judge()
         c = own.columns
         gone = c["gone"] == 1
-        out = {n: pa.array(c[n][gone]) for n in ("key", "place", "past")}
-        return pa.table({"doc_id": pa.array(c["doc_id"][gone], mask=c["known"][gone] == 0), **out})
+        span = (c["place"][gone].astype(np.int64) << 32) | c["past"][gone]
+        return pa.table({"doc_id": pa.array(c["doc_id"][gone], mask=c["known"][gone] == 0), "key": pa.array(c["key"][gone]), "span": pa.array(span)})
 
-    return blobs.groupBy("bucket").applyInArrow(meet, "doc_id long, key long, place int, past int")
+    return blobs.groupBy("bucket").applyInArrow(meet, "doc_id long, key long, span long")
 
 
 def repeats(docs: DataFrame) -> DataFrame:
-    """(doc_id, key, place, past) of every run to remove."""
+    """(doc_id, key, span) of every run to remove."""
     spark = docs.sparkSession
     twice = common.stored(chunk_hashes(docs).groupBy("key").count().where("count > 1").select("key"), "line-twice")
     wanted = spark.sparkContext.broadcast(bitmap(twice).tobytes())
@@ -345,7 +352,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     """docs with text rewritten, and n_lines and removed_lines."""
     common.prepare(docs.sparkSession)
     docs = common.without(docs, "n_lines", "removed_lines")
-    gone = repeats(docs).groupBy("doc_id", "key").agg(F.collect_set(F.struct("place", "past")).alias("gone"))
+    gone = repeats(docs).groupBy("doc_id", "key").agg(F.collect_set("span").alias("gone"))
     gone = common.stored(gone, "line-repeats").toDF("g0", "g1", "gone")
     columns = docs.columns
     at = columns.index("text")
@@ -355,16 +362,18 @@ def dedup(docs: DataFrame) -> DataFrame:
     def rewrite(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             own = Lines(part.column(at))
-            texts, raw, removed = part.column(at).to_pylist(), own.bytes, np.zeros(part.num_rows, np.int64)
-            for d, found in enumerate(part.column(len(columns)).to_pylist()):
-                if found:
-                    low = int(own.at[d])
-                    kept = np.ones(own.at[d + 1] - low, bool)
-                    for r in found:
-                        kept[r["place"] : r["past"]] = False
-                    removed[d] = len(kept) - kept.sum()
-                    whole = zip(own.low[low : own.at[d + 1]].tolist(), own.high[low : own.at[d + 1]].tolist(), strict=True)
-                    texts[d] = b"".join(raw[i:j] for i, j in compress(whole, kept.tolist())).decode()
+            found = part.column(len(columns))
+            spans = found.flatten().to_numpy()
+            doc = np.repeat(np.arange(part.num_rows), found.value_lengths().fill_null(0).to_numpy())
+            n = len(own.low)
+            edge = np.bincount(own.at[doc] + (spans >> 32), minlength=n + 1) - np.bincount(own.at[doc] + (spans & 0xFFFFFFFF), minlength=n + 1)
+            gone = np.cumsum(edge)[:n] > 0
+            removed = np.diff(np.concatenate([[0], np.cumsum(gone)])[own.at])
+            texts, raw, kept = part.column(at).to_pylist(), own.bytes, ~gone
+            for d in np.flatnonzero(removed).tolist():
+                low, high = own.at[d], own.at[d + 1]
+                whole = zip(own.low[low:high].tolist(), own.high[low:high].tolist(), strict=True)
+                texts[d] = b"".join([raw[i:j] for i, j in compress(whole, kept[low:high].tolist())]).decode()
             out = part.columns[: len(columns)]
             out[at] = pa.array(texts, out[at].type)
             yield pa.RecordBatch.from_arrays([*out, pa.array(np.diff(own.at)), pa.array(removed)], [*columns, "n_lines", "removed_lines"])
