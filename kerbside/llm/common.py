@@ -49,7 +49,20 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(*dfs: DataFrame) -> None:
+    """Deletes the folders that stored() wrote for dfs, once what was made of them is stored itself. The collector of the
+    driver's JVM is asked to run, as Spark deletes a finished query's shuffle files only when the query is collected."""
+    for df in dfs:
+        context = df.sparkSession.sparkContext
+        if path := getattr(df, "_stored_at", None):
+            folder = context._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
+            context._jvm.System.gc()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -44,7 +44,8 @@ def components(links: DataFrame, most_rounds: int = 50) -> DataFrame:
 
     Each round stars every node's larger neighbours on its smallest neighbour, then its smaller ones: two aggregates by
     node with map-side combine and two equi-joins, whose hot nodes adaptive execution can split. Rounds grow as the
-    logarithm of a component's width. Every round is written to the shared folder.
+    logarithm of a component's width: `most_rounds` are enough for any that fits a table. Every round is written to the
+    shared folder, and the one before deleted.
     """
     edges = common.stored(_forest(links.where("a <> b").select("a", "b")), "links")
     before = None
@@ -53,9 +54,11 @@ def components(links: DataFrame, most_rounds: int = 50) -> DataFrame:
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         large = common.stored(large, "star")
+        common.discard(edges)
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
         edges = common.stored(small.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "star")
+        common.discard(large)
         now = _tally(edges)
         if now == before:
             break

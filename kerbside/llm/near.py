@@ -9,7 +9,9 @@ a set indexes for its class and the next, as linked sets are at most a class apa
 Rare tokens are indexed over p + SHARED - 1, where linked sets share SHARED tokens: a set without frequent tokens there that
 shares fewer entries than that with others has no link, and leaves before any set travels.
 
-Equal sets are one class, found by the set's hash. The classes that share an index entry form a group with the one of them
+Equal sets are one class, found by the set's hash. Linked sets differ in size by a quarter at most: the classes that share an
+index entry are put in order of size and parted where a size is more than 5/4 of the one before, so no link crosses a part, and
+a class alone in its part does not share the entry. The classes that share an entry form a group with the one of them
 whose tokens are the most frequent, the likely original. A group of up to BLOCK_ALL tokens is checked in one task, where a
 class is compared on until it is in the group's largest component. In a larger one all are first compared with the original;
 when that has formed components, those outside the largest meet all of the group in blocks of a bounded number of tokens,
@@ -21,8 +23,7 @@ a bitmap of FILTER_BITS bits; if either is too small for a corpus, more entries
 
 Defined cases: null, empty or white text: an empty set, linked with nothing, its own component; fewer than five words: the
 whole sequence is the one token; repeated rows: one class; a null doc_id takes part but never names a component; other
-columns are ignored; an empty table gives no rows. Hashes are of 64 bits; sets travel with 48 bits a token, so a comparison of
-sets of n and m tokens counts one too many with a chance of n * m / 2**48.
+columns are ignored; an empty table gives no rows. Tokens are hashes of 64 bits, and sets travel with all of them.
 """
 
 from __future__ import annotations
@@ -79,17 +80,6 @@ def slots(tokens: np.ndarray, buckets: int, mask: np.uint64 = LOW32) -> tuple[np
     return tokens % U(buckets), (tokens // U(buckets)) & mask
 
 
-def packed(tokens: np.ndarray) -> bytes:
-    """The high 48 bits of each token, in order."""
-    return np.ascontiguousarray((tokens >> U(16)).view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
-
-
-def unpacked(blob) -> np.ndarray:
-    out = np.zeros((len(blob) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(blob, np.uint8).reshape(-1, 6)
-    return out.view(np.uint64).ravel()
-
-
 def _planes(slot: np.ndarray) -> bytes:
     """Sorted slots as differences, byte plane by byte plane, which shuffle compression shrinks."""
     return np.diff(slot, prepend=U(0)).astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes()
@@ -237,7 +227,7 @@ FOUND = "entry long, key long, n long, mean int, plain boolean"
 
 
 def shared_entries(blobs: DataFrame) -> DataFrame:
-    """Rows (entry, key, n, mean, plain) of every entry that two classes or more share."""
+    """Rows (entry, key, n, mean, plain) of every entry that two classes or more of like size share."""
 
     def meet(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         cols = {c: rows.column(c).to_pylist() for c in ("slots", "keys", "sizes", "marks")}
@@ -252,12 +242,15 @@ def shared_entries(blobs: DataFrame) -> DataFrame:
 
         by = np.argsort(slot, kind="stable")  # most entries have one class: they leave before the costly sort
         by = by[twins(slot[by])]
-        by = by[np.lexsort((keys[by], slot[by]))]
-        new = np.ones(len(by), bool)
-        new[1:] = (slot[by][1:] != slot[by][:-1]) | (keys[by][1:] != keys[by][:-1])
-        by = by[new]
-        by = by[twins(slot[by])]
-        entry = ((U(key[0].as_py()) << U(32)) | slot[by]).astype(np.int64)
+        by = by[np.lexsort((keys[by], n[by], slot[by]))]
+        by = by[np.append(True, (slot[by][1:] != slot[by][:-1]) | (keys[by][1:] != keys[by][:-1]))[: len(by)]]
+        size = n[by].astype(np.int64)
+        begins = np.append(True, (slot[by][1:] != slot[by][:-1]) | (4 * size[1:] > 5 * size[:-1]))[: len(by)]
+        part = np.cumsum(begins)
+        first = size[begins][part - 1].astype(np.uint64)  # tells the parts of an entry apart
+        kept = twins(part)
+        by, first = by[kept], first[kept]
+        entry = mix(((U(key[0].as_py()) << U(32)) | slot[by]) ^ mix(first)).astype(np.int64)
         return pa.table({"entry": entry, "key": keys[by], "n": n[by].astype(np.int64), "mean": (mark[by] & 127).astype(np.int32), "plain": mark[by] >= 128})
 
     return blobs.groupBy("bucket").applyInArrow(meet, FOUND)
@@ -266,14 +259,17 @@ def shared_entries(blobs: DataFrame) -> DataFrame:
 def candidate_groups(found: DataFrame) -> DataFrame:
     """(grp, key, n): the classes that share an entry, by the entry's class of the highest mean rank."""
     for _ in range(2):  # a class that leaves may take others' entries with it
+        found = found.drop("grp")
         few = found.groupBy("key").agg(F.count("*").alias("c"), F.first("n").alias("n"), F.first("plain").alias("plain"))
         few = few.where(F.col("plain") & (F.col("c") < F.least(F.lit(SHARED), F.ceil(F.col("n") * 4 / 5))))
-        found = found.join(few.select("key"), "key", "left_anti")
-        lead = found.groupBy("entry").agg(F.count("*").alias("c"), F.min(F.struct(-F.col("mean"), "key")).getField("key").alias("grp")).where("c > 1").select("entry", "grp")
-        found = common.stored(found.join(lead, "entry"), "near-shared")
-        groups_ = found.select("grp", "key", "n")
-        found = found.drop("grp")
-    return common.stored(groups_.distinct(), "near-groups")
+        left = found.join(few.select("key"), "key", "left_anti")
+        lead = left.groupBy("entry").agg(F.count("*").alias("c"), F.min(F.struct(-F.col("mean"), "key")).getField("key").alias("grp")).where("c > 1").select("entry", "grp")
+        left = common.stored(left.join(lead, "entry"), "near-shared")
+        common.discard(found)
+        found = left
+    groups_ = common.stored(found.select("grp", "key", "n").distinct(), "near-groups")
+    common.discard(found)
+    return groups_
 
 
 def bitmap(keys: DataFrame) -> np.ndarray:
@@ -321,7 +317,7 @@ def classes(docs: DataFrame, wanted) -> DataFrame:
                     send = maybe and len(tokens) and key not in sent
                     if send:
                         sent.add(key)
-                    yield row, i, key if len(tokens) else None, len(tokens), packed(tokens) if send else None
+                    yield row, i, key if len(tokens) else None, len(tokens), tokens.tobytes() if send else None
 
             yield from common.batches(DOCS, rows(), weigh=lambda r: len(r[4] or b""))
             if len(sent) > 1_000_000:
@@ -330,6 +326,10 @@ def classes(docs: DataFrame, wanted) -> DataFrame:
     return _texts(docs).withColumn("row", F.monotonically_increasing_id()).mapInArrow(find, DOCS_DDL)
 
 
+def _tokens(blob: pa.Scalar) -> np.ndarray:
+    return np.frombuffer(blob.as_buffer(), np.uint64)
+
+
 class _Sets:
     """Sets indexed by token, to count what one shares with each."""
 
@@ -359,7 +359,7 @@ def whole(members: DataFrame) -> DataFrame:
 
     def meet(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         keys = rows.column("key").to_pylist()
-        tokens = [unpacked(t.as_buffer().to_pybytes()) for t in rows.column("tokens")]
+        tokens = [_tokens(t) for t in rows.column("tokens")]
         sets = _Sets(tokens)
         label = np.arange(len(keys))
         found: set[tuple[int, int]] = set()
@@ -382,7 +382,7 @@ def star(members: DataFrame) -> DataFrame:
 
     def check(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            keep = [bool(len(_Sets([unpacked(x.as_buffer().to_pybytes())]).near(unpacked(y.as_buffer().to_pybytes())))) for x, y in zip(part.column(2), part.column(3), strict=True)]
+            keep = [bool(len(_Sets([_tokens(x)]).near(_tokens(y)))) for x, y in zip(part.column(2), part.column(3), strict=True)]
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return members.where("grp <> key").select(F.col("grp").alias("a"), F.col("key").alias("b"), "origin", "tokens").mapInArrow(check, "a long, b long")
@@ -402,7 +402,7 @@ def blocked(members: DataFrame) -> DataFrame:
     def meet(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         one = np.array(rows.column("one").to_pylist(), bool)
         labels = rows.column("label").to_numpy()
-        tokens = [unpacked(t.as_buffer().to_pybytes()) for t in rows.column("tokens")]
+        tokens = [_tokens(t) for t in rows.column("tokens")]
         all_, ones = np.flatnonzero(~one), np.flatnonzero(one)
         sets = _Sets([tokens[i] for i in all_])
         found: set[tuple[int, int]] = set()
@@ -418,8 +418,11 @@ def near_components(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of docs(doc_id, text)."""
     spark = common.prepare(docs.sparkSession)
     buckets = common.n_parts(spark)
-    order = spark.sparkContext.broadcast(frequent(common.stored(frequencies(docs, buckets), "near-frequent")))
-    members = candidate_groups(common.stored(shared_entries(index(docs, order, buckets)), "near-found"))
+    counts = common.stored(frequencies(docs, buckets), "near-frequent")
+    order = spark.sparkContext.broadcast(frequent(counts))
+    found = common.stored(shared_entries(index(docs, order, buckets)), "near-found")
+    common.discard(counts)
+    members = candidate_groups(found)
     wanted = spark.sparkContext.broadcast(bitmap(members.select("key")).tobytes())
     own = common.stored(classes(docs, wanted), "near-classes")
 
@@ -434,11 +437,16 @@ def near_components(docs: DataFrame) -> DataFrame:
         large = common.stored(held.where("large").drop("large"), "near-large")
         origin = large.where("grp = key").select("grp", F.col("tokens").alias("origin"))
         links = links.union(common.stored(star(large.join(origin, "grp")), "near-links"))
+    common.discard(members, sized)
     label = components(links)
     if any_large:
-        large = large.join(label.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
-        label = components(links.union(common.stored(blocked(large), "near-links")))
+        labelled = large.join(label.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
+        label = components(links.union(common.stored(blocked(labelled), "near-links")))
+        common.discard(large)
 
+    plain = common.stored(own.drop("row", "tokens"), "near-documents")
+    common.discard(own, links)
+    own = plain
     least = own.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("least"))
     named = common.stored(least.join(label.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key")), "near-named")
     names = named.groupBy("label").agg(F.min("least").alias("component_id"))
