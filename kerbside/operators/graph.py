@@ -7,23 +7,35 @@ within one group's task over the edges it is given.
 from __future__ import annotations
 
 import heapq
+import tempfile
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df cut from its lineage in spark.checkpoint.dir; where none is set (one machine, tests), a temporary folder is."""
+    """df cut from its lineage in spark.checkpoint.dir."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        import tempfile
-
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='kerbside-')}")
+        sc.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """spark.checkpoint.dir. A session on one machine (local master) that leaves it unset gets a temporary folder; on a
+    cluster that is an error, as no local folder is shared."""
+    if found := spark.conf.get("spark.checkpoint.dir", None):
+        return found
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    made = f"file://{tempfile.mkdtemp(prefix='kerbside-')}"
+    spark.conf.set("spark.checkpoint.dir", made)
+    return made
+
+
 def adjacency(edges: DataFrame, *costs: str) -> DataFrame:
     """Both directions: src, dst, edge_id, costs."""
     there = edges.select(F.col("from_id").alias("src"), F.col("to_id").alias("dst"), "edge_id", *costs)
@@ -56,20 +68,43 @@ def isochrone_edges(edges: DataFrame, reached: DataFrame) -> DataFrame:
 
 
 def components(nodes: DataFrame, links: DataFrame, most_rounds: int = 10_000) -> DataFrame:
-    """(node_id, component): the smallest node_id reachable over links(a, b), by hooking and pointer jumping."""
-    both = checkpointed(links.select("a", "b").union(links.select("b", "a")).where("a <> b").distinct())
-    label = checkpointed(nodes.select("node_id", F.col("node_id").alias("component")))
+    """(node_id, component): the smallest node_id reachable over links(a, b).
+
+    The links of a batch become stars on their smallest nodes within its task: few rows are left. Then each round stars every
+    node's larger neighbours on its smallest one, and its smaller ones after that, so rounds grow as the logarithm of a
+    component's width."""
+    edges = checkpointed(links.where("a <> b").select("a", "b").mapInPandas(_stars, "a long, b long"))
+    before = None
     for _ in range(most_rounds):
-        near = both.join(label, F.col("b") == F.col("node_id")).groupBy("a").agg(F.min("component").alias("least"))
-        hooked = label.join(near, F.col("node_id") == F.col("a"), "left").select("node_id", "component", F.least("component", "least").alias("new"))
-        jump = hooked.select(F.col("node_id").alias("j"), F.col("new").alias("jumped"))
-        new = checkpointed(hooked.join(jump, F.col("new") == F.col("j")).select("node_id", "component", F.least("new", "jumped").alias("new")))
-        if new.where("new <> component").isEmpty():
-            return label
-        label = new.select("node_id", F.col("new").alias("component"))
+        both = edges.union(edges.select("b", "a"))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
+        edges = checkpointed(small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+        if now == before:
+            return nodes.select("node_id").join(edges, F.col("node_id") == F.col("a"), "left").select("node_id", F.coalesce("b", "node_id").alias("component"))
+        before = now
     raise RuntimeError("components did not settle")
 
 
+def _stars(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for part in parts:
+        up: dict[int, int] = {}
+
+        def root(x: int, up: dict[int, int] = up) -> int:
+            while (y := up.get(x, x)) != x:
+                up[x] = x = up.get(y, y)
+            return x
+
+        for a, b in zip(part["a"].tolist(), part["b"].tolist(), strict=True):
+            a, b = root(a), root(b)
+            up[max(a, b)] = min(a, b)
+        rows = [(x, root(x)) for x in list(up)]
+        yield pd.DataFrame([r for r in rows if r[0] != r[1]], columns=["a", "b"], dtype="int64")
+
+
 def search(edges: np.ndarray, costs: np.ndarray, start: int, goal: int) -> tuple[float, list[int]] | None:
     """Least cost and edge rows of a path; edges are rows (from, to). The first of equal paths by (cost, node, edge)."""
     around: dict[int, list[tuple[int, int]]] = {}

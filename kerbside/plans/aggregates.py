@@ -183,7 +183,7 @@ def agg_fraction_surveilled(t: Tables) -> DataFrame:
     return t.edges.select("edge_id").join(n, "edge_id", "left").select("edge_id", F.round(F.coalesce("n", F.lit(0)) / 11.0, 6).alias("fraction"))
 
 
-@query("agg_breakdown", f"SELECT q.kind, d.label, ROUND(n * CASE WHEN d.recall_corrected THEN 1.0e0 / 0.63e0 ELSE 1.0e0 END, 6) AS devices, ROUND(1 - EXP(-(n * CASE WHEN d.recall_corrected THEN 1.0e0 / 0.63e0 ELSE 1.0e0 END)), 6) AS p FROM (SELECT kind, COUNT(DISTINCT sensor_id) AS n FROM ({CAPTURED}) c WHERE edge_id < 100 GROUP BY kind) q JOIN ({DIM}) d ON d.kind = q.kind")
+@query("agg_breakdown", f"SELECT q.kind, d.label, ROUND(n * CASE WHEN d.recall_corrected THEN 1.0e0 / 0.63e0 ELSE 1.0e0 END, 6) AS devices, ROUND(1 - EXP(-(n * CASE WHEN d.recall_corrected THEN 1.0e0 / 0.63e0 ELSE 1.0e0 END)), 6) AS p FROM (SELECT kind, COUNT(DISTINCT sensor_id) AS n FROM ({CAPTURED}) c GROUP BY kind) q JOIN ({DIM}) d ON d.kind = q.kind")
 def agg_breakdown(t: Tables) -> DataFrame:
     n = captured(t).select("kind", "sensor_id").distinct().groupBy("kind").agg(F.count("*").alias("n"))
     devices = F.col("n") * F.when(F.col("recall_corrected"), RECALL).otherwise(1.0)
@@ -277,7 +277,7 @@ def agg_concurrency_diff(t: Tables) -> DataFrame:
     return concurrency_summary(concurrency(t.trips))
 
 
-INCIDENCE = "SELECT trip_id AS route_id, (trip_id * 7 + k * 13) % 880 AS edge_id FROM (SELECT trip_id FROM v_trips WHERE trip_id % 2 = 0) q CROSS JOIN (SELECT UNNEST(RANGE(0, 5)) AS k) n"
+INCIDENCE = "SELECT trip_id AS route_id, (trip_id * 7 + k * 13) % 880 AS edge_id FROM v_trips CROSS JOIN (SELECT UNNEST(RANGE(0, 5)) AS k) n"
 
 
 def incidence(t: Tables) -> DataFrame:
@@ -291,7 +291,7 @@ def agg_edge_traversals(t: Tables) -> DataFrame:
 
 
 SIZES = (1, 5, 10, 30, 100, 300, 1000, 3000)
-POWER = f"SELECT s.size, ROUND(SUM(1 - POWER(1 - c * 1.0e0 / m, s.size)) / 880.0e0, 8) AS coverage FROM (SELECT edge_id, COUNT(*) AS c FROM ({INCIDENCE}) i GROUP BY edge_id) t CROSS JOIN (SELECT COUNT(*) AS m FROM v_trips WHERE trip_id % 2 = 0) n CROSS JOIN (SELECT CAST(UNNEST([1, 5, 10, 30, 100, 300, 1000, 3000]) AS BIGINT) AS size) s GROUP BY s.size"
+POWER = f"SELECT s.size, ROUND(SUM(1 - POWER(1 - c * 1.0e0 / m, s.size)) / 880.0e0, 8) AS coverage FROM (SELECT edge_id, COUNT(*) AS c FROM ({INCIDENCE}) i GROUP BY edge_id) t CROSS JOIN (SELECT COUNT(*) AS m FROM v_trips) n CROSS JOIN (SELECT CAST(UNNEST([1, 5, 10, 30, 100, 300, 1000, 3000]) AS BIGINT) AS size) s GROUP BY s.size"
 
 
 def sensing_power(counts: DataFrame, trips: int | Column, segments: int, sizes=SIZES) -> DataFrame:

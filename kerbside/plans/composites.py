@@ -121,7 +121,7 @@ def q_neighborhood_live(t: Tables) -> DataFrame:
     return d.crossJoin(F.broadcast(ag.index_range(d, "density"))).select("zone_id", F.round("density", 6).alias("density"), F.round(geo.clamp((F.col("density") - F.col("lo")) / F.greatest(F.col("hi") - F.col("lo"), F.lit(1e-9)), 0.0, 1.0), 6).alias("shade"))
 
 
-@query("q_institutions", f"SELECT facility_id, cameras, CAST(ROW_NUMBER() OVER (ORDER BY cameras DESC, name, facility_id) AS BIGINT) AS rank FROM (SELECT f.facility_id, f.name, COUNT(DISTINCT s.sensor_id) AS cameras FROM ({SITES}) f JOIN v_sensors s ON (s.x - f.sx) ** 2 + (s.y - f.sy) ** 2 <= 40000.0e0 GROUP BY 1, 2) q ORDER BY rank LIMIT 50")
+@query("q_institutions", f"SELECT facility_id, cameras, CAST(ROW_NUMBER() OVER (ORDER BY cameras DESC, name, facility_id) AS BIGINT) AS rank FROM (SELECT f.facility_id, f.name, COUNT(DISTINCT s.sensor_id) AS cameras FROM ({SITES}) f LEFT JOIN v_sensors s ON (s.x - f.sx) ** 2 + (s.y - f.sy) ** 2 <= 40000.0e0 GROUP BY 1, 2) q")
 def q_institutions(t: Tables) -> DataFrame:
     """Every institution, ranked by the groups within 200 m; those with none come last. Ranks are two-level: within the parts
     of a range-partitioned sort, which is written first so that parts stay as they are, and over the parts' counts."""
@@ -204,10 +204,10 @@ def q_dashcam_field(t: Tables) -> DataFrame:
     return ag.agg_density_intensity(t)
 
 
-@query("q_tesla_field", FIELD.replace("v_trips", "(SELECT * FROM v_trips WHERE trip_id % 4 = 0) tt"))
+@query("q_tesla_field", FIELD)
 def q_tesla_field(t: Tables) -> DataFrame:
     areas = t.zones.select("zone_id", F.expr("CASE WHEN zone_id % 9 = 0 THEN 0.0e0 ELSE 160000.0e0 + zone_id * 1000 END").alias("area"))
-    counts = t.trips.where("trip_id % 4 = 0").groupBy(F.col("pu_zone").alias("zone_id")).agg(F.count("*").alias("n"))
+    counts = t.trips.groupBy(F.col("pu_zone").alias("zone_id")).agg(F.count("*").alias("n"))
     return ag.density_intensity(counts, areas, "zone_id").withColumn("intensity", F.round("intensity", 6))
 
 

@@ -83,14 +83,13 @@ def flood_fill_once(t: Tables) -> DataFrame:
     return flood_fill(raster(t), 1).select("cx", "cy", F.round("score", 6).alias("score"))
 
 
-ALL_WAYS = "SELECT CAST(l_orderkey AS BIGINT) AS way, CAST(l_linenumber AS BIGINT) AS seq, CAST(l_partkey AS BIGINT) AS node FROM lineitem"
-WAYS = f"{ALL_WAYS} WHERE l_orderkey % 10 = 0"  # of the SQL alone; the query splits all ways
+WAYS = "SELECT CAST(l_orderkey AS BIGINT) AS way, CAST(l_linenumber AS BIGINT) AS seq, CAST(l_partkey AS BIGINT) AS node FROM lineitem"
 
 
 @query("split_ways", f"""SELECT way, part, COUNT(*) AS nodes FROM (SELECT way, CAST(COALESCE(SUM(cut) OVER (PARTITION BY way ORDER BY seq, node ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS part FROM
   (SELECT w.way, w.seq, w.node, CASE WHEN u.uses >= 2 AND ROW_NUMBER() OVER (PARTITION BY w.way ORDER BY w.seq, w.node) > 1 THEN 1 ELSE 0 END AS cut FROM ({WAYS}) w JOIN (SELECT node, COUNT(*) AS uses FROM ({WAYS}) v GROUP BY node) u ON u.node = w.node) q) z GROUP BY way, part""")
 def split_ways_(t: Tables) -> DataFrame:
-    return split_ways(t.sql(ALL_WAYS)).groupBy("way", "part").agg(F.count("*").alias("nodes"))
+    return split_ways(t.sql(WAYS)).groupBy("way", "part").agg(F.count("*").alias("nodes"))
 
 
 def split_ways(ways: DataFrame) -> DataFrame:

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import heapq
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 from kerbside.functions import geo
 from kerbside.operators import geometry, sequence, spatial
@@ -217,9 +222,6 @@ def even_spread(df: DataFrame, key: str, k: int, *order) -> DataFrame:
 
 def splitmix64():
     """A uniform [0, 1) double of a long, by splitmix64 in wrapping 64-bit arithmetic."""
-    import numpy as np
-    import pandas as pd
-    from pyspark.sql.functions import pandas_udf
 
     @pandas_udf("double")
     def run(k: pd.Series) -> pd.Series:
@@ -231,7 +233,18 @@ def splitmix64():
     return run
 
 
-@query("weighted_reservoir")
+def _mixed_sql(z: str, shift: int, factor: str) -> str:
+    """z xor-ed with itself shifted, times factor, modulo 2**64; all as whole numbers."""
+    return f"CAST((CAST(XOR({z}, {z} >> {shift}) AS UHUGEINT) * CAST('{factor}' AS UHUGEINT)) % CAST('18446744073709551616' AS UHUGEINT) AS UBIGINT)"
+
+
+RESERVOIR = f"""WITH z0 AS (SELECT facility_id, kind, CAST((CAST(facility_id AS UHUGEINT) + CAST('11400714819323198485' AS UHUGEINT)) % CAST('18446744073709551616' AS UHUGEINT) AS UBIGINT) AS z FROM v_facilities),
+  z1 AS (SELECT facility_id, kind, {_mixed_sql('z', 30, '13787848793156543929')} AS z FROM z0), z2 AS (SELECT facility_id, kind, {_mixed_sql('z', 27, '10723151780598845931')} AS z FROM z1),
+  u AS (SELECT facility_id, kind, CAST(XOR(z, z >> 31) AS DOUBLE) / 18446744073709551616.0e0 AS u FROM z2)
+  SELECT kind, facility_id FROM (SELECT kind, facility_id, ROW_NUMBER() OVER (PARTITION BY kind ORDER BY POWER(u, 1 / (SQRT(facility_id % 500 + 20.0e0) + 1)) DESC, facility_id) AS n FROM u) q WHERE n <= 6"""
+
+
+@query("weighted_reservoir", RESERVOIR)
 def weighted_reservoir(t: Tables) -> DataFrame:
     """Six facilities of each kind by weight: the greatest u ** (1 / w)."""
     f = t.facilities.withColumn("key", F.pow(splitmix64()("facility_id"), 1 / (F.sqrt(F.expr("facility_id % 500 + 20.0e0")) + 1)))
@@ -252,9 +265,6 @@ def weighted_pick(t: Tables) -> DataFrame:
 @query("pool_admission")
 def pool_admission(t: Tables) -> DataFrame:
     """Trips by start into 40 slots of their zone; one that finds none free is dropped. Slots are kept as ends in a heap."""
-    import heapq
-
-    import pandas as pd
 
     def admit(pdf: pd.DataFrame) -> pd.DataFrame:
         slots: list[float] = []
@@ -290,7 +300,7 @@ def set_union_all(t: Tables) -> DataFrame:
     return out.select((F.col("n") - 1).alias("n"), "layer", "id")
 
 
-@query("set_union_except", "SELECT DISTINCT c_custkey AS service FROM customer WHERE (c_custkey % 3 = 0 OR (c_custkey % 5 = 0 AND c_custkey % 10 <> 0)) AND NOT (c_custkey % 7 = 0 AND NOT (c_custkey % 5 = 0 AND c_custkey % 10 <> 0))")
+@query("set_union_except", "SELECT DISTINCT c_custkey AS service FROM customer WHERE (c_custkey % 3 = 0 OR (c_custkey % 5 = 0 AND c_custkey % 10 <> 0)) AND NOT (c_custkey % 10 = 0 OR (c_custkey % 7 = 0 AND c_custkey % 5 <> 0))")
 def set_union_except(t: Tables) -> DataFrame:
     ids = t.customer.select(F.col("c_custkey").alias("service"))
     exceptions = ids.where("service % 7 = 0").select("service", F.lit(1).alias("ord"), F.lit(2).alias("kind")).union(ids.where("service % 5 = 0").select("service", F.lit(2), F.when(F.col("service") % 10 == 0, 2).otherwise(1)))

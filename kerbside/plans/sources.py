@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kerbside.functions import geo, scalar
 from kerbside.operators import geometry, spatial
+from kerbside.operators.graph import shared_dir
 from kerbside.sources import readers, sinks
 
 from .registry import query
@@ -17,11 +16,10 @@ from .views import Tables
 
 
 def place(t: Tables, name: str) -> str:
-    """A fresh path in the shared folder; a temporary one where none is set."""
+    """A fresh path in the shared folder."""
     import uuid
 
-    root = t.spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='kerbside-')}"
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_dir(t.spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 @query("scan_csv_named", "SELECT CAST(s_suppkey AS BIGINT) AS id, s_name AS name, CASE WHEN s_suppkey % 5 = 0 THEN NULL ELSE s_acctbal END AS bal FROM supplier")

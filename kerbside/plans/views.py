@@ -6,9 +6,13 @@ import re
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
+TRIP_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate"]
+TRIP_NUMBER = f"CAST(ROW_NUMBER() OVER (ORDER BY {', '.join(TRIP_ORDER)}) AS BIGINT) AS trip_id"
+
 VIEWS = {
     "v_sensors": """SELECT CAST(c_custkey AS BIGINT) AS sensor_id, 'FixedCctv' AS kind,
        (c_custkey * 7919 % 20000) / 10.0e0 - 1000.0e0 AS x, (c_custkey * 104729 % 20000) / 10.0e0 - 1000.0e0 AS y,
@@ -29,7 +33,7 @@ SELECT node_id * 2 + 1, node_id, node_id + 21, x, y, x, y + 100.0e0, 100.0e0 FRO
     "v_zones": """SELECT CAST(n_nationkey AS BIGINT) AS zone_id, (n_nationkey % 5) * 400.0e0 - 1000.0e0 AS minx,
        CAST(FLOOR(n_nationkey / 5.0e0) AS BIGINT) * 400.0e0 - 1000.0e0 AS miny,
        (n_nationkey % 5) * 400.0e0 - 600.0e0 AS maxx, CAST(FLOOR(n_nationkey / 5.0e0) AS BIGINT) * 400.0e0 - 600.0e0 AS maxy FROM nation""",
-    "v_trips": """SELECT CAST(ROW_NUMBER() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) AS BIGINT) AS trip_id,
+    "v_trips": f"""SELECT {TRIP_NUMBER},
        (l_orderkey * 17 + l_linenumber * 61) % 1440 AS pu_min, CAST(c_nationkey AS BIGINT) AS pu_zone,
        CAST(s_nationkey AS BIGINT) AS do_zone, 1.0e0 + l_quantity * 0.5e0 AS dur_min,
        l_extendedprice / 10000.0e0 AS trip_miles
@@ -57,13 +61,13 @@ FROM supplier CROSS JOIN (SELECT CAST(0 AS BIGINT) AS seq UNION ALL SELECT 1 UNI
 }
 
 
-def with_views(sql: str) -> str:
-    """sql with the views that it names, and those that they name, as common table expressions."""
+def with_views(sql: str, given: tuple[str, ...] = ()) -> str:
+    """sql with the views that it names, but those given, and those that they name, as common table expressions."""
     order: list[str] = []
 
     def need(text: str) -> None:
         for name in dict.fromkeys(re.findall(r"\bv_\w+", text)):
-            if name in VIEWS and name not in order:
+            if name in VIEWS and name not in order and name not in given:
                 need(VIEWS[name])
                 order.append(name)
 
@@ -94,9 +98,20 @@ class Tables:
 
     def sql(self, text: str) -> DataFrame:
         """text over views and tables, which are passed as arguments and not registered."""
-        full = with_views(text)
-        used = [t for t in TABLES if re.search(rf"\b{t}\b", full)]
-        return self.spark.sql(re.sub(rf"(?<=FROM |JOIN )({'|'.join(used)})\b", r"{\1}", full), **{t: self.table(t) for t in used}) if used else self.spark.sql(full)
+        full = with_views(text, ("v_trips",))
+        found = {t: self.table(t) for t in TABLES if re.search(rf"\b{t}\b", full)}
+        if re.search(r"\bv_trips\b", full):
+            found["v_trips"] = self.trips
+        return self.spark.sql(re.sub(rf"(?<=FROM |JOIN )({'|'.join(found)})\b", r"{\1}", full), **found) if found else self.spark.sql(full)
+
+    @cached_property
+    def trips(self) -> DataFrame:
+        """v_trips, numbered in two levels: the view's window over the whole table would be one task."""
+        from kerbside.operators.sequence import prefix_over_buckets
+
+        rows = self.sql(VIEWS["v_trips"].replace(TRIP_NUMBER, f"{', '.join(TRIP_ORDER)}, CAST(1 AS BIGINT) AS one"))
+        numbered = prefix_over_buckets(rows, F.floor(F.col("l_orderkey") / 1024), TRIP_ORDER, "one", "trip_id")
+        return numbered.select("trip_id", "pu_min", "pu_zone", "do_zone", "dur_min", "trip_miles")
 
     @cached_property
     def zone_rings(self) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -21,11 +20,11 @@ def replay(spark: SparkSession, path: str, at: str = "ts") -> DataFrame:
 
 
 def drained(stream: DataFrame, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Everything that a stream gives for what is there now."""
-    name = f"s{uuid.uuid4().hex}"
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Everything that a stream gives for what is there now, written as Parquet below the checkpoint and read back."""
+    path = f"{checkpoint.rstrip('/')}/out"
+    q = stream.writeStream.format("parquet").option("path", path).outputMode(mode).option("checkpointLocation", f"{checkpoint.rstrip('/')}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return stream.sparkSession.table(name)
+    return stream.sparkSession.read.schema(stream.schema).parquet(path)
 
 
 def tumbling(events: DataFrame, size: str, *keys: str) -> DataFrame:

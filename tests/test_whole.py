@@ -3,16 +3,15 @@
 from __future__ import annotations
 
 import collections
+import re
 
 import pytest
 
 from kerbside.plans import catalog
-from kerbside.plans.views import Tables
-
-from test_oracle import SQL, con, rows  # noqa: F401
+from kerbside.plans.views import Tables, with_views
 
 SF = "/root/testdata/sf0.001"
-QUERIES = catalog.queries()
+QUERIES, SQL = catalog.queries(), catalog.oracle_sql()
 
 
 def test_all_ways_are_split(spark):
@@ -39,15 +38,15 @@ def test_every_institution_is_ranked(spark):
     assert got == want and len(want) > 50
 
 
-HALF = " WHERE trip_id % 2 = 0"
+@pytest.mark.parametrize("name", ["agg_edge_traversals", "agg_sensing_power", "q_sensing_power", "agg_edge_class_coverage", "join_asof_keyframe", "agg_breakdown", "split_ways", "q_institutions", "q_tesla_field"])
+def test_sql_takes_all_rows(name):
+    """The SQL too takes whole tables: no part of the ids, no limit."""
+    assert not re.search(r"trip_id % \d+ = 0|l_orderkey % \d+ = 0|edge_id < \d+|LIMIT", SQL[name])
 
 
-@pytest.mark.parametrize(
-    ("name", "cut"),
-    [(n, HALF) for n in ("agg_edge_traversals", "agg_sensing_power", "q_sensing_power", "agg_edge_class_coverage")] + [("join_asof_keyframe", " WHERE trip_id % 3 = 0"), ("agg_breakdown", " WHERE edge_id < 100")],
-)
-def test_all_trips_and_edges(spark, con, name, cut):  # noqa: F811
-    """The rows of the query's SQL without its cut."""
-    assert cut in SQL[name]
-    df, want = QUERIES[name](spark, SF), con.execute(SQL[name].replace(cut, ""))
-    assert rows(df.columns, df.collect()) == rows([c[0] for c in want.description], want.fetchall())
+def test_trips_are_numbered_in_two_levels(spark):
+    """The Spark side numbers trips without a window over the whole table."""
+    t = Tables(spark, SF)
+    rows = t.trips.select("trip_id", "pu_min", "dur_min", "trip_miles").collect()
+    want = t.spark.sql(with_views("SELECT trip_id, pu_min, dur_min, trip_miles FROM v_trips").replace("FROM lineitem", "FROM {lineitem}").replace("JOIN orders", "JOIN {orders}").replace("JOIN customer", "JOIN {customer}").replace("JOIN supplier", "JOIN {supplier}"), **{n: t.table(n) for n in ("lineitem", "orders", "customer", "supplier")})
+    assert sorted(map(tuple, rows)) == sorted(map(tuple, want.collect()))
