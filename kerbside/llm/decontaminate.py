@@ -8,8 +8,9 @@ compared in lower case with white space runs as one space.
 Scale: documents are scanned where they lie, without a shuffle; the items are a query set, sent in blocks of at most
 BLOCK_CHARS characters (a bound on what is broadcast), one scan for each block.
 
-Defined cases: a null or empty text holds nothing; a null, empty or shorter-than-LEAST item is not searched (it would be
-found by chance); equal items are all reported; repeated rows are reported alike; other columns are ignored; an empty
+Defined cases: a null or empty text holds nothing; a null or empty item is not searched; an item of fewer than SHORT
+characters has no edit to spend and counts only where it stands between characters that are no letters or digits (inside a
+word it would be found by chance); equal items are all reported; repeated rows are reported alike; other columns are ignored; an empty
 table gives no rows. Of several occurrences in a document the nearest, then the first, is reported.
 """
 
@@ -25,7 +26,8 @@ from . import common
 
 #: Edits for each character of an item.
 BUDGET = 0.05
-LEAST = 20
+#: Characters below which an item must stand as whole words.
+SHORT = 20
 BLOCK_CHARS = 4 << 20
 
 FOUND = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("distance", pa.int64()), ("end", pa.int64())])
@@ -98,7 +100,8 @@ class Matcher:
         if self.items:
             for last, (size, found) in self.automaton.iter(text):
                 for n, at in found:
-                    spans.setdefault(n, []).append(last + 1 - size - at)
+                    if len(self.items[n].text) >= SHORT or not (text[last - size : last - size + 1].isalnum() and last >= size or text[last + 1 : last + 2].isalnum()):
+                        spans.setdefault(n, []).append(last + 1 - size - at)
         for n, starts in spans.items():
             item = self.items[n]
             best, end = item.k + 1, 0
@@ -125,7 +128,7 @@ def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
     for b in range(n):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b).collect()
         block = sorted(((r[0], normal(r[1])) for r in rows), key=lambda r: (r[1], r[0] is None, r[0]))
-        yield [r for r in block if len(r[1]) >= LEAST]
+        yield [r for r in block if r[1]]
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -5,13 +5,15 @@ predicted first, by linear machines one against the rest; within it, linear supp
 vote between its languages. Languages outside FAMILIES form one family more. A text's score for a family or a pair is the
 mean of a weight over its grams, so predicting is one table lookup for each gram and machine.
 
-Scale: fitted on a bounded sample: PER_LANGUAGE labelled rows of each language, those with the least hash of doc_id (a group
-limit within tasks keeps the shuffle small), whole texts, reduced to DIMS counts before they leave the executors. Predicting
+Scale: fitted on a bounded sample: PER_LANGUAGE labelled rows of each language, those with the least hash of doc_id and text. Hashes
+travel first (a group limit within tasks keeps that small); only the texts under each language's bound are shuffled, whole, and
+reduced to DIMS counts before they leave the executors. Predicting
 is a scan without a shuffle, whole texts, every row. The weights are a few tables of DIMS floats.
 
 Defined cases: null text, or one without a letter: `und`, score 0; a language with labels but no text with letters is not
 learned; no labelled rows: every text is `und`; one language only: it is predicted with score 1; ties: the alphabetically
-first; repeated rows are judged alike; a null doc_id is in training; other columns are ignored; an empty table gives no rows.
+first; repeated rows are judged alike; a null doc_id is in training; other columns are kept, but
+input columns lang_pred or score give way to those that are added; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -74,7 +76,9 @@ def sample(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     """Languages and relative frequencies of the training rows: at most PER_LANGUAGE of each language."""
     labelled = docs.where("lang IS NOT NULL AND text IS NOT NULL").where(~held_out()).select("lang", "text", F.xxhash64("doc_id", "text").alias("h"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    chosen = labelled.withColumn("r", rank).where(F.col("r") <= PER_LANGUAGE).select("lang", "text")
+    first = lambda df: df.withColumn("r", rank).where(F.col("r") <= PER_LANGUAGE)
+    bounds = first(labelled.select("lang", "h")).groupBy("lang").agg(F.max("h").alias("bound"))  # hashes travel, not texts
+    chosen = first(labelled.join(bounds, "lang").where("h <= bound")).select("lang", "text")
 
     def reduce(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -171,6 +175,7 @@ class Model:
 
 def predicted(docs: DataFrame, model: Model) -> DataFrame:
     """docs with lang_pred and score, from text alone."""
+    docs = common.without(docs, "lang_pred", "score")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at, columns = docs.columns.index("text"), docs.columns
 

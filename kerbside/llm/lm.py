@@ -10,7 +10,9 @@ log10 probability of each word within its class. An unknown word is one event of
 Scale: counts travel as packed blobs by hash bucket and are never gathered whole. What is broadcast is bounded: the KNOWN
 most frequent words and the HMM's parameters. Words outside that table, known or not, meet the counts of their bucket in a
 cogroup. Class sequences are written once, two bytes a word; a task's documents are trained and scored in batches of
-BATCH words. For training, sequences are cut into segments of SEGMENT words; for scoring they are not.
+BATCH words, sequences of like length together, and never cut. Training keeps the forward probabilities of STEPS words at a
+time: those of a longer text are computed again, from the ones kept at every STEPS words, as the backward pass reaches them.
+Rounds end when the likelihood rises by less than the share SETTLED, after ROUNDS at most.
 
 Defined cases: a null or empty text is the end alone; a null doc_id is in training; repeated rows count as often as they
 occur; without training documents every count is 0; other columns are ignored; an empty table gives no rows.
@@ -29,12 +31,12 @@ from pyspark.sql import functions as F
 from . import common
 from .words import U, mix, utf8, word_hashes
 
-STATES, ROUNDS = 6, 5
+STATES, ROUNDS, SETTLED = 6, 12, 1e-3
 SINGLES, GROUPS = 1024, 256
 CLASSES = 1 + SINGLES + GROUPS
 KNOWN = 300_000
 WEIGHT = 0.1
-SEGMENT, BATCH, FLUSH = 256, 1_000_000, 4_000_000
+BATCH, HELD, STEPS, FLUSH = 1_000_000, 16_000_000, 8192, 4_000_000
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -189,7 +191,7 @@ CODED_DDL = "part long, row long, doc_id long, held_out boolean, classes binary,
 
 def coded(docs: DataFrame, shared, buckets: int) -> DataFrame:
     """Two kinds of rows: a document with its classes and sums over frequent words, and, where bucket is not null, the other
-    words of a task with the rows that they occur in."""
+    words of a task's documents, FLUSH words at a time, with the rows that they occur in."""
 
     def encode(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table: Table = shared.value
@@ -201,12 +203,12 @@ def coded(docs: DataFrame, shared, buckets: int) -> DataFrame:
 
         def rows() -> Iterator[tuple]:
             rare: list[tuple[np.ndarray, np.ndarray]] = []
-            size = at_part = 0
+            size = at_part = blocks = 0
             for part in parts:
                 words, at, _ = word_hashes(*utf8(part.column("text")))
                 ids = part.column("row").to_numpy()
-                if len(ids):
-                    at_part = int(ids[0]) >> 33
+                if len(ids):  # a new part after each FLUSH, so that what meets in scoring is bounded
+                    at_part = (int(ids[0]) >> 33 << 24) + blocks
                 distinct, back = np.unique(words, return_inverse=True)
                 n, c = table.known(distinct), table.classes(distinct)
                 logs = np.where(n > 0, np.log10(n + WEIGHT), 0.0)
@@ -218,7 +220,7 @@ def coded(docs: DataFrame, shared, buckets: int) -> DataFrame:
                 owner = np.repeat(ids, np.diff(at))
                 odd = (n == 0)[back]
                 rare.append((words[odd], owner[odd]))
-                size += int(odd.sum())
+                size += len(words)
                 log_end = float(np.log10(table.n_docs + WEIGHT))
                 for i, (doc, out, a, b) in enumerate(zip(part.column("doc_id").to_pylist(), part.column("held_out").to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True)):
                     known, logged, inner = (x[b] - x[a] for x in cum)
@@ -226,6 +228,7 @@ def coded(docs: DataFrame, shared, buckets: int) -> DataFrame:
                 if size >= FLUSH:
                     yield from other(at_part, rare)
                     rare, size = [], 0
+                    blocks += 1
             yield from other(at_part, rare)
 
         yield from common.batches(CODED, rows(), weigh=lambda r: len(r[4] or b"") + 2 * len(r[9] or b""))
@@ -276,7 +279,7 @@ def _by_length(seqs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarr
     """The order of sequences by falling length, all classes in one array, and where each begins and how many steps it has."""
     n = np.array([len(s) for s in seqs])
     by = np.argsort(-n, kind="stable")
-    flat = np.concatenate([seqs[i] for i in by]).astype(np.int64)
+    flat = np.concatenate([seqs[i] for i in by])
     n = n[by]
     return by, flat, np.concatenate(([0], np.cumsum(n)[:-1])), n
 
@@ -299,59 +302,79 @@ def likelihoods(seqs: list[np.ndarray], model: Model) -> np.ndarray:
 
 
 def expected(seqs: list[np.ndarray], model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Expected start, transition and emission counts and the log10 likelihood of the sequences."""
+    """Expected start, transition and emission counts and the log10 likelihood of the sequences, each taken whole."""
     _, flat, at, n = _by_length(seqs)
     steps = int(n[0])
     active = (len(n) - np.searchsorted(n[::-1], np.arange(steps), "right")).tolist()
-    low = np.concatenate(([0], np.cumsum(active)))
-    obs = np.empty(low[-1], np.int64)
-    alphas = np.empty((low[-1], STATES), np.float32)
-    scales = np.empty(low[-1], np.float32)
-    emit, move = model.emit.astype(np.float32), model.move.astype(np.float32)
+    begin, emit, move = (x.astype(np.float32) for x in (model.start, model.emit, model.move))
     logs = 0.0
-    for t, k in enumerate(active):
-        o = obs[low[t] : low[t] + k] = flat[at[:k] + t]
-        a = emit[o] * (model.start.astype(np.float32) if t == 0 else alphas[low[t - 1] : low[t - 1] + k] @ move)
-        s = a.sum(1)
-        alphas[low[t] : low[t] + k] = a / s[:, None]
-        scales[low[t] : low[t] + k] = s
-        logs += float(np.log10(s).sum())
-    moves = np.zeros((STATES, STATES))
-    beta = np.zeros((0, STATES), np.float32)
-    for t in range(steps - 1, -1, -1):
-        k = active[t]
-        later = len(beta)
-        b = np.ones((k, STATES), np.float32)
-        here = alphas[low[t] : low[t] + k]
-        if later:
-            o = obs[low[t + 1] : low[t + 1] + later]
-            ahead = emit[o] * beta / scales[low[t + 1] : low[t + 1] + later, None]
-            moves += (here[:later].T @ ahead) * model.move
-            b[:later] = ahead @ move.T
-        here *= b  # now the posterior of each state
-        beta = b
-    emits = np.stack([np.bincount(obs, weights=alphas[:, k], minlength=CLASSES) for k in range(STATES)], axis=1)
+
+    def forward(first: int, past: int, alpha: np.ndarray | None) -> tuple[np.ndarray, ...]:
+        """Classes, scaled forward probabilities and scales of the steps, and the bounds of each step in them."""
+        low = np.concatenate(([0], np.cumsum(active[first:past])))
+        obs, alphas, scales = np.empty(low[-1], np.int16), np.empty((low[-1], STATES), np.float32), np.empty(low[-1], np.float32)
+        for t in range(first, past):
+            i, k = low[t - first], active[t]
+            o = obs[i : i + k] = flat[at[:k] + t]
+            a = emit[o] * (begin if alpha is None else alpha[:k] @ move)
+            s = a.sum(1)
+            alpha = alphas[i : i + k] = a / s[:, None]
+            scales[i : i + k] = s
+        return obs, alphas, scales, low
+
+    kept, blocks = [None], range(0, steps, STEPS)  # what is known before each block of steps
+    for first in blocks:
+        block = forward(first, min(first + STEPS, steps), kept[-1])
+        logs += float(np.log10(block[2], dtype=np.float64).sum())
+        kept.append(block[1][block[3][-2] :].copy())
+    moves, emits = np.zeros((STATES, STATES)), np.zeros((CLASSES, STATES))
+    beta, later = np.zeros((0, STATES), np.float32), np.zeros((0, STATES), np.float32)  # of the step after; emit * beta / scale
+    for first in reversed(blocks):
+        past = min(first + STEPS, steps)
+        obs, alphas, scales, low = block if past == steps else forward(first, past, kept[first // STEPS])
+        for t in range(past - 1, first - 1, -1):
+            i, k = low[t - first], active[t]
+            here = alphas[i : i + k]
+            beta = np.ones((k, STATES), np.float32)
+            if len(later):
+                moves += (here[: len(later)].T @ later) * model.move
+                beta[: len(later)] = later @ move.T
+            later = emit[obs[i : i + k]] * beta / scales[i : i + k, None]
+            here *= beta  # now the posterior of each state
+        for k in range(STATES):
+            emits[:, k] += np.bincount(obs, weights=alphas[:, k], minlength=CLASSES)
     return alphas[: active[0]].sum(0, dtype=np.float64), moves, emits, logs
 
 
-def _grouped(parts: Iterator[pa.RecordBatch], most: int) -> Iterator[list[np.ndarray]]:
-    """Class sequences in batches of about `most` words."""
-    held, size = [], 0
+def _grouped(parts: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """Class sequences in batches of about BATCH words, those of like length together: a batch takes as many steps as its
+    longest. HELD words, two bytes each, are in hand at a time."""
+    held: list[np.ndarray] = []
+    size = 0
+
+    def dealt() -> Iterator[list[np.ndarray]]:
+        some, words = [], 0
+        for seq in sorted(held, key=len, reverse=True):
+            some.append(seq)
+            words += len(seq)
+            if words >= BATCH:
+                yield some
+                some, words = [], 0
+        if some:
+            yield some
+
     for part in parts:
         for c in part.column("classes"):
-            seq = np.frombuffer(c.as_py(), np.int16)
-            for i in range(0, len(seq), SEGMENT):
-                held.append(seq[i : i + SEGMENT])
-            size += len(seq)
-            if size >= most:
-                yield held
-                held, size = [], 0
-    if held:
-        yield held
+            held.append(np.frombuffer(c.as_py(), np.int16))
+            size += len(held[-1])
+        if size >= HELD:
+            yield from dealt()
+            held, size = [], 0
+    yield from dealt()
 
 
 def baum_welch(train: DataFrame, share: np.ndarray, rounds: int = ROUNDS) -> tuple[Model, list[float]]:
-    """The model after `rounds` rounds, and each round's log10 likelihood of the training sequences."""
+    """The model after `rounds` rounds at most, and each round's log10 likelihood of the training sequences."""
     spark = train.sparkSession
     model, seen = first_model(share), []
     for _ in range(rounds):
@@ -359,7 +382,7 @@ def baum_welch(train: DataFrame, share: np.ndarray, rounds: int = ROUNDS) -> tup
 
         def count(parts: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             sums = None
-            for seqs in _grouped(parts, BATCH):
+            for seqs in _grouped(parts):
                 got = expected(seqs, shared.value)
                 flat = np.concatenate([np.ravel(x) for x in got])
                 sums = flat if sums is None else sums + flat
@@ -376,6 +399,8 @@ def baum_welch(train: DataFrame, share: np.ndarray, rounds: int = ROUNDS) -> tup
         model = Model(start / start.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(0))
         seen.append(float(flat[-1]))
         shared.unpersist()
+        if len(seen) > 1 and seen[-1] - seen[-2] < SETTLED * abs(seen[-2]):
+            break
     return model, seen
 
 

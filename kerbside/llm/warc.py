@@ -2,13 +2,14 @@
 
 Pages are written as gzip-per-record WARC files; of equal payloads that of the smallest page_id is a response, the others
 revisit it. Each task keeps the index rows of what it wrote and emits them in runs sorted by (URL key, timestamp, page_id).
-Runs are dealt by key ranges, and each range merges its slices of all runs with a loser tree: the result is one globally
-ordered capture history. Reading back follows the index: one range read and one gunzip for each record.
+Records are read back archive by archive, each task in the order of its files: one range read and one gunzip for each.
+Runs are then dealt by key ranges, and each range merges its slices of all runs with a loser tree: the result is one globally
+ordered capture history. The merge is external: beyond HELD rows a range's slices are written to the shared folder, each as a
+sorted run of its own, and the tree reads them a batch at a time; so memory does not grow with a range, only the tree does.
 
 Scale: digests travel first (one small row for each page, aggregated by digest with map-side combine); a page's html is
 shuffled once, by page_id and digest, to meet its record type; index rows are dealt by range, with page_id in the key, so a host or url
-with a third of all pages is spread over ranges. A run is cut at RUN_ROWS rows, so writing holds a bounded index; a range
-is what Spark's sampled bounds make it. Archive files carry a fresh name for each attempt, and only rows of the attempt
+with a third of all pages is spread over ranges. A run is cut at RUN_ROWS rows, so writing holds a bounded index. Archive files carry a fresh name for each attempt, and only rows of the attempt
 that succeeded point at them.
 
 Defined cases: a null html is empty; a null url has the key `-`; rows that repeat a page_id and its payload are alike, all
@@ -36,6 +37,8 @@ from .media import _Reader
 
 FILE_BYTES = 1 << 30
 RUN_ROWS = 100_000
+#: Rows of runs that a merge holds before it writes them; rows of a written run that it reads at a time.
+HELD, READ_ROWS = 200_000, 1_000
 EPOCH = datetime(2024, 1, 1, tzinfo=UTC)
 
 INDEX = pa.schema([("run", pa.string()), ("url_key", pa.string()), ("ts", pa.int64()), ("page_id", pa.int64()), ("url", pa.string()), ("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64())])
@@ -90,7 +93,7 @@ def parse(raw: bytes) -> tuple[dict[str, str], bytes]:
 
 def typed(pages: DataFrame) -> DataFrame:
     """pages(page_id, url, html) with `revisit` and `refers_to`."""
-    pages = pages.withColumn("digest", F.sha1(F.coalesce("html", F.lit("")).cast("binary")))
+    pages = pages.select("page_id", "url", "html").withColumn("digest", F.sha1(F.coalesce("html", F.lit("")).cast("binary")))
     keyed = pages.select("page_id", "digest")
     groups = keyed.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("copies")).where("copies > 1")
     later = keyed.join(groups, "digest").where("NOT page_id <=> first").groupBy(F.col("page_id").alias("later"), F.col("digest").alias("later_digest")).agg(F.max("first").alias("refers_to"))
@@ -189,37 +192,81 @@ class LoserTree:
             self.winner = i
 
 
-def merged(index: DataFrame) -> DataFrame:
-    """The index in global order: partition after partition, and within each."""
+class _Runs:
+    """Rows of several runs as they come: whatever breaks a run's order begins another, and beyond HELD rows all go to disk."""
+
+    def __init__(self, uri: str, schema: pa.Schema) -> None:
+        self.fs, self.path = pafs.FileSystem.from_uri(uri)
+        self.schema, self.size = schema, 0
+        self.open: dict[str, list[tuple]] = {}
+        self.full: list[list[tuple]] = []
+        self.files: list[str] = []
+        self.at = [schema.names.index(n) for n in ("url_key", "ts", "page_id")]
+
+    def key(self, row: tuple) -> tuple:
+        return order(*(row[i] for i in self.at))
+
+    def add(self, row: tuple) -> None:
+        held = self.open.setdefault(row[0], [])
+        if held and self.key(held[-1]) > self.key(row):
+            self.full.append(held)
+            held = self.open[row[0]] = []
+        held.append(row)
+        self.size += 1
+        if self.size >= HELD:
+            self.fs.create_dir(self.path, recursive=True)
+            for run in [*self.full, *self.open.values()]:
+                name = f"{self.path}/{uuid.uuid4().hex}.arrow"
+                with self.fs.open_output_stream(name) as out, pa.ipc.new_stream(out, self.schema) as writer:
+                    for batch in common.batches(self.schema, iter(run), READ_ROWS):
+                        writer.write_batch(batch)
+                self.files.append(name)
+            self.open, self.full, self.size = {}, [], 0
+
+    def _read(self, name: str) -> Iterator[tuple]:
+        with self.fs.open_input_stream(name) as file, pa.ipc.open_stream(file) as reader:
+            for batch in reader:
+                for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    yield self.key(row), row
+
+    def merge(self) -> Iterator[tuple]:
+        held = [((self.key(r), r) for r in run) for run in [*self.full, *self.open.values()]]
+        for _, row in LoserTree([*held, *map(self._read, self.files)]):
+            yield row
+        for name in self.files:
+            self.fs.delete_file(name)
+
+
+def merged(index: DataFrame, schema: pa.Schema = INDEX) -> DataFrame:
+    """Rows of sorted runs (run, url_key, ts, page_id, ...) in global order: partition after partition, and within each."""
+    uri = common.scratch(index.sparkSession, "warc-merge")
 
     def merge(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        runs: dict[str, list[tuple]] = {}
+        runs = _Runs(uri, schema)
         for part in parts:
             for row in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                runs.setdefault(row[0], []).append((order(*row[1:4]), row))
-        for rows in runs.values():  # a run's slice arrives in order; anything else would be put right here
-            if any(a[0] > b[0] for a, b in zip(rows, rows[1:], strict=False)):
-                rows.sort(key=lambda r: r[0])
-        yield from common.batches(INDEX, (row for _, row in LoserTree([iter(runs[r]) for r in sorted(runs)])))
+                runs.add(row)
+        yield from common.batches(schema, runs.merge())
 
     n = common.n_parts(index.sparkSession)
-    return index.repartitionByRange(n, "url_key", "ts", "page_id").mapInArrow(merge, INDEX_DDL)
+    return index.select(*schema.names).repartitionByRange(n, "url_key", "ts", "page_id").mapInArrow(merge, index.select(*schema.names).schema)
 
 
-READ = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("url_key", pa.string()), ("ts", pa.int64())])
-READ_DDL = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url_key string, ts long"
+READ = pa.schema([("run", pa.string()), ("url_key", pa.string()), ("ts", pa.int64()), ("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
+READ_DDL = "run string, url_key string, ts long, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
 def read_archives(index: DataFrame, uri: str) -> DataFrame:
-    """One row for each index row, from the stored record; a response's digest and length are those of its payload."""
+    """One row for each index row, in its order, from the stored record; a response's digest and length are those of its
+    payload."""
 
     def read(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = _Reader(uri)
         for part in parts:
-            rows = [tuple(r.values()) for r in part.select(["file", "offset", "length", "url_key", "ts"]).to_pylist()]
+            rows = [tuple(r.values()) for r in part.select(["file", "offset", "length", "run", "url_key", "ts"]).to_pylist()]
             out: list[tuple] = [()] * len(rows)
             for i in sorted(range(len(rows)), key=lambda i: rows[i][:2]):
-                file, offset, length, key, ts = rows[i]
+                file, offset, length, *own = rows[i]
                 fields, payload = parse(reader.read(file, offset, length))
                 number = lambda name, f=fields: int(f[name]) if f.get(name) else None
                 if fields["WARC-Type"] == "response":
@@ -228,7 +275,7 @@ def read_archives(index: DataFrame, uri: str) -> DataFrame:
                         raise ValueError(f"{file} at {offset}: payload digest differs")
                 else:
                     size, digest = int(fields["X-Payload-Length"]), fields["WARC-Payload-Digest"].removeprefix("sha1:")
-                out[i] = number("X-Page-ID"), size, digest, fields["WARC-Type"], number("X-Refers-To-Page-ID"), key, ts
+                out[i] = *own, number("X-Page-ID"), size, digest, fields["WARC-Type"], number("X-Refers-To-Page-ID")
             if out:
                 yield common.record_batch(READ, out)
 
@@ -236,10 +283,11 @@ def read_archives(index: DataFrame, uri: str) -> DataFrame:
 
 
 def archive(pages: DataFrame) -> DataFrame:
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to, url_key, ts) of every page, in global order."""
     spark = common.prepare(pages.sparkSession)
     uri = common.scratch(spark, "warc")
     runs = write_archives(typed(pages), uri)
-    return read_archives(merged(runs), uri)
+    return merged(read_archives(runs, uri), READ).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "ts")
 
 
 def op8_warc(spark, sf_dir: str) -> DataFrame:

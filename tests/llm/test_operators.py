@@ -6,6 +6,7 @@ import base64
 import collections
 import hashlib
 import io
+import itertools
 import random
 import re
 import tarfile
@@ -160,18 +161,31 @@ def test_decontamination(spark):
             for _ in range(edits):
                 copy[rng.randrange(len(copy))] = rng.choice("zyx")
             texts.append(f"{prose(rng, 9)} {''.join(copy).upper()}\n {prose(rng, 9)}")
+            for _ in range(edits):  # then also letters that are missing and letters too many
+                k = rng.randrange(len(copy))
+                copy[k : k + 1] = rng.choice(([], [copy[k], "x"]))
+            texts.append(f"{prose(rng, 9)} {''.join(copy)} {prose(rng, 9)}")
+    texts += ["a short text", "shorter", "(short)", "ashort short1 _short_"]
     bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
     got = {(r.doc_id, r.item_id): r.distance for r in decontaminate.leaks(docs(spark, texts), bench).collect()}
     want = {}
     for d, t in enumerate(texts):
         for i, item in enumerate(items):
-            if item and len(item) >= decontaminate.LEAST and t and len(t) < 2000:
+            if item and len(item) < decontaminate.SHORT:
+                if re.search(rf"(?<![^\W_]){re.escape(item)}(?![^\W_])", t or ""):
+                    want[d, i] = 0
+            elif item and t and len(t) < 2000:
                 n = distance(decontaminate.normal(item), decontaminate.normal(t))
                 if n <= int(len(decontaminate.normal(item)) * decontaminate.BUDGET):
                     want[d, i] = n
     assert got == want and want
     kept = {r.doc_id for r in decontaminate.clean(docs(spark, texts), bench).collect()}
     assert kept == set(range(len(texts))) - {d for d, _ in want}
+    twice = bench.union(bench.withColumn("item_id", F.col("item_id") + 100))
+    named = docs(spark, texts).withColumn("item_id", F.lit(1)).withColumn("distance", F.lit(2))
+    assert {(r.doc_id, r.item_id % 100) for r in decontaminate.leaks(named, twice).collect()} == set(want)
+    assert decontaminate.leaks(docs(spark, []).limit(0), bench).count() == 0
+    assert decontaminate.leaks(docs(spark, texts), bench.limit(0)).count() == 0
 
 
 def cut_lines(text):
@@ -426,6 +440,11 @@ def test_language_id(spark):
     assert {(r.lang_pred, r.score) for r in rows if r.doc_id >= 240} == {("und", 0.0)}
     assert all(0 <= r.score <= 1 for r in rows)
     assert {r.lang_pred for r in langid.identify(docs(spark, ["x y"], [None])).collect()} == {"und"}
+    alike = docs(spark, ["the thing"] * 5, ["en"] * 5).withColumn("score", F.lit("s")).withColumn("lang_pred", F.lit(1)).withColumn("h", F.lit(1)).withColumn("bound", F.lit(1))
+    assert {(r.lang_pred, r.score, r.bound) for r in langid.identify(alike).collect()} == {("en", 1.0, 1)}
+    assert langid.identify(alike.limit(0)).count() == 0
+    tied = langid.identify(docs(spark, ["the thing"] * 40, ["de", "en"] * 20)).collect()
+    assert len({(r.lang_pred, r.score) for r in tied}) == 1
 
 
 def test_lm_scoring(spark, monkeypatch):
@@ -442,6 +461,30 @@ def test_lm_scoring(spark, monkeypatch):
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[i], len(t), sum(c[w] > 0 for w in t), sum(c.values()))
         assert abs(r.base_score - sum(np.log10(c[w] + 0.1) - total for w in t)) < 1e-6
     assert all(np.isfinite(r.score) and r.score < 0 for r in got.values())
+    # the same score by a plain recursion over the trained model, and the chance of each word within its class
+    models = []
+    trained = lm.baum_welch
+    monkeypatch.setattr(lm, "baum_welch", lambda *a: models.append(trained(*a)) or models[0])
+    tables = []
+    build = lm.build_table
+    monkeypatch.setattr(lm, "build_table", lambda *a: tables.append(build(*a)) or tables[0])
+    got = {r.doc_id: r.score for r in lm.score_documents(docs(spark, texts).repartition(2)).collect()}
+    (model, rising), (table, _) = models[0], tables[0]
+    assert len(rising) > 1 and all(b >= a - 1e-6 * abs(a) for a, b in zip(rising, rising[1:], strict=False))
+    for i, t in enumerate(texts):
+        hashes, _, _ = words.word_hashes(*words.utf8(pa.array([t or ""])))
+        classes = [*table.classes(hashes).tolist(), 0]
+        alpha, total_ = model.start * model.emit[classes[0]], 0.0
+        for o in classes[1:]:
+            total_ += np.log10(alpha.sum())
+            alpha = (alpha / alpha.sum() @ model.move) * model.emit[o]
+        total_ += np.log10(alpha.sum())
+        for w, k in zip(tokens[i][:-1], classes, strict=False):
+            if k > lm.SINGLES:
+                total_ += np.log10(c[w] + lm.WEIGHT) - table.log_mass[k]
+        assert abs(got[i] - total_) < 1e-3
+    odd = spark.createDataFrame([(None, "a b"), (1, "a b"), (1, "a b"), (1, None)], "doc_id long, text string").withColumn("row", F.lit(1)).withColumn("score", F.lit(2.0))
+    assert lm.score_documents(odd).count() == 4 and lm.score_documents(odd.limit(0)).count() == 0
 
 
 def test_forward_recursion_is_exact():
@@ -453,15 +496,41 @@ def test_forward_recursion_is_exact():
         for o in seq[1:]:
             a = (a @ lm_model.move) * lm_model.emit[o]
         assert abs(np.log10(a.sum()) - got) < 1e-9
-    start, moves, emits, _ = lm.expected(seqs, lm_model)
-    assert abs(start.sum() - 3) < 1e-4 and abs(moves.sum() - 6) < 1e-4 and abs(emits.sum() - 9) < 1e-4
+
+
+@pytest.mark.parametrize("steps", [8192, 2])
+def test_expected_counts_are_those_of_all_paths(monkeypatch, steps):
+    monkeypatch.setattr(lm, "STEPS", steps)
+    monkeypatch.setattr(lm, "STATES", 2)
+    rng = np.random.default_rng(1)
+    move, emit = rng.random((2, 2)), rng.random((lm.CLASSES, 2))
+    model = lm.Model(np.array([0.3, 0.7]), move / move.sum(1, keepdims=True), emit / emit.sum(0))
+    seqs = [rng.integers(0, 5, n).astype(np.int16) for n in (1, 2, 7, 5, 7, 4)]
+    want = [np.zeros(2), np.zeros((2, 2)), np.zeros((lm.CLASSES, 2)), 0.0]
+    for seq in seqs:
+        chance = {}
+        for path in itertools.product(range(2), repeat=len(seq)):
+            p = model.start[path[0]] * model.emit[seq[0], path[0]]
+            for a, b, o in zip(path, path[1:], seq[1:], strict=False):
+                p *= model.move[a, b] * model.emit[o, b]
+            chance[path] = p
+        total = sum(chance.values())
+        want[3] += np.log10(total)
+        for path, p in chance.items():
+            want[0][path[0]] += p / total
+            for a, b in zip(path, path[1:], strict=False):
+                want[1][a, b] += p / total
+            for s, o in zip(path, seq, strict=True):
+                want[2][o, s] += p / total
+    for x, y in zip(lm.expected(seqs, model), want, strict=True):
+        assert np.allclose(x, y, atol=1e-4)
 
 
 def test_warc(spark):
     html = [None, "", "x", "x", "é" * 3000, "x", "y"]
     urls = ["http://a.b/c", "http://www.A.b:80/c#f", None, "nonsense", "http://user@h.org/", "http://a.b/c", "http://a.b/C?q=1"]
-    pages = spark.createDataFrame([(10 - i, u, h, "z") for i, (u, h) in enumerate(zip(urls, html, strict=True))], "page_id long, url string, html string, digest string").drop("digest")
-    rows = warc.archive(pages).collect()
+    pages = spark.createDataFrame([(10 - i, u, h, "z") for i, (u, h) in enumerate(zip(urls, html, strict=True))], "page_id long, url string, html string, digest string")
+    rows = warc.archive(pages.withColumn("revisit", F.lit(1)).withColumn("refers_to", F.lit("x")).withColumn("later", F.lit(2))).collect()
     first = {}
     for i, h in enumerate(html):
         first[h or ""] = min(first.get(h or "", 99), 10 - i)
@@ -473,6 +542,24 @@ def test_warc(spark):
     keys = [warc.order(r.url_key, r.ts, r.page_id) for r in rows]
     assert len(rows) == 7 and keys == sorted(keys)
     assert warc.archive(pages.limit(0)).count() == 0
+    odd = spark.createDataFrame([(None, "http://a.b/", "same"), (None, None, "same"), (5, "x" * 5000, "same"), (5, "x" * 5000, "same"), (7, "u", "same")], "page_id long, url string, html string")
+    assert sorted((r.page_id or 0, r.record_type, r.refers_to) for r in warc.archive(odd).collect()) == [(0, "revisit", 5)] * 2 + [(5, "response", None)] * 2 + [(7, "revisit", 5)]
+
+
+def test_warc_merges_runs_from_disk(spark, monkeypatch):
+    monkeypatch.setattr(warc, "RUN_ROWS", 7)
+    monkeypatch.setattr(warc, "HELD", 20)
+    monkeypatch.setattr(warc, "READ_ROWS", 3)
+    rng = random.Random(3)
+    pages = spark.createDataFrame([(i, f"http://{rng.choice('abc')}.org/{rng.randrange(9)}", f"h{i % 50}") for i in range(300)], "page_id long, url string, html string").repartition(5)
+    rows = warc.archive(pages).collect()
+    keys = [warc.order(r.url_key, r.ts, r.page_id) for r in rows]
+    assert keys == sorted(keys) and sorted(r.page_id for r in rows) == list(range(300))
+    runs = warc._Runs(common.scratch(spark, "runs"), warc.READ)
+    rows = [(f"r{rng.randrange(4)}", f"k{rng.randrange(30)}", 1, i, 0, "", "", None) for i in range(100)]  # out of order too
+    for r in rows:
+        runs.add(r)
+    assert len(runs.files) > 4 and list(runs.merge()) == sorted(rows, key=runs.key)
 
 
 @pytest.mark.parametrize("k", [0, 1, 2, 3, 7, 16])

@@ -20,7 +20,7 @@ def test_pipeline(spark):
     kept = [(i, new) for (i, _), (new, gone) in zip(kept, brute_lines([t for _, t in kept]), strict=True) if not gone or new.strip(" ")]
     names = brute_components([i for i, _ in kept], [t for _, t in kept])
     kept = [(i, t) for i, t in kept if names[i][1] == i]
-    matcher = decontaminate.Matcher([(i, decontaminate.normal(t)) for i, t in zip(bench.item_id, bench.text, strict=True) if len(decontaminate.normal(t)) >= decontaminate.LEAST])
+    matcher = decontaminate.Matcher([(i, decontaminate.normal(t)) for i, t in zip(bench.item_id, bench.text, strict=True) if decontaminate.normal(t)])
     kept = {i: t for i, t in kept if not list(matcher.search(t))}
     rows = corpus_pipeline.run(spark, SF).collect()
     decoder = pieces.Encoder(rate=0.0)
