@@ -283,8 +283,8 @@ def bitmap(keys: DataFrame) -> np.ndarray:
     return out
 
 
-DOCS = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("tokens", pa.binary())])
-DOCS_DDL = "row long, doc_id long, key long, n long, tokens binary"
+DOCS = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("text_key", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("tokens", pa.binary())])
+DOCS_DDL = "row long, doc_id long, text_key long, key long, n long, tokens binary"
 
 
 def spots(keys: list[int] | np.ndarray) -> np.ndarray:
@@ -313,17 +313,17 @@ def classes(docs: DataFrame, wanted) -> DataFrame:
             inside = (bits[spot >> U(3)] >> (spot & U(7)).astype(np.uint8)) & 1
 
             def rows() -> Iterator[tuple]:
-                for row, i, key, tokens, maybe in zip(part.column(2).to_pylist(), part.column(0).to_pylist(), keys, sets, inside.tolist(), strict=True):
+                for row, i, text_key, key, tokens, maybe in zip(*(part.column(c).to_pylist() for c in (2, 0, 3)), keys, sets, inside.tolist(), strict=True):
                     send = maybe and len(tokens) and key not in sent
                     if send:
                         sent.add(key)
-                    yield row, i, key if len(tokens) else None, len(tokens), tokens.tobytes() if send else None
+                    yield row, i, text_key, key if len(tokens) else None, len(tokens), tokens.tobytes() if send else None
 
-            yield from common.batches(DOCS, rows(), weigh=lambda r: len(r[4] or b""))
+            yield from common.batches(DOCS, rows(), weigh=lambda r: len(r[5] or b""))
             if len(sent) > 1_000_000:
                 sent.clear()
 
-    return _texts(docs).withColumn("row", F.monotonically_increasing_id()).mapInArrow(find, DOCS_DDL)
+    return _texts(docs).withColumns({"row": F.monotonically_increasing_id(), "text_key": F.xxhash64("text")}).mapInArrow(find, DOCS_DDL)
 
 
 def _tokens(blob: pa.Scalar) -> np.ndarray:
@@ -416,6 +416,21 @@ def blocked(members: DataFrame) -> DataFrame:
 
 def near_components(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of docs(doc_id, text)."""
+    return near_rows(docs).select("doc_id", "n_shingles", "component_id")
+
+
+def surplus(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_key) of the rows that go if one of each component stays: the one with the smallest doc_id, then text_key
+    (the text's xxhash64); a null doc_id comes last. Rows without words are components of their own."""
+    found = common.stored(near_rows(docs).where("label IS NOT NULL").select("doc_id", "text_key", "label"), "near-rows")
+    one = found.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key")).alias("one"))
+    stays = F.col("doc_id").eqNullSafe(F.col("one.doc_id")) & (F.col("text_key") == F.col("one.text_key"))
+    return found.join(one, "label").where(~stays).select("doc_id", "text_key").distinct()
+
+
+def near_rows(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_key, n_shingles, component_id, label) for every row of docs(doc_id, text); label tells components apart
+    where doc_ids repeat, and is null for an empty set."""
     spark = common.prepare(docs.sparkSession)
     buckets = common.n_parts(spark)
     counts = common.stored(frequencies(docs, buckets), "near-frequent")
@@ -450,9 +465,9 @@ def near_components(docs: DataFrame) -> DataFrame:
     least = own.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("least"))
     named = common.stored(least.join(label.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key")), "near-named")
     names = named.groupBy("label").agg(F.min("least").alias("component_id"))
-    names = named.select("key", "label").join(names, "label").select("key", "component_id")
-    out = own.where("key IS NOT NULL").join(names, "key").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return out.union(own.where("key IS NULL").select("doc_id", "n", "doc_id"))
+    names = named.select("key", "label").join(names, "label")
+    out = own.where("key IS NOT NULL").join(names, "key").select("doc_id", "text_key", F.col("n").alias("n_shingles"), "component_id", "label")
+    return out.union(own.where("key IS NULL").select("doc_id", "text_key", "n", "doc_id", F.lit(None).cast("long")))
 
 
 def op4_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:

@@ -219,19 +219,19 @@ def line_words(line):
 
 
 def repeated_runs(texts, least=10):
-    """Per text the lines of every run that began in an earlier place, all runs being looked at: what may go at most."""
+    """Per text its lines, and those of every run of `least` words or more that stood in an earlier place."""
     seen, out = {}, []
     for d, t in enumerate(texts):
         own = cut_lines(t or "")
         gone = set()
+        size = [0, *itertools.accumulate(map(line_words, own))]
         for i in range(len(own)):
             for j in range(i + 1, len(own) + 1):
-                if sum(map(line_words, own[i:j])) >= least and own[i].strip() and own[j - 1].strip():
+                if size[j] - size[i] >= least and own[i].strip() and own[j - 1].strip():
                     body = "".join(own[i:j]).strip()
                     e, past = seen.setdefault(body, (d, j))
                     if e != d or past <= i:
                         gone |= set(range(i, j))
-                    break  # a longer run holds this one
         out.append((own, gone))
     return out
 

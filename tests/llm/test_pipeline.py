@@ -2,14 +2,40 @@
 
 from __future__ import annotations
 
+import random
+
 import corpus_pipeline
 import pandas as pd
 
 from kerbside.llm import decontaminate, pieces
 
-from .test_operators import brute_components, brute_lines
+from .test_operators import brute_components, prose, repeated_runs
 
 SF = "/root/testdata/sf0.001"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def brute_lines(texts):
+    return [("".join(x for i, x in enumerate(own) if i not in gone) if gone else t, len(gone)) for t, (own, gone) in zip(texts, repeated_runs(texts), strict=True)]
+
+
+def test_repeated_ids_lose_no_text(spark):
+    rng = random.Random(1)
+    a, b, c = (prose(rng, 30) for _ in range(3))
+    rows = [(1, a), (2, a), (2, b), (None, a), (None, c), (2, c), (3, ""), (4, ""), (5, None), (6, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOCS)
+    kept = corpus_pipeline.ngram_jaccard(spark, docs, SF).collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept) == sorted([(1, a), (2, b), (2, c), (3, ""), (4, ""), (5, ""), (6, "")])
+
+
+def test_stages_take_odd_tables(spark):
+    texts = [None, "", " ", "one", "e" * 40_000, "a b c d e f g h i j k l. " * 3]
+    odd = spark.createDataFrame([(None if i == 3 else i, t, None if i == 2 else "en", None, None) for i, t in enumerate([*texts, *texts])], DOCS)
+    for docs in (odd, odd.limit(0)):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, SF)
+            assert name == "sentencepiece" or out.columns == docs.columns
+            docs = spark.createDataFrame(out.collect(), out.schema)
 
 
 def test_pipeline(spark):
