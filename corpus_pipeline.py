@@ -11,11 +11,16 @@ from pyspark.sql import functions as F
 
 from kerbside.llm import common, decontaminate, langid, lines, near, pieces
 
+#: The score of the best language, below which a document is rejected: clean documents of check size score 0.45 or more.
+LEAST_SCORE = 0.35
+
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language (null text, or no letter in it) go. Learns from the labels of docs."""
+    """Documents without a language (null text, or no letter in it) go, and those whose best language scores below
+    LEAST_SCORE, which no learned language fits. Learns from the labels of docs."""
+    columns = docs.columns
     out = langid.identify(docs)
-    return out.where(F.col("lang_pred") != langid.UNKNOWN).select(docs.columns)
+    return out.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,10 +30,11 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of near copies stays; rows that repeat a doc_id are one document."""
-    found = near.near_components(docs.select("doc_id", "text"))
-    gone = common.stored(found.where("doc_id <> component_id").select("doc_id").distinct(), "pipeline-gone")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """One document of each group of near copies stays, that with the smallest doc_id; rows that repeat both a doc_id and its
+    text are one document, others that repeat a doc_id are judged by their text."""
+    gone = common.stored(near.surplus(docs.select("doc_id", "text")), "pipeline-gone").withColumnRenamed("doc_id", "gone_id")
+    same = docs["doc_id"].cast("long").eqNullSafe(gone["gone_id"]) & (F.xxhash64(docs["text"].cast("string")) == gone["text_key"])
+    return docs.join(gone, same, "left_anti")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
