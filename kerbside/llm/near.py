@@ -472,3 +472,20 @@ def near_rows(docs: DataFrame) -> DataFrame:
 
 def op4_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
     return near_components(common.table(spark, sf_dir, "documents"))
+
+
+#: DuckDB's rows: shingles as strings, every pair that shares one, components by closure.
+SQL = r"""WITH RECURSIVE words AS (
+    SELECT doc_id, list_filter(string_split_regex(translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
+    FROM documents),
+  sets AS (
+    SELECT doc_id, list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+      WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s
+    FROM words),
+  tokens AS (SELECT doc_id, len(s) AS n, UNNEST(s) AS token FROM sets),
+  pairs AS (
+    SELECT a.doc_id AS a, b.doc_id AS b FROM tokens a JOIN tokens b ON a.token = b.token AND a.doc_id < b.doc_id
+    GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * COUNT(*) >= 80 * (a.n + b.n - COUNT(*))),
+  links AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),
+  reach(doc_id, other) AS (SELECT doc_id, doc_id FROM sets UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON l.a = r.other)
+SELECT r.doc_id, CAST(MIN(len(s)) AS BIGINT) AS n_shingles, MIN(r.other) AS component_id FROM reach r JOIN sets ON sets.doc_id = r.doc_id GROUP BY r.doc_id"""

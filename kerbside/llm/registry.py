@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat
+from . import chat, near, warc
 from .chat import op3_chat_format
 from .decontaminate import op2_benchmark_decontamination
 from .langid import op6_language_id
@@ -29,4 +29,4 @@ QUERIES = {
         op10_line_dedup,
     )
 }
-SQL: dict[str, str] = {"op3_chat_format": chat.SQL}
+SQL: dict[str, str] = {"op3_chat_format": chat.SQL, "op4_ngram_jaccard_join": near.SQL, "op8_warc": warc.SQL}

@@ -292,3 +292,18 @@ def archive(pages: DataFrame) -> DataFrame:
 
 def op8_warc(spark, sf_dir: str) -> DataFrame:
     return archive(common.table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+_BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+#: DuckDB's rows: five hex digits of a digest make four base32 digits.
+SQL = rf"""WITH typed AS (
+    SELECT page_id, COALESCE(html, '') AS html, COALESCE(url, '') AS url, sha1(COALESCE(html, '')) AS hex, MIN(page_id) OVER (PARTITION BY COALESCE(html, '')) AS first FROM pages),
+  parts AS (SELECT *, regexp_extract(url, '(?s)^[^:/?#]*://([^/?#]*)([^#]*)', 1) AS authority, regexp_extract(url, '(?s)^[^:/?#]*://([^/?#]*)([^#]*)', 2) AS rest,
+    list_transform(range(0, 8), lambda g: list_reduce(list_transform(range(1, 6), lambda k: instr('0123456789abcdef', substr(hex, 5 * g + k, 1)) - 1), lambda x, y: x * 16 + y)) AS five FROM typed),
+  hosts AS (SELECT *, regexp_replace(regexp_replace(lower(regexp_replace(authority, '(?s)^.*@', '')), ':(80|443)?$', ''), '^www[.]', '') AS host FROM parts)
+SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(five, lambda v: array_to_string(list_transform(range(0, 4), lambda k: substr('{_BASE32}', CAST(v // CAST(POWER(32, 3 - k) AS BIGINT) % 32 + 1 AS BIGINT), 1)), '')), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to,
+  CASE WHEN regexp_matches(url, '^[^:/?#]*://') THEN array_to_string(list_reverse(string_split(host, '.')), ',') || ')' || CASE WHEN rest = '' THEN '/' ELSE lower(rest) END
+    WHEN url = '' THEN '-' ELSE lower(url) END AS url_key,
+  CAST(ABS(page_id) % (10 * 365 * 86400) AS BIGINT) AS ts FROM hosts"""
