@@ -78,7 +78,8 @@ def sample(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
     first = lambda df: df.withColumn("r", rank).where(F.col("r") <= PER_LANGUAGE)
     bounds = first(labelled.select("lang", "h")).groupBy("lang").agg(F.max("h").alias("bound"))  # hashes travel, not texts
-    chosen = first(labelled.join(bounds, "lang").where("h <= bound")).select("lang", "text")
+    # A row for each language is broadcast; the model that every task gets holds a vector of weights for each pair of them.
+    chosen = first(labelled.join(F.broadcast(bounds), "lang").where("h <= bound")).select("lang", "text")
 
     def reduce(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
