@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from kerbside.llm import common, decontaminate, langid, lines, near, pieces
 
-#: The score of the best language, below which a document is rejected: clean documents of check size score 0.45 or more.
-LEAST_SCORE = 0.35
+#: The score of the best language, below which a document is rejected: chance among four languages.
+LEAST_SCORE = 0.25
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
