@@ -294,7 +294,17 @@ BORO = "SELECT CAST(c_custkey AS BIGINT) AS id, CASE c_custkey % 6 WHEN 0 THEN '
 @query("borough_code", f"""SELECT id, CAST(CASE LOWER(REGEXP_REPLACE(boro, '[ _-]', '', 'g')) WHEN 'manhattan' THEN 1 WHEN 'bronx' THEN 2 WHEN 'brooklyn' THEN 3 WHEN 'queens' THEN 4 WHEN 'statenisland' THEN 5 END AS BIGINT) AS code,
   CAST(FLOOR(bin / 1000000) AS BIGINT) AS digit FROM ({BORO}) q""")
 def borough_code(t: Tables) -> DataFrame:
-    return t.sql(BORO).select("id", scalar.borough_code("boro").alias("code"), F.left(F.col("bin").cast("string"), F.lit(1)).cast("long").alias("digit"))
+    return t.sql(BORO).select("id", scalar.borough_code("boro").alias("code"), bin_digit("bin").alias("digit"))
+
+
+def bin_digit(number) -> Column:
+    """The first digit of a building number, which is its borough."""
+    return F.left(geo.col(number).cast("string"), F.lit(1)).cast("long")
+
+
+@query("bin_digit", f"SELECT id, CAST(SUBSTR(CAST(bin AS VARCHAR), 1, 1) AS BIGINT) AS digit, CAST(SUBSTR(CAST(bin AS VARCHAR), 1, 1) AS BIGINT) = 1 AS kept FROM ({BORO}) q")
+def bin_digits(t: Tables) -> DataFrame:
+    return t.sql(BORO).select("id", bin_digit("bin").alias("digit"), (bin_digit("bin") == 1).alias("kept"))
 
 
 @query("normalize_name", "SELECT CAST(p_partkey AS BIGINT) AS id, LOWER(REGEXP_REPLACE(p_name, '[^A-Za-z0-9]', '', 'g')) AS name FROM part")
@@ -330,16 +340,31 @@ HIGHWAYS = ("primary", "secondary", "residential", "footway")
 
 @query("highway_keep", """SELECT CAST(o_orderkey AS BIGINT) AS id, o_orderkey % 5 < 4 AS keep, o_orderkey % 7 = 1 OR (o_orderkey % 7 <> 2 AND o_orderkey % 5 < 3 AND o_orderkey % 3 <> 0) AS drive FROM orders""")
 def highway_keep(t: Tables) -> DataFrame:
+    return tagged_ways(t).select("id", F.col("tags")["highway"].isin(*HIGHWAYS).alias("keep"), drive_allowed("tags").alias("drive"))
+
+
+@query("drive_allowed", """SELECT highway, access, motor, COUNT(*) AS ways, motor = 'yes' OR (motor <> 'no' AND highway IN ('primary', 'secondary', 'residential') AND access <> 'private') AS drive FROM (
+  SELECT CASE o_orderkey % 5 WHEN 0 THEN 'primary' WHEN 1 THEN 'secondary' WHEN 2 THEN 'residential' WHEN 3 THEN 'footway' ELSE 'proposed' END AS highway,
+    CASE WHEN o_orderkey % 3 = 0 THEN 'private' ELSE 'yes' END AS access, CASE o_orderkey % 7 WHEN 1 THEN 'yes' WHEN 2 THEN 'no' ELSE '' END AS motor FROM orders) q GROUP BY 1, 2, 3""")
+def drive_by_tags(t: Tables) -> DataFrame:
+    ways = tagged_ways(t).select(F.col("tags")["highway"].alias("highway"), F.col("tags")["access"].alias("access"), F.col("tags")["motor_vehicle"].alias("motor"), drive_allowed("tags").alias("drive"))
+    return ways.groupBy("highway", "access", "motor", "drive").agg(F.count("*").alias("ways"))
+
+
+def drive_allowed(tags) -> Column:
+    """Whether cars may use a way: by its own tag for motor vehicles, else by its kind and access."""
+    t = geo.col(tags)
+    motor = t["motor_vehicle"]
+    return (motor == "yes") | ((motor != "no") & t["highway"].isin(*HIGHWAYS[:3]) & ~t["access"].isin("private", "no"))
+
+
+def tagged_ways(t: Tables) -> DataFrame:
     tags = F.create_map(
         F.lit("highway"), F.element_at(F.array(*map(F.lit, (*HIGHWAYS, "proposed"))), (F.col("o_orderkey") % 5 + 1).cast("int")),
         F.lit("access"), F.when(F.col("o_orderkey") % 3 == 0, "private").otherwise("yes"),
         F.lit("motor_vehicle"), F.when(F.col("o_orderkey") % 7 == 1, "yes").when(F.col("o_orderkey") % 7 == 2, "no").otherwise(""),
     )
-    ways = t.orders.select(F.col("o_orderkey").cast("long").alias("id"), tags.alias("tags"))
-    keep = F.col("tags")["highway"].isin(*HIGHWAYS)
-    motor = F.col("tags")["motor_vehicle"]
-    drive = (motor == "yes") | ((motor != "no") & F.col("tags")["highway"].isin(*HIGHWAYS[:3]) & ~F.col("tags")["access"].isin("private", "no"))
-    return ways.select("id", keep.alias("keep"), drive.alias("drive"))
+    return t.orders.select(F.col("o_orderkey").cast("long").alias("id"), tags.alias("tags"))
 
 
 @query("alpr_heading", "SELECT CAST(s_suppkey AS BIGINT) AS id, CASE WHEN s_suppkey % 4 = 0 THEN NULL ELSE CAST(s_suppkey * 53 % 360 AS DOUBLE) END AS heading FROM supplier")
@@ -375,6 +400,12 @@ def heat_norm(t: Tables) -> DataFrame:
     return n.crossJoin(F.broadcast(n.agg(F.max("n").alias("top")))).select("zone_id", F.round(F.col("n") / F.col("top"), 8).alias("heat"), F.round(scalar.coverage_norm("n"), 8).alias("coverage"))
 
 
+@query("coverage_norm", "SELECT k AS covered, ROUND(GREATEST(0.0e0, LEAST(1.0e0, LN(1 + k) / LN(76.0e0))), 8) AS shade FROM (SELECT DISTINCT CAST(o_orderkey % 120 AS DOUBLE) AS k FROM orders) q")
+def coverage_shade(t: Tables) -> DataFrame:
+    k = t.orders.select(F.expr("CAST(o_orderkey % 120 AS DOUBLE)").alias("covered")).distinct()
+    return k.select("covered", F.round(scalar.coverage_norm("covered"), 8).alias("shade"))
+
+
 @query("ellipsize", "SELECT CAST(p_partkey AS BIGINT) AS id, CASE WHEN LENGTH(p_name) > 12 THEN CONCAT(LEFT(p_name, 11), '…') ELSE p_name END AS txt FROM part")
 def ellipsize(t: Tables) -> DataFrame:
     return t.part.select(F.col("p_partkey").cast("long").alias("id"), scalar.ellipsize("p_name", 12).alias("txt"))
