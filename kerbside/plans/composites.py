@@ -9,7 +9,7 @@ from kerbside.functions import geo, scalar
 from kerbside.operators import exposure, graph, sequence, spatial
 
 from . import aggregates as ag
-from .joins import PIP, SITES, sites
+from .joins import CC, PIP, SITES, clusters, sites
 from .registry import query
 from .scalars import COVERED, curve_sql
 from .sequences import STRETCH, VISITS, fresh_entries, replicated
@@ -121,11 +121,12 @@ def q_neighborhood_live(t: Tables) -> DataFrame:
     return d.crossJoin(F.broadcast(ag.index_range(d, "density"))).select("zone_id", F.round("density", 6).alias("density"), F.round(geo.clamp((F.col("density") - F.col("lo")) / F.greatest(F.col("hi") - F.col("lo"), F.lit(1e-9)), 0.0, 1.0), 6).alias("shade"))
 
 
-@query("q_institutions", f"SELECT facility_id, cameras, CAST(ROW_NUMBER() OVER (ORDER BY cameras DESC, name, facility_id) AS BIGINT) AS rank FROM (SELECT f.facility_id, f.name, COUNT(DISTINCT s.sensor_id) AS cameras FROM ({SITES}) f LEFT JOIN v_sensors s ON (s.x - f.sx) ** 2 + (s.y - f.sy) ** 2 <= 40000.0e0 GROUP BY 1, 2) q")
+@query("q_institutions", f"SELECT facility_id, cameras, CAST(ROW_NUMBER() OVER (ORDER BY cameras DESC, name, facility_id) AS BIGINT) AS rank FROM (SELECT f.facility_id, f.name, COUNT(DISTINCT s.component) AS cameras FROM ({SITES}) f LEFT JOIN (SELECT v.x, v.y, c.component FROM v_sensors v JOIN ({CC}) c ON c.node_id = v.sensor_id) s ON (s.x - f.sx) ** 2 + (s.y - f.sy) ** 2 <= 40000.0e0 GROUP BY 1, 2) q")
 def q_institutions(t: Tables) -> DataFrame:
-    """Every institution, ranked by the groups within 200 m; those with none come last. Ranks are two-level: within the parts
+    """Every institution, ranked by the groups (sensors of different kinds within 15 m are one device) that have a member
+    within 200 m; those with none come last. Ranks are two-level: within the parts
     of a range-partitioned sort, which is written first so that parts stay as they are, and over the parts' counts."""
-    n = spatial.within(own_groups(t).withColumnsRenamed({"ax": "x", "ay": "y"}), sites(t), 200.0).select("facility_id", "grp").distinct().groupBy("facility_id").agg(F.count("*").alias("n"))
+    n = spatial.within(exposure.grouped(t.sensors, clusters(t)), sites(t), 200.0).select("facility_id", "grp").distinct().groupBy("facility_id").agg(F.count("*").alias("n"))
     all_ = sites(t).select("facility_id", "name").join(n, "facility_id", "left").withColumn("cameras", F.coalesce("n", F.lit(0)))
     at = graph.checkpointed(all_.orderBy(F.desc("cameras"), "name", "facility_id").select("facility_id", "cameras", F.monotonically_increasing_id().alias("at")))
     at = at.select("facility_id", "cameras", F.shiftright("at", 33).alias("part"), F.expr("at & 8589934591").alias("inside"))

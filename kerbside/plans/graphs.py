@@ -9,7 +9,7 @@ from kerbside.functions import geo, scalar
 from kerbside.operators import geometry, graph, sequence, spatial
 
 from .composites import HOPS, flood_fill, raster
-from .joins import CLOSED, PAIRS, near_pairs, not_colinear
+from .joins import CC, CLOSED, clusters, not_colinear
 from .registry import query
 from .scalars import r
 from .views import Tables
@@ -198,13 +198,6 @@ def stitched(paths: DataFrame, pairs: DataFrame) -> DataFrame:
     return first.union(q.select("pair_id", (F.col("seq") + 1).alias("seq"), end("x1", "x0").alias("x"), end("y1", "y0").alias("y")))
 
 
-CC = "WITH RECURSIVE e AS (SELECT a, b FROM ({P}) p UNION ALL SELECT b, a FROM ({P}) q), walk AS (SELECT sensor_id AS node_id, sensor_id AS r FROM v_sensors UNION SELECT w.node_id, e.b FROM walk w JOIN e ON e.a = w.r) SELECT node_id, MIN(r) AS component FROM walk GROUP BY node_id".replace("{P}", PAIRS)
-
-
-def clusters(t: Tables) -> DataFrame:
-    return graph.components(t.sensors.select(F.col("sensor_id").alias("node_id")), near_pairs(t.sensors, 15.0))
-
-
 @query("graph_components", CC)
 def graph_components(t: Tables) -> DataFrame:
     return clusters(t)

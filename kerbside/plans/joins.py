@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kerbside.functions import geo
-from kerbside.operators import geometry, sequence, spatial
+from kerbside.operators import geometry, graph, sequence, spatial
 
 from .registry import query
 from .scalars import COVERED, RING_EDGES
@@ -192,6 +192,14 @@ def near_pairs(sensors: DataFrame, radius: float) -> DataFrame:
     return spatial.within(mine, other, radius, also=(F.col("a") < F.col("b")) & (F.col("kind") != F.col("kind_b"))).select("a", "b")
 
 
+CC = "WITH RECURSIVE e AS (SELECT a, b FROM ({P}) p UNION ALL SELECT b, a FROM ({P}) q), walk AS (SELECT sensor_id AS node_id, sensor_id AS r FROM v_sensors UNION SELECT w.node_id, e.b FROM walk w JOIN e ON e.a = w.r) SELECT node_id, MIN(r) AS component FROM walk GROUP BY node_id".replace("{P}", PAIRS)
+
+
+def clusters(t: Tables) -> DataFrame:
+    """(node_id, component): sensors of different kinds within 15 m of each other are one device."""
+    return graph.components(t.sensors.select(F.col("sensor_id").alias("node_id")), near_pairs(t.sensors, 15.0))
+
+
 BOXES = "SELECT route_id, MIN(x) AS ax0, MIN(y) AS ay0, MAX(x) AS ax1, MAX(y) AS ay1 FROM v_route_points GROUP BY route_id"
 
 

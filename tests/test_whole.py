@@ -31,8 +31,21 @@ def test_all_ways_are_split(spark):
 def test_every_institution_is_ranked(spark):
     larger = SF.replace("0.001", "0.01")
     t = Tables(spark, larger)
-    cameras = [(s.x, s.y) for s in t.sensors.select("x", "y").collect()]
-    near = [(-sum((x - f.x) ** 2 + (y - f.y) ** 2 <= 40000.0 for x, y in cameras), f.name, f.facility_id) for f in t.facilities.select("facility_id", "name", "x", "y").collect()]
+    sensors = t.sensors.select("sensor_id", "kind", "x", "y").collect()
+    up = {s.sensor_id: s.sensor_id for s in sensors}
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for a in sensors:
+        for b in sensors:
+            if a.kind < b.kind and (a.x - b.x) ** 2 + (a.y - b.y) ** 2 <= 225.0:
+                up[root(a.sensor_id)] = root(b.sensor_id)
+    cameras = [(s.x, s.y, root(s.sensor_id)) for s in sensors]
+    assert len({c[2] for c in cameras}) < len(cameras)
+    near = [(-len({g for x, y, g in cameras if (x - f.x) ** 2 + (y - f.y) ** 2 <= 40000.0}), f.name, f.facility_id) for f in t.facilities.select("facility_id", "name", "x", "y").collect()]
     want = [(i, -n, k) for k, (n, _, i) in enumerate(sorted(near), 1)]
     got = sorted(((r.facility_id, r.cameras, r["rank"]) for r in QUERIES["q_institutions"](spark, larger).collect()), key=lambda r: r[2])
     assert got == want and len(want) > 50
