@@ -16,7 +16,8 @@ from .sequences import STRETCH, VISITS, fresh_entries, replicated
 from .views import Tables
 
 HOUR = 17.0
-GROUPED = "(SELECT *, sensor_id AS grp, kind <> 'FixedCctv' AS confirmed FROM v_sensors)"
+GROUPED = f"""(SELECT v.*, c.component AS grp, BOOL_OR(v.kind <> 'FixedCctv') OVER (PARTITION BY c.component) AS confirmed
+  FROM v_sensors v JOIN ({CC}) c ON c.node_id = v.sensor_id)"""
 MID = "SELECT edge_id, x1 AS px, y1 AS py FROM v_edges"
 CORRIDOR = "SELECT route_id, x AS sx, y AS sy FROM v_route_points"
 
@@ -26,6 +27,11 @@ def own_groups(t: Tables) -> DataFrame:
     return spatial.placed(t.sensors).withColumns({"grp": F.col("sensor_id"), "confirmed": F.col("kind") != "FixedCctv"})
 
 
+def devices(t: Tables) -> DataFrame:
+    """Sensors as wedges, grouped: those of different kinds within 15 m are one device, confirmed if any of it was surveyed."""
+    return spatial.placed(exposure.grouped(t.sensors, clusters(t)))
+
+
 def corridor(t: Tables) -> DataFrame:
     return t.sql(CORRIDOR).select("sx", "sy")
 
@@ -68,13 +74,13 @@ def q_grid_heatmap(t: Tables) -> DataFrame:
 
 
 WALK = f"SELECT route_id, CAST(k AS BIGINT) AS tick, LEAST(k * 1.0e0, d) AS t, CASE WHEN k < CEIL(d) THEN 1.0e0 ELSE d - (CEIL(d) - 1) END AS weight, x0 + (x1 - x0) * (a - a0) / (a1 - a0) AS px, y0 + (y1 - y0) * (a - a0) / (a1 - a0) AS py FROM (SELECT s.*, k, total / 1.34e0 AS d, LEAST(LEAST(k * 1.0e0, total / 1.34e0) * 1.34e0, total) AS a FROM ({STRETCH}) s CROSS JOIN (SELECT UNNEST(RANGE(0, 400)) AS k) n WHERE a1 IS NOT NULL AND k <= CEIL(total / 1.34e0)) q WHERE a >= a0 AND (a < a1 OR (a1 = total AND a <= a1))"
-SEEN = f"SELECT * FROM (SELECT w.*, s.* FROM ({WALK}) w JOIN v_sensors s ON ABS(w.px - s.x) <= 30 AND ABS(w.py - s.y) <= 30) q WHERE {COVERED}"
+SEEN = f"SELECT * FROM (SELECT w.*, s.* FROM ({WALK}) w JOIN {GROUPED} s ON ABS(w.px - s.x) <= 30 AND ABS(w.py - s.y) <= 30) q WHERE {COVERED}"
 
 
 @query("q_route_exposure", f"""SELECT d.route_id, d.devices, ROUND(d.frames, 3) AS frames, ROUND(g.grouped, 6) AS grouped FROM (SELECT route_id, COUNT(DISTINCT sensor_id) AS devices, SUM(frame_rate * weight) AS frames FROM ({SEEN}) s GROUP BY route_id) d
-  JOIN (SELECT route_id, SUM(CASE WHEN kind <> 'FixedCctv' THEN 1.0e0 ELSE 1.0e0 / 0.63e0 END) AS grouped FROM (SELECT DISTINCT route_id, sensor_id, kind FROM ({SEEN}) s) q GROUP BY route_id) g ON g.route_id = d.route_id""")
+  JOIN (SELECT route_id, SUM(CASE WHEN confirmed THEN 1.0e0 ELSE 1.0e0 / 0.63e0 END) AS grouped FROM (SELECT DISTINCT route_id, grp, confirmed FROM ({SEEN}) s) q GROUP BY route_id) g ON g.route_id = d.route_id""")
 def q_route_exposure(t: Tables) -> DataFrame:
-    seen = spatial.captures(exposure.walk_ticks(t.route_points, "route_id"), own_groups(t), 30.0)
+    seen = spatial.captures(exposure.walk_ticks(t.route_points, "route_id"), devices(t), 30.0)
     return exposure.tally(seen, ["route_id"]).select("route_id", "devices", F.round("frames", 3).alias("frames"), F.round("grouped", 6).alias("grouped"))
 
 
@@ -89,14 +95,14 @@ HOPS = """WITH RECURSIVE adj AS (SELECT from_id AS a, to_id AS b FROM v_edges UN
   hop AS (SELECT CAST(220 AS BIGINT) AS node_id, 0 AS d UNION SELECT b, d + 1 FROM hop JOIN adj ON a = node_id WHERE d < 4), reached AS (SELECT DISTINCT node_id FROM hop)"""
 
 
-@query("q_walkshed_exposure", f"""{HOPS} SELECT COUNT(DISTINCT sensor_id) AS raw, ROUND(SUM(CASE WHEN kind <> 'FixedCctv' THEN 1.0e0 ELSE 1.0e0 / 0.63e0 END), 6) AS corrected FROM (SELECT DISTINCT sensor_id, kind FROM
-  (SELECT * FROM (SELECT x0 AS px, y0 AS py FROM v_edges WHERE from_id IN (SELECT node_id FROM reached) AND to_id IN (SELECT node_id FROM reached) UNION SELECT x1, y1 FROM v_edges WHERE from_id IN (SELECT node_id FROM reached) AND to_id IN (SELECT node_id FROM reached)) p JOIN v_sensors s ON ABS(p.px - s.x) <= 30 AND ABS(p.py - s.y) <= 30) q WHERE {COVERED}) d""")
+@query("q_walkshed_exposure", f"""{HOPS} SELECT COUNT(DISTINCT grp) AS raw, ROUND(SUM(CASE WHEN confirmed THEN 1.0e0 ELSE 1.0e0 / 0.63e0 END), 6) AS corrected FROM (SELECT DISTINCT grp, confirmed FROM
+  (SELECT * FROM (SELECT x0 AS px, y0 AS py FROM v_edges WHERE from_id IN (SELECT node_id FROM reached) AND to_id IN (SELECT node_id FROM reached) UNION SELECT x1, y1 FROM v_edges WHERE from_id IN (SELECT node_id FROM reached) AND to_id IN (SELECT node_id FROM reached)) p JOIN {GROUPED} s ON ABS(p.px - s.x) <= 30 AND ABS(p.py - s.y) <= 30) q WHERE {COVERED}) d""")
 def q_walkshed_exposure(t: Tables) -> DataFrame:
-    """Groups that cover the first, middle or last vertex of an edge within 400 m of node 220."""
+    """Groups that cover an end of an edge within 400 m of node 220; the edges here have two vertices, so the middle one is the last."""
     start = t.spark.sql("SELECT 0L AS source, 220L AS node_id")
     kept = t.edges.join(graph.isochrone_edges(t.edges, graph.reach(t.edges, start, 400.0)), "edge_id")
     ends = kept.select(F.explode(F.array(F.struct(F.col("x0").alias("px"), F.col("y0").alias("py")), F.struct(F.col("x1").alias("px"), F.col("y1").alias("py")))).alias("p")).select("p.*").distinct()
-    seen = spatial.captures(ends, own_groups(t), 30.0).select("grp", "confirmed").distinct()
+    seen = spatial.captures(ends, devices(t), 30.0).select("grp", "confirmed").distinct()
     return seen.agg(F.count("*").alias("raw"), F.round(F.sum(F.when(F.col("confirmed"), 1.0).otherwise(1 / exposure.RECALL)), 6).alias("corrected"))
 
 
