@@ -33,8 +33,7 @@ def rates(hour, corridor: Column, zone: Column, robot_score: Column, tesla_densi
 def fixed_rate(points: DataFrame, sensors: DataFrame, key: str, reach: float, factor: float = 1 / RECALL) -> DataFrame:
     """(key, fixed) of points(key, px, py): distinct groups with a capturing member, one for a confirmed group, the factor
     for another. sensors carry grp and confirmed."""
-    seen = spatial.captures(points, sensors, reach).select(key, "grp", "confirmed").distinct()
-    groups = seen.groupBy(key, "grp").agg(F.bool_or("confirmed").alias("ok"))
+    groups = spatial.captures(points, sensors, reach).groupBy(key, "grp").agg(F.bool_or("confirmed").alias("ok"))
     return groups.groupBy(key).agg(F.sum(F.when(F.col("ok"), 1.0).otherwise(factor)).alias("fixed"))
 
 
@@ -44,8 +43,12 @@ def heatmap(points: DataFrame, key: str, sensors: DataFrame, corridor: DataFrame
     corridor(sx, sy) are points along bus corridors; zones(ring, box, intensity) is the dashcam field, 1 outside."""
     fixed = fixed_rate(points, sensors, key, reach)
     near = spatial.within(points, corridor, ACE_REACH_M, ("px", "py"), how="left_semi").select(key, F.lit(True).alias("near"))
-    field = spatial.in_polygons(points, zones, zone_size, ("px", "py")).groupBy(key).agg(F.min_by("intensity", "zone_id").alias("zone"))
-    all_ = points.select(key).join(fixed, key, "left").join(near, key, "left").join(field, key, "left")
+    field = spatial.in_polygons(points, zones, zone_size, ("px", "py")).select(key, "zone_id", "intensity")
+    # the facets are laid one under another and meet in one aggregate by key, not in a join for each
+    facets = points.select(key)
+    for facet in (fixed, near, field):
+        facets = facets.unionByName(facet, allowMissingColumns=True)
+    all_ = facets.groupBy(key).agg(F.max("fixed").alias("fixed"), F.bool_or("near").alias("near"), F.min_by("intensity", "zone_id").alias("zone"))
     rate = rates(F.lit(float(hour)), F.coalesce("near", F.lit(False)), F.coalesce("zone", F.lit(1.0)), F.lit(ROBOT_NO_FIELD), F.lit(1.0))
     return all_.select(key, F.coalesce("fixed", F.lit(0.0)).alias("fixed"), *(c.alias(n) for n, c in rate.items()))
 
@@ -60,19 +63,26 @@ def walk_ticks(route: DataFrame, key: str, speed: float = WALK_MPS) -> DataFrame
 
 def mobile_integral(ticks: DataFrame, key: str, departure: float, corridor: DataFrame) -> DataFrame:
     """(key, ace, ..., tesla): the rates summed over ticks; `weight` is a tick's seconds, hours follow the walk."""
-    near = spatial.within(ticks.select(key, "tick", "px", "py"), corridor, ACE_REACH_M, ("px", "py"), how="left_semi").select(key, "tick", F.lit(True).alias("near"))
+    near = [spatial.within(ticks, corridor, ACE_REACH_M, ("px", "py"), how=how).withColumn("near", F.lit(how == "left_semi")) for how in ("left_semi", "left_anti")]
     hour = F.lit(departure) + F.col("t") / 3600
-    rate = rates(hour, F.coalesce("near", F.lit(False)), F.lit(1.0), F.lit(ROBOT_NO_FIELD), F.lit(1.0))
-    return ticks.join(near, [key, "tick"], "left").groupBy(key).agg(*(F.sum(c / 60 * F.col("weight")).alias(n) for n, c in rate.items()))
+    rate = rates(hour, F.col("near"), F.lit(1.0), F.lit(ROBOT_NO_FIELD), F.lit(1.0))
+    return near[0].unionByName(near[1]).groupBy(key).agg(*(F.sum(c / 60 * F.col("weight")).alias(n) for n, c in rate.items()))
 
 
 def tally(seen: DataFrame, keys: list[str], factor: float = 1 / RECALL) -> DataFrame:
     """(keys, devices, frames, covered_s, grouped) of captures(keys, tick, weight, sensor_id, kind, grp, confirmed, frame_rate)."""
-    device = seen.groupBy(*keys, "sensor_id").agg(F.sum(F.col("frame_rate") * F.col("weight")).alias("frames"))
-    device = device.groupBy(*keys).agg(F.count("*").alias("devices"), F.sum("frames").alias("frames"))
-    ticks = seen.groupBy(*keys, "tick").agg(F.first("weight").alias("w")).groupBy(*keys).agg(F.sum("w").alias("covered_s"))
-    group = seen.groupBy(*keys, "grp").agg(F.bool_or("confirmed").alias("ok")).groupBy(*keys).agg(F.sum(F.when(F.col("ok"), 1.0).otherwise(factor)).alias("grouped"))
-    return device.join(ticks, keys).join(group, keys)
+    # each capture counts for its device, its tick and its group, so that captures are computed once
+    facet = lambda i, key, value: F.struct(F.lit(i).alias("facet"), F.col(key).cast("long").alias("id"), value.alias("value"))
+    facets = F.array(facet(0, "sensor_id", F.col("frame_rate") * F.col("weight")), facet(1, "tick", F.col("weight")), facet(2, "grp", F.lit(0.0)))
+    rows = seen.select(*keys, "confirmed", F.explode(facets).alias("f")).groupBy(*keys, "f.facet", "f.id")
+    one = rows.agg(F.sum("f.value").alias("total"), F.max("f.value").alias("weight"), F.bool_or("confirmed").alias("ok"))
+    of = lambda i, value: F.when(F.col("facet") == i, value)
+    return one.groupBy(*keys).agg(
+        F.count(of(0, F.col("id"))).alias("devices"),
+        F.sum(of(0, F.col("total"))).alias("frames"),
+        F.sum(of(1, F.col("weight"))).alias("covered_s"),
+        F.sum(of(2, F.when(F.col("ok"), 1.0).otherwise(factor))).alias("grouped"),
+    )
 
 
 def grouped(sensors: DataFrame, labels: DataFrame) -> DataFrame:

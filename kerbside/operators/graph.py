@@ -45,18 +45,18 @@ def adjacency(edges: DataFrame, *costs: str) -> DataFrame:
 def reach(edges: DataFrame, sources: DataFrame, budget: float, cost: str = "length_m", most_rounds: int = 10_000) -> DataFrame:
     """(source, node_id, cost): least cost from each source(source, node_id) to the nodes within budget.
 
-    Each round relaxes the frontier's edges by an equi-join and keeps the least cost of a (source, node) by an aggregate."""
+    Each round relaxes the frontier's edges by an equi-join and keeps the least cost of a (source, node) by an aggregate, which
+    also tells what became cheaper: that is the next frontier. A round is one checkpoint."""
     adj = adjacency(edges, cost)
-    best = checkpointed(sources.select("source", "node_id", F.lit(0.0).alias("cost")))
-    frontier = best
+    best = checkpointed(sources.select("source", "node_id", F.lit(0.0).alias("cost"), F.lit(True).alias("fresh")))
     for _ in range(most_rounds):
+        frontier = best.where("fresh").select("source", "node_id", "cost")
         step = frontier.join(adj, F.col("node_id") == F.col("src")).select("source", F.col("dst").alias("node_id"), (F.col("cost") + F.col(cost)).alias("cost")).where(F.col("cost") <= budget)
-        step = step.groupBy("source", "node_id").agg(F.min("cost").alias("cost"))
-        old = best.withColumnRenamed("cost", "old")
-        frontier = checkpointed(step.join(old, ["source", "node_id"], "left").where("old IS NULL OR cost < old").select("source", "node_id", "cost"))
-        if frontier.isEmpty():
-            return best
-        best = checkpointed(best.unionByName(frontier).groupBy("source", "node_id").agg(F.min("cost").alias("cost")))
+        both = best.select("source", "node_id", "cost", F.col("cost").alias("old")).unionByName(step.withColumn("old", F.lit(None).cast("double")))
+        least = both.groupBy("source", "node_id").agg(F.min("cost").alias("cost"), F.min("old").alias("old"))
+        best = checkpointed(least.select("source", "node_id", "cost", F.expr("old IS NULL OR cost < old").alias("fresh")))
+        if best.where("fresh").isEmpty():
+            return best.drop("fresh")
     raise RuntimeError("the search did not settle")
 
 
