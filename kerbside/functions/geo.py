@@ -52,7 +52,7 @@ def stateplane_to_wgs84(easting_ft, northing_ft) -> tuple[Column, Column]:
     lat = math.pi / 2 - 2 * F.atan(ts)
     for _ in range(8):
         s = F.sin(lat) * e
-        lat = math.pi / 2 - 2 * F.atan(ts * F.pow((1 - s) / (1 + s), F.lit(e / 2)))
+        lat = math.pi / 2 - 2 * F.atan(ts * F.pow(2 / (1 + s) - 1, F.lit(e / 2)))  # names s once: the tree stays small
     return F.degrees(lat), F.degrees(F.atan2(x, y) / n + l0)
 
 

@@ -325,7 +325,16 @@ def solve_n(histogram: list[tuple[int, int]], trips: int, segments: int, target:
     return high
 
 
-@query("agg_solve_n")
+#: 60 halvings of (0, 1e9): N is the share's root to far below the three digits that are kept.
+SOLVE = f"""WITH RECURSIVE h AS (SELECT c * 1.0e0 / m AS q, COUNT(*) * 1.0e0 AS k FROM (SELECT edge_id, COUNT(*) AS c FROM ({INCIDENCE}) i GROUP BY edge_id) t CROSS JOIN (SELECT COUNT(*) AS m FROM v_trips) n GROUP BY 1),
+  top AS (SELECT SUM(k) AS segments FROM h), goal AS (SELECT share, share * segments AS want FROM top CROSS JOIN (SELECT 1 / 3.0e0 AS share UNION ALL SELECT 1 / 2.0e0) s),
+  step AS (SELECT share, want, 0.0e0 AS low, 1.0e9 AS high, 0 AS i FROM goal UNION ALL
+    SELECT share, want, CASE WHEN got < want THEN mid ELSE low END, CASE WHEN got < want THEN high ELSE mid END, i + 1 FROM
+    (SELECT s.share, s.want, s.low, s.high, s.i, (s.low + s.high) / 2 AS mid, SUM(h.k * (1 - POWER(1 - h.q, (s.low + s.high) / 2))) AS got FROM step s CROSS JOIN h WHERE s.i < 60 GROUP BY ALL) g)
+  SELECT share, ROUND(high, 3) AS n FROM step WHERE i = 60"""
+
+
+@query("agg_solve_n", SOLVE)
 def agg_solve_n(t: Tables) -> DataFrame:
     h = traversal_histogram(t).collect()  # a row for each distinct count
     rows, trips = [(r["c"], r["k"]) for r in h], h[0]["m"] if h else 1

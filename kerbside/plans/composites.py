@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kerbside.functions import geo, scalar
-from kerbside.operators import exposure, graph, sequence, spatial
+from kerbside.operators import exposure, geometry, graph, sequence, spatial
 
 from . import aggregates as ag
 from .joins import CC, PIP, SITES, clusters, sites
@@ -19,7 +19,9 @@ HOUR = 17.0
 GROUPED = f"""(SELECT v.*, c.component AS grp, BOOL_OR(v.kind <> 'FixedCctv') OVER (PARTITION BY c.component) AS confirmed
   FROM v_sensors v JOIN ({CC}) c ON c.node_id = v.sensor_id)"""
 MID = "SELECT edge_id, x1 AS px, y1 AS py FROM v_edges"
-CORRIDOR = "SELECT route_id, x AS sx, y AS sy FROM v_route_points"
+CORRIDOR_STEP_M = 10.0
+CORRIDOR = f"""(SELECT DISTINCT x0 + (x1 - x0) * (k / n) AS x, y0 + (y1 - y0) * (k / n) AS y FROM
+  (SELECT *, GREATEST(1.0e0, CEIL(SQRT((x1 - x0) ** 2 + (y1 - y0) ** 2) / 10.0e0)) AS n FROM ({STRETCH}) s WHERE a1 IS NOT NULL) s JOIN (SELECT CAST(UNNEST(RANGE(0, 100)) AS DOUBLE) AS k) i ON k <= n)"""
 
 
 def own_groups(t: Tables) -> DataFrame:
@@ -33,7 +35,9 @@ def devices(t: Tables) -> DataFrame:
 
 
 def corridor(t: Tables) -> DataFrame:
-    return t.sql(CORRIDOR).select("sx", "sy")
+    """Points at most ten metres apart along each corridor, so that no middle of a long segment is missed."""
+    points = geometry.densified(sequence.segments(t.route_points, "route_id"), CORRIDOR_STEP_M)
+    return points.select(F.col("x").alias("sx"), F.col("y").alias("sy"))
 
 
 def zones(t: Tables) -> DataFrame:
@@ -51,7 +55,7 @@ def _heat_sql(points: str, key: str) -> str:
     names = ("fixed", "ace", "dashcam", "glasses", "robots", "tesla")
     return f"""SELECT {key}, {', '.join(f'ROUND({n}, 6) AS {n}' for n in names)} FROM (SELECT p.{key}, COALESCE(f.fixed, 0.0e0) AS fixed, {_rates_sql('17.0e0', 'n.near IS NOT NULL', 'COALESCE(z.zone, 1.0e0)')} FROM ({points}) p
   LEFT JOIN (SELECT {key}, SUM(CASE WHEN kind <> 'FixedCctv' THEN 1.0e0 ELSE 1.0e0 / 0.63e0 END) AS fixed FROM (SELECT * FROM ({points}) t JOIN v_sensors s ON ABS(t.px - s.x) <= 30 AND ABS(t.py - s.y) <= 30) q WHERE {COVERED} GROUP BY {key}) f ON f.{key} = p.{key}
-  LEFT JOIN (SELECT DISTINCT {key}, TRUE AS near FROM ({points}) t JOIN v_route_points r ON (t.px - r.x) ** 2 + (t.py - r.y) ** 2 <= 400.0e0) n ON n.{key} = p.{key}
+  LEFT JOIN (SELECT DISTINCT {key}, TRUE AS near FROM ({points}) t JOIN {CORRIDOR} r ON (t.px - r.x) ** 2 + (t.py - r.y) ** 2 <= 400.0e0) n ON n.{key} = p.{key}
   LEFT JOIN (SELECT {key}, MIN(zone_id) % 7 / 2.0e0 + 1.0e0 AS zone FROM ({PIP.replace('v_sensors s', f'({points}) s').replace('s.sensor_id, s.kind', f's.{key}').replace('s.x', 's.px').replace('s.y', 's.py')}) w GROUP BY {key}) z ON z.{key} = p.{key}) o"""
 
 
@@ -85,7 +89,7 @@ def q_route_exposure(t: Tables) -> DataFrame:
 
 
 @query("q_mobile_integral", f"""SELECT route_id, {', '.join(f'ROUND(SUM({n} / 60 * weight), 6) AS {n}' for n in ('ace', 'dashcam', 'glasses', 'robots', 'tesla'))} FROM (SELECT w.route_id, w.weight, {_rates_sql('(8.0e0 + t / 3600)', 'n.near IS NOT NULL', '1.0e0')} FROM ({WALK}) w
-  LEFT JOIN (SELECT DISTINCT w.route_id, w.tick, TRUE AS near FROM ({WALK}) w JOIN v_route_points r ON (w.px - r.x) ** 2 + (w.py - r.y) ** 2 <= 400.0e0) n ON n.route_id = w.route_id AND n.tick = w.tick) q GROUP BY route_id""")
+  LEFT JOIN (SELECT DISTINCT w.route_id, w.tick, TRUE AS near FROM ({WALK}) w JOIN {CORRIDOR} r ON (w.px - r.x) ** 2 + (w.py - r.y) ** 2 <= 400.0e0) n ON n.route_id = w.route_id AND n.tick = w.tick) q GROUP BY route_id""")
 def q_mobile_integral(t: Tables) -> DataFrame:
     out = exposure.mobile_integral(exposure.walk_ticks(t.route_points, "route_id"), "route_id", 8.0, corridor(t))
     return out.select("route_id", *(F.round(c, 6).alias(c) for c in out.columns[1:]))
@@ -218,15 +222,27 @@ def q_tesla_field(t: Tables) -> DataFrame:
     return ag.density_intensity(counts, areas, "zone_id").withColumn("intensity", F.round("intensity", 6))
 
 
-@query("q_robot_field")
+RASTER = """SELECT g.cx, g.cy, s.score FROM (SELECT k % 80 - 40 AS cx, CAST(FLOOR(k / 80.0e0) AS BIGINT) - 40 AS cy FROM (SELECT CAST(UNNEST(RANGE(0, 6400)) AS BIGINT) AS k) n) g LEFT JOIN
+  (SELECT CAST(FLOOR(x / 25.0e0) AS BIGINT) AS cx, CAST(FLOOR(y / 25.0e0) AS BIGINT) AS cy, AVG(facility_id % 10 / 10.0e0) AS score FROM v_facilities GROUP BY 1, 2) s ON s.cx = g.cx AND s.cy = g.cy"""
+
+
+def filled_sql(passes: int) -> str:
+    """RASTER after passes, each a table expression over the one before."""
+    step = "c{j} AS (SELECT c.cx, c.cy, COALESCE(ANY_VALUE(c.score), AVG(n.score)) AS score FROM c{i} c CROSS JOIN (SELECT UNNEST(RANGE(-1, 2)) AS dx) a CROSS JOIN (SELECT UNNEST(RANGE(-1, 2)) AS dy) b LEFT JOIN c{i} n ON n.cx = c.cx + dx AND n.cy = c.cy + dy GROUP BY c.cx, c.cy)"
+    steps = ", ".join(step.format(i=i, j=i + 1) for i in range(passes))
+    return f"WITH c0 AS ({RASTER}), {steps} SELECT cx, cy, ROUND(score, 6) AS score FROM c{passes}"
+
+
+@query("q_robot_field", filled_sql(8))
 def q_robot_field(t: Tables) -> DataFrame:
     """Cell means, then eight passes that fill empty cells with the mean of their filled neighbours."""
     return flood_fill(raster(t), 8).select("cx", "cy", F.round("score", 6).alias("score"))
 
 
 def raster(t: Tables) -> DataFrame:
-    cells = t.facilities.where("facility_id % 3 = 0").groupBy(spatial.cell("x", 100.0).alias("cx"), spatial.cell("y", 100.0).alias("cy")).agg(F.avg(F.expr("facility_id % 10 / 10.0e0")).alias("score"))
-    grid = t.spark.range(400).select((F.col("id") % 20 - 10).alias("cx"), (F.floor(F.col("id") / 20) - 10).alias("cy"))
+    """Mean score of the facilities in each cell of 25 m; null where there are none."""
+    cells = t.facilities.groupBy(spatial.cell("x", 25.0).alias("cx"), spatial.cell("y", 25.0).alias("cy")).agg(F.avg(F.expr("facility_id % 10 / 10.0e0")).alias("score"))
+    grid = t.spark.range(6400).select((F.col("id") % 80 - 40).alias("cx"), (F.floor(F.col("id") / 80) - 40).alias("cy"))
     return grid.join(cells, ["cx", "cy"], "left")
 
 
@@ -239,12 +255,27 @@ def flood_fill(cells: DataFrame, passes: int) -> DataFrame:
     return cells
 
 
-@query("q_live_walk")
+#: Each class's reach in metres and the chance that a pass is a capture. The type of event stands for the class.
+LIVE_CLASSES = {
+    "vehicle": ("view", 22.0, 1.0),
+    "glasses": ("click", 6.0, 0.0002),
+    "bus": ("purchase", 22.0, 0.7),
+    "robot": ("signup", 8.0, 0.5),
+    "tesla": ("error", 20.0, 0.3),
+}
+DRAW = "((event_id * 48271 + facility_id * 69621) * 16807 % 2147483647) / 2147483647.0e0"
+LIVE_PASS = "CASE event_type " + " ".join(f"WHEN '{e}' THEN d2 <= {r * r}e0 AND draw < {p}e0" for e, r, p in LIVE_CLASSES.values()) + " ELSE FALSE END"
+LIVE_COUNTS = {n: f"COUNT(CASE WHEN event_type = '{e}' THEN 1 END)" for n, (e, _, _) in LIVE_CLASSES.items()}
+
+
+@query("q_live_walk", f"""SELECT facility_id, {', '.join(f'{c} AS {n}' for n, c in LIVE_COUNTS.items())} FROM (SELECT facility_id, event_type, {DRAW} AS draw, (p.x - s.sx) ** 2 + (p.y - s.sy) ** 2 AS d2
+  FROM v_pings p JOIN ({SITES}) s ON ABS(p.x - s.sx) <= 22 AND ABS(p.y - s.sy) <= 22) q WHERE {LIVE_PASS} GROUP BY facility_id""")
 def q_live_walk(t: Tables) -> DataFrame:
-    """Passes within 22 m of a walker who stands at each facility, kept by a hash below the class's probability 0.4."""
-    near = spatial.within(t.pings, sites(t), 22.0)
-    kept = near.where(F.pmod(F.xxhash64("event_id", "facility_id"), F.lit(1000)) < 400)
-    return kept.groupBy("facility_id").agg(F.count("*").alias("captures"))
+    """Captures of a walker who stands at each facility, by class: passes within the class's reach, kept by a draw of event
+    and facility below the class's chance."""
+    near = spatial.within(t.pings, sites(t), max(r for _, r, _ in LIVE_CLASSES.values()))
+    kept = near.select("facility_id", "event_type", F.expr(DRAW).alias("draw"), geo.distance2("x", "y", "sx", "sy").alias("d2")).where(LIVE_PASS)
+    return kept.groupBy("facility_id").agg(*(F.expr(c).alias(n) for n, c in LIVE_COUNTS.items()))
 
 
 @query("q_population_scale", f"""SELECT hour, CAST(ROUND(LEAST(2000.0e0, 2000 * {curve_sql('hour', 0.1, 9.0, 18.0)})) AS BIGINT) AS peds, CAST(ROUND(LEAST(300.0e0, 300 * {curve_sql('hour', 0.05, 12.0, 18.5)})) AS BIGINT) AS robots,

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from kerbside.functions import geo, scalar
 from kerbside.operators import geometry, graph, sequence, spatial
 
-from .composites import HOPS, flood_fill, raster
+from .composites import HOPS, filled_sql, flood_fill, raster
 from .joins import CC, CLOSED, clusters, not_colinear
 from .registry import query
 from .scalars import r
@@ -76,9 +76,7 @@ def convex_hull(t: Tables) -> DataFrame:
     return hulls.select("zone", F.size("hull").cast("long").alias("corners"), F.round(geo.ring_area("hull"), 4).alias("area"))
 
 
-@query("flood_fill", """WITH base AS (SELECT k % 20 - 10 AS cx, CAST(FLOOR(k / 20.0e0) AS BIGINT) - 10 AS cy FROM (SELECT CAST(UNNEST(RANGE(0, 400)) AS BIGINT) AS k) g), c0 AS (SELECT b.cx, b.cy, s.score FROM base b LEFT JOIN
-  (SELECT CAST(FLOOR(x / 100.0e0) AS BIGINT) AS cx, CAST(FLOOR(y / 100.0e0) AS BIGINT) AS cy, AVG(facility_id % 10 / 10.0e0) AS score FROM v_facilities WHERE facility_id % 3 = 0 GROUP BY 1, 2) s ON s.cx = b.cx AND s.cy = b.cy)
-  SELECT c.cx, c.cy, ROUND(COALESCE(c.score, (SELECT AVG(n.score) FROM c0 n WHERE ABS(n.cx - c.cx) <= 1 AND ABS(n.cy - c.cy) <= 1)), 6) AS score FROM c0 c""")
+@query("flood_fill", filled_sql(1))
 def flood_fill_once(t: Tables) -> DataFrame:
     return flood_fill(raster(t), 1).select("cx", "cy", F.round("score", 6).alias("score"))
 

@@ -39,7 +39,24 @@ def enu_inverse(t: Tables) -> DataFrame:
     return t.sensors.select("sensor_id", F.round(geo.enu_lat("y"), 8).alias("lat"), F.round(geo.enu_lon("x"), 8).alias("lon"))
 
 
-@query("stateplane_to_wgs84")
+def _stateplane_sql() -> str:
+    """Inverse Lambert conformal conic in steps: the eccentricity, the cone's constants, polar coordinates, eight iterations."""
+    m = lambda p: f"COS(RADIANS({p})) / SQRT(1 - POWER(e * SIN(RADIANS({p})), 2))"
+    u = lambda p: f"TAN(PI() / 4 - RADIANS({p}) / 2) / POWER((1 - e * SIN(RADIANS({p}))) / (1 + e * SIN(RADIANS({p}))), e / 2)"
+    low, high, origin = "(40 + 40 / 60.0e0)", "(41 + 2 / 60.0e0)", "(40 + 10 / 60.0e0)"
+    sql = "SELECT SQRT(2 / 298.257222101e0 - POWER(1 / 298.257222101e0, 2)) AS e"
+    sql = f"SELECT e, {m(low)} AS m1, {m(high)} AS m2, {u(low)} AS u1, {u(high)} AS u2, {u(origin)} AS u0 FROM ({sql}) a"
+    sql = f"SELECT *, (LN(m1) - LN(m2)) / (LN(u1) - LN(u2)) AS n FROM ({sql}) b"
+    sql = f"SELECT *, 6378137.0e0 * m1 / (n * POWER(u1, n)) AS scale FROM ({sql}) c"
+    sql = f"SELECT sensor_id, e, n, scale, (980000 + x * 10) * 0.3048006096e0 - 300000 AS east, scale * POWER(u0, n) - (200000 + y * 10) * 0.3048006096e0 AS south FROM v_sensors CROSS JOIN ({sql}) d"
+    sql = f"SELECT *, POWER(SQRT(east * east + south * south) / scale, 1 / n) AS ts FROM ({sql}) f"
+    sql = f"SELECT *, PI() / 2 - 2 * ATAN(ts) AS p FROM ({sql}) g"
+    for _ in range(8):
+        sql = f"SELECT * REPLACE (PI() / 2 - 2 * ATAN(ts * POWER((1 - e * SIN(p)) / (1 + e * SIN(p)), e / 2)) AS p) FROM ({sql}) h"
+    return f"SELECT sensor_id, ROUND(DEGREES(p), 7) AS lat, ROUND(DEGREES(ATAN2(east, south) / n) - 74, 7) AS lon FROM ({sql}) o"
+
+
+@query("stateplane_to_wgs84", _stateplane_sql())
 def stateplane_to_wgs84(t: Tables) -> DataFrame:
     lat, lon = geo.stateplane_to_wgs84(F.lit(980000.0) + F.col("x") * 10, F.lit(200000.0) + F.col("y") * 10)
     return t.sensors.select("sensor_id", F.round(lat, 7).alias("lat"), F.round(lon, 7).alias("lon"))
@@ -237,9 +254,9 @@ def diurnal_curve(t: Tables) -> DataFrame:
 
 
 @query("minute_lookup", f"""SELECT id, ROUND(COALESCE(v.mult, {curve_sql(H24, 0.12, 8.5, 17.5)}), 8) AS mult FROM ({HOUR}) q LEFT JOIN
-  (SELECT pu_min AS minute, COUNT(*) / 100.0e0 AS mult FROM v_trips WHERE pu_min % 3 = 0 GROUP BY pu_min) v ON v.minute = CAST(FLOOR({H24} * 60) AS BIGINT) % 1440""")
+  (SELECT pu_min AS minute, COUNT(*) / 100.0e0 AS mult FROM v_trips GROUP BY pu_min) v ON v.minute = CAST(FLOOR({H24} * 60) AS BIGINT) % 1440""")
 def minute_lookup(t: Tables) -> DataFrame:
-    table = t.trips.where("pu_min % 3 = 0").groupBy(F.col("pu_min").alias("minute")).agg((F.count("*") / 100.0).alias("mult"))
+    table = t.trips.groupBy(F.col("pu_min").alias("minute")).agg((F.count("*") / 100.0).alias("mult"))
     hours = t.sql(HOUR).withColumn("minute", F.floor(scalar.hour24("hour") * 60).cast("long") % 1440)
     return hours.join(table, "minute", "left").select("id", F.round(F.coalesce("mult", scalar.traffic("hour")), 8).alias("mult"))
 
