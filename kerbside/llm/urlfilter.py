@@ -3,7 +3,9 @@
 Everything over rows is a built-in expression, an aggregate or a join. Features are binned to a few levels each, so all
 labelled urls reduce, in one aggregate with map-side combine, to at most the product of the levels: CELLS rows of counts
 that do not grow with the data. Boosting is exact on those counts and runs on the driver; the trees are then written as
-one CASE expression, so scoring is a projection. Labelled urls are those that a rule fits.
+one CASE expression, so scoring is a projection. Labelled urls are those that a rule fits. A labelled url's suffix share
+comes from the labelled urls of the other folds (crc32 of the url modulo FOLDS), so the trees never see a url's own label;
+held_out() learns without a fold and measures on it.
 
 Scale: one scan for suffix statistics (an aggregate by suffix), one for the cells, one for scoring; no url is shuffled but
 for the join with the suffix table, which is equi-join on the suffix (adaptive execution splits a suffix with many urls,
@@ -36,6 +38,7 @@ LEVELS = {
 }
 CELLS = math.prod(len(v) + 1 for v in LEVELS.values())
 ROUNDS, DEPTH, RATE, L2 = 12, 3, 0.4, 1.0
+FOLDS = 5
 
 
 def host_of(url: Column) -> Column:
@@ -75,6 +78,7 @@ def features(urls: DataFrame) -> DataFrame:
         "rule": rule,
         "ruled": verdict,
         "suffix": F.substring_index("host", ".", -1),
+        "fold": (F.crc32("u") % FOLDS).cast("int"),
         "length": n,
         "depth": F.size(F.filter(F.split("path", "/"), lambda x: x != "")),
         "digit_ratio": F.length(F.regexp_replace("u", "[^0-9]", "")) / F.greatest(n, F.lit(1)),
@@ -91,9 +95,19 @@ def level(feature: str) -> Column:
 
 
 def suffix_table(rows: DataFrame) -> DataFrame:
-    """The smoothed share of blocked urls among each suffix's labelled ones."""
-    labelled = rows.where("ruled IS NOT NULL").groupBy("suffix").agg(F.count("*").alias("n"), F.count_if(F.col("ruled") == "block").alias("bad"))
-    return labelled.select("suffix", ((F.col("bad") + 1) / (F.col("n") + 2)).alias("suffix_block"))
+    """Labelled urls and blocked ones of each suffix, in all and by fold."""
+    blocked = F.col("ruled") == "block"
+    count = lambda of: F.struct(F.count_if(of).alias("n"), F.count_if(of & blocked).alias("bad"))
+    folds = F.array(*(count(F.col("fold") == i) for i in range(FOLDS)))
+    return rows.where("ruled IS NOT NULL").groupBy("suffix").agg(count(F.lit(True)).alias("all"), folds.alias("folds"))
+
+
+def with_share(rows: DataFrame, table: DataFrame) -> DataFrame:
+    """rows with suffix_block, the smoothed share of blocked urls of the suffix, for a labelled url without its own fold."""
+    out = rows.join(table, "suffix", "left")
+    own = F.when(F.col("ruled").isNotNull(), F.col("folds")[F.col("fold")])
+    left = lambda f: F.coalesce(F.col("all")[f], F.lit(0)) - F.coalesce(own[f], F.lit(0))
+    return out.withColumn("suffix_block", (left("bad") + 1) / (left("n") + 2)).drop("all", "folds")
 
 
 def cells(rows: DataFrame) -> list[tuple[tuple[int, ...], int, int]]:
@@ -150,14 +164,26 @@ def as_column(tree) -> Column:
     return F.when(F.coalesce(F.col(name) <= LEVELS[name][k], F.lit(True)), as_column(low)).otherwise(as_column(high))
 
 
+def probability(trees: list) -> Column:
+    return 1 / (1 + F.exp(-sum((as_column(t) * RATE for t in trees), F.lit(0.0))))
+
+
+def held_out(pages: DataFrame, fold: int = 0) -> DataFrame:
+    """(n, right): labelled urls of a fold, and those that trees learned on the other folds judge as their rule does."""
+    rows = features(pages.select("url"))
+    known = rows.where(F.col("fold") != fold)
+    table = common.stored(suffix_table(known), "url-suffixes")
+    trees = boost(cells(with_share(known, table)))
+    judged = with_share(rows.where((F.col("fold") == fold) & F.col("ruled").isNotNull()), table)
+    right = F.when(probability(trees) > 0.5, "block").otherwise("allow") == F.col("ruled")
+    return judged.agg(F.count("*").alias("n"), F.count_if(right).alias("right"))
+
+
 def judge(pages: DataFrame, key: str = "page_id") -> DataFrame:
     """host, path, rule, verdict and the trees' probability of block for every url."""
     rows = features(pages.select(key, "url"))
-    stats = common.stored(suffix_table(rows), "url-suffixes")
-    rows = rows.join(stats, "suffix", "left").withColumn("suffix_block", F.coalesce("suffix_block", F.lit(0.5)))
-    score = sum((as_column(t) * RATE for t in boost(cells(rows))), F.lit(0.0))
-    block = 1 / (1 + F.exp(-score))
-    return rows.withColumn("block_score", block).select(key, "host", "path", "rule", F.coalesce("ruled", F.when(F.col("block_score") > 0.5, "block").otherwise("allow")).alias("verdict"), "block_score")
+    rows = with_share(rows, common.stored(suffix_table(rows), "url-suffixes"))
+    return rows.withColumn("block_score", probability(boost(cells(rows)))).select(key, "host", "path", "rule", F.coalesce("ruled", F.when(F.col("block_score") > 0.5, "block").otherwise("allow")).alias("verdict"), "block_score")
 
 
 def op9_url_filter(spark, sf_dir: str) -> DataFrame:

@@ -593,6 +593,22 @@ def test_url_filter(spark):
     assert urlfilter.judge(pages.limit(0)).count() == 0
 
 
+def test_suffix_share_leaves_out_a_labelled_urls_own_fold(spark):
+    urls = [f"http://h{i}.example.com/{'de' if i % 3 else 'en'}/{i}" for i in range(60)] + [f"http://h{i}.org/{'fr' if i % 2 else 'x'}/" for i in range(40)]
+    rows = urlfilter.features(spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string"))
+    got = {r.url: r.suffix_block for r in urlfilter.with_share(rows, urlfilter.suffix_table(rows)).collect()}
+    known = [(u, judged(u)[0].rsplit(".", 1)[-1], judged(u)[2][1] == "block", zlib.crc32(u.encode()) % urlfilter.FOLDS) for u in urls if judged(u)[2][1]]
+    for u in urls:
+        ruled = judged(u)[2][1]
+        others = [bad for _, s, bad, f in known if s == judged(u)[0].rsplit(".", 1)[-1] and not (ruled and f == zlib.crc32(u.encode()) % urlfilter.FOLDS)]
+        assert got[u] == pytest.approx((sum(others) + 1) / (len(others) + 2))
+
+
+def test_held_out_urls_are_judged_better_than_by_chance(spark):
+    n, right = urlfilter.held_out(common.table(spark, "/root/testdata/sf0.1", "pages")).first()
+    assert n > 100 and right > 0.55 * n
+
+
 def test_trees_learn_the_labels():
     cells = [((a, b, 0, 0, 0, 0), 50, 50 * (a > 2 or b > 1)) for a in range(6) for b in range(4)]
     trees = urlfilter.boost(cells)
