@@ -44,7 +44,8 @@ LEAST, HOT = 4, 6
 #: Most frequent tokens that are told from class 0: 9 bytes each to broadcast.
 KNOWN = 500_000
 FILTER_BITS = 1 << 25
-FLUSH = 2_000_000
+#: Tokens that a worker holds before it sends them, sorted by bucket: sorting takes about ten times their eight bytes.
+FLUSH = 1_000_000
 #: Tokens that linked sets must share in their prefixes.
 SHARED = 4
 #: Tokens in a block of a group, of either side.
@@ -118,8 +119,8 @@ def frequencies(docs: DataFrame, buckets: int) -> DataFrame:
             yield flush()
 
     def count(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-        slot, n = np.unique(np.concatenate([_unplanes(x.as_py()) for x in rows.column("slots")]), return_counts=True)
-        slot, n = slot[n >= LEAST], n[n >= LEAST]
+        slot, n = np.unique(np.concatenate([_unplanes(x.as_py()).astype(np.uint32) for x in rows.column("slots")]), return_counts=True)
+        slot, n = slot[n >= LEAST].astype(np.uint64), n[n >= LEAST]
         return pa.table({"code": ((U(key[0].as_py()) << U(32)) | slot).astype(np.int64), "df": n.astype(np.int64)})
 
     return _texts(docs).mapInArrow(deal, "bucket int, slots binary").groupBy("bucket").applyInArrow(count, "code long, df long")
