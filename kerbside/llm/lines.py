@@ -49,7 +49,7 @@ MIN_WORDS, LONG = 10, 11
 #: Words around a repeated chunk that are looked at; lines in the rolling hash that sets boundaries.
 REACH, WINDOW = 50, 2
 #: Bytes of runs that a task compares before it sends them; buckets for each shuffle partition.
-HELD, BUCKETS = 32 << 20, 4
+HELD, BUCKETS = 16 << 20, 4
 _END = re.compile(r"\n+|[.!?]\s+|[。！？｡]+\s*")
 _UNSPACED = re.compile("[฀-໿က-႟ក-៿぀-ヿ㐀-鿿豈-﫿\U00020000-\U0003ffff]")
 
