@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import chat, near, warc
+from .align import op13_token_alignment
 from .chat import op3_chat_format
 from .decontaminate import op2_benchmark_decontamination
 from .langid import op6_language_id
@@ -27,6 +28,7 @@ QUERIES = {
         op8_warc,
         op9_url_filter,
         op10_line_dedup,
+        op13_token_alignment,
     )
 }
 SQL: dict[str, str] = {"op3_chat_format": chat.SQL, "op4_ngram_jaccard_join": near.SQL, "op8_warc": warc.SQL}
