@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, near, warc
+from . import chat, near, sessions, vafile, warc
 from .align import op13_token_alignment
 from .chat import op3_chat_format
 from .decontaminate import op2_benchmark_decontamination
@@ -12,7 +12,9 @@ from .lm import op7_lm_scoring
 from .media import op1_media_columns
 from .near import op4_ngram_jaccard_join
 from .pieces import op5_sentencepiece
+from .sessions import op12_late_sessions
 from .urlfilter import op9_url_filter
+from .vafile import op11_exact_topk
 from .warc import op8_warc
 
 QUERIES = {
@@ -28,7 +30,9 @@ QUERIES = {
         op8_warc,
         op9_url_filter,
         op10_line_dedup,
+        op11_exact_topk,
+        op12_late_sessions,
         op13_token_alignment,
     )
 }
-SQL: dict[str, str] = {"op3_chat_format": chat.SQL, "op4_ngram_jaccard_join": near.SQL, "op8_warc": warc.SQL}
+SQL: dict[str, str] = {"op3_chat_format": chat.SQL, "op4_ngram_jaccard_join": near.SQL, "op8_warc": warc.SQL, "op11_exact_topk": vafile.SQL, "op12_late_sessions": sessions.SQL}
