@@ -11,7 +11,8 @@ spelled as byte pieces; so decoding gives back every text exactly. No piece has
 chunks that begin with U+2581 are encoded on their own (the vocabulary is checked for this on loading).
 
 The agendas of many chunks run side by side, a column of a matrix each. An occurrence with none of the plain candidates
-skipped has the plain ids; only the others run an agenda of their own. Chunks of more than WIDEST symbols use a heap.
+skipped has the plain ids; only the others run an agenda of their own. Chunks of more than WIDEST symbols use a heap,
+of any length: bounds beyond 21 bits are folded into the hash one after the other.
 
 Scale: a scan without a shuffle, whole texts, every row; the vocabulary is read once a worker. A block of BLOCK occurrences
 is held at a time, whatever a text's length.
@@ -133,6 +134,25 @@ class Dropout:
     def skips(self, keys: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         return mix(keys ^ (bounds * U(_STEP))) < U(self.below)
 
+    def skips_one(self, key: int, bounds: int) -> bool:
+        """skips() of one candidate, in plain integers."""
+        x = key ^ (bounds * _STEP & _MASK)
+        x = (x ^ (x >> 33)) * 0xFF51AFD7ED558CCD & _MASK
+        x = (x ^ (x >> 33)) * 0xC4CEB9FE1A85EC53 & _MASK
+        return x ^ (x >> 33) < self.below
+
+
+def wide_bounds(i: np.ndarray, j: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A candidate's bounds as one number: side by side, or folded one after the other where they have no room."""
+    i, j, end = (x.astype(np.uint64) for x in (i, j, end))
+    return np.where(end < U(1 << _MID), i | (j << U(_MID)) | (end << U(_END)), mix(mix(mix(i) + j) + end))
+
+
+def _wide_bounds(i: int, j: int, end: int) -> int:
+    if end < 1 << _MID:
+        return i | (j << _MID) | (end << _END)
+    return int(wide_bounds(*(np.array([x]) for x in (i, j, end)))[0])
+
 
 def agendas(vocab: Vocabulary, symbols: np.ndarray, sizes: np.ndarray, keys: np.ndarray | None, dropout: Dropout, seen: list | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Merges the columns of symbols, of which each begins with `sizes` symbols; the ids one column after the other, and how
@@ -187,19 +207,27 @@ def agendas(vocab: Vocabulary, symbols: np.ndarray, sizes: np.ndarray, keys: np.
     return out[full], full.sum(axis=1)
 
 
-def merge_long(vocab: Vocabulary, symbols: list[int], skips) -> list[int]:
-    """The same for one chunk of any length; skips(bounds) judges a candidate."""
+def merge_long(vocab: Vocabulary, symbols: list[int], dropout: Dropout, key: int | None) -> list[int]:
+    """The same for one chunk of any length, by a heap; without a key nothing is skipped."""
     n = len(symbols)
     ahead, behind = list(range(1, n + 1)), list(range(-1, n - 1))
-    agenda: list[tuple[int, int, int, int, int]] = []
+    dropped = key is not None and dropout.below > 0
+
+    flat, begin = np.array(symbols, np.int32), np.arange(max(0, n - 1))
+    whole = vocab.join(flat[:-1], flat[1:])
+    offered = whole >= 0
+    if dropped:
+        offered &= ~dropout.skips(np.array([key], np.uint64), wide_bounds(begin, begin + 1, begin + 2))
+    begin, whole = begin[offered], whole[offered]
+    agenda = list(zip(vocab.order[whole].tolist(), begin.tolist(), (begin + 1).tolist(), (begin + 2).tolist(), whole.tolist(), strict=True))
+    heapq.heapify(agenda)
+    joined, order = vocab.joined, vocab.order.tolist()
 
     def offer(i: int, j: int) -> None:
-        found = vocab.joined.get((symbols[i], symbols[j]))
-        if found is not None and not skips(i | (j << _MID) | (ahead[j] << _END)):
-            heapq.heappush(agenda, (int(vocab.order[found]), i, j, ahead[j], found))
+        found = joined.get((symbols[i], symbols[j]))
+        if found is not None and not (dropped and dropout.skips_one(key, _wide_bounds(i, j, ahead[j]))):
+            heapq.heappush(agenda, (order[found], i, j, ahead[j], found))
 
-    for i in range(n - 1):
-        offer(i, i + 1)
     while agenda:
         _, i, j, end, found = heapq.heappop(agenda)
         if symbols[i] < 0 or symbols[j] < 0 or ahead[i] != j or ahead[j] != end:
@@ -388,8 +416,7 @@ class Encoder:
     def _long(self, symbols: list[int], key: np.ndarray | None) -> np.ndarray:
         if len(symbols) <= WIDEST:
             return agendas(self.vocab, np.array(symbols, np.int32)[:, None], np.array([len(symbols)]), key, self.dropout)[0]
-        skips = (lambda _: False) if key is None else (lambda bounds: bool(self.dropout.skips(key, np.array([bounds], np.uint64))[0]))
-        return np.array(merge_long(self.vocab, list(symbols), skips), np.int32)
+        return np.array(merge_long(self.vocab, list(symbols), self.dropout, None if key is None else int(key[0])), np.int32)
 
     def _numbers(self, chunks: list[str]) -> np.ndarray:
         """Each chunk's number in the book; -1 for those that are too long for it."""

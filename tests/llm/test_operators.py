@@ -10,6 +10,7 @@ import itertools
 import random
 import re
 import tarfile
+import time
 import unicodedata
 import zlib
 
@@ -413,6 +414,28 @@ def test_sentencepiece_judges_each_occurrence():
     assert len(always.encode(word)) == len(word) + 1 and always.decode(always.encode(text)) == text
 
 
+def test_sentencepiece_of_very_long_chunks(monkeypatch):
+    """Chunks without a space: beyond 2^22 symbols, and every bound's hash in plain integers as in arrays."""
+    rng = random.Random(4)
+    text = "".join(rng.choices("abcdefghij漢é", k=1 << 16)) * 80
+    e = pieces.Encoder()
+    began = time.time()
+    ids = e.encode(text[: 1 << 19], 3)
+    assert time.time() - began < 30 and e.decode(ids.tolist()) == text[: 1 << 19]
+    monkeypatch.setattr(pieces, "_MID", 6)
+    monkeypatch.setattr(pieces, "_END", 12)
+    assert e.decode(e.encode(text[:5000], 3).tolist()) == text[:5000]
+    monkeypatch.undo()
+    always = pieces.Encoder(rate=1.0)  # nothing is merged: all that takes long is left out
+    assert len(text) > 5_000_000 and always.decode(always.encode(text, 3).tolist()) == text
+    i = np.array([*rng.choices(range(1 << 24), k=3000), 0, 5, (1 << 21) - 2, (1 << 21) - 1])
+    bounds = pieces.wide_bounds(i, i + 1, i + 2)
+    assert [pieces._wide_bounds(k, k + 1, k + 2) for k in i.tolist()] == bounds.tolist() and len(set(bounds.tolist())) == len(set(i.tolist()))
+    key = e.dropout.keys(np.array([7], np.uint64), np.array([1]))
+    skipped = e.dropout.skips(key, bounds).tolist()
+    assert [e.dropout.skips_one(int(key[0]), b) for b in bounds.tolist()] == skipped and 200 < sum(skipped) < 400
+
+
 def test_sentencepiece_of_odd_rows(spark):
     rows = docs(spark, [*ODD, ODD[-1]]).withColumn("doc_id", F.expr("if(doc_id > 7, null, doc_id)"))
     back = pieces.decode(pieces.encode(rows)).collect()
