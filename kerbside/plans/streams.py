@@ -1,5 +1,5 @@
-"""Streaming queries. Each runs the streaming form's own function over the events table as a batch, which gives what the
-stream gives once every window is closed; tests run the same functions as streams. The two stateful ones run as streams."""
+"""Streaming queries. The clicks arrive month by month, many of them late, and each query drains a stream of what has landed,
+started anew on one checkpoint each month; the SQL says which rows are late. Throttling and the wrapped clock are batch."""
 
 from __future__ import annotations
 
@@ -13,23 +13,50 @@ from .registry import query
 from .sources import place
 from .views import Tables
 
+#: Clicks with the month of their arrival, and the watermark (microseconds) that the months before have set; 13: after all.
+ARRIVED = """WITH c AS (SELECT *, EPOCH_US(ts) AS us, CAST(EXTRACT(MONTH FROM arrived_at) AS BIGINT) AS month FROM clicks WHERE ts IS NOT NULL AND arrived_at IS NOT NULL),
+  m AS (SELECT DISTINCT month FROM c UNION SELECT 13),
+  w AS (SELECT m.month, COALESCE(MAX(c.us) // 1000 * 1000 - 600000000, 0) AS wm FROM m LEFT JOIN c ON c.month < m.month GROUP BY m.month),
+  r AS (SELECT c.*, w.wm, (SELECT wm FROM w WHERE month = 13) AS last FROM c JOIN w ON w.month = c.month)"""
 
-@query("stream_tumbling_minute", "SELECT event_type, CAST(EPOCH(DATE_TRUNC('minute', ts)) AS BIGINT) AS start, COUNT(*) AS n FROM events GROUP BY 1, 2")
+
+def arriving(t: Tables, build) -> DataFrame:
+    clicks = t.table("clicks").where("ts IS NOT NULL AND arrived_at IS NOT NULL").select("click_id", "ts", "client_id", "kind", "value", F.month("arrived_at").alias("month"))
+    return streams.arriving(clicks, "month", build, place(t, "stream"))
+
+
+def seconds(column: str):
+    return F.unix_timestamp(F.col(column).cast("timestamp")).alias("start")
+
+
+@query("stream_tumbling_minute", f"""{ARRIVED} SELECT kind, start * 60 AS start, COUNT(*) AS n FROM (SELECT *, us // 60000000 AS start FROM r) q
+  WHERE (start + 1) * 60000000 > wm AND (start + 1) * 60000000 <= last GROUP BY kind, start""")
 def stream_tumbling_minute(t: Tables) -> DataFrame:
-    return streams.tumbling(t.events, "1 minute", "event_type").select("event_type", F.unix_timestamp(F.col("start").cast("timestamp")).alias("start"), "n")
+    return arriving(t, lambda rows: streams.tumbling(rows, "1 minute", "kind")).select("kind", seconds("start"), "n")
 
 
-@query("stream_sliding_active", "SELECT start, COUNT(*) AS n FROM (SELECT (CAST(FLOOR(EPOCH(ts) / 600) AS BIGINT) - k) * 600 AS start FROM events CROSS JOIN (SELECT UNNEST(RANGE(0, 3)) AS k) w) q GROUP BY start")
+@query("stream_sliding_active", f"""{ARRIVED} SELECT start * 60 AS start, COUNT(*) AS n FROM (SELECT *, us // 60000000 - k AS start FROM r JOIN (SELECT UNNEST(RANGE(0, 30)) AS k) k ON TRUE) q
+  WHERE (start + 30) * 60000000 > wm AND (start + 30) * 60000000 <= last GROUP BY start""")
 def stream_sliding_active(t: Tables) -> DataFrame:
-    return streams.sliding(t.events, "30 minutes", "10 minutes").select(F.unix_timestamp(F.col("start").cast("timestamp")).alias("start"), "n")
+    return arriving(t, lambda rows: streams.sliding(rows, "30 minutes", "1 minute")).select(seconds("start"), "n")
 
 
-SESSION = "SELECT user_id, ts, event_id, SUM(CASE WHEN gap IS NULL OR gap >= 1800 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, EPOCH(ts) - EPOCH(LAG(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) AS gap FROM events) q"
+def _sessions_sql(gap_us: int) -> str:
+    """Month by month: what is open joins the month's rows; then what the new watermark has passed is closed."""
+    steps, closed = ["o1 AS (SELECT client_id, us AS a, us AS b, 1 AS n FROM r WHERE FALSE)"], []
+    for month in range(1, 6):
+        steps.append(f"""a{month} AS (SELECT * FROM o{month} UNION ALL SELECT client_id, us, us + {gap_us}, 1 FROM r WHERE month = {month} AND us + {gap_us} > wm AND client_id IS NOT NULL),
+  f{month} AS (SELECT *, CASE WHEN a <= MAX(b) OVER (PARTITION BY client_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS f FROM a{month}),
+  s{month} AS (SELECT client_id, MIN(a) AS a, MAX(b) AS b, SUM(n) AS n FROM (SELECT *, SUM(f) OVER (PARTITION BY client_id ORDER BY a, b RANGE UNBOUNDED PRECEDING) AS k FROM f{month}) q GROUP BY client_id, k),
+  w{month} AS (SELECT COALESCE(MAX(us) // 1000 * 1000 - 600000000, 0) AS wm FROM c WHERE month <= {month}),
+  o{month + 1} AS (SELECT s.* FROM s{month} s JOIN w{month} w ON s.b > w.wm)""")
+        closed.append(f"SELECT s.* FROM s{month} s JOIN w{month} w ON s.b <= w.wm")
+    return f"{ARRIVED}, {', '.join(steps)} SELECT client_id, a // 1000000 AS start, CAST(n AS BIGINT) AS n FROM ({' UNION ALL '.join(closed)}) q"
 
 
-@query("stream_session_pass", f"SELECT CAST(user_id AS BIGINT) AS user_id, CAST(FLOOR(EPOCH(MIN(ts))) AS BIGINT) AS start, COUNT(*) AS n FROM ({SESSION}) s GROUP BY user_id, s")
+@query("stream_session_pass", _sessions_sql(1_800_000_000))
 def stream_session_pass(t: Tables) -> DataFrame:
-    return streams.sessions(t.events, "30 minutes", "user_id").select("user_id", F.unix_timestamp(F.col("start").cast("timestamp")).alias("start"), "n")
+    return arriving(t, lambda rows: streams.sessions(rows.where("client_id IS NOT NULL"), "30 minutes", "client_id")).select("client_id", seconds("start"), "n")
 
 
 @query("stream_stateful_replay")
@@ -45,14 +72,15 @@ def stream_stateful_coverage(t: Tables) -> DataFrame:
     return streams.drained(streams.fresh_entries(events, "user_id", "edge"), place(t, "stream"))
 
 
-@query("stream_dedup_latest", "SELECT CAST(user_id AS BIGINT) AS user_id, ARG_MAX(value, EPOCH_US(ts)::HUGEINT * 1000000 + event_id) AS value FROM (SELECT user_id, value, ts, event_id::HUGEINT AS event_id FROM events) e GROUP BY 1")
+@query("stream_dedup_latest", f"{ARRIVED} SELECT DISTINCT click_id, us FROM r WHERE us > wm")
 def stream_dedup_latest(t: Tables) -> DataFrame:
-    return streams.latest(t.events, "user_id")
+    return arriving(t, lambda rows: streams.once(rows.select("click_id", "ts"), "click_id")).select("click_id", F.unix_micros("ts").alias("us"))
 
 
-@query("stream_debounce", f"SELECT CAST(user_id AS BIGINT) AS user_id, CAST(ARG_MAX(event_id, EPOCH_US(ts)::HUGEINT * 1000000 + event_id) AS BIGINT) AS event_id FROM ({SESSION}) s GROUP BY user_id, s")
+@query("stream_debounce", f"""{ARRIVED} SELECT client_id, click_id, us FROM (SELECT *, LEAD(us) OVER (PARTITION BY client_id ORDER BY us, click_id) AS next FROM r WHERE us > wm AND client_id IS NOT NULL) q
+  WHERE (next IS NULL OR next - us >= 1800000000) AND us + 1800000000 <= last""")
 def stream_debounce(t: Tables) -> DataFrame:
-    return streams.debounced(t.events, "30 minutes", "user_id")
+    return arriving(t, lambda rows: streams.settled_events(rows.where("client_id IS NOT NULL"), 1800, "client_id", "click_id"))
 
 
 @query("stream_throttle_bucket", "SELECT event_id FROM (SELECT event_id, b, LAG(b) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM (SELECT *, CAST(FLOOR(EPOCH(ts) / 1800) AS BIGINT) AS b FROM events) e) q WHERE p IS NULL OR p <> b")

@@ -1,14 +1,21 @@
-"""Streaming forms over events(ts timestamp, ...). Late rows beyond the watermark are dropped."""
+"""Streaming forms over events(ts timestamp, ...). Late rows beyond the watermark are dropped.
+
+A row is late if what it would change ended at or before the watermark that all earlier starts have set: the largest event
+time that they read, in whole milliseconds, less the delay. For windows that is the window's end, for sessions the row's own
+time and the gap, for other operators the row's time.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 
 LATE = "10 minutes"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def replay(spark: SparkSession, path: str, at: str = "ts") -> DataFrame:
@@ -27,6 +34,27 @@ def drained(stream: DataFrame, checkpoint: str, mode: str = "append") -> DataFra
     return stream.sparkSession.read.schema(stream.schema).parquet(path)
 
 
+def arriving(table: DataFrame, period: str, build: Callable[[DataFrame], DataFrame], folder: str, at: str = "ts") -> DataFrame:
+    """What the stream build(rows) appends when the table's rows arrive period by period, in order: for each period its rows
+    are landed as files, and the query is started on the one checkpoint, reads what is new and stops. State is in RocksDB.
+
+    Restarts are thus part of every run. Windows that the last watermark has not closed stay in the state."""
+    spark = table.sparkSession
+    landing, provider = f"{folder.rstrip('/')}/in", "spark.sql.streaming.stateStore.providerClass"
+    rows = table.drop(period)
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, ROCKSDB)
+    try:
+        out = None
+        for (now,) in sorted(table.select(period).distinct().collect()):
+            table.where(F.col(period) == now).select(*rows.columns).write.mode("append").parquet(landing)
+            live = spark.readStream.schema(rows.schema).parquet(landing).withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, LATE)
+            out = drained(build(live), folder)
+        return table.limit(0) if out is None else out
+    finally:
+        spark.conf.set(provider, before)
+
+
 def tumbling(events: DataFrame, size: str, *keys: str) -> DataFrame:
     """Counts of tumbling windows."""
     return events.groupBy(F.window("ts", size), *keys).agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), *keys, "n")
@@ -48,6 +76,59 @@ def debounced(events: DataFrame, gap: str, key: str) -> DataFrame:
     return s.select(key, "event_id")
 
 
+def once(events: DataFrame, key: str) -> DataFrame:
+    """The first row of each key; repeats are known until the watermark has passed the row's time by the delay."""
+    return events.dropDuplicatesWithinWatermark([key])
+
+
+class Debouncer(StatefulProcessor):
+    """Emits an event once the watermark is `gap_us` past it and no other event of its key came within the gap after it.
+
+    The state is what is undecided: events at least a gap apart, each with a timer."""
+
+    def __init__(self, key: str, event: str, gap_us: int) -> None:
+        self.key, self.event, self.gap = key, event, gap_us
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.pending = handle.getListState("pending", "us long, event long")
+
+    def due(self, us: int) -> int:
+        return -(-(us + self.gap) // 1000)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        old = [tuple(x) for x in self.pending.get()]
+        new = [x for part in rows for x in zip(part["us"].tolist(), part[self.event].tolist(), strict=True)]
+        all_ = sorted(old + new)
+        kept = [x for x, y in zip(all_, [*all_[1:], None], strict=True) if y is None or y[0] - x[0] >= self.gap]
+        for us, _ in set(old) - set(kept):
+            self.handle.deleteTimer(self.due(us))
+        for us, _ in kept:
+            self.handle.registerTimer(self.due(us))
+        self.pending.put(kept)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        all_ = [tuple(x) for x in self.pending.get()]
+        ready = [x for x in all_ if self.due(x[0]) == now]
+        if left := [x for x in all_ if self.due(x[0]) != now]:
+            self.pending.put(left)
+        else:
+            self.pending.clear()
+        yield pd.DataFrame({self.key: [key[0]] * len(ready), self.event: [e for _, e in ready], "us": [us for us, _ in ready]})
+
+    def close(self) -> None:
+        pass
+
+
+def settled_events(events: DataFrame, gap_s: int, key: str, event: str = "event_id") -> DataFrame:
+    """(key, event, us): debounced events of a stream, by event-time timers."""
+    rows = events.select(key, "ts", F.col(event).cast("long").alias(event), F.unix_micros("ts").alias("us"))
+    kind = events.schema[key].dataType.simpleString()
+    return rows.groupBy(key).transformWithStateInPandas(Debouncer(key, event, gap_s * 1_000_000), f"{key} {kind}, {event} long, us long", "Append", "EventTime")
+
+
 def latest(events: DataFrame, key: str) -> DataFrame:
     return events.groupBy(key).agg(F.max_by("value", F.struct("ts", "event_id")).alias("value"))
 

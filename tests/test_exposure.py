@@ -101,16 +101,6 @@ def test_no_nested_loop_in_the_flagship(spark):
     assert all(", Cross" in line for line in joins)  # the views' own lists of corners
 
 
-def test_streams_give_the_batch_rows(spark, tmp_path):
-    from kerbside.streaming import streams
-
-    path = "/root/testdata/sf0.001/events.parquet"
-    live = streams.tumbling(streams.replay(spark, path).withWatermark("ts", streams.LATE), "1 hour", "event_type")
-    got = {(r.start, r.event_type, r.n) for r in streams.drained(live, f"file://{tmp_path}/c").collect()}
-    whole = streams.tumbling(spark.read.parquet(path).withColumn("ts", F.col("ts").cast("timestamp")), "1 hour", "event_type")
-    assert got and got <= {(r.start, r.event_type, r.n) for r in whole.collect()}
-
-
 def test_kiosks_and_facilities(spark):
     from kerbside.sources import readers
 
