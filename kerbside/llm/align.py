@@ -1,21 +1,21 @@
 """Cross-tokenizer alignment: which tokens of two tokenizers cover the same bytes, relational in Spark.
 
 `align` takes segments with their two token lists and is relational throughout: tokens are exploded with their positions,
-windowed sums of their lengths give the byte at which each ends, an equi-join of both sides on segment and end finds the
-cuts (bytes at which both end), running counts of the cuts number the groups, and running counts of either side's ends say
-which token covers each interval between neighbouring ends. Two tokens overlap exactly where they cover one interval
-together, and each overlapping pair shares one interval alone; so the range join of the links is an equi-join on token
-numbers, and no pair is made that is no link.
+windowed sums of their lengths give the byte at which each ends, the full equi-join of both sides on segment and end gives
+the intervals between neighbouring ends, and running counts of the cuts (both end) number the groups. Two tokens overlap exactly
+where they cover an interval together, and each overlapping pair shares one interval alone; so the range join of the links
+comes down to carrying, back from the segment's end, the last id seen on either side, and no pair is made that is no link.
 
 Documents are cut into chunks before each single space that follows no space and stands before no white space: both tokenizers
 begin a token there (checked for the pieces on loading), so a chunk's tokens are those that it has in its document. A block
-of about BLOCK characters of documents keeps each chunk once, and `align` sees a block's distinct chunks, a tenth of the
-occurrences and less. A document with a chunk that is not given back is one chunk. Documents get their sums back from the chunks of their block. An id pair counts once a document, which
-needs the pairs of each document together: these are counted block by block, then over all blocks by an aggregate.
+of about BLOCK characters of documents keeps each chunk once, and `align` sees a block's distinct chunks, a sixth of the
+occurrences. A document with a chunk that is not given back is one chunk. Documents get their sums back from the chunks of
+their block. An id pair counts once a document, which needs the pairs of each document together: these are counted block by
+block, then over all blocks by an aggregate.
 
 Scale: what a task holds is one block (or one document, if that is longer). Texts are never shuffled, only chunk numbers.
-A common chunk or a group of copies is one chunk in each block. Pair counts are partial in the blocks, joined back on
-(block, pair): at most one row a block for any pair.
+A common chunk or a group of copies is one chunk in each block. Pair counts are partial in the blocks and joined back on
+the pair: at most one row a block for any pair, and adaptive execution can split it.
 
 Defined cases: a text that is null, empty or not given back by either tokenizer has zeros and ''; repeated rows, and rows
 that repeat a doc_id or have none, are documents of their own; other columns are ignored; an empty table gives no rows.
@@ -24,13 +24,15 @@ that repeat a doc_id or have none, are documents of their own; other columns are
 from __future__ import annotations
 
 import hashlib
-import os
+import json
 import re
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,15 +42,19 @@ from . import common
 from .pieces import SPACE
 
 BYTES_MODEL, PIECES_MODEL = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe_32k.model"
-#: Characters of a block of documents; chunks that a worker remembers from block to block.
-BLOCK, CACHED = 16 << 20, 200_000
-#: Places of a pair's second id; links that are sorted at a time when a block's pairs are counted.
-B_BITS, SLICE = 20, 2_000_000
+#: Fixed: how a byte-level vocabulary of this kind cuts a text before it merges.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Characters of a block of documents; links that are sorted at a time when a block's pairs are counted.
+BLOCK, SLICE = 11 << 20, 500_000
+#: A token is one number: its id, and its bytes from this bit on. An interval too: A's id, B's id, whether A's token ends with
+#: it, whether B's does.
+BITS = 20
+IDS = (1 << BITS) - 1
+#: Bits of a chunk's number within a block, and of a block's number within a task.
+CHUNK_BITS, BLOCK_BITS = 28, 11
 
 _CUT = re.compile(r"(?<! ) (?=\S)")
-_UNEVEN = re.compile(r"^ | (?:\s|$)")
-_TOKENS = "array<struct<id:int,len:int>>"
-_CUT_DDL = f"block long, doc_id long, chunks array<int>, chunk int, a {_TOKENS}, b {_TOKENS}"
+_SPACES = re.compile(r" \s")
 
 
 def _letter_bytes() -> dict[str, int]:
@@ -62,44 +68,61 @@ class Tokenizers:
     """Both vocabularies: ids of chunks, and each id's bytes."""
 
     def __init__(self, a_path: str, b_path: str) -> None:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         import sentencepiece
-        import tokenizers
+        import tiktoken
 
-        self.a = tokenizers.Tokenizer.from_file(a_path)
-        self.a.encode_special_tokens = True
-        self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
+        with open(a_path, encoding="utf-8") as f:
+            entries = json.load(f)
         letter = _letter_bytes()
-        self.a_bytes = [b""] * self.a.get_vocab_size()
-        for entry, i in self.a.get_vocab().items():
-            self.a_bytes[i] = bytes(letter[c] for c in entry) if all(c in letter for c in entry) else entry.encode()
+        special = {t["content"] for t in entries["added_tokens"]}
+        ranks = {bytes(letter[c] for c in entry): i for entry, i in entries["model"]["vocab"].items() if entry not in special}
+        self.a = tiktoken.Encoding("a", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
+        self.a_bytes = [b""] * (max(ranks.values()) + 1)
+        for raw, i in ranks.items():
+            self.a_bytes[i] = raw
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
-        special = [self.b.is_control(i) or self.b.is_unknown(i) for i in range(len(pieces))]
-        if any(SPACE in p.lstrip(SPACE) for p, s in zip(pieces, special, strict=True) if not s):
+        none = [self.b.is_control(i) or self.b.is_unknown(i) for i in range(len(pieces))]
+        if any(SPACE in p.lstrip(SPACE) for p, n in zip(pieces, none, strict=True) if not n):
             raise ValueError("chunks are not independent in this vocabulary")
-        self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else b"" if special[i] else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)]
+        self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else b"" if none[i] else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)]
         self.a_len = np.array([len(x) for x in self.a_bytes], np.int32)
         self.b_len = np.array([len(x) for x in self.b_bytes], np.int32)
-        self.known: dict[str, tuple[bytes, bytes, bool]] = {}
-
-    def encode(self, chunks: list[str]) -> list[tuple[bytes, bytes, bool]]:
-        """For each chunk (a space before it): its ids on both sides as 32-bit numbers, and whether both give back its bytes."""
-        found = list(map(self.known.get, chunks))
-        if new := [k for k, x in enumerate(found) if x is None]:
-            if len(self.known) + len(new) > CACHED:
-                self.known.clear()
-            for low in range(0, len(new), 20_000):
-                some = new[low : low + 20_000]
-                texts = [chunks[k] for k in some]
-                a = self.a.encode_batch([f" {t}" for t in texts], add_special_tokens=False)
-                b = self.b.encode(texts, num_threads=1)
-                for k, t, x, y in zip(some, texts, a, b, strict=True):
-                    x, raw = x.ids, f" {t}".encode()
-                    same = b"".join([self.a_bytes[i] for i in x]) == raw == b"".join([self.b_bytes[i] for i in y])
-                    found[k] = np.array(x, np.int32).tobytes(), np.array(y, np.int32).tobytes(), same
-                    if len(t) <= 32 and len(self.known) < CACHED:
-                        self.known[t] = found[k]
-        return found
+        if max(len(self.a_len), len(self.b_len)) > IDS or max(self.a_len.max(), self.b_len.max()) >= 1 << (31 - BITS):
+            raise ValueError("an id or a token is too long for its bits")
+
+    def encode(self, chunks: list[str], step: int = 4096) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Steps of chunks (a space before each): A's ids one after the other and how many each chunk has, B's alike, and
+        whether both give back the chunk's bytes."""
+        for low in range(0, len(chunks), step):
+            some = chunks[low : low + step]
+            raw = [f" {c}".encode() for c in some]
+            sizes = np.fromiter(map(len, raw), np.int64, len(raw))
+            a, a_counts = self._a(some, sizes)
+            pieces = self.b.encode(some, num_threads=1)
+            b_counts = np.fromiter(map(len, pieces), np.int64, len(pieces))
+            flat = list(chain.from_iterable(pieces))
+            b = np.array(flat, np.int32)
+            same = np.ones(len(some), bool)
+            given = np.diff(np.concatenate([[0], np.cumsum(self.b_len[b])])[np.concatenate([[0], np.cumsum(b_counts)])])
+            if (given != sizes).any() or b"".join(map(self.b_bytes.__getitem__, flat)) != b"".join(raw):
+                same = np.array([b"".join(map(self.b_bytes.__getitem__, p)) == r for p, r in zip(pieces, raw, strict=True)], bool)
+            yield a, a_counts, b, b_counts, same
+
+    def _a(self, chunks: list[str], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A's ids. Chunks without white space at their begin or a space at their end are encoded in one go: A cuts between them."""
+        apart = np.array([not c or c[0].isspace() or c[-1] == " " for c in chunks], bool)
+        joined = np.array(self.a.encode_ordinary("".join([f" {c}" for c, alone in zip(chunks, apart.tolist(), strict=True) if not alone])), np.int32)
+        ends = np.searchsorted(np.cumsum(self.a_len[joined]), np.cumsum(sizes[~apart]), side="left") + 1 if len(joined) else np.zeros(0, np.int64)
+        counts = np.zeros(len(chunks), np.int64)
+        counts[~apart] = np.diff(ends, prepend=0)
+        if not apart.any():
+            return joined, counts
+        own = {k: np.array(self.a.encode_ordinary(f" {chunks[k]}"), np.int32) for k in np.flatnonzero(apart).tolist()}
+        for k, ids in own.items():
+            counts[k] = len(ids)
+        upto = np.concatenate([[0], np.cumsum(np.where(apart, 0, counts))])
+        return np.concatenate([own[k] if k in own else joined[upto[k] : upto[k + 1]] for k in range(len(chunks))]), counts
 
 
 @cache
@@ -107,48 +130,62 @@ def tokenizers_of(a_path: str, b_path: str) -> Tokenizers:
     return Tokenizers(a_path, b_path)
 
 
+def _even(text: str) -> bool:
+    """Whether every space begins a chunk."""
+    return not (text[0] == " " or text[-1] == " " or _SPACES.search(text))
+
+
 def chunks_of(text: str) -> list[str]:
     """The chunks of space+text, each without the space before it."""
-    if _UNEVEN.search(text) is None:
+    if _even(text):
         return text.split(" ")
-    first, *rest = _CUT.split(f" {text}") if text[0] == " " else ("", *_CUT.split(text))
-    return [first[1:], *rest] if text[0] == " " else rest
+    if text[0] == " ":
+        first, *rest = _CUT.split(f" {text}")
+        return [first[1:], *rest]
+    return _CUT.split(text)
 
 
-class _Numbers(dict):
-    def __missing__(self, chunk: str) -> int:
-        n = self[chunk] = len(self)
-        return n
+def numbered(texts: list[str]) -> tuple[list[str], list[np.ndarray]]:
+    """The distinct chunks of texts, and for each text the numbers of its own."""
+    even = [_even(t) for t in texts]
+    split = pc.split_pattern(pa.array([t for t, e in zip(texts, even, strict=True) if e], pa.large_string()), " ")
+    own = [chunks_of(t) for t, e in zip(texts, even, strict=True) if not e]
+    values = pa.concat_arrays([split.flatten(), pa.array(list(chain.from_iterable(own)), pa.large_string())]).dictionary_encode()
+    parts = iter(np.split(values.indices.to_numpy(), np.cumsum([*np.diff(split.offsets.to_numpy()), *map(len, own)])[:-1]) if texts else ())
+    first = [next(parts) for e in even if e]
+    rest = iter(parts)
+    first = iter(first)
+    return values.dictionary.to_pylist(), [next(first) if e else next(rest) for e in even]
 
 
-def _lists(values: pa.Array, counts: np.ndarray) -> pa.ListArray:
-    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), values)
+def _lists(values: np.ndarray, counts: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(values))
 
 
-_ARROW_TOKENS = pa.list_(pa.struct([("id", pa.int32()), ("len", pa.int32())]))
-_CUT_ARROW = pa.schema([("block", pa.int64()), ("doc_id", pa.int64()), ("chunks", pa.list_(pa.int32())), ("chunk", pa.int32()), ("a", _ARROW_TOKENS), ("b", _ARROW_TOKENS)])
+_INTS = pa.list_(pa.int32())
+_CUT_ARROW = pa.schema([("block", pa.int64()), ("doc_id", pa.int64()), ("chunks", _INTS), ("segment", pa.int64()), ("a", _INTS), ("b", _INTS), ("kind", pa.int32())])
+_CUT_DDL = "block long, doc_id long, chunks array<int>, segment long, a array<int>, b array<int>, kind int"
 
 
 def _cut(docs: DataFrame, a_path: str, b_path: str, block: int) -> DataFrame:
-    """Rows of documents (chunks: the numbers of their chunks, null where there are no tokens) and of the chunks of each block."""
-
-    def tokens(ids: list[bytes], lengths: np.ndarray) -> pa.ListArray:
-        flat = np.frombuffer(b"".join(ids), np.int32)
-        return _lists(pa.StructArray.from_arrays([pa.array(flat), pa.array(lengths[flat])], ["id", "len"]), np.array([len(i) // 4 for i in ids], np.int64))
-
-    def closed(name: int, docs: list[tuple[int | None, np.ndarray | None]], numbers: _Numbers, both: Tokenizers) -> Iterator[pa.RecordBatch]:
-        chunks = list(numbers)
-        found = both.encode(chunks)
-        bad = np.array([not same for _, _, same in found], bool)
-        if bad.any():  # documents with a chunk that isn't given back are one chunk, and have no tokens if it is not given back either
+    """Rows of documents (kind 0; chunks: the numbers of their chunks in the block, none where there are no tokens) and of the
+    chunks of each block (kind 1; segment: block and number)."""
+
+    def closed(name: int, held: list[tuple[int | None, str | None]], both: Tokenizers) -> Iterator[pa.RecordBatch]:
+        chunks, found = numbered([t for _, t in held if t])
+        numbers = iter(found)
+        docs = [(i, next(numbers) if t else None) for i, t in held]
+        coded = list(both.encode(chunks))
+        same = np.concatenate([np.zeros(0, bool), *(x[-1] for x in coded)])
+        if not same.all():  # documents with a chunk that isn't given back are one chunk, without tokens if it isn't given back either
             for k, (i, own) in enumerate(docs):
-                if own is not None and bad[own].any():
-                    found += both.encode([" ".join([chunks[c] for c in own.tolist()])])
-                    docs[k] = i, np.array([len(found) - 1], np.int32) if found[-1][2] else None
-            kept = np.array([same for _, _, same in found], bool)
-            place = (np.cumsum(kept) - 1).astype(np.int32)
-            docs = [(i, None if own is None else place[own]) for i, own in docs]
-            found = [x for x in found if x[2]]
+                if own is not None and not same[own].all():
+                    coded += both.encode([" ".join([chunks[c] for c in own.tolist()])])
+                    docs[k] = i, np.array([len(chunks)], np.int32)
+                    chunks.append("")
+            same = np.concatenate([x[-1] for x in coded])
+            place = (np.cumsum(same) - 1).astype(np.int32)
+            docs = [(i, place[own] if own is not None and same[own].all() else None) for i, own in docs]
         low = 0
         while low < len(docs):
             high, n = low, 0
@@ -158,85 +195,80 @@ def _cut(docs: DataFrame, a_path: str, b_path: str, block: int) -> DataFrame:
             some = docs[low:high]
             counts = np.array([0 if own is None else len(own) for _, own in some], np.int64)
             flat = np.concatenate([np.zeros(0, np.int32), *(own for _, own in some if own is not None)])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([name] * len(some), pa.int64()), pa.array([i for i, _ in some], pa.int64()), _lists(pa.array(flat), counts), *(pa.nulls(len(some), f.type) for f in list(_CUT_ARROW)[3:])], schema=_CUT_ARROW
-            )
+            yield batch(len(some), name, doc_id=pa.array([i for i, _ in some], pa.int64()), chunks=_lists(flat, counts), kind=pa.array([0] * len(some), pa.int32()))
             low = high
-        for low in range(0, len(found), 20_000):
-            some = found[low : low + 20_000]
-            n = len(some)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([name] * n, pa.int64()), *(pa.nulls(n, f.type) for f in list(_CUT_ARROW)[1:3]), pa.array(np.arange(low, low + n, dtype=np.int32)), tokens([x for x, _, _ in some], both.a_len), tokens([y for _, y, _ in some], both.b_len)], schema=_CUT_ARROW
-            )
+        low = 0
+        for a, a_counts, b, b_counts, ok in coded:
+            n = int(ok.sum())
+            a, b = (np.where(np.repeat(ok, counts), ids + (lengths[ids] << BITS), -1) for ids, lengths, counts in ((a, both.a_len, a_counts), (b, both.b_len, b_counts)))
+            yield batch(n, name, segment=pa.array((name << CHUNK_BITS) + np.arange(low, low + n)), a=_lists(a[a >= 0].astype(np.int32), a_counts[ok]), b=_lists(b[b >= 0].astype(np.int32), b_counts[ok]), kind=pa.array([1] * n, pa.int32()))
+            low += n
+
+    def batch(n: int, name: int, **columns: pa.Array) -> pa.RecordBatch:
+        columns["block"] = pa.array([name] * n, pa.int64())
+        return pa.RecordBatch.from_arrays([columns[f.name] if f.name in columns else pa.nulls(n, f.type) for f in _CUT_ARROW], schema=_CUT_ARROW)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = tokenizers_of(a_path, b_path)
-        first = TaskContext.get().partitionId() << 32
-        name, size = first, 0
-        held: list[tuple[int | None, np.ndarray | None]] = []
-        numbers = _Numbers()
+        name, size = TaskContext.get().partitionId() << BLOCK_BITS, 0
+        held: list[tuple[int | None, str | None]] = []
         for part in parts:
             for i, text in zip(part.column(0).to_pylist(), part.column(1), strict=True):
                 text = text.as_py()
-                if not text:
-                    held.append((i, None))
-                    continue
-                own = chunks_of(text)
-                held.append((i, np.fromiter(map(numbers.__getitem__, own), np.int32, len(own))))
-                size += len(text)
+                held.append((i, text))
+                size += len(text or "")
                 if size >= block:
-                    yield from closed(name, held, numbers, both)
-                    name, size, held, numbers = name + 1, 0, [], _Numbers()
+                    yield from closed(name, held, both)
+                    name, size, held = name + 1, 0, []
         if held:
-            yield from closed(name, held, numbers, both)
+            yield from closed(name, held, both)
 
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return chosen.mapInArrow(run, _CUT_DDL)
 
 
 def align(segments: DataFrame, keys: list[str]) -> DataFrame:
-    """segments(keys, a, b: tokens with id and len, of equal total length) -> keys, n_a, n_b, n_groups, groups (`a1,a2|b1;a3|b2`)
-    and links (a pair's ids as one number, A's first), one row for each segment with tokens."""
-    spark = segments.sparkSession
-    held = "spark.sql.requireAllClusterKeysForCoPartition"
-    before = spark.conf.get(held)
-    spark.conf.set(held, "false")  # one exchange, by segment, serves every window, join and aggregate below
+    """segments(keys, a, b: tokens, id + 2^BITS * bytes, of equal bytes together) -> one row for each interval between
+    neighbouring ends: keys, end, group (the last of the segment is 1), a_id and b_id (of the token that ends there, else
+    null), a_over and b_over (of the tokens that cover it: a link).
+
+    The full equi-join on keys and end is a union and an aggregate: unlike Spark's full outer join it keeps the partitioning
+    by keys, so one exchange of the segments by keys serves all windows. An end is met once on either side."""
+    sides = F.array(F.struct(F.lit(True).alias("is_a"), F.col("a").alias("tokens")), F.struct(F.lit(False).alias("is_a"), F.col("b").alias("tokens")))
+    both = segments.select(*keys, F.explode(sides).alias("side")).select(*keys, "side.is_a", F.posexplode("side.tokens").alias("pos", "token"))
+    end = F.sum(F.shiftright("token", BITS)).over(Window.partitionBy(*keys, "is_a").orderBy("pos"))
+    ends = both.select(*keys, "is_a", end.alias("end"), F.col("token").bitwiseAND(IDS).alias("id"))
+    met = ends.groupBy(*keys, "end").agg(F.max(F.when(F.col("is_a"), F.col("id"))).alias("a_id"), F.max(F.when(~F.col("is_a"), F.col("id"))).alias("b_id"))
+    back = Window.partitionBy(*keys).orderBy(F.col("end").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    return met.select(
+        *keys,
+        "end",
+        F.count(F.when(F.col("a_id").isNotNull() & F.col("b_id").isNotNull(), 1)).over(back).alias("group"),
+        "a_id",
+        "b_id",
+        F.last("a_id", ignorenulls=True).over(back).alias("a_over"),
+        F.last("b_id", ignorenulls=True).over(back).alias("b_over"),
+    )
+
+
+def _aligned_chunks(cut: DataFrame) -> DataFrame:
+    """Each segment with its intervals in order, a number each."""
+    rows = align(cut.where("kind = 1").select("segment", "a", "b").repartition("segment"), ["segment"])
+    ends = lambda x, bit: F.shiftleft(F.col(x).isNotNull().cast("long"), bit)
+    code = F.col("a_over").cast("long") + F.shiftleft(F.col("b_over").cast("long"), BITS) + ends("a_id", 2 * BITS) + ends("b_id", 2 * BITS + 1)
+    lists = rows.select("segment", F.struct("end", code.alias("code")).alias("x")).groupBy("segment").agg(F.sort_array(F.collect_list("x"))["code"].alias("codes"))
+    return _compact(lists, "align-chunks")
+
+
+def _compact(df: DataFrame, name: str) -> DataFrame:
+    """stored(), in a tighter encoding: these tables are read once or twice."""
+    codec = "spark.sql.parquet.compression.codec"
+    before = df.sparkSession.conf.get(codec)
+    df.sparkSession.conf.set(codec, "zstd")
     try:
-        dealt = segments.repartition(*keys)
-
-        def side(x: str) -> DataFrame:
-            own = dealt.select(*keys, F.posexplode(x).alias(f"{x}_pos", "token"))
-            end = F.sum("token.len").over(Window.partitionBy(*keys).orderBy(f"{x}_pos"))
-            return own.select(*keys, f"{x}_pos", F.col("token.id").alias(f"{x}_id"), end.alias("end"))
-
-        a, b = side("a"), side("b")
-        upto = Window.partitionBy(*keys).orderBy("end").rowsBetween(Window.unboundedPreceding, -1)
-        ends = a.join(b, [*keys, "end"], "full_outer").select(
-            *keys,
-            "end",
-            "a_id",
-            "b_id",
-            F.count(F.when(F.col("a_pos").isNotNull() & F.col("b_pos").isNotNull(), 1)).over(upto).alias("group"),
-            F.count("a_pos").over(upto).cast("int").alias("a_pos"),
-            F.count("b_pos").over(upto).cast("int").alias("b_pos"),
-        )
-        over_a = a.select(*keys, "a_pos", F.col("a_id").alias("a_over"))
-        over_b = b.select(*keys, "b_pos", F.col("b_id").alias("b_over"))
-        linked = ends.join(over_a, [*keys, "a_pos"]).join(over_b, [*keys, "b_pos"])
-        ids = lambda x: F.array_sort(F.collect_list(F.when(F.col(x).isNotNull(), F.struct("end", x))))
-        groups = linked.groupBy(*keys, "group").agg(
-            ids("a_id").alias("a"), ids("b_id").alias("b"), F.collect_list(F.shiftleft(F.col("a_over").cast("long"), B_BITS) + F.col("b_over")).alias("links")
-        )
-        spelled = lambda x: F.array_join(F.transform(x, lambda t: t[f"{x}_id"].cast("string")), ",")
-        text = F.concat(spelled("a"), F.lit("|"), spelled("b"))
-        out = (
-            groups.select(*keys, F.size("a").alias("n_a"), F.size("b").alias("n_b"), "links", F.struct("group", text.alias("text")).alias("g"))
-            .groupBy(*keys)
-            .agg(F.sum("n_a").alias("n_a"), F.sum("n_b").alias("n_b"), F.count("*").alias("n_groups"), F.array_sort(F.collect_list("g")).alias("g"), F.flatten(F.collect_list("links")).alias("links"))
-        )
-        return common.stored(out.select(*keys, "n_a", "n_b", "n_groups", F.array_join(F.col("g.text"), ";").alias("groups"), "links"), "align")
+        return common.stored(df, name)
     finally:
-        spark.conf.set(held, before)
+        df.sparkSession.conf.set(codec, before)
 
 
 def _flat(column: pa.ChunkedArray | pa.Array, kind) -> tuple[np.ndarray, np.ndarray]:
@@ -256,55 +288,85 @@ class _Block:
 
     def __init__(self, table: pa.Table) -> None:
         kind = table.column("kind").to_numpy()
-        self.docs, chunks, self.pairs = (table.filter(pa.array(kind == k)) for k in range(3))
-        self.chunks = chunks.take(pa.array(np.argsort(chunks.column("chunk").to_numpy(), kind="stable")))
+        docs, chunks, pairs = (table.filter(pa.array(kind == k)) for k in range(3))
+        self.docs = pa.RecordBatch.from_struct_array(docs.column("doc").combine_chunks())
         self.own, self.own_at = _flat(self.docs.column("chunks"), np.int32)
-        self.links, self.links_at = _flat(self.chunks.column("links"), np.int64)
-        self.n_links = np.diff(self.links_at)
-
-    def sums(self, of_chunk: np.ndarray) -> np.ndarray:
-        """For each document, the sum over its chunks."""
-        return np.diff(np.concatenate([[0], np.cumsum(of_chunk[self.own])])[self.own_at]) if len(self.own) else np.zeros(len(self.docs), np.int64)
+        segment = chunks.column("segment").to_numpy()
+        codes, at = _flat(chunks.column("codes"), np.int64)
+        order = np.argsort(segment)
+        n = np.diff(at)[order]
+        self.codes, self.at = codes[_spread(at[:-1][order], n)], np.concatenate([[0], np.cumsum(n)])
+        self.pairs = pa.RecordBatch.from_struct_array(pairs.column("pair").combine_chunks()) if "pair" in table.column_names else None
+
+    def chunk_sums(self, of_interval: np.ndarray) -> np.ndarray:
+        return np.diff(np.concatenate([[0], np.cumsum(of_interval)])[self.at])
+
+    def sums(self, of_interval: np.ndarray) -> pa.Array:
+        """For each document, the sum over the intervals of its chunks."""
+        return pa.array(self._sums(self.chunk_sums(of_interval)), pa.int64())
+
+    def _sums(self, of_chunk: np.ndarray) -> np.ndarray:
+        return np.diff(np.concatenate([[0], np.cumsum(of_chunk[self.own])])[self.own_at])
+
+    def texts(self) -> list[str]:
+        """Each chunk's groups, `a1,a2|b1;a3|b2`."""
+        out, groups, own_a, own_b = [], [], [], []
+        for chunk in range(0, len(self.at) - 1, 20_000):  # Python's own numbers take much memory
+            at = self.at[chunk : chunk + 20_001]
+            codes = self.codes[at[0] : at[-1]]
+            a, b, ends = (x.tolist() for x in (codes & IDS, (codes >> BITS) & IDS, codes >> 2 * BITS))
+            for low, high in zip((at[:-1] - at[0]).tolist(), (at[1:] - at[0]).tolist(), strict=True):
+                for i in range(low, high):
+                    end = ends[i]
+                    if end & 1:
+                        own_a.append(str(a[i]))
+                    if end & 2:
+                        own_b.append(str(b[i]))
+                    if end == 3:
+                        groups.append(f"{','.join(own_a)}|{','.join(own_b)}")
+                        own_a, own_b = [], []
+                out.append(";".join(groups))
+                groups = []
+        return out
 
     def pair_counts(self) -> tuple[np.ndarray, np.ndarray]:
         """The pairs of the block, and how many of its documents hold each."""
-        pairs, of_link = np.unique(self.links, return_inverse=True)
+        pairs, of_link = np.unique(self.codes & ((1 << 2 * BITS) - 1), return_inverse=True)
+        links = np.diff(self.at)
         total = np.zeros(len(pairs), np.int64)
-        n = self.sums(self.n_links)
+        n = self._sums(links)
         upto = np.cumsum(n)
         low = 0
         while low < len(n):
             high = max(low + 1, int(np.searchsorted(upto, (upto[low - 1] if low else 0) + SLICE, side="right")))
             own = self.own[self.own_at[low] : self.own_at[high]]
-            keys = np.repeat(np.arange(high - low), n[low:high]) * len(pairs) + of_link[_spread(self.links_at[own], self.n_links[own])]
-            total += np.bincount(np.unique(keys) % max(1, len(pairs)), minlength=len(pairs))
+            keys = np.repeat(np.arange(high - low), n[low:high]) * len(pairs) + of_link[_spread(self.at[own], links[own])]
+            keys.sort()
+            new = np.concatenate([[True], keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, bool)
+            total += np.bincount(keys[new] % max(1, len(pairs)), minlength=len(pairs))
             low = high
         return pairs, total
 
 
+_FOLD_ARROW = pa.schema([("block", pa.int64()), ("doc_id", pa.int64()), ("chunks", _INTS), *((c, pa.int64()) for c in ("n_a", "n_b", "n_groups", "n_links")), ("groups_sha256", pa.string()), ("pair", pa.int64()), ("n", pa.int64())])
 _FOLD_DDL = "block long, doc_id long, chunks array<int>, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pair long, n long"
-_FOLD_ARROW = pa.schema([("block", pa.int64()), ("doc_id", pa.int64()), ("chunks", pa.list_(pa.int32())), *((c, pa.int64()) for c in ("n_a", "n_b", "n_groups", "n_links")), ("groups_sha256", pa.string()), ("pair", pa.int64()), ("n", pa.int64())])
 
 
 def _fold(table: pa.Table) -> pa.Table:
     """Each document's row, and the pairs of the block with the number of documents that hold them."""
     b = _Block(table)
-    texts = b.chunks.column("groups").to_pylist()
-    digests = []
-    for low, high in zip(b.own_at[:-1].tolist(), b.own_at[1:].tolist(), strict=True):
-        digests.append(hashlib.sha256(";".join([texts[c] for c in b.own[low:high].tolist()]).encode()).hexdigest() if high > low else "")
+    texts = b.texts()
+    digests = [hashlib.sha256(";".join([texts[c] for c in b.own[low:high].tolist()]).encode()).hexdigest() if high > low else "" for low, high in zip(b.own_at[:-1].tolist(), b.own_at[1:].tolist(), strict=True)]
     pairs, n = b.pair_counts()
     name = table.column("block")[0].as_py()
     docs, more = len(b.docs), len(pairs)
-    of = lambda c: pa.array(b.sums(b.chunks.column(c).to_numpy()), pa.int64())
-    rows = pa.Table.from_arrays(
-        [pa.array([name] * docs, pa.int64()), b.docs.column("doc_id"), b.docs.column("chunks"), of("n_a"), of("n_b"), of("n_groups"), pa.array(b.sums(b.n_links), pa.int64()), pa.array(digests, pa.string()), pa.nulls(docs, pa.int64()), pa.nulls(docs, pa.int64())], schema=_FOLD_ARROW
-    )
+    ends = b.codes >> 2 * BITS
+    counts = [b.sums(x) for x in (ends & 1, ends >> 1, (ends == 3).astype(np.int64), np.ones(len(ends), np.int64))]
+    rows = pa.Table.from_arrays([pa.array([name] * docs, pa.int64()), b.docs.column("doc_id"), b.docs.column("chunks"), *counts, pa.array(digests, pa.string()), pa.nulls(docs, pa.int64()), pa.nulls(docs, pa.int64())], schema=_FOLD_ARROW)
     counted = pa.Table.from_arrays([pa.array([name] * more, pa.int64()), *(pa.nulls(more, f.type) for f in list(_FOLD_ARROW)[1:8]), pa.array(pairs, pa.int64()), pa.array(n, pa.int64())], schema=_FOLD_ARROW)
     return pa.concat_tables([rows, counted])
 
 
-_RATE_ARROW = pa.schema([("doc_id", pa.int64()), *((c, pa.int64()) for c in ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")), ("groups_sha256", pa.string())])
 _RATE_DDL = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 
 
@@ -313,33 +375,35 @@ def _rate(table: pa.Table) -> pa.Table:
     b = _Block(table)
     pair, count, best = (b.pairs.column(c).to_numpy() for c in ("pair", "n", "best"))
     order = np.argsort(pair)
-    at = order[np.searchsorted(pair, b.links, sorter=order)]
-    summed = lambda x: b.sums(np.diff(np.concatenate([[0], np.cumsum(x)])[b.links_at]))
-    return pa.Table.from_arrays(
-        [*(b.docs.column(c) for c in ("doc_id", "n_a", "n_b", "n_groups", "n_links")), pa.array(summed(best[at]), pa.int64()), pa.array(summed(count[at]), pa.int64()), b.docs.column("groups_sha256")], schema=_RATE_ARROW
-    )
+    at = order[np.searchsorted(pair, b.codes & ((1 << 2 * BITS) - 1), sorter=order)]
+    known = {c: b.docs.column(c) for c in ("doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256")}
+    known |= {"n_best": b.sums(best[at].astype(np.int64)), "count_sum": b.sums(count[at])}
+    return pa.table({c.split()[0]: known[c.split()[0]] for c in _RATE_DDL.split(", ")})
+
+
+def _rows(kind: int, types: dict[str, str], df: DataFrame, **columns) -> DataFrame:
+    return df.select(F.lit(kind).alias("kind"), "block", *(columns.get(c, F.lit(None)).cast(t).alias(c) for c, t in types.items()))
 
 
 def aligned(docs: DataFrame, a_path: str = BYTES_MODEL, b_path: str = PIECES_MODEL, block: int = BLOCK) -> DataFrame:
     """docs(doc_id, text) -> one row a document: n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256."""
-    cut = common.stored(_cut(docs, a_path, b_path, block), "align-cut")
-    chunks = align(cut.where("chunk IS NOT NULL").select("block", "chunk", "a", "b"), ["block", "chunk"])
-    null = lambda kind, *names: [F.lit(None).cast(kind).alias(n) for n in names]
-    left = cut.where("chunk IS NULL").select(F.lit(0).alias("kind"), "block", "doc_id", "chunks", *null("int", "chunk"), *null("long", "n_a", "n_b", "n_groups"), *null("string", "groups"), *null("array<long>", "links"))
-    right = chunks.select(F.lit(1).alias("kind"), "block", *null("long", "doc_id"), *null("array<int>", "chunks"), "chunk", "n_a", "n_b", "n_groups", "groups", "links")
-    folded = common.stored(left.union(right).groupBy("block").applyInArrow(_fold, _FOLD_DDL), "align-fold")
+    cut = _compact(_cut(docs, a_path, b_path, block), "align-cut")
+    chunks = _aligned_chunks(cut).withColumn("block", F.shiftright("segment", CHUNK_BITS))
+    types = {"doc": "struct<doc_id:long,chunks:array<int>>", "segment": "long", "codes": "array<long>"}
+    both = _rows(0, types, cut.where("kind = 0"), doc=F.struct("doc_id", "chunks")).union(_rows(1, types, chunks, segment=F.col("segment"), codes=F.col("codes")))
+    folded = _compact(both.groupBy("block").applyInArrow(_fold, _FOLD_DDL), "align-fold")
     common.discard(cut)
     pairs = folded.where("pair IS NOT NULL").select("block", "pair", "n")
-    counts = pairs.groupBy("pair").agg(F.sum("n").alias("n")).withColumn("a", F.shiftright("pair", B_BITS))
+    counts = pairs.groupBy("pair").agg(F.sum("n").alias("n")).withColumn("a", F.col("pair").bitwiseAND(IDS))
     top = counts.groupBy("a").agg(F.max("n").alias("most"))
-    marks = counts.join(top, "a").select("pair", "n", (F.col("n") == F.col("most")).cast("int").alias("best"))
-    marked = pairs.select("block", "pair").join(marks, "pair")
-    rows = [
-        folded.where("pair IS NULL").select(F.lit(0).alias("kind"), "block", "doc_id", "chunks", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", *null("int", "chunk"), *null("array<long>", "links"), *null("long", "pair", "n"), *null("int", "best")),
-        chunks.select(F.lit(1).alias("kind"), "block", *null("long", "doc_id"), *null("array<int>", "chunks"), *null("long", "n_a", "n_b", "n_groups", "n_links"), *null("string", "groups_sha256"), "chunk", "links", *null("long", "pair", "n"), *null("int", "best")),
-        marked.select(F.lit(2).alias("kind"), "block", *null("long", "doc_id"), *null("array<int>", "chunks"), *null("long", "n_a", "n_b", "n_groups", "n_links"), *null("string", "groups_sha256"), *null("int", "chunk"), *null("array<long>", "links"), "pair", "n", "best"),
-    ]
-    return rows[0].union(rows[1]).union(rows[2]).groupBy("block").applyInArrow(_rate, _RATE_DDL)
+    marks = counts.join(top, "a").select("pair", "n", (F.col("n") == F.col("most")).alias("best"))
+    counted = pairs.select("block", "pair").join(marks, "pair")
+    numbers = ("n_a", "n_b", "n_groups", "n_links", "groups_sha256")
+    types = {"doc": "struct<doc_id:long,chunks:array<int>,n_a:long,n_b:long,n_groups:long,n_links:long,groups_sha256:string>", "segment": "long", "codes": "array<long>", "pair": "struct<pair:long,n:long,best:int>"}
+    all_ = _rows(0, types, folded.where("pair IS NULL"), doc=F.struct("doc_id", "chunks", *numbers))
+    all_ = all_.union(_rows(1, types, chunks, segment=F.col("segment"), codes=F.col("codes")))
+    all_ = all_.union(_rows(2, types, counted, pair=F.struct("pair", "n", "best")))
+    return all_.groupBy("block").applyInArrow(_rate, _RATE_DDL)
 
 
 def op13_token_alignment(spark, sf_dir: str) -> DataFrame:

@@ -6,11 +6,15 @@ import collections
 import hashlib
 import random
 
+import numpy as np
 import pytest
+import tokenizers
 from pyspark.sql import functions as F
 
 from kerbside.llm import align, common
 
+JSON = tokenizers.Tokenizer.from_file(align.BYTES_MODEL)
+JSON.encode_special_tokens = True
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
 
@@ -22,7 +26,7 @@ def tokens(both, text):
     """Each side's (id, begin, end) for a whole text; None where the bytes differ."""
     out = []
     raw = f" {text}".encode()
-    for ids, spelled in ((both.a.encode(f" {text}", add_special_tokens=False).ids, both.a_bytes), (both.b.encode(text), both.b_bytes)):
+    for ids, spelled in ((JSON.encode(f" {text}", add_special_tokens=False).ids, both.a_bytes), (both.b.encode(text), both.b_bytes)):
         at, own = 0, []
         for i in ids:
             own.append((i, at, at + len(spelled[i])))
@@ -89,7 +93,7 @@ def test_whole_documents_have_the_tokens_of_their_chunks(spark):
         chunks = align.chunks_of(t)
         assert "".join(f" {c}" for c in chunks) == f" {t}"
         if tokens(both, t):
-            for side in (lambda x: both.a.encode(f" {x}", add_special_tokens=False).ids, both.b.encode):
+            for side in (lambda x: JSON.encode(f" {x}", add_special_tokens=False).ids, both.b.encode):
                 assert [i for c in chunks for i in side(c)] == side(t)
 
 
@@ -111,9 +115,26 @@ def test_alignment_of_odd_tables(spark):
     assert rows == [(0, 2, 6), (7, 1, 1), (7, 2, 6), (7, 2, 6)]
 
 
-def test_alignment_is_relational(spark):
-    """The alignment's plan: windows and equi-joins after one exchange, without Python and without products."""
-    segments = spark.createDataFrame([(0, 1, [(1, 2), (2, 2)], [(3, 1), (4, 3)])], "block long, chunk int, a array<struct<id:int,len:int>>, b array<struct<id:int,len:int>>")
-    row = align.align(segments, ["block", "chunk"]).first()
-    assert (row.n_a, row.n_b, row.n_groups, row.groups) == (2, 2, 1, "1,2|3,4")
-    assert sorted((x >> align.B_BITS, x & ((1 << align.B_BITS) - 1)) for x in row.links) == [(1, 3), (1, 4), (2, 4)]
+def test_intervals(spark):
+    """Groups and links as rows: windows and one equi-join, without Python and without products."""
+    token = lambda i, n: i + (n << align.BITS)
+    rows = [(0, [token(1, 2), token(2, 2), token(5, 1)], [token(3, 1), token(4, 3), token(6, 1)]), (1, [token(1, 1)], [token(3, 1)])]
+    got = align.align(spark.createDataFrame(rows, "segment long, a array<int>, b array<int>"), ["segment"])
+    assert sorted(map(tuple, got.collect()), key=repr) == [
+        (0, 1, 2, None, 3, 1, 3), (0, 2, 2, 1, None, 1, 4), (0, 4, 2, 2, 4, 2, 4), (0, 5, 1, 5, 6, 5, 6), (1, 1, 1, 1, 3, 1, 3),
+    ]
+    plan = got._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_long_chunks_are_encoded_like_short_ones():
+    both = align.tokenizers_of(align.BYTES_MODEL, align.PIECES_MODEL)
+    rng = random.Random(2)
+    chunks = ["ab" * 40_000, "x", "", " ", "<|endoftext|>", "don't", "'ll", "a\n", "b ", "\n"] + ["".join(rng.choice("abc.é漢1\n") for _ in range(rng.randrange(1, 9))) for _ in range(300)]
+    chunks = [c for c in chunks if c and not c[0].isspace()]
+    at = 0
+    for a, n, *_ in both.encode(chunks, 50):
+        for k, ids in enumerate(np.split(a, np.cumsum(n)[:-1])):
+            assert ids.tolist() == JSON.encode(f" {chunks[at + k]}", add_special_tokens=False).ids
+        at += len(n)
+    assert at == len(chunks)
