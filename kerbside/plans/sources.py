@@ -22,6 +22,15 @@ def place(t: Tables, name: str) -> str:
     return f"{shared_dir(t.spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: Bytes of a range in which the JSON scans read, so that also these small documents are read in parts.
+SPLIT = 4096
+
+
+def documents(rows: DataFrame, key: str, made) -> DataFrame:
+    """One JSON document for each fifty keys: no task gathers a whole table."""
+    return rows.groupBy(F.floor(F.col(key) / 50).alias("document")).agg(made.alias("value")).select("value")
+
+
 @query("scan_csv_named", "SELECT CAST(s_suppkey AS BIGINT) AS id, s_name AS name, CASE WHEN s_suppkey % 5 = 0 THEN NULL ELSE s_acctbal END AS bal FROM supplier")
 def scan_csv_named(t: Tables) -> DataFrame:
     bal = F.when(F.col("s_suppkey") % 5 == 0, "n/a").otherwise(F.concat(F.lit("  "), F.col("s_acctbal").cast("string")))
@@ -45,16 +54,16 @@ def scan_csv_typed(t: Tables) -> DataFrame:
 @query("scan_json_rows", "SELECT CAST(s_suppkey AS BIGINT) AS id, s_acctbal AS bal FROM supplier")
 def scan_json_rows(t: Tables) -> DataFrame:
     row = F.struct(F.col("s_suppkey").cast("string").alias("id"), F.col("s_acctbal").cast("string").alias("bal"))
-    t.supplier.agg(F.to_json(F.collect_list(row)).alias("value")).write.text(path := place(t, "rows"))
-    rows = readers.json_rows(t.spark, path, "id string, bal string")
+    documents(t.supplier, "s_suppkey", F.to_json(F.collect_list(row))).write.text(path := place(t, "rows"))
+    rows = readers.json_rows(t.spark, path, "id string, bal string", SPLIT)
     return rows.select(F.col("id").try_cast("long").alias("id"), F.col("bal").try_cast("double").alias("bal"))
 
 
 @query("scan_json_map", "SELECT CAST(n_nationkey AS VARCHAR) AS geoid, CAST(n_nationkey * 100 AS BIGINT) AS total, CAST(n_nationkey * 7 AS BIGINT) AS white FROM nation")
 def scan_json_map(t: Tables) -> DataFrame:
     entry = F.struct(F.col("n_nationkey").cast("string").alias("key"), F.struct((F.col("n_nationkey") * 100).alias("total"), (F.col("n_nationkey") * 7).alias("white")).alias("value"))
-    t.nation.agg(F.to_json(F.map_from_entries(F.collect_list(entry))).alias("value")).write.text(path := place(t, "map"))
-    return readers.json_map(t.spark, path, "total:bigint,white:bigint")
+    documents(t.nation, "n_nationkey", F.to_json(F.map_from_entries(F.collect_list(entry)))).write.text(path := place(t, "map"))
+    return readers.json_map(t.spark, path, "total:bigint,white:bigint", size=SPLIT)
 
 
 @query("scan_overpass", "SELECT CAST(s_suppkey AS BIGINT) AS id, CASE WHEN s_suppkey % 2 = 0 THEN 'node' ELSE 'way' END AS type, 40.0e0 + s_suppkey / 1000.0e0 AS lat, s_name AS maker FROM supplier")
@@ -62,17 +71,17 @@ def scan_overpass(t: Tables) -> DataFrame:
     node = F.col("s_suppkey") % 2 == 0
     lat = F.expr("40.0e0 + s_suppkey / 1000.0e0")
     e = F.struct(F.when(node, "node").otherwise("way").alias("type"), F.col("s_suppkey").alias("id"), F.when(node, lat).alias("lat"), F.when(node, F.lit(-74.0)).alias("lon"), F.when(~node, F.struct(lat.alias("lat"), F.lit(-74.0).alias("lon"))).alias("center"), F.create_map(F.lit("manufacturer"), F.col("s_name")).alias("tags"))
-    t.supplier.agg(F.to_json(F.struct(F.collect_list(e).alias("elements"))).alias("value")).write.text(path := place(t, "overpass"))
-    return readers.overpass(t.spark, path).select("id", "type", "lat", F.col("tags")["manufacturer"].alias("maker"))
+    documents(t.supplier, "s_suppkey", F.to_json(F.struct(F.collect_list(e).alias("elements")))).write.text(path := place(t, "overpass"))
+    return readers.overpass(t.spark, path, SPLIT).select("id", "type", "lat", F.col("tags")["manufacturer"].alias("maker"))
 
 
 def _features(t: Tables, geometry_: str, props) -> DataFrame:
-    """The zones' rings as a FeatureCollection on disk, read again."""
+    """The zones' rings as FeatureCollections on disk, read again."""
     ring = "array_join(transform(ring, p -> concat('[', p.x, ',', p.y, ']')), ',')"
     g = F.expr(geometry_.replace("RING", ring))
     feature = F.concat(F.lit('{"type":"Feature","properties":'), props, F.lit(',"geometry":'), g, F.lit("}"))
-    t.zone_rings.agg(F.concat(F.lit('{"features":['), F.array_join(F.collect_list(feature), ","), F.lit("]}")).alias("value")).write.text(path := place(t, "geojson"))
-    return readers.geojson(t.spark, path)
+    documents(t.zone_rings, "zone_id", F.concat(F.lit('{"features":['), F.array_join(F.collect_list(feature), ","), F.lit("]}"))).write.text(path := place(t, "geojson"))
+    return readers.geojson(t.spark, path, SPLIT)
 
 
 POLY = "CASE WHEN zone_id % 2 = 0 THEN concat('{\"type\":\"Polygon\",\"coordinates\":[[', RING, ']]}') ELSE concat('{\"type\":\"MultiPolygon\",\"coordinates\":[[[', RING, ']],[[', RING, ']]]}') END"
@@ -179,5 +188,5 @@ def scan_citygml(t: Tables) -> DataFrame:
 def scan_http_api(t: Tables) -> DataFrame:
     """An answer of an open-data query, as it lands: an array of objects with every value as text."""
     row = F.struct(F.col("n_nationkey").cast("string").alias("id"), F.col("n_name").alias("name"))
-    t.nation.where("n_regionkey = 1").agg(F.to_json(F.collect_list(row)).alias("value")).write.text(path := place(t, "answer"))
-    return readers.json_rows(t.spark, path, "id string, name string").select(F.col("id").try_cast("long").alias("id"), "name")
+    documents(t.nation.where("n_regionkey = 1"), "n_nationkey", F.to_json(F.collect_list(row))).write.text(path := place(t, "answer"))
+    return readers.json_rows(t.spark, path, "id string, name string", SPLIT).select(F.col("id").try_cast("long").alias("id"), "name")

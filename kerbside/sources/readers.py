@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from kerbside.functions import scalar
 
+from . import jsonsplit
+
 POLYGON = "struct<type:string,coordinates:array<array<array<double>>>>"
 MULTI = "struct<type:string,coordinates:array<array<array<array<double>>>>>"
 LINE = "struct<type:string,coordinates:array<array<double>>>"
-FEATURES = "struct<features:array<struct<properties:string,geometry:string>>>"
-OVERPASS = "struct<elements:array<struct<type:string,id:bigint,lat:double,lon:double,center:struct<lat:double,lon:double>,nodes:array<bigint>,tags:map<string,string>>>>"
+FEATURE = "struct<properties:string,geometry:string>"
+ELEMENT = "struct<type:string,id:bigint,lat:double,lon:double,center:struct<lat:double,lon:double>,nodes:array<bigint>,tags:map<string,string>>"
 #: The seven files of a timetable feed and the columns that are read.
 GTFS = {
     "routes": "route_id string, route_short_name string, route_long_name string",
@@ -51,28 +53,27 @@ def csv_typed(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("header", True).option("mode", "FAILFAST").option("enforceSchema", False).csv(path)
 
 
-def json_rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
+def json_rows(spark: SparkSession, path: str, schema: str, size: int = jsonsplit.RANGE) -> DataFrame:
     """An array of objects over several lines."""
-    return spark.read.option("multiLine", True).schema(schema).json(path)
+    return jsonsplit.json_records(spark, path, jsonsplit.ARRAY, size).select(F.from_json("value", schema).alias("v")).select("v.*")
 
 
-def json_map(spark: SparkSession, path: str, value: str, key: str = "geoid") -> DataFrame:
+def json_map(spark: SparkSession, path: str, value: str, key: str = "geoid", size: int = jsonsplit.RANGE) -> DataFrame:
     """{key: {..}} as rows."""
-    text = spark.read.option("wholetext", True).text(path)
-    return text.select(F.explode(F.from_json("value", f"map<string,struct<{value}>>")).alias(key, "v")).select(key, "v.*")
+    records = jsonsplit.json_records(spark, path, jsonsplit.ENTRIES, size)
+    return records.select(F.col("key").alias(key), F.from_json("value", f"struct<{value}>").alias("v")).select(key, "v.*")
 
 
-def overpass(spark: SparkSession, path: str) -> DataFrame:
+def overpass(spark: SparkSession, path: str, size: int = jsonsplit.RANGE) -> DataFrame:
     """Elements (type, id, lat, lon, nodes, tags); a way's centre stands in for its place."""
-    text = spark.read.option("wholetext", True).text(path)
-    e = text.select(F.explode(F.from_json("value", OVERPASS).getField("elements")).alias("e")).select("e.*")
+    e = jsonsplit.json_records(spark, path, "elements", size).select(F.from_json("value", ELEMENT).alias("e")).select("e.*")
     return e.select("type", "id", F.coalesce("lat", "center.lat").alias("lat"), F.coalesce("lon", "center.lon").alias("lon"), "nodes", "tags")
 
 
-def geojson(spark: SparkSession, path: str) -> DataFrame:
-    """(feature, properties, geometry), the last two as JSON text."""
-    text = spark.read.option("wholetext", True).text(path)
-    return text.select(F.posexplode(F.from_json("value", FEATURES).getField("features")).alias("feature", "f")).select("feature", "f.properties", "f.geometry")
+def geojson(spark: SparkSession, path: str, size: int = jsonsplit.RANGE) -> DataFrame:
+    """(feature, properties, geometry), the last two as JSON text; feature is the byte at which it begins in its file."""
+    records = jsonsplit.json_records(spark, path, "features", size).select("place", F.from_json("value", FEATURE).alias("f"))
+    return records.select(F.col("place").alias("feature"), "f.properties", "f.geometry")
 
 
 def _points(coords: Column) -> Column:
