@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kerbside.functions import geo, scalar
-from kerbside.operators import spatial
+from kerbside.operators import order, spatial
 
 from .joins import PIP, SITES, edge_ticks, sites
 from .registry import query
@@ -14,18 +16,17 @@ from .scalars import COVERED, DIM
 from .views import Tables
 
 
-def ranked(df: DataFrame, value: str, keys: list[str] | None = None) -> DataFrame:
+def ranked(df: DataFrame, value: str, keys: list[str]) -> DataFrame:
     """A row for each distinct value of each key: c its count, upto the rows up to it, n all rows."""
-    keys = keys or []
     h = df.groupBy(*keys, value).agg(F.count("*").alias("c"))
     w = Window.partitionBy(*keys)
     return h.withColumns({"upto": F.sum("c").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)), "n": F.sum("c").over(w)})
 
 
-def at_rank(histogram: DataFrame, value: str, index: Column, keys: list[str] | None = None) -> DataFrame:
-    """The value at a zero-based index of the sorted rows."""
+def at_rank(histogram: DataFrame, value: str, index: Column, keys: list[str]) -> DataFrame:
+    """The value at a zero-based index of each key's sorted rows."""
     hit = (F.col("upto") > index) & (F.col("upto") - F.col("c") <= index)
-    return histogram.groupBy(*(keys or [])).agg(F.max(F.when(hit, F.col(value))).alias(value))
+    return histogram.groupBy(*keys).agg(F.max(F.when(hit, F.col(value))).alias(value))
 
 
 @query("agg_group_count", "SELECT pu_zone, do_zone, COUNT(*) AS trips FROM v_trips GROUP BY pu_zone, do_zone")
@@ -44,16 +45,16 @@ def agg_upper_median(t: Tables) -> DataFrame:
     return at_rank(h, "dur_min", F.floor(F.col("n") / 2), ["pu_zone"]).withColumnRenamed("dur_min", "median")
 
 
-def upper_median(df: DataFrame, value: str) -> DataFrame:
-    """One row `median`: sorted[n / 2], at least 1e-12; 1 where df is empty."""
-    got = at_rank(ranked(df, value), value, F.floor(F.col("n") / 2))
-    return got.select(F.coalesce(F.greatest(F.col(value), F.lit(1e-12)), F.lit(1.0)).alias("median"))
+def upper_median(df: DataFrame, value: str) -> float:
+    """sorted[n / 2], at least 1e-12; 1 where df is empty."""
+    (got,), *_ = order.at_ranks(df, value, lambda n: [n // 2])
+    return 1.0 if got is None else max(got, 1e-12)
 
 
 def density_intensity(counts: DataFrame, areas: DataFrame, key: str) -> DataFrame:
     """(key, intensity): count per area against the upper median of the positive densities, clamped to 0..8; 0 without area."""
     d = areas.join(counts, key, "left").select(key, F.when(F.col("area") > 0, F.coalesce("n", F.lit(0)) / F.col("area")).alias("d"))
-    return d.crossJoin(F.broadcast(upper_median(d.where("d > 0"), "d"))).select(key, F.when(F.col("d").isNull(), 0.0).otherwise(geo.clamp(F.col("d") / F.col("median"), 0.0, 8.0)).alias("intensity"))
+    return d.select(key, F.when(F.col("d").isNull(), 0.0).otherwise(geo.clamp(F.col("d") / upper_median(d.where("d > 0"), "d"), 0.0, 8.0)).alias("intensity"))
 
 
 DENSITY = """SELECT z.zone_id, CASE WHEN z.zone_id % 9 = 0 THEN 0.0e0 ELSE 160000.0e0 + z.zone_id * 1000 END AS area, COALESCE(q.n, 0) AS n FROM v_zones z LEFT JOIN (SELECT pu_zone, COUNT(*) AS n FROM v_trips GROUP BY pu_zone) q ON q.pu_zone = z.zone_id"""
@@ -74,18 +75,22 @@ def agg_index_percentile(t: Tables) -> DataFrame:
 
 def index_range(df: DataFrame, value: str) -> DataFrame:
     """lo, hi: the values at round(p * (n - 1)) for 5 and 95 %; all of the range where they coincide."""
-    h = ranked(df, value)
-    at = lambda p: F.max(F.when((F.col("upto") > F.round(p * (F.col("n") - 1))) & (F.col("upto") - F.col("c") <= F.round(p * (F.col("n") - 1))), F.col(value)))
-    got = h.agg(at(0.05).alias("lo"), at(0.95).alias("hi"), F.min(value).alias("a"), F.max(value).alias("b"))
-    same = F.col("hi") - F.col("lo") < 1e-9
-    return got.select(F.when(same, F.col("a")).otherwise(F.col("lo")).alias("lo"), F.when(same, F.greatest(F.col("b"), F.col("a") + 1e-9)).otherwise(F.col("hi")).alias("hi"))
+    (lo, hi), n, least, most = order.at_ranks(df, value, lambda n: [_rounded(p * (n - 1)) for p in (0.05, 0.95)])
+    if n and hi - lo < 1e-9:
+        lo, hi = least, max(most, least + 1e-9)
+    kind = df.schema[value].dataType.simpleString()
+    return df.sparkSession.createDataFrame([(lo, hi)], f"lo {kind}, hi {kind}")
+
+
+def _rounded(x: float) -> int:
+    """To the nearest integer, halves upwards."""
+    return math.floor(x + 0.5)
 
 
 @query("agg_floor_percentile", "SELECT MAX(CASE WHEN rn - 1 = CAST(FLOOR(n * 0.5e0) AS BIGINT) THEN dur_min END) AS p50, MAX(CASE WHEN rn - 1 = CAST(FLOOR(n * 0.9e0) AS BIGINT) THEN dur_min END) AS p90 FROM (SELECT dur_min, ROW_NUMBER() OVER (ORDER BY dur_min) AS rn, COUNT(*) OVER () AS n FROM v_trips) q")
 def agg_floor_percentile(t: Tables) -> DataFrame:
-    h = ranked(t.trips, "dur_min")
-    at = lambda p: F.max(F.when((F.col("upto") > F.floor(F.col("n") * p)) & (F.col("upto") - F.col("c") <= F.floor(F.col("n") * p)), F.col("dur_min")))
-    return h.agg(at(0.5).alias("p50"), at(0.9).alias("p90"))
+    values, *_ = order.at_ranks(t.trips, "dur_min", lambda n: [math.floor(n * p) for p in (0.5, 0.9)])
+    return t.spark.createDataFrame([tuple(values)], "p50 double, p90 double")
 
 
 @query("agg_weighted_percentile", "SELECT MIN(CASE WHEN cum >= 0.5e0 * total THEN v END) AS p50, MIN(CASE WHEN cum >= 0.9e0 * total THEN v END) AS p90 FROM (SELECT v, SUM(w) OVER (ORDER BY v) AS cum, SUM(w) OVER () AS total FROM (SELECT FLOOR(trip_miles * 4) AS v, SUM(dur_min) AS w FROM v_trips GROUP BY 1) h) q")
@@ -260,12 +265,9 @@ def concurrency(trips: DataFrame) -> DataFrame:
 
 
 def concurrency_summary(c: DataFrame) -> DataFrame:
-    h = ranked(c, "active").agg(
-        F.max(F.when((F.col("upto") > F.floor(F.col("n") * 0.5)) & (F.col("upto") - F.col("c") <= F.floor(F.col("n") * 0.5)), F.col("active"))).alias("median"),
-        F.max(F.when((F.col("upto") > F.floor(F.col("n") * 0.95)) & (F.col("upto") - F.col("c") <= F.floor(F.col("n") * 0.95)), F.col("active"))).alias("p95"),
-    )
+    (median, p95), *_ = order.at_ranks(c, "active", lambda n: [math.floor(n * p) for p in (0.5, 0.95)])
     top = c.agg(F.max("active").alias("peak"), F.max_by("minute", F.struct("active", -F.col("minute"))).alias("peak_minute"), F.round(F.avg("active"), 6).alias("mean"), F.count_if(F.col("active") > 1000).alias("over_k"))
-    return top.crossJoin(h)
+    return top.withColumns({"median": F.lit(median).cast("long"), "p95": F.lit(p95).cast("long")})
 
 
 SUMMARY = f"""SELECT (SELECT MAX(active) FROM ({CONCURRENCY}) a) AS peak, (SELECT MIN(minute) FROM ({CONCURRENCY}) b WHERE active = (SELECT MAX(active) FROM ({CONCURRENCY}) a)) AS peak_minute,

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kerbside.functions import geo, scalar
-from kerbside.operators import geometry, graph, sequence, spatial
+from kerbside.operators import geometry, graph, polygons, sequence, spatial
 
 from .composites import HOPS, filled_sql, flood_fill, raster
 from .joins import CC, CLOSED, clusters, not_colinear
@@ -46,10 +46,30 @@ def longest_run(t: Tables) -> DataFrame:
     return clip_polyline(t).groupBy("route_id").agg(F.max_by("run", F.struct("points", "run")).alias("run"), F.max("points").alias("points"))
 
 
-@query("clip_polygon")
+#: Land with a bay and a lake, as rings; all its edges run along the axes, so SQL can give areas by rectangles.
+LAND = (
+    ((-700.0, -600.0), (800.0, -600.0), (800.0, 700.0), (250.0, 700.0), (250.0, 200.0), (-100.0, 200.0), (-100.0, 700.0), (-700.0, 700.0)),
+    ((300.0, -300.0), (300.0, 0.0), (600.0, 0.0), (600.0, -300.0)),
+)
+PARCEL_M = 30.0
+
+
+def _overlap_sql(x0: float, y0: float, x1: float, y1: float) -> str:
+    return f"GREATEST(0.0e0, LEAST(x + 30, {x1}e0) - GREATEST(x - 30, {x0}e0)) * GREATEST(0.0e0, LEAST(y + 30, {y1}e0) - GREATEST(y - 30, {y0}e0))"
+
+
+@query("clip_polygon", f"""SELECT facility_id, ROUND(land, 4) + 0.0e0 AS land, ROUND(3600 - land, 4) + 0.0e0 AS water FROM
+  (SELECT facility_id, {_overlap_sql(-700.0, -600.0, 800.0, 700.0)} - {_overlap_sql(-100.0, 200.0, 250.0, 700.0)} - {_overlap_sql(300.0, -300.0, 600.0, 0.0)} AS land FROM v_facilities) q""")
 def clip_polygon(t: Tables) -> DataFrame:
-    clipped = t.zone_rings.crossJoin(F.broadcast(_centre_box(t))).withColumn("c", geometry.clip_polygon("ring", "clip"))
-    return clipped.where(F.size("c") > 2).select("zone_id", F.round(geo.ring_area("c"), 4).alias("area"))
+    """How much of each facility's square parcel is on land and how much in water: intersection and difference with a concave
+    polygon that has a hole."""
+    point = lambda x, y: F.struct(F.lit(x).cast("double").alias("x"), F.lit(y).cast("double").alias("y"))
+    land = F.array(*(F.array(*(point(x, y) for x, y in ring)) for ring in LAND))
+    corners = [(-1, -1), (1, -1), (1, 1), (-1, 1)]
+    parcel = F.array(F.array(*(F.struct((F.col("x") + a * PARCEL_M).alias("x"), (F.col("y") + b * PARCEL_M).alias("y")) for a, b in corners)))
+    rows = t.facilities.select("facility_id", parcel.alias("parcel"), land.alias("land"))
+    areas = {n: F.round(polygons.parts_area(f("parcel", "land")), 4) + 0.0 for n, f in (("land", polygons.intersection), ("water", polygons.difference))}
+    return rows.select("facility_id", *(c.alias(n) for n, c in areas.items()))
 
 
 @query("significant_parts", "SELECT grp, part, rank FROM (SELECT grp, part, area, MAX(area) OVER (PARTITION BY grp) AS top, CAST(ROW_NUMBER() OVER (PARTITION BY grp ORDER BY area DESC, part) AS BIGINT) AS rank FROM (SELECT facility_id % 20 AS grp, facility_id AS part, POWER(facility_id * 31 % 97, 4) * 1.0e0 AS area FROM v_facilities) q) w WHERE area >= 0.003e0 * top")
