@@ -1,6 +1,6 @@
 """Street graphs: edges(edge_id, from_id, to_id, length_m).
 
-Whole-graph operators iterate joins and write each round to the shared checkpoint folder. Point queries run a heap search
+Whole-graph operators work in rounds and write each to the shared checkpoint folder. Point queries run a heap search
 within one group's task over the edges it is given.
 """
 
@@ -42,21 +42,80 @@ def adjacency(edges: DataFrame, *costs: str) -> DataFrame:
     return there.unionByName(edges.select(F.col("to_id").alias("src"), F.col("from_id").alias("dst"), "edge_id", *costs))
 
 
-def reach(edges: DataFrame, sources: DataFrame, budget: float, cost: str = "length_m", most_rounds: int = 10_000) -> DataFrame:
+#: Nodes of a block by default: ids that follow each other.
+BLOCK_NODES = 1024
+
+
+def _blocked(rows: DataFrame, blocks: DataFrame | None, node: str, name: str) -> DataFrame:
+    """rows with the block of a node."""
+    if blocks is None:
+        return rows.withColumn(name, F.floor(F.col(node) / BLOCK_NODES).cast("long"))
+    return rows.join(blocks.select(F.col("node_id").alias(node), F.col("block").cast("long").alias(name)), node)
+
+
+def reach(edges: DataFrame, sources: DataFrame, budget: float, cost: str = "length_m", blocks: DataFrame | None = None, salts: int = 1, most_rounds: int = 10_000, seen: list | None = None) -> DataFrame:
     """(source, node_id, cost): least cost from each source(source, node_id) to the nodes within budget.
 
-    Each round relaxes the frontier's edges by an equi-join and keeps the least cost of a (source, node) by an aggregate, which
-    also tells what became cheaper: that is the next frontier. A round is one checkpoint."""
-    adj = adjacency(edges, cost)
-    best = checkpointed(sources.select("source", "node_id", F.lit(0.0).alias("cost"), F.lit(True).alias("fresh")))
+    By local expansion: nodes lie in blocks(node_id, block), cells of a map for instance, else runs of ids. A round settles
+    each block that was entered: a heap search from the entries through the block's own edges, which hands costs on to the
+    blocks beyond. So rounds follow how many blocks a path crosses, not how many edges it has. Only what became cheaper is
+    written, once, and only entries move between blocks. A task holds a block's edges and the costs of the sources that have
+    reached it, which `salts` deals out. `seen` gets the number of entries of each round."""
+    adj = _blocked(_blocked(adjacency(edges, cost), blocks, "src", "block"), blocks, "dst", "to_block")
+    adj = checkpointed(adj.select("block", "src", "dst", "to_block", F.col(cost).cast("double").alias("c")))
+    salt = lambda df: df.withColumn("salt", F.pmod(F.hash("source"), F.lit(salts)))
+    dealt = adj.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    source, node = sources.schema["source"].dataType.simpleString(), sources.schema["node_id"].dataType.simpleString()
+    ddl = f"block long, source {source}, node_id {node}, cost double, entry boolean"
+
+    def settle(rows: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        around: dict = {}
+        for a, b, to, c in zip(own["src"].tolist(), own["dst"].tolist(), own["to_block"].tolist(), own["c"].tolist(), strict=True):
+            around.setdefault(a, []).append((b, to, c))
+        out = []
+        for start, some in rows.groupby("source", sort=False):
+            best: dict = {}
+            heap = []
+            here = int(some["block"].iloc[0])
+            for n, c, entry in zip(some["node_id"].tolist(), some["cost"].tolist(), some["entry"].tolist(), strict=True):
+                if entry:
+                    heap.append((c, n))
+                else:
+                    best[n] = min(c, best.get(n, np.inf))
+            heapq.heapify(heap)
+            better, ahead = {}, {}
+            while heap:
+                c, n = heapq.heappop(heap)
+                if c >= best.get(n, np.inf):
+                    continue
+                best[n] = better[n] = c
+                for m, to, step in around.get(n, ()):
+                    d = c + step
+                    if d <= budget:
+                        if to != here:
+                            ahead[to, m] = min(d, ahead.get((to, m), np.inf))
+                        elif d < best.get(m, np.inf):
+                            heapq.heappush(heap, (d, m))
+            out += [(here, start, n, c, False) for n, c in better.items()] + [(to, start, n, c, True) for (to, n), c in ahead.items()]
+        return pd.DataFrame(out, columns=["block", "source", "node_id", "cost", "entry"])
+
+    entries = checkpointed(_blocked(sources.select("source", "node_id", F.lit(0.0).alias("cost"), F.lit(True).alias("entry")), blocks, "node_id", "block"))
+    known = None
     for _ in range(most_rounds):
-        frontier = best.where("fresh").select("source", "node_id", "cost")
-        step = frontier.join(adj, F.col("node_id") == F.col("src")).select("source", F.col("dst").alias("node_id"), (F.col("cost") + F.col(cost)).alias("cost")).where(F.col("cost") <= budget)
-        both = best.select("source", "node_id", "cost", F.col("cost").alias("old")).unionByName(step.withColumn("old", F.lit(None).cast("double")))
-        least = both.groupBy("source", "node_id").agg(F.min("cost").alias("cost"), F.min("old").alias("old"))
-        best = checkpointed(least.select("source", "node_id", "cost", F.expr("old IS NULL OR cost < old").alias("fresh")))
-        if best.where("fresh").isEmpty():
-            return best.drop("fresh")
+        entered = entries.select("block").distinct()
+        rows = entries.select("block", "source", "node_id", "cost", "entry")
+        if known is not None:
+            rows = rows.unionByName(known.join(entries.select("block", "source").distinct(), ["block", "source"], "left_semi"))
+        mine = dealt.join(entered, "block", "left_semi")
+        out = checkpointed(salt(rows).groupBy("block", "salt").cogroup(mine.groupBy("block", "salt")).applyInPandas(settle, ddl))
+        settled_ = out.where("NOT entry")
+        known = settled_ if known is None else known.unionByName(settled_)
+        entries = out.where("entry").groupBy("block", "source", "node_id", "entry").agg(F.min("cost").alias("cost"))
+        n = entries.count()
+        if seen is not None:
+            seen.append(n)
+        if not n:
+            return known.groupBy("source", "node_id").agg(F.min("cost").alias("cost"))
     raise RuntimeError("the search did not settle")
 
 

@@ -6,13 +6,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kerbside.functions import geo, scalar
-from kerbside.operators import exposure, geometry, graph, sequence, spatial
+from kerbside.operators import exposure, geometry, graph, sequence, spatial, timetable
+from kerbside.sources import readers
 
 from . import aggregates as ag
 from .joins import CC, PIP, SITES, clusters, sites
 from .registry import query
 from .scalars import COVERED, curve_sql
 from .sequences import STRETCH, VISITS, fresh_entries, replicated
+from .sources import documents, place
 from .views import Tables
 
 HOUR = 17.0
@@ -180,16 +182,65 @@ def q_route_inference(t: Tables) -> DataFrame:
     return best.select("trip_id", "b.cand", F.round("b.s", 6).alias("score"))
 
 
-@query("q_bus_day", "SELECT trip_id, COUNT(*) AS frames, MIN(time_min) AS start_min, MAX(time_min) AS end_min, MAX(stop_arc) AS arc FROM v_keyframes WHERE trip_id % 3 <> 0 GROUP BY trip_id HAVING COUNT(*) >= 2")
+SERVICE_DAY = "20240117"  # a Wednesday
+FEED_TRIPS = "SELECT CAST(l_orderkey AS BIGINT) AS trip_id, CAST(MIN(l_suppkey) AS BIGINT) AS route_id, MIN(o_custkey) % 25 AS service FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY l_orderkey"
+FEED_STOPS = "SELECT CAST(p_partkey AS BIGINT) AS stop_id, (p_partkey * 7919 % 20000) / 10.0e0 - 1000.0e0 AS px, (p_partkey * 104729 % 20000) / 10.0e0 - 1000.0e0 AS py FROM part"
+
+
+def feed(t: Tables) -> tuple[dict[str, DataFrame], DataFrame]:
+    """A timetable feed and a list of enforced routes, written as files from the tables and read back.
+
+    Orders are trips, of the route of their first supplier; line items are their stops, a few without a time; nations are
+    services, some of them expired, added or removed for the day."""
+    path, text = place(t, "feed"), lambda c: F.col(c).cast("string")
+    route = F.concat(F.lit("m"), F.col("s_suppkey"), F.expr("CASE s_suppkey % 3 WHEN 0 THEN '-SBS' WHEN 1 THEN '' ELSE '+' END"))
+    minute = F.expr("l_orderkey * 7 % 1400 + 2 * l_linenumber")
+    clock = F.when(F.expr("l_orderkey % 11 = 0 AND l_linenumber = 5"), "x").otherwise(F.format_string("%02d:%02d:00", F.floor(minute / 60), minute % 60))
+    degrees = lambda c: F.concat(F.lit("  "), c.cast("string"))
+    flags = [F.expr(f"CASE WHEN (n_nationkey + {k}) % 3 <> 0 THEN '1' ELSE '0' END").alias(day) for k, day in enumerate(timetable.WEEKDAYS)]
+    made = {
+        "routes": t.supplier.select(text("s_suppkey").alias("route_id"), route.alias("route_short_name"), F.lit("").alias("route_long_name")),
+        "trips": t.sql(FEED_TRIPS).select(text("route_id").alias("route_id"), F.concat(F.lit("S"), "service").alias("service_id"), text("trip_id").alias("trip_id"), F.lit("0").alias("direction_id"), text("route_id").alias("shape_id")),
+        "stops": t.sql(FEED_STOPS).select(text("stop_id").alias("stop_id"), F.lit("").alias("stop_name"), degrees(geo.enu_lat("py")).alias("stop_lat"), degrees(geo.enu_lon("px")).alias("stop_lon")),
+        "stop_times": t.lineitem.select(text("l_orderkey").alias("trip_id"), clock.alias("arrival_time"), clock.alias("departure_time"), text("l_partkey").alias("stop_id"), text("l_linenumber").alias("stop_sequence")),
+        "shapes": t.route_points.select(text("route_id").alias("shape_id"), degrees(geo.enu_lat("y")).alias("shape_pt_lat"), degrees(geo.enu_lon("x")).alias("shape_pt_lon"), text("seq").alias("shape_pt_sequence")),
+        "calendar": t.nation.select(F.concat(F.lit("S"), "n_nationkey").alias("service_id"), *flags, F.lit("20240101").alias("start_date"), F.expr("CASE WHEN n_nationkey % 5 = 0 THEN '20240110' ELSE '20241231' END").alias("end_date")),
+        "calendar_dates": t.nation.where("n_nationkey % 4 > 0").select(F.concat(F.lit("S"), "n_nationkey").alias("service_id"), F.expr(f"CASE WHEN n_nationkey % 4 = 3 THEN '20240118' ELSE '{SERVICE_DAY}' END").alias("date"), F.expr("CASE WHEN n_nationkey % 4 = 2 THEN '2' ELSE '1' END").alias("exception_type")),
+    }
+    for name, df in made.items():
+        df.write.option("header", True).csv(f"{path}/{name}.txt")
+    listed = F.struct(F.concat(F.lit("M"), "s_suppkey").alias("route"), F.expr("CASE s_suppkey % 4 WHEN 0 THEN 'ACE' WHEN 2 THEN 'ace' ELSE 'ABLE' END").alias("program"))
+    documents(t.supplier, "s_suppkey", F.to_json(F.collect_list(listed))).write.text(f"{path}/enforced")
+    return readers.gtfs(t.spark, path), readers.json_rows(t.spark, f"{path}/enforced", "route string, program string")
+
+
+ACTIVE = "SELECT n_nationkey AS service FROM nation WHERE (((n_nationkey + 2) % 3 <> 0 AND n_nationkey % 5 <> 0) OR n_nationkey % 4 = 1) AND n_nationkey % 4 <> 2"
+SERVED = f"""SELECT t.trip_id, t.route_id, l_linenumber AS seq, s.stop_id, CAST(l_orderkey * 7 % 1400 + 2 * l_linenumber AS DOUBLE) AS minute, px, py FROM ({FEED_TRIPS}) t JOIN ({ACTIVE}) a ON a.service = t.service
+  JOIN lineitem ON l_orderkey = t.trip_id JOIN ({FEED_STOPS}) s ON s.stop_id = l_partkey WHERE t.route_id % 2 = 0 AND NOT (l_orderkey % 11 = 0 AND l_linenumber = 5)"""
+NEAREST = f"""SELECT route_id, stop_id, arc FROM (SELECT route_id, stop_id, a0 + tt * (a1 - a0) AS arc,
+    ROW_NUMBER() OVER (PARTITION BY route_id, stop_id ORDER BY ROUND((px - x0 - tt * (x1 - x0)) ** 2 + (py - y0 - tt * (y1 - y0)) ** 2, 6), seq) AS rn FROM
+  (SELECT p.route_id, p.stop_id, p.px, p.py, s.*, GREATEST(0.0e0, LEAST(1.0e0, ((px - x0) * (x1 - x0) + (py - y0) * (y1 - y0)) / ((x1 - x0) ** 2 + (y1 - y0) ** 2))) AS tt
+   FROM (SELECT DISTINCT route_id, stop_id, px, py FROM ({SERVED}) q) p JOIN (SELECT route_id AS shape, seq, a0, a1, x0, y0, x1, y1 FROM ({STRETCH}) z WHERE a1 IS NOT NULL) s ON s.shape = p.route_id) w) r WHERE rn = 1"""
+
+
+@query("q_bus_day", f"""SELECT trip_id, COUNT(*) AS frames, MIN(minute) AS start_min, MAX(minute) AS end_min, ROUND(MAX(arc), 3) AS arc, ROUND(SUM(arc), 2) AS arcs FROM
+  (SELECT v.trip_id, v.minute, MAX(n.arc) OVER (PARTITION BY v.trip_id ORDER BY v.seq, CAST(v.stop_id AS VARCHAR) ROWS UNBOUNDED PRECEDING) AS arc FROM ({SERVED}) v JOIN ({NEAREST}) n ON n.route_id = v.route_id AND n.stop_id = v.stop_id) k
+  GROUP BY trip_id HAVING COUNT(*) >= 2""")
 def q_bus_day(t: Tables) -> DataFrame:
-    frames = t.keyframes.where("trip_id % 3 <> 0").withColumn("arc", F.max("stop_arc").over(sequence.running("trip_id", "seq")))
-    return frames.groupBy("trip_id").agg(F.count("*").alias("frames"), F.min("time_min").alias("start_min"), F.max("time_min").alias("end_min"), F.max("arc").alias("arc")).where("frames >= 2")
+    """The enforced trips of one service day from a feed's files, their stops placed forward along their shapes."""
+    files, listed = feed(t)
+    frames = timetable.keyframes(files, timetable.enforced_routes(files["routes"], listed, True), SERVICE_DAY)
+    out = frames.groupBy(F.col("trip_id").cast("long").alias("trip_id")).agg(F.count("*").alias("frames"), F.min("minute").alias("start_min"), F.max("minute").alias("end_min"), F.round(F.max("arc"), 3).alias("arc"), F.round(F.sum("arc"), 2).alias("arcs"))
+    return out
 
 
-@query("q_ace_corridors", f"SELECT route_id, seq, ROUND(SQRT((x1 - x0) ** 2 + (y1 - y0) ** 2), 6) AS len FROM ({STRETCH}) s WHERE a1 IS NOT NULL AND route_id % 3 = 0")
+@query("q_ace_corridors", f"""SELECT route_id, seq, ROUND(SQRT((x1 - x0) ** 2 + (y1 - y0) ** 2), 4) AS len FROM ({STRETCH}) s
+  WHERE a1 IS NOT NULL AND route_id % 2 = 0 AND route_id IN (SELECT route_id FROM ({FEED_TRIPS}) t)""")
 def q_ace_corridors(t: Tables) -> DataFrame:
-    enforced = t.supplier.where("s_suppkey % 3 = 0").select(F.col("s_suppkey").cast("long").alias("route_id"))
-    return sequence.segments(t.route_points.join(enforced, "route_id", "left_semi"), "route_id").select("route_id", "seq", F.round(geo.distance("x0", "y0", "x1", "y1"), 6).alias("len"))
+    """The shapes of enforced routes from a feed's files: matched by base name, joined over trips."""
+    files, listed = feed(t)
+    segments = timetable.corridors(files, timetable.enforced_routes(files["routes"], listed, True))
+    return segments.select(F.col("shape_id").cast("long").alias("route_id"), "seq", F.round(geo.distance("x0", "y0", "x1", "y1"), 4).alias("len"))
 
 
 @query("q_roving_coverage", f"SELECT edge, COUNT(*) AS entries FROM (SELECT *, LAG(edge) OVER (PARTITION BY agent_id ORDER BY ts, event_id) AS before FROM ({VISITS}) v) q WHERE before IS NULL OR before <> edge GROUP BY edge")

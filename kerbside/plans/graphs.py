@@ -190,10 +190,20 @@ def graph_penalised_path(t: Tables) -> DataFrame:
     return _totals(graph.shortest_paths(_pairs(t), weighed, penalty="penalty"))
 
 
-@query("graph_isochrone", f"{HOPS} SELECT edge_id FROM v_edges WHERE from_id IN (SELECT node_id FROM reached) AND to_id IN (SELECT node_id FROM reached)")
+STARTS = "SELECT CAST(s_suppkey AS BIGINT) AS source, CAST(s_suppkey * 7919 % n AS BIGINT) AS node_id FROM supplier CROSS JOIN (SELECT COUNT(*) AS n FROM v_street_nodes) c"
+#: Metres from a start; side of a block of the street grid.
+WALK_M, CELL_M = 600.0, 800.0
+
+
+@query("graph_isochrone", f"""WITH RECURSIVE adj AS (SELECT from_id AS a, to_id AS b FROM v_street_edges UNION ALL SELECT to_id, from_id FROM v_street_edges),
+  hop AS (SELECT source, node_id, 0 AS d FROM ({STARTS}) s UNION SELECT source, b, d + 1 FROM hop JOIN adj ON a = node_id WHERE d < 6),
+  reached AS (SELECT DISTINCT source, node_id FROM hop)
+  SELECT p.source, e.edge_id FROM v_street_edges e JOIN reached p ON p.node_id = e.from_id JOIN reached q ON q.node_id = e.to_id AND q.source = p.source""")
 def graph_isochrone(t: Tables) -> DataFrame:
-    start = t.spark.sql("SELECT 0L AS source, 220L AS node_id")
-    return graph.isochrone_edges(t.edges, graph.reach(t.edges, start, 400.0)).select("edge_id")
+    """The streets within a walk of every start, on a grid that grows with the tables, settled cell by cell."""
+    cells = t.street_nodes.select("node_id", (F.floor(F.col("x") / CELL_M) * 1_000_000 + F.floor(F.col("y") / CELL_M)).alias("block"))
+    reached = graph.reach(t.street_edges, t.sql(STARTS), WALK_M, blocks=cells, salts=4)
+    return graph.isochrone_edges(t.street_edges, reached).select("source", "edge_id")
 
 
 @query("graph_build_route", f"SELECT pair_id, CAST({LATTICE} + 1 AS BIGINT) AS points FROM ({PAIR}) p WHERE start <> goal")

@@ -30,6 +30,12 @@ SELECT 2000000 + p_partkey, 'DotLiveView', (p_partkey * 7919 % 20000) / 10.0e0 -
        100.0e0 AS length_m FROM v_nodes WHERE node_id % 21 < 20
 UNION ALL
 SELECT node_id * 2 + 1, node_id, node_id + 21, x, y, x, y + 100.0e0, 100.0e0 FROM v_nodes WHERE node_id < 420""",
+    # a street grid that grows with the orders
+    "v_street_nodes": """SELECT CAST(o_orderkey AS BIGINT) AS node_id, side, (o_orderkey % side) * 100.0e0 AS x, CAST(FLOOR(o_orderkey / (side * 1.0e0)) AS BIGINT) * 100.0e0 AS y
+FROM orders CROSS JOIN (SELECT CAST(FLOOR(SQRT(COUNT(*))) AS BIGINT) AS side FROM orders) s WHERE o_orderkey < side * side""",
+    "v_street_edges": """SELECT node_id * 2 AS edge_id, node_id AS from_id, node_id + 1 AS to_id, 100.0e0 AS length_m FROM v_street_nodes WHERE node_id % side < side - 1
+UNION ALL
+SELECT node_id * 2 + 1, node_id, node_id + side, 100.0e0 FROM v_street_nodes WHERE node_id < side * (side - 1)""",
     "v_zones": """SELECT CAST(n_nationkey AS BIGINT) AS zone_id, (n_nationkey % 5) * 400.0e0 - 1000.0e0 AS minx,
        CAST(FLOOR(n_nationkey / 5.0e0) AS BIGINT) * 400.0e0 - 1000.0e0 AS miny,
        (n_nationkey % 5) * 400.0e0 - 600.0e0 AS maxx, CAST(FLOOR(n_nationkey / 5.0e0) AS BIGINT) * 400.0e0 - 600.0e0 AS maxy FROM nation""",

@@ -106,3 +106,61 @@ def test_kiosks_and_facilities(spark):
 
     k = spark.sql("SELECT * FROM VALUES ('40.7', '-74', 'Live'), ('40.8', '-73.9', 'Repair'), (NULL, '-74', 'Live') AS k(latitude, longitude, status)")
     assert [r.wifi_live for r in readers.online_kiosks(k).orderBy("lat").collect()] == [True, False]
+
+
+def test_services_and_forward_stops(spark):
+    from kerbside.operators import timetable
+
+    week = ", ".join(f"'{int(d == 2)}' AS {n}" for d, n in enumerate(timetable.WEEKDAYS))  # Wednesdays
+    calendar = spark.sql(f"SELECT s AS service_id, {week}, a AS start_date, b AS end_date FROM VALUES ('in', '20240101', ' 20240117'), ('out', '20240101', '20240116'), ('gone', '20240101', '20241231') AS v(s, a, b)")
+    dates = spark.sql("SELECT * FROM VALUES ('gone', '20240117', '2'), ('new', ' 20240117', '1'), ('late', '20240118', '1'), ('in', '20240118', '2') AS v(service_id, date, exception_type)")
+    assert {r.service_id for r in timetable.active_services(calendar, dates, "20240117").collect()} == {"in", "new"}
+    assert {r.service_id for r in timetable.active_services(calendar, dates, "20240118").collect()} == {"late"}
+    # a shape that runs 100 m east and comes back 1 m north: the second stop is nearest to the way out, the third to its middle
+    points = spark.sql("SELECT * FROM VALUES ('h', 0L, 0D, 0D), ('h', 1L, 100D, 0D), ('h', 2L, 100D, 1D), ('h', 3L, 0D, 1D) AS v(shape_id, seq, x, y)")
+    stops = spark.sql("SELECT * FROM VALUES ('h', 'a', 90D, 0.9D), ('h', 'b', 10D, 0.2D), ('h', 'c', 50D, 0.5D) AS v(shape_id, stop_id, px, py)")
+    got = {r.stop_id: r.arc for r in timetable.stop_arcs(stops, points).collect()}
+    assert got == {"a": 111.0, "b": 10.0, "c": 50.0}  # c lies between both ways: the first one
+
+
+def test_reach_by_blocks(spark):
+    """Costs as by a plain search on a random graph, cut into blocks in several ways, from several sources."""
+    import heapq
+    import random
+
+    rng = random.Random(6)
+    links = [(i, rng.randrange(120), rng.randrange(120), rng.choice([1.0, 2.5, 7.0])) for i in range(260)]
+    edges = spark.createDataFrame(links, "edge_id long, from_id long, to_id long, length_m double")
+    sources = spark.createDataFrame([(0, 3), (1, 50), (2, 3), (3, 119)], "source long, node_id long")
+    around = {}
+    for _, a, b, c in links:
+        around.setdefault(a, []).append((b, c))
+        around.setdefault(b, []).append((a, c))
+    want = set()
+    for s, start in ((0, 3), (1, 50), (2, 3), (3, 119)):
+        best, heap = {}, [(0.0, start)]
+        while heap:
+            c, n = heapq.heappop(heap)
+            if n not in best:
+                best[n] = c
+                for m, d in around.get(n, ()):
+                    if c + d <= 12.0:
+                        heapq.heappush(heap, (c + d, m))
+        want |= {(s, n, c) for n, c in best.items()}
+    for size, salts in ((7, 2), (1000, 1)):
+        blocks = spark.range(120).select(F.col("id").alias("node_id"), F.floor(F.col("id") / size).alias("block"))
+        assert {tuple(r) for r in graph.reach(edges, sources, 12.0, blocks=blocks, salts=salts).collect()} == want
+
+
+def test_rounds_of_reach_follow_blocks(spark):
+    """A street of the same length with ten times the nodes takes as many rounds."""
+    rounds = []
+    for n in (80, 800):
+        step = 800.0 / n
+        edges = spark.range(n).select(F.col("id").alias("edge_id"), F.col("id").alias("from_id"), (F.col("id") + 1).alias("to_id"), F.lit(step).alias("length_m"))
+        cells = spark.range(n + 1).select(F.col("id").alias("node_id"), F.floor(F.col("id") * step / 200).alias("block"))
+        seen: list[int] = []
+        far = graph.reach(edges, spark.sql("SELECT 0L AS source, 0L AS node_id"), 800.0, blocks=cells, seen=seen)
+        assert far.count() == n + 1 and far.agg(F.max("cost")).first()[0] == 800.0
+        rounds.append(len(seen))
+    assert rounds[0] == rounds[1] <= 7
