@@ -59,7 +59,7 @@ def first_polygon(points: DataFrame, polygons: DataFrame, key: str, order: str,
 
 
 def nearest_edge(points: DataFrame, edges: DataFrame, key: str, reach: float = 35.0, size: float = 60.0, p: tuple[str, str] = ("x", "y")) -> DataFrame:
-    """(key, edge_id, d2) of the nearest edge strictly within reach; the smallest edge_id on ties.
+    """(key, edge_id, d2) of the nearest edge strictly within reach; the smallest edge_id on ties to a thousandth.
 
     edges(edge_id, x0, y0, x1, y1) are dealt to the cells of their box, widened by reach."""
     x, y = p
@@ -68,7 +68,7 @@ def nearest_edge(points: DataFrame, edges: DataFrame, key: str, reach: float = 3
         F.least("x0", "x1") - reach, F.least("y0", "y1") - reach, F.greatest("x0", "x1") + reach, F.greatest("y0", "y1") + reach, size,
     )
     d = geo.point_segment_distance(x, y, "x0", "y0", "x1", "y1")
-    found = cell_join(dealt_point(points.select(key, x, y), x, y, size), boxed, d < reach).withColumn("d2", d * d)
+    found = cell_join(dealt_point(points.select(key, x, y), x, y, size), boxed, d < reach).withColumn("d2", F.round(d * d, 6))
     best = F.min(F.struct("d2", "edge_id")).alias("best")
     return found.groupBy(key).agg(best).select(key, "best.edge_id", "best.d2")
 

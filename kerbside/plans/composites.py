@@ -6,14 +6,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kerbside.functions import geo, scalar
-from kerbside.operators import exposure, geometry, graph, sequence, spatial, timetable
+from kerbside.operators import exposure, fleet, geometry, graph, sequence, spatial, timetable
 from kerbside.sources import readers
 
 from . import aggregates as ag
-from .joins import CC, PIP, SITES, clusters, sites
+from .joins import CC, EDGE_T, PIP, RING_EDGES, SITES, clusters, sites
 from .registry import query
 from .scalars import COVERED, curve_sql
-from .sequences import STRETCH, VISITS, fresh_entries, replicated
+from .sequences import PACE, STRETCH, replicated
 from .sources import documents, place
 from .views import Tables
 
@@ -122,15 +122,35 @@ def q_equity(t: Tables) -> DataFrame:
     return rows.crossJoin(F.broadcast(rows.agg(F.round(ag.pearson("entropy", "cameras"), 6).alias("r"))))
 
 
-LIVE = "SELECT z.zone_id, COALESCE(f.n, 0) + COALESCE(m.n, 0) * 0.1e0 AS density FROM v_zones z LEFT JOIN (SELECT zone_id, COUNT(*) AS n FROM (" + PIP + ") p GROUP BY zone_id) f ON f.zone_id = z.zone_id LEFT JOIN (SELECT pu_zone, COUNT(*) AS n FROM v_trips WHERE pu_min <= 480 AND 480 < pu_min + dur_min GROUP BY pu_zone) m ON m.pu_zone = z.zone_id"
+MINUTES = (480, 720, 1020)
+#: Each trip's route, and trips under way at each of the minutes with the share of their time.
+TRIP_ROUTE = "SELECT t.*, CAST(low + (trip_id * 7919) % n AS BIGINT) AS route_id FROM v_trips t CROSS JOIN (SELECT MIN(s_suppkey) AS low, COUNT(*) AS n FROM supplier) s"
+UNDER_WAY = f"SELECT trip_id, now, route_id, (now - pu_min) / dur_min AS f FROM ({TRIP_ROUTE}) t JOIN (SELECT UNNEST([{', '.join(map(str, MINUTES))}]) AS now) i ON pu_min <= now AND now < pu_min + dur_min"
+REACHED = f"""SELECT u.trip_id, u.now, u.route_id, p.cum + (p.c1 - p.cum) * (u.f - p.raw) / (p.r1 - p.raw) AS arc FROM ({UNDER_WAY}) u
+  JOIN (SELECT *, LEAD(raw) OVER (PARTITION BY route_id ORDER BY seq) AS r1, LEAD(cum) OVER (PARTITION BY route_id ORDER BY seq) AS c1 FROM ({PACE}) p) p ON p.route_id = u.route_id AND u.f >= p.raw AND u.f < p.r1"""
+FLEET = f"SELECT trip_id, now, x0 + (x1 - x0) * (arc - a0) / (a1 - a0) AS x, y0 + (y1 - y0) * (arc - a0) / (a1 - a0) AS y FROM ({REACHED}) r JOIN ({STRETCH}) s ON s.route_id = r.route_id WHERE a1 IS NOT NULL AND arc >= a0 AND (arc < a1 OR (a1 = total AND arc <= a1))"
+FLEET_ZONE = f"""SELECT now, trip_id, MIN(zone_id) AS zone_id FROM (SELECT s.now, s.trip_id, e.zone_id FROM ({FLEET}) s JOIN ({RING_EDGES}) e ON (e.y1 > s.y) <> (e.y0 > s.y) AND s.x < (e.x0 - e.x1) * (s.y - e.y1) / (e.y0 - e.y1) + e.x1
+  GROUP BY s.now, s.trip_id, e.zone_id HAVING COUNT(*) % 2 = 1) q GROUP BY now, trip_id"""
+LIVE = f"""SELECT i.now, z.zone_id, COALESCE(m.n, 0) AS vehicles, COALESCE(f.n, 0) + COALESCE(m.n, 0) * 0.1e0 AS density FROM v_zones z CROSS JOIN (SELECT UNNEST([{', '.join(map(str, MINUTES))}]) AS now) i
+  LEFT JOIN (SELECT zone_id, COUNT(*) AS n FROM ({PIP}) p GROUP BY zone_id) f ON f.zone_id = z.zone_id LEFT JOIN (SELECT now, zone_id, COUNT(*) AS n FROM ({FLEET_ZONE}) v GROUP BY now, zone_id) m ON m.zone_id = z.zone_id AND m.now = i.now"""
 
 
-@query("q_neighborhood_live", f"SELECT zone_id, ROUND(density, 6) AS density, ROUND(GREATEST(0.0e0, LEAST(1.0e0, (density - lo) / GREATEST(hi - lo, 1.0e-9))), 6) AS shade FROM ({LIVE}) l CROSS JOIN (SELECT MAX(CASE WHEN rn = 2 THEN density END) AS lo, MAX(CASE WHEN rn = 24 THEN density END) AS hi FROM (SELECT density, ROW_NUMBER() OVER (ORDER BY density) AS rn FROM ({LIVE}) l) w) b")
+@query("q_neighborhood_live", f"""SELECT CAST(l.now AS BIGINT) AS minute, zone_id, vehicles, ROUND(density, 6) AS density, ROUND(GREATEST(0.0e0, LEAST(1.0e0, (density - lo) / GREATEST(hi - lo, 1.0e-9))), 6) AS shade FROM ({LIVE}) l
+  JOIN (SELECT now, MAX(CASE WHEN rn = 2 THEN density END) AS lo, MAX(CASE WHEN rn = 24 THEN density END) AS hi FROM (SELECT now, density, ROW_NUMBER() OVER (PARTITION BY now ORDER BY density) AS rn FROM ({LIVE}) l) w GROUP BY now) b ON b.now = l.now""")
 def q_neighborhood_live(t: Tables) -> DataFrame:
+    """Cameras and vehicles in each neighbourhood at several minutes: vehicles where they are on their routes then, in the first
+    polygon that holds them."""
+    instants = t.spark.range(1).select(F.explode(F.array(*map(F.lit, MINUTES))).alias("now"))
     fixed = spatial.in_polygons(t.sensors, t.zone_rings, 200.0).groupBy("zone_id").agg(F.count("*").alias("f"))
-    live = t.trips.where("pu_min <= 480 AND 480 < pu_min + dur_min").groupBy(F.col("pu_zone").alias("zone_id")).agg(F.count("*").alias("m"))
-    d = t.zones.select("zone_id").join(fixed, "zone_id", "left").join(live, "zone_id", "left").select("zone_id", (F.coalesce("f", F.lit(0)) + F.coalesce("m", F.lit(0)) * 0.1).alias("density"))
-    return d.crossJoin(F.broadcast(ag.index_range(d, "density"))).select("zone_id", F.round("density", 6).alias("density"), F.round(geo.clamp((F.col("density") - F.col("lo")) / F.greatest(F.col("hi") - F.col("lo"), F.lit(1e-9)), 0.0, 1.0), 6).alias("shade"))
+    vehicles = fleet.positions(t.sql(TRIP_ROUTE), instants, t.route_points, "route_id", "pu_min", "dur_min")
+    held = spatial.first_polygon(vehicles.select(F.struct("now", "trip_id").alias("vehicle"), "x", "y"), t.zone_rings, "vehicle", "zone_id", 200.0)
+    live = held.groupBy(F.col("vehicle.now").alias("now"), "zone_id").agg(F.count("*").alias("vehicles"))
+    d = t.zones.select("zone_id").crossJoin(F.broadcast(instants)).join(fixed, "zone_id", "left").join(live, ["now", "zone_id"], "left")
+    d = d.select("now", "zone_id", F.coalesce("vehicles", F.lit(0)).alias("vehicles"), (F.coalesce("f", F.lit(0)) + F.coalesce("vehicles", F.lit(0)) * 0.1).alias("density"))
+    h = ag.ranked(d, "density", ["now"])
+    ends = [ag.at_rank(h, "density", F.floor((F.col("n") - 1) * p + 0.5), ["now"]).withColumnRenamed("density", name) for p, name in ((0.05, "lo"), (0.95, "hi"))]
+    shade = geo.clamp((F.col("density") - F.col("lo")) / F.greatest(F.col("hi") - F.col("lo"), F.lit(1e-9)), 0.0, 1.0)
+    return d.join(ends[0], "now").join(ends[1], "now").select(F.col("now").cast("long").alias("minute"), "zone_id", "vehicles", F.round("density", 6).alias("density"), F.round(shade, 6).alias("shade"))
 
 
 @query("q_institutions", f"SELECT facility_id, cameras, CAST(ROW_NUMBER() OVER (ORDER BY cameras DESC, name, facility_id) AS BIGINT) AS rank FROM (SELECT f.facility_id, f.name, COUNT(DISTINCT s.component) AS cameras FROM ({SITES}) f LEFT JOIN (SELECT v.x, v.y, c.component FROM v_sensors v JOIN ({CC}) c ON c.node_id = v.sensor_id) s ON (s.x - f.sx) ** 2 + (s.y - f.sy) ** 2 <= 40000.0e0 GROUP BY 1, 2) q")
@@ -243,9 +263,21 @@ def q_ace_corridors(t: Tables) -> DataFrame:
     return segments.select(F.col("shape_id").cast("long").alias("route_id"), "seq", F.round(geo.distance("x0", "y0", "x1", "y1"), 4).alias("len"))
 
 
-@query("q_roving_coverage", f"SELECT edge, COUNT(*) AS entries FROM (SELECT *, LAG(edge) OVER (PARTITION BY agent_id ORDER BY ts, event_id) AS before FROM ({VISITS}) v) q WHERE before IS NULL OR before <> edge GROUP BY edge")
+SAMPLES = f"""SELECT s.route_id, k, x0 + (x1 - x0) * (arc - a0) / (a1 - a0) AS x, y0 + (y1 - y0) * (arc - a0) / (a1 - a0) AS y FROM
+  (SELECT route_id, k, total * k / n AS arc FROM (SELECT DISTINCT route_id, total, CEIL(total / 16.0e0) AS n FROM ({STRETCH}) z) q JOIN (SELECT CAST(UNNEST(RANGE(1, 400)) AS DOUBLE) AS k) i ON k <= n) w
+  JOIN ({STRETCH}) s ON s.route_id = w.route_id WHERE a1 IS NOT NULL AND arc >= a0 AND (arc < a1 OR (a1 = total AND arc <= a1))"""
+SNAPPED = f"""SELECT route_id, k, edge_id FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY route_id, k ORDER BY d2, edge_id) AS rn FROM
+  (SELECT s.route_id, s.k, e.edge_id, ROUND((s.x - e.x0 - {EDGE_T} * (e.x1 - e.x0)) ** 2 + (s.y - e.y0 - {EDGE_T} * (e.y1 - e.y0)) ** 2, 6) AS d2
+   FROM ({SAMPLES}) s JOIN v_edges e ON s.x BETWEEN e.x0 - 40 AND e.x1 + 40 AND s.y BETWEEN e.y0 - 40 AND e.y1 + 40) q WHERE d2 < 35.0e0 * 35.0e0) w WHERE rn = 1"""
+
+
+@query("q_roving_coverage", f"""SELECT edge_id, CAST(SUM(n) AS BIGINT) AS entries FROM (SELECT route_id, edge_id FROM (SELECT *, LAG(edge_id) OVER (PARTITION BY route_id ORDER BY k) AS before FROM ({SNAPPED}) s) q WHERE before IS NULL OR before <> edge_id) e
+  JOIN (SELECT route_id, COUNT(*) AS n FROM ({TRIP_ROUTE}) t GROUP BY route_id) n ON n.route_id = e.route_id GROUP BY edge_id""")
 def q_roving_coverage(t: Tables) -> DataFrame:
-    return fresh_entries(t.sql(VISITS), "agent_id", "edge", "ts", "event_id").groupBy("edge").agg(F.count("*").alias("entries"))
+    """How often the day's trips enter each street. Trips of one route enter the same streets, so a route is walked once."""
+    trips = t.sql(TRIP_ROUTE).groupBy("route_id").agg(F.count("*").alias("trips"))
+    entered = fleet.street_entries(t.route_points, t.edges, "route_id").join(trips, "route_id")
+    return entered.groupBy("edge_id").agg(F.sum(F.col("entries") * F.col("trips")).alias("entries"))
 
 
 @query("q_concurrency", ag.SUMMARY)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from kerbside.functions import geo
-from kerbside.operators import geometry, sequence, spatial
+from kerbside.operators import fleet, geometry, sequence, spatial
 
 from .registry import query
 from .scalars import SEGMENTS, r
@@ -74,16 +74,7 @@ FRAC = "(route_id * 29 % 97) / 100.0e0 + 0.005e0"
 
 @query("win_arc_at", f"SELECT route_id, ROUND(cum + (c1 - cum) * (f - raw) / (r1 - raw), 4) AS arc FROM (SELECT *, {FRAC} AS f, LEAD(raw) OVER (PARTITION BY route_id ORDER BY seq) AS r1, LEAD(cum) OVER (PARTITION BY route_id ORDER BY seq) AS c1 FROM ({PACE}) p) q WHERE f >= raw AND f < r1")
 def win_arc_at(t: Tables) -> DataFrame:
-    return arc_at(t.route_points.select("route_id").distinct().withColumn("f", F.expr(FRAC)), t.route_points, "route_id").select("route_id", F.round("arc", 4).alias("arc"))
-
-
-def arc_at(wanted: DataFrame, points: DataFrame, key: str) -> DataFrame:
-    """wanted(key, f) with `arc`, the length reached at the share f of the travel time."""
-    s = sequence.spans(sequence.paced(points, key), key, "time_frac", "cum_m")
-    f = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("f")))
-    out = wanted.join(s, key).where((f >= F.col("a0")) & ((f < F.col("a1")) | ((F.col("a1") >= F.col("end")) & (f <= F.col("a1")))))
-    t = F.when(F.col("a1") > F.col("a0"), (f - F.col("a0")) / (F.col("a1") - F.col("a0"))).otherwise(0.0)
-    return out.select(*wanted.columns, geo.lerp("cum_m0", "cum_m1", t).alias("arc"))
+    return fleet.arc_at_share(t.route_points.select("route_id").distinct().withColumn("f", F.expr(FRAC)), t.route_points, "route_id").select("route_id", F.round("arc", 4).alias("arc"))
 
 
 @query("win_monotone_max", "SELECT trip_id, seq, MAX(stop_arc) OVER (PARTITION BY trip_id ORDER BY seq) AS arc FROM v_keyframes")

@@ -164,3 +164,28 @@ def test_rounds_of_reach_follow_blocks(spark):
         assert far.count() == n + 1 and far.agg(F.max("cost")).first()[0] == 800.0
         rounds.append(len(seen))
     assert rounds[0] == rounds[1] <= 7
+
+
+def test_who_is_under_way(spark):
+    import random
+
+    from kerbside.operators import fleet
+
+    rng = random.Random(2)
+    rows = [(i, float(rng.randrange(0, 300)), rng.choice([0.0, 0.5, 3.0, 40.0])) for i in range(400)]
+    trips = spark.createDataFrame(rows, "trip_id long, start double, dur double")
+    instants = spark.createDataFrame([(0.0,), (12.0,), (12.5,), (290.0,), (10_000.0,)], "now double")
+    want = {(i, n) for i, s, d in rows for n in (0.0, 12.0, 12.5, 290.0) if s <= n < s + d}
+    for longest in (None, 40.0):
+        assert {(r.trip_id, r.now) for r in fleet.active_at(trips, instants, "start", "dur", longest).collect()} == want
+    assert fleet.active_at(trips.limit(0), instants, "start", "dur").count() == 0
+
+
+def test_streets_are_entered_once_a_visit(spark):
+    from kerbside.operators import fleet
+
+    edges = spark.sql("SELECT * FROM VALUES (1L, 0D, 0D, 100D, 0D), (2L, 100D, 0D, 200D, 0D), (3L, 0D, 60D, 200D, 60D) AS e(edge_id, x0, y0, x1, y1)")
+    # along edge 1, off the streets for a while, back on edge 1, then on to edge 2 and back
+    path = [(10, 1), (60, 1), (60, -80), (90, -80), (90, 1), (180, 1), (20, 1)]
+    points = spark.createDataFrame([(7, i, float(x), float(y)) for i, (x, y) in enumerate(path)], "route long, seq long, x double, y double")
+    assert {(r.edge_id, r.entries) for r in fleet.street_entries(points, edges, "route").collect()} == {(1, 2), (2, 1)}
