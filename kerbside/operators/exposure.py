@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,15 +17,17 @@ ACE_DIRECTIONS, ACE_SCALE = 2.0, 1.0
 DASH_PENETRATION, DASH_PER_MIN, DASH_CAPTURE = 0.40, 12.0, 0.40
 GLASS_PER_1000, GLASS_RECORDING, GLASS_PER_MIN, GLASS_CAPTURE = 10.0, 0.05, 60.0, 0.4
 ROBOT_PER_MIN, ROBOT_CAPTURE, TESLA_PER_MIN, TESLA_CAPTURE = 2.0, 0.5, 4.0, 0.3
-ROBOT_NO_FIELD, TESLA_OUTSIDE = 0.3, 0.1
+ROBOT_NO_FIELD, ROBOT_OUTSIDE, TESLA_OUTSIDE = 0.3, 0.1, 0.1
 
 
-def rates(hour, corridor: Column, zone: Column, robot_score: Column, tesla_density: Column) -> dict[str, Column]:
-    """Mobile captures per minute of presence, by class."""
-    ace = F.when(corridor, 60 * ACE_DIRECTIONS / F.greatest(60 * scalar.headway_step(hour) * ACE_SCALE, F.lit(1.0))).otherwise(0.0)
+def rates(hour, corridor: Column, zone: Column, robot_score: Column, tesla_density: Column, headway: Column | None = None, traffic: Column | None = None) -> dict[str, Column]:
+    """Mobile captures per minute of presence, by class. headway (minutes) and traffic (of the day's peak) are those of a real
+    day, else the synthetic curves of the hour."""
+    headway = scalar.headway_step(hour) if headway is None else headway
+    ace = F.when(corridor, 60 * ACE_DIRECTIONS / F.greatest(60 * headway * ACE_SCALE, F.lit(1.0))).otherwise(0.0)
     return {
         "ace": ace,
-        "dashcam": DASH_PER_MIN * scalar.traffic(hour) * zone * (DASH_PENETRATION * DASH_CAPTURE),
+        "dashcam": DASH_PER_MIN * (scalar.traffic(hour) if traffic is None else traffic) * zone * (DASH_PENETRATION * DASH_CAPTURE),
         "glasses": GLASS_PER_MIN * scalar.pedestrians(hour) * (GLASS_PER_1000 / 1000 * GLASS_RECORDING * GLASS_CAPTURE),
         "robots": ROBOT_PER_MIN * scalar.robots(hour) * robot_score * ROBOT_CAPTURE,
         "tesla": TESLA_PER_MIN * tesla_density * TESLA_CAPTURE,
@@ -61,12 +65,53 @@ def walk_ticks(route: DataFrame, key: str, speed: float = WALK_MPS) -> DataFrame
     return sequence.at_arc(t, route, key).select(key, "tick", "t", "weight", F.col("x").alias("px"), F.col("y").alias("py"))
 
 
-def mobile_integral(ticks: DataFrame, key: str, departure: float, corridor: DataFrame) -> DataFrame:
-    """(key, ace, ..., tesla): the rates summed over ticks; `weight` is a tick's seconds, hours follow the walk."""
-    near = [spatial.within(ticks, corridor, ACE_REACH_M, ("px", "py"), how=how).withColumn("near", F.lit(how == "left_semi")) for how in ("left_semi", "left_anti")]
+@dataclass(frozen=True)
+class Fields:
+    """What varies over the city and the day; what is None takes the default of its class.
+
+    zones(zone_id, ring, box, dashcam, tesla): intensities by polygon, the first that holds a point; outside, dashcams count
+    as 1 and Teslas as TESLA_OUTSIDE. robots(cx, cy, score): cells of `cell` metres; elsewhere ROBOT_OUTSIDE.
+    day(minute, headway, traffic): each minute of a real day."""
+
+    zones: DataFrame | None = None
+    zone_size: float = 200.0
+    robots: DataFrame | None = None
+    cell: float = 100.0
+    day: DataFrame | None = None
+
+
+def with_fields(points: DataFrame, keys: list[str], corridor: DataFrame, fields: Fields) -> DataFrame:
+    """points(keys, px, py, ...) with near, zone, tesla and score: every lookup is a facet, laid under the points' own rows, and
+    all meet in one aggregate by key."""
+    own = [c for c in points.columns if c not in keys]
+    facets = points.select(*keys, F.struct(*own).alias("own"))
+    found = [spatial.within(points, corridor, ACE_REACH_M, ("px", "py"), how="left_semi").select(*keys, F.lit(True).alias("near"))]
+    if fields.zones is not None:
+        found.append(spatial.in_polygons(points, fields.zones, fields.zone_size, ("px", "py")).select(*keys, F.struct("zone_id", "dashcam", "tesla").alias("zone")))
+    if fields.robots is not None:
+        at = points.select(*keys, spatial.cell("px", fields.cell).alias("cx"), spatial.cell("py", fields.cell).alias("cy"))
+        found.append(at.join(fields.robots.select("cx", "cy", "score"), ["cx", "cy"]).select(*keys, "score"))
+    for facet in found:
+        facets = facets.unionByName(facet, allowMissingColumns=True)
+    one = lambda name, agg, default: agg(name).alias(name) if name in facets.columns else default.alias(name)
+    zone = F.lit(None).cast("struct<zone_id:long,dashcam:double,tesla:double>")
+    out = facets.groupBy(*keys).agg(F.first("own", ignorenulls=True).alias("own"), F.coalesce(F.bool_or("near"), F.lit(False)).alias("near"), one("zone", F.min, F.min(zone)), one("score", F.max, F.max(F.lit(None).cast("double"))))
+    no_zone, no_score = (1.0, 1.0) if fields.zones is None else (1.0, TESLA_OUTSIDE), ROBOT_NO_FIELD if fields.robots is None else ROBOT_OUTSIDE
+    return out.select(*keys, "own.*", "near", F.coalesce("zone.dashcam", F.lit(no_zone[0])).alias("zone"), F.coalesce("zone.tesla", F.lit(no_zone[1])).alias("tesla"), F.coalesce("score", F.lit(no_score)).alias("score"))
+
+
+def mobile_integral(ticks: DataFrame, key: str, departure: float, corridor: DataFrame, fields: Fields = Fields()) -> DataFrame:  # noqa: B008
+    """(key, ace, ..., tesla): the rates summed over ticks(key, tick, t, weight, px, py); `weight` is a tick's seconds, hours
+    follow the walk. A tick's fields are looked up in one pass; a real day is joined by minute (at most 1440 rows)."""
     hour = F.lit(departure) + F.col("t") / 3600
-    rate = rates(hour, F.col("near"), F.lit(1.0), F.lit(ROBOT_NO_FIELD), F.lit(1.0))
-    return near[0].unionByName(near[1]).groupBy(key).agg(*(F.sum(c / 60 * F.col("weight")).alias(n) for n, c in rate.items()))
+    looked_up = with_fields(ticks, [key, "tick"], corridor, fields)
+    real: dict[str, Column] = {}
+    if fields.day is not None:
+        minute = F.floor((hour - 24 * F.floor(hour / 24)) * 60)
+        looked_up = looked_up.withColumn("minute", minute).join(F.broadcast(fields.day.where("minute BETWEEN 0 AND 1439").select("minute", "headway", "traffic")), "minute", "left")
+        real = {"headway": F.coalesce("headway", scalar.headway_step(hour)), "traffic": F.coalesce("traffic", scalar.traffic(hour))}
+    rate = rates(hour, F.col("near"), F.col("zone"), F.col("score"), F.col("tesla"), **real)
+    return looked_up.groupBy(key).agg(*(F.sum(c / 60 * F.col("weight")).alias(n) for n, c in rate.items()))
 
 
 def tally(seen: DataFrame, keys: list[str], factor: float = 1 / RECALL) -> DataFrame:

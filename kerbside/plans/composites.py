@@ -90,10 +90,35 @@ def q_route_exposure(t: Tables) -> DataFrame:
     return exposure.tally(seen, ["route_id"]).select("route_id", "devices", F.round("frames", 3).alias("frames"), F.round("grouped", 6).alias("grouped"))
 
 
-@query("q_mobile_integral", f"""SELECT route_id, {', '.join(f'ROUND(SUM({n} / 60 * weight), 6) AS {n}' for n in ('ace', 'dashcam', 'glasses', 'robots', 'tesla'))} FROM (SELECT w.route_id, w.weight, {_rates_sql('(8.0e0 + t / 3600)', 'n.near IS NOT NULL', '1.0e0')} FROM ({WALK}) w
-  LEFT JOIN (SELECT DISTINCT w.route_id, w.tick, TRUE AS near FROM ({WALK}) w JOIN {CORRIDOR} r ON (w.px - r.x) ** 2 + (w.py - r.y) ** 2 <= 400.0e0) n ON n.route_id = w.route_id AND n.tick = w.tick) q GROUP BY route_id""")
+ROBOT_CELLS = "SELECT CAST(FLOOR(x / 100.0e0) AS BIGINT) AS cx, CAST(FLOOR(y / 100.0e0) AS BIGINT) AS cy, AVG(facility_id % 10 / 10.0e0) AS score FROM v_facilities GROUP BY 1, 2"
+DAY = f"""SELECT m.minute, CASE WHEN a.active > 0 THEN GREATEST(3.0e0, LEAST(60.0e0, 8 * (SELECT AVG(active) FROM ({ag.ACTIVE}) z) / a.active)) ELSE 60.0e0 END AS headway,
+  COALESCE(v.n, 0) * 1.0e0 / (SELECT MAX(n) FROM (SELECT COUNT(*) AS n FROM v_trips GROUP BY pu_min) x) AS traffic FROM (SELECT CAST(UNNEST(RANGE(0, 1440)) AS BIGINT) AS minute) m
+  LEFT JOIN ({ag.ACTIVE}) a ON a.minute = m.minute LEFT JOIN (SELECT pu_min, COUNT(*) AS n FROM v_trips GROUP BY pu_min) v ON v.pu_min = m.minute"""
+WALK_ZONE = f"""SELECT route_id, tick, MIN(zone_id) AS zone_id FROM (SELECT s.route_id, s.tick, e.zone_id FROM (SELECT route_id, tick, px AS x, py AS y FROM ({WALK}) w) s
+  JOIN ({RING_EDGES}) e ON (e.y1 > s.y) <> (e.y0 > s.y) AND s.x < (e.x0 - e.x1) * (s.y - e.y1) / (e.y0 - e.y1) + e.x1 GROUP BY s.route_id, s.tick, e.zone_id HAVING COUNT(*) % 2 = 1) q GROUP BY route_id, tick"""
+
+
+def day(t: Tables) -> DataFrame:
+    """(minute, headway, traffic) of the day that the tables hold: bus headways from trips under way, traffic from pickups."""
+    minutes = t.spark.range(1440).withColumnRenamed("id", "minute")
+    n = t.trips.groupBy(F.col("pu_min").alias("minute")).agg(F.count("*").alias("n"))
+    volume = minutes.join(n, "minute", "left").crossJoin(F.broadcast(n.agg(F.max("n").alias("top")))).select("minute", (F.coalesce("n", F.lit(0)) / F.col("top")).alias("traffic"))
+    return ag.headway_from_activity(ag.active_per_minute(ag.runs(t)), minutes).join(volume, "minute")
+
+
+@query("q_mobile_integral", f"""SELECT route_id, ROUND(SUM(CASE WHEN near THEN 120.0e0 / GREATEST(60 * headway, 1.0e0) ELSE 0.0e0 END / 60 * weight), 6) AS ace, ROUND(SUM(12.0e0 * traffic * dashcam * 0.16e0 / 60 * weight), 6) AS dashcam,
+  ROUND(SUM(60.0e0 * {curve_sql('hour', 0.1, 9.0, 18.0)} * 0.0002e0 / 60 * weight), 6) AS glasses, ROUND(SUM(2.0e0 * {curve_sql('hour', 0.05, 12.0, 18.5)} * score * 0.5e0 / 60 * weight), 6) AS robots, ROUND(SUM(1.2e0 * tesla / 60 * weight), 6) AS tesla FROM
+  (SELECT w.*, n.near IS NOT NULL AS near, d.headway, d.traffic, COALESCE(1.0e0 + z.zone_id % 7 / 2.0e0, 1.0e0) AS dashcam, COALESCE(z.zone_id % 5 / 4.0e0, 0.1e0) AS tesla, COALESCE(c.score, 0.1e0) AS score
+   FROM (SELECT *, 8.0e0 + t / 3600 AS hour FROM ({WALK}) w) w
+   LEFT JOIN (SELECT DISTINCT w.route_id, w.tick, TRUE AS near FROM ({WALK}) w JOIN {CORRIDOR} r ON (w.px - r.x) ** 2 + (w.py - r.y) ** 2 <= 400.0e0) n ON n.route_id = w.route_id AND n.tick = w.tick
+   LEFT JOIN ({WALK_ZONE}) z ON z.route_id = w.route_id AND z.tick = w.tick
+   LEFT JOIN ({ROBOT_CELLS}) c ON c.cx = CAST(FLOOR(w.px / 100.0e0) AS BIGINT) AND c.cy = CAST(FLOOR(w.py / 100.0e0) AS BIGINT)
+   JOIN ({DAY}) d ON d.minute = CAST(FLOOR(w.hour * 60) AS BIGINT)) q GROUP BY route_id""")
 def q_mobile_integral(t: Tables) -> DataFrame:
-    out = exposure.mobile_integral(exposure.walk_ticks(t.route_points, "route_id"), "route_id", 8.0, corridor(t))
+    """The five mobile integrals of every walk, with all fields and the real day's curves."""
+    zones_ = t.zone_rings.withColumns({"dashcam": F.expr("1.0e0 + zone_id % 7 / 2.0e0"), "tesla": F.expr("zone_id % 5 / 4.0e0")})
+    fields = exposure.Fields(zones_, 200.0, t.sql(ROBOT_CELLS), 100.0, day(t))
+    out = exposure.mobile_integral(exposure.walk_ticks(t.route_points, "route_id"), "route_id", 8.0, corridor(t), fields)
     return out.select("route_id", *(F.round(c, 6).alias(c) for c in out.columns[1:]))
 
 
