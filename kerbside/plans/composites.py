@@ -12,7 +12,7 @@ from kerbside.sources import readers
 from . import aggregates as ag
 from .joins import CC, EDGE_T, PIP, RING_EDGES, SITES, clusters, sites
 from .registry import query
-from .scalars import COVERED, curve_sql
+from .scalars import COVERED, WALL_CROSS, WALLS, curve_sql
 from .sequences import PACE, STRETCH, replicated
 from .sources import documents, place
 from .views import Tables
@@ -80,16 +80,6 @@ def q_grid_heatmap(t: Tables) -> DataFrame:
 
 
 WALK = f"SELECT route_id, CAST(k AS BIGINT) AS tick, LEAST(k * 1.0e0, d) AS t, CASE WHEN k < CEIL(d) THEN 1.0e0 ELSE d - (CEIL(d) - 1) END AS weight, x0 + (x1 - x0) * (a - a0) / (a1 - a0) AS px, y0 + (y1 - y0) * (a - a0) / (a1 - a0) AS py FROM (SELECT s.*, k, total / 1.34e0 AS d, LEAST(LEAST(k * 1.0e0, total / 1.34e0) * 1.34e0, total) AS a FROM ({STRETCH}) s CROSS JOIN (SELECT UNNEST(RANGE(0, 400)) AS k) n WHERE a1 IS NOT NULL AND k <= CEIL(total / 1.34e0)) q WHERE a >= a0 AND (a < a1 OR (a1 = total AND a <= a1))"
-SEEN = f"SELECT * FROM (SELECT w.*, s.* FROM ({WALK}) w JOIN {GROUPED} s ON ABS(w.px - s.x) <= 30 AND ABS(w.py - s.y) <= 30) q WHERE {COVERED}"
-
-
-@query("q_route_exposure", f"""SELECT d.route_id, d.devices, ROUND(d.frames, 3) AS frames, ROUND(g.grouped, 6) AS grouped FROM (SELECT route_id, COUNT(DISTINCT sensor_id) AS devices, SUM(frame_rate * weight) AS frames FROM ({SEEN}) s GROUP BY route_id) d
-  JOIN (SELECT route_id, SUM(CASE WHEN confirmed THEN 1.0e0 ELSE 1.0e0 / 0.63e0 END) AS grouped FROM (SELECT DISTINCT route_id, grp, confirmed FROM ({SEEN}) s) q GROUP BY route_id) g ON g.route_id = d.route_id""")
-def q_route_exposure(t: Tables) -> DataFrame:
-    seen = spatial.captures(exposure.walk_ticks(t.route_points, "route_id"), devices(t), 30.0)
-    return exposure.tally(seen, ["route_id"]).select("route_id", "devices", F.round("frames", 3).alias("frames"), F.round("grouped", 6).alias("grouped"))
-
-
 ROBOT_CELLS = "SELECT CAST(FLOOR(x / 100.0e0) AS BIGINT) AS cx, CAST(FLOOR(y / 100.0e0) AS BIGINT) AS cy, AVG(facility_id % 10 / 10.0e0) AS score FROM v_facilities GROUP BY 1, 2"
 DAY = f"""SELECT m.minute, CASE WHEN a.active > 0 THEN GREATEST(3.0e0, LEAST(60.0e0, 8 * (SELECT AVG(active) FROM ({ag.ACTIVE}) z) / a.active)) ELSE 60.0e0 END AS headway,
   COALESCE(v.n, 0) * 1.0e0 / (SELECT MAX(n) FROM (SELECT COUNT(*) AS n FROM v_trips GROUP BY pu_min) x) AS traffic FROM (SELECT CAST(UNNEST(RANGE(0, 1440)) AS BIGINT) AS minute) m
@@ -106,22 +96,47 @@ def day(t: Tables) -> DataFrame:
     return ag.headway_from_activity(ag.active_per_minute(ag.runs(t)), minutes).join(volume, "minute")
 
 
-@query("q_mobile_integral", f"""SELECT route_id, ROUND(SUM(CASE WHEN near THEN 120.0e0 / GREATEST(60 * headway, 1.0e0) ELSE 0.0e0 END / 60 * weight), 6) AS ace, ROUND(SUM(12.0e0 * traffic * dashcam * 0.16e0 / 60 * weight), 6) AS dashcam,
+MOBILE = f"""SELECT route_id, ROUND(SUM(CASE WHEN near THEN 120.0e0 / GREATEST(60 * headway, 1.0e0) ELSE 0.0e0 END / 60 * weight), 6) AS ace, ROUND(SUM(12.0e0 * traffic * dashcam * 0.16e0 / 60 * weight), 6) AS dashcam,
   ROUND(SUM(60.0e0 * {curve_sql('hour', 0.1, 9.0, 18.0)} * 0.0002e0 / 60 * weight), 6) AS glasses, ROUND(SUM(2.0e0 * {curve_sql('hour', 0.05, 12.0, 18.5)} * score * 0.5e0 / 60 * weight), 6) AS robots, ROUND(SUM(1.2e0 * tesla / 60 * weight), 6) AS tesla FROM
   (SELECT w.*, n.near IS NOT NULL AS near, d.headway, d.traffic, COALESCE(1.0e0 + z.zone_id % 7 / 2.0e0, 1.0e0) AS dashcam, COALESCE(z.zone_id % 5 / 4.0e0, 0.1e0) AS tesla, COALESCE(c.score, 0.1e0) AS score
    FROM (SELECT *, 8.0e0 + t / 3600 AS hour FROM ({WALK}) w) w
    LEFT JOIN (SELECT DISTINCT w.route_id, w.tick, TRUE AS near FROM ({WALK}) w JOIN {CORRIDOR} r ON (w.px - r.x) ** 2 + (w.py - r.y) ** 2 <= 400.0e0) n ON n.route_id = w.route_id AND n.tick = w.tick
    LEFT JOIN ({WALK_ZONE}) z ON z.route_id = w.route_id AND z.tick = w.tick
    LEFT JOIN ({ROBOT_CELLS}) c ON c.cx = CAST(FLOOR(w.px / 100.0e0) AS BIGINT) AND c.cy = CAST(FLOOR(w.py / 100.0e0) AS BIGINT)
-   JOIN ({DAY}) d ON d.minute = CAST(FLOOR(w.hour * 60) AS BIGINT)) q GROUP BY route_id""")
+   JOIN ({DAY}) d ON d.minute = CAST(FLOOR(w.hour * 60) AS BIGINT)) q GROUP BY route_id"""
+
+
+@query("q_mobile_integral", MOBILE)
 def q_mobile_integral(t: Tables) -> DataFrame:
     """The five mobile integrals of every walk, with all fields and the real day's curves."""
-    zones_ = t.zone_rings.withColumns({"dashcam": F.expr("1.0e0 + zone_id % 7 / 2.0e0"), "tesla": F.expr("zone_id % 5 / 4.0e0")})
-    fields = exposure.Fields(zones_, 200.0, t.sql(ROBOT_CELLS), 100.0, day(t))
-    out = exposure.mobile_integral(exposure.walk_ticks(t.route_points, "route_id"), "route_id", 8.0, corridor(t), fields)
+    out = mobile(t, exposure.walk_ticks(t.route_points, "route_id"))
     return out.select("route_id", *(F.round(c, 6).alias(c) for c in out.columns[1:]))
 
 
+def mobile(t: Tables, ticks: DataFrame) -> DataFrame:
+    zones_ = t.zone_rings.withColumns({"dashcam": F.expr("1.0e0 + zone_id % 7 / 2.0e0"), "tesla": F.expr("zone_id % 5 / 4.0e0")})
+    return exposure.mobile_integral(ticks, "route_id", 8.0, corridor(t), exposure.Fields(zones_, 200.0, t.sql(ROBOT_CELLS), 100.0, day(t)))
+
+
+CLASSES = ("ace", "dashcam", "glasses", "robots", "tesla")
+SEEN = f"SELECT * FROM (SELECT w.*, s.* FROM ({WALK}) w JOIN {GROUPED} s ON ABS(w.px - s.x) <= 30 AND ABS(w.py - s.y) <= 30) q WHERE {COVERED} AND NOT EXISTS (SELECT 1 FROM ({WALLS}) o WHERE {WALL_CROSS})"
+
+
+@query("q_route_exposure", f"""SELECT route_id, kind, CAST(COUNT(DISTINCT sensor_id) AS DOUBLE) AS expected, ROUND(SUM(frame_rate * weight), 3) AS frames, 1.0e0 AS p FROM ({SEEN}) s GROUP BY route_id, kind
+UNION ALL SELECT d.route_id, 'fixed', ROUND(g.grouped, 6), ROUND(d.frames, 3), 1.0e0 FROM (SELECT route_id, SUM(frame_rate * weight) AS frames FROM ({SEEN}) s GROUP BY route_id) d
+  JOIN (SELECT route_id, SUM(CASE WHEN confirmed THEN 1.0e0 ELSE 1.0e0 / 0.63e0 END) AS grouped FROM (SELECT DISTINCT route_id, grp, confirmed FROM ({SEEN}) s) q GROUP BY route_id) g ON g.route_id = d.route_id
+UNION ALL SELECT route_id, kind, expected, NULL, ROUND(1 - EXP(-expected), 6) FROM (SELECT route_id, kind, CASE kind {' '.join(f"WHEN '{c}' THEN {c}" for c in CLASSES)} END AS expected FROM ({MOBILE}) m JOIN (SELECT UNNEST([{', '.join(f"'{c}'" for c in CLASSES)}]) AS kind) k ON TRUE) e""")
+def q_route_exposure(t: Tables) -> DataFrame:
+    """The exposure of every walk: fixed cameras by kind that no wall hides, all of them as devices corrected for recall
+    (`fixed`), and the five mobile classes with the probability of one capture at least."""
+    ticks = exposure.walk_ticks(t.route_points, "route_id")
+    seen = spatial.unblocked(spatial.captures(ticks, devices(t), 30.0), t.sql(WALLS), 60.0, ("route_id", "tick", "sensor_id"))
+    by_kind = exposure.tally(seen, ["route_id", "kind"]).select("route_id", "kind", F.col("devices").cast("double").alias("expected"), F.round("frames", 3).alias("frames"), F.lit(1.0).alias("p"))
+    fixed = exposure.tally(seen, ["route_id"]).select("route_id", F.lit("fixed").alias("kind"), F.round("grouped", 6).alias("expected"), F.round("frames", 3).alias("frames"), F.lit(1.0).alias("p"))
+    moving = mobile(t, ticks).select("route_id", F.explode(F.array(*(F.struct(F.lit(c).alias("kind"), F.round(c, 6).alias("expected")) for c in CLASSES))).alias("m")).select("route_id", "m.*")
+    return by_kind.unionByName(fixed).unionByName(moving.withColumns({"frames": F.lit(None).cast("double"), "p": F.round(1 - F.exp(-F.col("expected")), 6)}))
+
+
 HOPS = """WITH RECURSIVE adj AS (SELECT from_id AS a, to_id AS b FROM v_edges UNION ALL SELECT to_id, from_id FROM v_edges),
   hop AS (SELECT CAST(220 AS BIGINT) AS node_id, 0 AS d UNION SELECT b, d + 1 FROM hop JOIN adj ON a = node_id WHERE d < 4), reached AS (SELECT DISTINCT node_id FROM hop)"""
 
