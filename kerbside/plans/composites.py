@@ -304,7 +304,7 @@ def q_ace_corridors(t: Tables) -> DataFrame:
 
 
 SAMPLES = f"""SELECT s.route_id, k, x0 + (x1 - x0) * (arc - a0) / (a1 - a0) AS x, y0 + (y1 - y0) * (arc - a0) / (a1 - a0) AS y FROM
-  (SELECT route_id, k, total * k / n AS arc FROM (SELECT DISTINCT route_id, total, CEIL(total / 16.0e0) AS n FROM ({STRETCH}) z) q JOIN (SELECT CAST(UNNEST(RANGE(1, 400)) AS DOUBLE) AS k) i ON k <= n) w
+  (SELECT route_id, k, LEAST(total, total * k / n) AS arc FROM (SELECT DISTINCT route_id, total, CEIL(total / 16.0e0) AS n FROM ({STRETCH}) z) q JOIN (SELECT CAST(UNNEST(RANGE(1, 400)) AS DOUBLE) AS k) i ON k <= n) w
   JOIN ({STRETCH}) s ON s.route_id = w.route_id WHERE a1 IS NOT NULL AND arc >= a0 AND (arc < a1 OR (a1 = total AND arc <= a1))"""
 SNAPPED = f"""SELECT route_id, k, edge_id FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY route_id, k ORDER BY d2, edge_id) AS rn FROM
   (SELECT s.route_id, s.k, e.edge_id, ROUND((s.x - e.x0 - {EDGE_T} * (e.x1 - e.x0)) ** 2 + (s.y - e.y0 - {EDGE_T} * (e.y1 - e.y0)) ** 2, 6) AS d2
