@@ -11,19 +11,19 @@ from kerbside.operators import order
 from kerbside.plans import aggregates, catalog
 
 
-@pytest.mark.parametrize("kind", ["uniform", "ties", "wide", "few", "long"])
+@pytest.mark.parametrize("kind", ["ties", "wide", "long"])
 def test_ranks(spark, monkeypatch, kind):
     monkeypatch.setattr(order, "FEW", 20)
-    monkeypatch.setattr(order, "BUCKETS", 8)
+    monkeypatch.setattr(order, "BUCKETS", 16)
     rng = random.Random(kind)
-    make = {"uniform": lambda: rng.random(), "ties": lambda: float(rng.randrange(3) if rng.random() < 0.8 else rng.random()), "wide": lambda: rng.choice([-1, 1]) * 10 ** rng.uniform(-300, 300), "few": lambda: float(rng.randrange(5)), "long": lambda: rng.randrange(-(1 << 62), 1 << 62)}[kind]
-    values = [make() for _ in range(3000)]
+    make = {"ties": lambda: float(rng.randrange(3) if rng.random() < 0.8 else rng.random()), "wide": lambda: rng.choice([-1, 1]) * 10 ** rng.uniform(-300, 300), "long": lambda: rng.randrange(-(1 << 62), 1 << 62)}[kind]
+    values = [make() for _ in range(1000)]
     df = spark.createDataFrame([(v,) for v in [*values, None]], f"x {'long' if kind == 'long' else 'double'}").repartition(3)
-    wanted = [0, 1, 17, 1499, 1500, 2700, 2999, 3000, -1]
+    wanted = [0, 17, 500, 999, 1000, -1]
     got, n, low, high = order.at_ranks(df, "x", lambda n: wanted)
     values.sort()
-    assert (n, low, high) == (3000, values[0], values[-1])
-    assert got == [values[k] if 0 <= k < 3000 else None for k in wanted]
+    assert (n, low, high) == (1000, values[0], values[-1])
+    assert got == [values[k] if 0 <= k < 1000 else None for k in wanted]
 
 
 def test_no_rows(spark):
