@@ -291,6 +291,7 @@ def chunk_hashes(docs: DataFrame) -> DataFrame:
     def cut(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             yield pa.RecordBatch.from_arrays([pa.array(Lines(part.column(0)).chunks()[2].astype(np.int64))], ["key"])
+        common.give_back()
 
     return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(cut, "key long")
 
@@ -322,6 +323,8 @@ def marked_runs(docs: DataFrame, wanted, buckets: int) -> DataFrame:
                 held, size = [], 0
         if held:
             yield flush()
+            held = []
+        common.give_back()
 
     return _keyed(docs).mapInArrow(cut, "bucket int, runs binary, sizes binary, texts binary")
 
@@ -377,6 +380,7 @@ def dedup(docs: DataFrame) -> DataFrame:
             out = part.columns[: len(columns)]
             out[at] = pa.array(texts, out[at].type)
             yield pa.RecordBatch.from_arrays([*out, pa.array(np.diff(own.at)), pa.array(removed)], [*columns, "n_lines", "removed_lines"])
+        common.give_back()
 
     return keyed.mapInArrow(rewrite, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "n_lines long", "removed_lines long"]))
 

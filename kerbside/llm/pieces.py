@@ -456,6 +456,7 @@ def _mapped(docs: DataFrame, names: list[tuple[str, str]], derive) -> DataFrame:
             for low in range(0, part.num_rows, 1000):
                 some = part.slice(low, 1000)
                 yield pa.RecordBatch.from_arrays([*some.columns, *derive(some)], [*some.schema.names, *(n for n, _ in names)])
+        common.give_back()
 
     return docs.mapInArrow(run, ddl)
 
