@@ -41,7 +41,8 @@ def _parts(rows: DataFrame, spans: list[Span]) -> dict[Span, list[Span]]:
     bounds = some.agg(*(F.percentile_approx(F.when(_within(s), F.col("v")), probes, ACCURACY).alias(f"s{i}") for i, s in enumerate(spans))).first()
     bucket = F.lit(None).cast("struct<span:int,bucket:int>")
     for i, s in enumerate(spans):
-        above = reduce(Column.__add__, ((F.col("v") > F.lit(b)).cast("int") for b in sorted(set(bounds[i]))))
+        # a bound is a bucket by itself, so that every pass parts a span, whatever its ties
+        above = reduce(Column.__add__, (side.cast("int") for b in sorted(set(bounds[i])) for side in (F.col("v") >= F.lit(b), F.col("v") > F.lit(b))))
         bucket = F.when(_within(s), F.struct(F.lit(i).alias("span"), above.alias("bucket"))).otherwise(bucket)
     counted = some.groupBy(bucket.alias("b")).agg(F.min("v").alias("low"), F.max("v").alias("high"), F.count("*").alias("n")).collect()
     out = {}
