@@ -9,13 +9,15 @@ Scale: documents are scanned where they lie, without a shuffle; the items are a
 BLOCK_CHARS characters (a bound on what is broadcast), one scan for each block.
 
 Defined cases: a null or empty text holds nothing; a null or empty item is not searched; an item of fewer than SHORT
-characters has no edit to spend and counts only where it stands between characters that are no letters or digits (inside a
-word it would be found by chance); equal items are all reported; repeated rows are reported alike; other columns are ignored; an empty
+characters has no edit to spend and counts only where it stands as whole words (inside a word it would be found by chance),
+in scripts that set words apart: at an end where the item or the text has a letter of a script without spaces between words
+(UNSPACED) it counts anywhere; equal items are all reported; repeated rows are reported alike; other columns are ignored; an empty
 table gives no rows. Of several occurrences in a document the nearest, then the first, is reported.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -28,6 +30,8 @@ from . import common
 BUDGET = 0.05
 #: Characters below which an item must stand as whole words.
 SHORT = 20
+#: Thai, Lao, Myanmar and Khmer letters, kana, and Chinese characters.
+UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 BLOCK_CHARS = 4 << 20
 
 FOUND = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("distance", pa.int64()), ("end", pa.int64())])
@@ -44,6 +48,12 @@ def pieces(item: str, k: int) -> list[tuple[int, str]]:
     return [(a, item[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
+def whole_words(text: str, low: int, high: int) -> bool:
+    """Whether text[low:high] begins and ends where a word may."""
+    inside = lambda edge, beyond: beyond.isalnum() and not UNSPACED.match(beyond) and not UNSPACED.match(edge)
+    return not (low > 0 and inside(text[low], text[low - 1]) or inside(text[high - 1], text[high : high + 1]))
+
+
 class Item:
     """An item's bit masks for Myers' algorithm."""
 
@@ -100,7 +110,7 @@ class Matcher:
         if self.items:
             for last, (size, found) in self.automaton.iter(text):
                 for n, at in found:
-                    if len(self.items[n].text) >= SHORT or not (text[last - size : last - size + 1].isalnum() and last >= size or text[last + 1 : last + 2].isalnum()):
+                    if len(self.items[n].text) >= SHORT or whole_words(text, last + 1 - size, last + 1):
                         spans.setdefault(n, []).append(last + 1 - size - at)
         for n, starts in spans.items():
             item = self.items[n]

@@ -4,8 +4,10 @@ Pages are written as gzip-per-record WARC files; of equal payloads that of the s
 revisit it. Each task keeps the index rows of what it wrote and emits them in runs sorted by (URL key, timestamp, page_id).
 Records are read back archive by archive, each task in the order of its files: one range read and one gunzip for each.
 Runs are then dealt by key ranges, and each range merges its slices of all runs with a loser tree: the result is one globally
-ordered capture history. The merge is external: beyond HELD rows a range's slices are written to the shared folder, each as a
-sorted run of its own, and the tree reads them a batch at a time; so memory does not grow with a range, only the tree does.
+ordered capture history. The merge is external: beyond HELD rows a range's slices are merged into one sorted file in the shared
+folder, and the tree reads such files a batch at a time, at most FAN_IN of them: while there are more, the oldest FAN_IN become
+one. So neither memory nor open files grow with a range or with the number of runs. What is read back is stored before it is
+dealt, so that sampling the ranges parses no record again.
 
 Scale: digests travel first (one small row for each page, aggregated by digest with map-side combine); a page's html is
 shuffled once, by page_id and digest, to meet its record type; index rows are dealt by range, with page_id in the key, so a host or url
@@ -39,6 +41,8 @@ FILE_BYTES = 1 << 30
 RUN_ROWS = 100_000
 #: Rows of runs that a merge holds before it writes them; rows of a written run that it reads at a time.
 HELD, READ_ROWS = 200_000, 1_000
+#: Files that a merge reads at once; more are merged into fewer first.
+FAN_IN = 64
 EPOCH = datetime(2024, 1, 1, tzinfo=UTC)
 
 INDEX = pa.schema([("run", pa.string()), ("url_key", pa.string()), ("ts", pa.int64()), ("page_id", pa.int64()), ("url", pa.string()), ("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64())])
@@ -214,15 +218,20 @@ class _Runs:
         held.append(row)
         self.size += 1
         if self.size >= HELD:
-            self.fs.create_dir(self.path, recursive=True)
-            for run in [*self.full, *self.open.values()]:
-                name = f"{self.path}/{uuid.uuid4().hex}.arrow"
-                with self.fs.open_output_stream(name) as out, pa.ipc.new_stream(out, self.schema) as writer:
-                    for batch in common.batches(self.schema, iter(run), READ_ROWS):
-                        writer.write_batch(batch)
-                self.files.append(name)
+            self.files.append(self._write(row for _, row in LoserTree(self._held())))
             self.open, self.full, self.size = {}, [], 0
 
+    def _held(self) -> list[Iterator[tuple]]:
+        return [((self.key(r), r) for r in run) for run in [*self.full, *self.open.values()]]
+
+    def _write(self, rows: Iterator[tuple]) -> str:
+        self.fs.create_dir(self.path, recursive=True)
+        name = f"{self.path}/{uuid.uuid4().hex}.arrow"
+        with self.fs.open_output_stream(name) as out, pa.ipc.new_stream(out, self.schema) as writer:
+            for batch in common.batches(self.schema, rows, READ_ROWS):
+                writer.write_batch(batch)
+        return name
+
     def _read(self, name: str) -> Iterator[tuple]:
         with self.fs.open_input_stream(name) as file, pa.ipc.open_stream(file) as reader:
             for batch in reader:
@@ -230,10 +239,16 @@ class _Runs:
                     yield self.key(row), row
 
     def merge(self) -> Iterator[tuple]:
-        held = [((self.key(r), r) for r in run) for run in [*self.full, *self.open.values()]]
-        for _, row in LoserTree([*held, *map(self._read, self.files)]):
+        while len(self.files) > FAN_IN:
+            some, self.files = self.files[:FAN_IN], self.files[FAN_IN:]
+            self.files.append(self._write(row for _, row in LoserTree([*map(self._read, some)])))
+            self._delete(some)
+        for _, row in LoserTree([*self._held(), *map(self._read, self.files)]):
             yield row
-        for name in self.files:
+        self._delete(self.files)
+
+    def _delete(self, names: list[str]) -> None:
+        for name in names:
             self.fs.delete_file(name)
 
 
@@ -287,7 +302,8 @@ def archive(pages: DataFrame) -> DataFrame:
     spark = common.prepare(pages.sparkSession)
     uri = common.scratch(spark, "warc")
     runs = write_archives(typed(pages), uri)
-    return merged(read_archives(runs, uri), READ).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "ts")
+    read = common.stored(read_archives(runs, uri), "warc-read")
+    return merged(read, READ).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "ts")
 
 
 def op8_warc(spark, sf_dir: str) -> DataFrame:

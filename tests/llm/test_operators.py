@@ -569,10 +569,25 @@ def test_warc(spark):
     assert sorted((r.page_id or 0, r.record_type, r.refers_to) for r in warc.archive(odd).collect()) == [(0, "revisit", 5)] * 2 + [(5, "response", None)] * 2 + [(7, "revisit", 5)]
 
 
+def test_warc_parses_a_record_once(spark):
+    """What deals the ranges out reads stored rows: no plan beyond it holds the reading of archives."""
+    plan = warc.archive(spark.range(40).selectExpr("id AS page_id", "concat('https://a.net/', id) AS url", "string(id % 3) AS html"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "rangepartitioning" in plan
+
+
+def test_short_items_in_scripts_without_spaces(spark):
+    texts = ["我爱北京大学图书馆", "a北京大学b", "รักกรุงเทพมาก", "an artful cat", "an art cat", "artx", "1 art."]
+    bench = spark.createDataFrame([(1, "北京大学"), (2, "กรุงเทพ"), (3, "art")], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs(spark, texts), bench).collect()}
+    first = min(r.doc_id for r in docs(spark, texts).collect())
+    assert {(d - first, i) for d, i in got} == {(0, 1), (1, 1), (2, 2), (4, 3), (6, 3)}
+
+
 def test_warc_merges_runs_from_disk(spark, monkeypatch):
     monkeypatch.setattr(warc, "RUN_ROWS", 7)
     monkeypatch.setattr(warc, "HELD", 20)
     monkeypatch.setattr(warc, "READ_ROWS", 3)
+    monkeypatch.setattr(warc, "FAN_IN", 3)
     rng = random.Random(3)
     pages = spark.createDataFrame([(i, f"http://{rng.choice('abc')}.org/{rng.randrange(9)}", f"h{i % 50}") for i in range(300)], "page_id long, url string, html string").repartition(5)
     rows = warc.archive(pages).collect()
