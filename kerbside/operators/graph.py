@@ -1,18 +1,19 @@
 """Street graphs: edges(edge_id, from_id, to_id, length_m).
 
-Whole-graph operators work in rounds and write each to the shared checkpoint folder. Point queries run a heap search
-within one group's task over the edges it is given.
+Operators work in rounds and write each to the shared checkpoint folder. A task holds one block of the graph, never the
+whole: searches, paths and walks go on within their block and are handed to the next one where they leave it.
 """
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import tempfile
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -61,12 +62,20 @@ def reach(edges: DataFrame, sources: DataFrame, budget: float, cost: str = "leng
     blocks beyond. So rounds follow how many blocks a path crosses, not how many edges it has. Only what became cheaper is
     written, once, and only entries move between blocks. A task holds a block's edges and the costs of the sources that have
     reached it, which `salts` deals out. `seen` gets the number of entries of each round."""
+    return _expanded(edges, sources, budget, cost, blocks, salts, most_rounds, seen).groupBy("source", "node_id").agg(F.min("cost").alias("cost"))
+
+
+def _expanded(edges: DataFrame, sources: DataFrame, budget: float, cost: str, blocks: DataFrame | None, salts: int, most_rounds: int, seen: list | None = None, goals: DataFrame | None = None) -> DataFrame:
+    """(block, source, node_id, cost, prev, came): every cost that was the least of its round; prev is the node before, came
+    that node's block (a source's own node has itself). With goals(source, node_id) a source's search ends where nothing
+    ahead is cheaper than its goal."""
     adj = _blocked(_blocked(adjacency(edges, cost), blocks, "src", "block"), blocks, "dst", "to_block")
     adj = checkpointed(adj.select("block", "src", "dst", "to_block", F.col(cost).cast("double").alias("c")))
     salt = lambda df: df.withColumn("salt", F.pmod(F.hash("source"), F.lit(salts)))
     dealt = adj.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     source, node = sources.schema["source"].dataType.simpleString(), sources.schema["node_id"].dataType.simpleString()
-    ddl = f"block long, source {source}, node_id {node}, cost double, entry boolean"
+    columns = ["block", "source", "node_id", "cost", "entry", "prev", "came"]
+    ddl = f"block long, source {source}, node_id {node}, cost double, entry boolean, prev {node}, came long"
 
     def settle(rows: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
         around: dict = {}
@@ -77,45 +86,51 @@ def reach(edges: DataFrame, sources: DataFrame, budget: float, cost: str = "leng
             best: dict = {}
             heap = []
             here = int(some["block"].iloc[0])
-            for n, c, entry in zip(some["node_id"].tolist(), some["cost"].tolist(), some["entry"].tolist(), strict=True):
+            for n, c, entry, prev, came in zip(*(some[x].tolist() for x in columns[2:]), strict=True):
                 if entry:
-                    heap.append((c, n))
+                    heap.append((c, n, prev, came))
                 else:
                     best[n] = min(c, best.get(n, np.inf))
             heapq.heapify(heap)
             better, ahead = {}, {}
             while heap:
-                c, n = heapq.heappop(heap)
+                c, n, prev, came = heapq.heappop(heap)
                 if c >= best.get(n, np.inf):
                     continue
-                best[n] = better[n] = c
+                best[n] = c
+                better[n] = c, prev, came
                 for m, to, step in around.get(n, ()):
                     d = c + step
                     if d <= budget:
                         if to != here:
-                            ahead[to, m] = min(d, ahead.get((to, m), np.inf))
+                            ahead[to, m] = min((d, n), ahead.get((to, m), (np.inf, n)))
                         elif d < best.get(m, np.inf):
-                            heapq.heappush(heap, (d, m))
-            out += [(here, start, n, c, False) for n, c in better.items()] + [(to, start, n, c, True) for (to, n), c in ahead.items()]
-        return pd.DataFrame(out, columns=["block", "source", "node_id", "cost", "entry"])
+                            heapq.heappush(heap, (d, m, n, here))
+            out += [(here, start, n, c, False, prev, came) for n, (c, prev, came) in better.items()]
+            out += [(to, start, n, c, True, prev, here) for (to, n), (c, prev) in ahead.items()]
+        return pd.DataFrame(out, columns=columns)
 
-    entries = checkpointed(_blocked(sources.select("source", "node_id", F.lit(0.0).alias("cost"), F.lit(True).alias("entry")), blocks, "node_id", "block"))
+    own = _blocked(sources.select("source", "node_id"), blocks, "node_id", "block")
+    entries = checkpointed(own.select("block", "source", "node_id", F.lit(0.0).alias("cost"), F.lit(True).alias("entry"), F.col("node_id").alias("prev"), F.col("block").alias("came")))
     known = None
     for _ in range(most_rounds):
         entered = entries.select("block").distinct()
-        rows = entries.select("block", "source", "node_id", "cost", "entry")
+        rows = entries.select(*columns)
         if known is not None:
             rows = rows.unionByName(known.join(entries.select("block", "source").distinct(), ["block", "source"], "left_semi"))
         mine = dealt.join(entered, "block", "left_semi")
         out = checkpointed(salt(rows).groupBy("block", "salt").cogroup(mine.groupBy("block", "salt")).applyInPandas(settle, ddl))
         settled_ = out.where("NOT entry")
         known = settled_ if known is None else known.unionByName(settled_)
-        entries = out.where("entry").groupBy("block", "source", "node_id", "entry").agg(F.min("cost").alias("cost"))
+        entries = out.where("entry").groupBy("block", "source", "node_id", "entry").agg(F.min(F.struct("cost", "prev", "came")).alias("e")).select("block", "source", "node_id", "entry", "e.*")
+        if goals is not None:
+            bound = known.join(goals, ["source", "node_id"]).groupBy("source").agg(F.min("cost").alias("bound"))
+            entries = entries.join(bound, "source", "left").where("bound IS NULL OR cost < bound").drop("bound")
         n = entries.count()
         if seen is not None:
             seen.append(n)
         if not n:
-            return known.groupBy("source", "node_id").agg(F.min("cost").alias("cost"))
+            return known.drop("entry")
     raise RuntimeError("the search did not settle")
 
 
@@ -167,81 +182,95 @@ def _stars(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame([r for r in rows if r[0] != r[1]], columns=["a", "b"], dtype="int64")
 
 
-def search(edges: np.ndarray, costs: np.ndarray, start: int, goal: int) -> tuple[float, list[int]] | None:
-    """Least cost and edge rows of a path; edges are rows (from, to). The first of equal paths by (cost, node, edge)."""
-    around: dict[int, list[tuple[int, int]]] = {}
-    for e, (a, b) in enumerate(edges.tolist()):
-        around.setdefault(a, []).append((b, e))
-        around.setdefault(b, []).append((a, e))
-    best: dict[int, float] = {start: 0.0}
-    came: dict[int, tuple[int, int]] = {}
-    heap, done = [(0.0, start)], set()
-    while heap:
-        c, n = heapq.heappop(heap)
-        if n == goal:
-            path = []
-            while n != start:
-                n, e = came[n]
-                path.append(e)
-            return c, path[::-1]
-        if n in done:
-            continue
-        done.add(n)
-        for m, e in around.get(n, ()):
-            d = c + float(costs[e])
-            if d < best.get(m, np.inf):
-                best[m] = d
-                came[m] = n, e
-                heapq.heappush(heap, (d, m))
-    return None
-
-
-def shortest_paths(pairs: DataFrame, edges: DataFrame, cost: str = "length_m", penalty: str | None = None) -> DataFrame:
-    """(pair_id, seq, edge_id, cost, total): the edges of the cheapest path of each pairs(pair_id, start, goal).
-
-    The search weighs an edge by cost * penalty, the result counts cost alone. Unreachable pairs have no rows. Pairs and
-    edges meet by cogroup on `region`, within which a path must lie, so a task holds one region's graph."""
-    region = "region" if "region" in edges.columns else None
-    e = edges.withColumn("__r", F.col(region) if region else F.lit(0)).select("__r", "edge_id", "from_id", "to_id", F.col(cost).alias("c"), (F.col(penalty) if penalty else F.lit(1.0)).alias("p"))
-    q = pairs.withColumn("__r", F.col(region) if region else F.lit(0)).select("__r", "pair_id", "start", "goal")
-
-    def run(p: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("edge_id")
-        ends, true = g[["from_id", "to_id"]].to_numpy(np.int64), g["c"].to_numpy(float)
-        ids, weighed = g["edge_id"].to_numpy(np.int64), true * g["p"].to_numpy(float)
-        rows = []
-        for pair, start, goal in p[["pair_id", "start", "goal"]].itertuples(index=False):
-            found = search(ends, weighed, int(start), int(goal))
-            if found:
-                total = float(true[found[1]].sum())
-                rows += [(pair, i, int(ids[k]), float(true[k]), total) for i, k in enumerate(found[1])]
-        return pd.DataFrame(rows, columns=["pair_id", "seq", "edge_id", "cost", "total"])
-
-    return q.groupBy("__r").cogroup(e.groupBy("__r")).applyInPandas(run, "pair_id long, seq long, edge_id long, cost double, total double")
-
-
-def random_walks(starts: DataFrame, edges: DataFrame, steps: int, seed: int) -> DataFrame:
-    """(walk_id, step, node_id, edge_id): uniform steps over incident edges without turning back where another edge exists."""
-    e = edges.select(F.lit(0).alias("__r"), "edge_id", "from_id", "to_id")
-
-    def run(p: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
-        around: dict[int, list[tuple[int, int]]] = {}
-        for i, a, b in g.sort_values("edge_id")[["edge_id", "from_id", "to_id"]].itertuples(index=False):
-            around.setdefault(a, []).append((i, b))
-            around.setdefault(b, []).append((i, a))
-        rows = []
-        for walk, node in p[["walk_id", "node_id"]].itertuples(index=False):
-            rng = np.random.Generator(np.random.Philox(key=[seed, int(walk) & 0xFFFFFFFFFFFFFFFF]))
-            last = None
-            rows.append((walk, 0, node, None))
-            for k in range(1, steps + 1):
-                found = around.get(node, [])
+def shortest_paths(pairs: DataFrame, edges: DataFrame, cost: str = "length_m", penalty: str | None = None, blocks: DataFrame | None = None, salts: int = 1, most_rounds: int = 10_000) -> DataFrame:
+    """(pair_id, seq, edge_id, cost, total): the edges of the cheapest path of each pairs(pair_id, start, goal); pair_id is unique.
+
+    The search weighs an edge by cost * penalty, the result counts cost alone. Costs spread from the starts as in `reach`, and
+    no further than the goal's own; then each path is followed back from its goal through the nodes before, within a block at
+    a time. Unreachable pairs and those that end where they start have no rows."""
+    weighed = edges.select("edge_id", "from_id", "to_id", F.col(cost).cast("double").alias("c"), (F.col(cost) * (F.col(penalty) if penalty else F.lit(1.0))).alias("w"))
+    sources, goals = (pairs.select(F.col("pair_id").alias("source"), F.col(c).alias("node_id")) for c in ("start", "goal"))
+    found = _expanded(weighed, sources, float("inf"), "w", blocks, salts, most_rounds, goals=goals)
+    tree = found.groupBy("block", "source", "node_id").agg(F.min(F.struct("cost", "prev", "came")).alias("t")).select("block", "source", "node_id", "t.prev", "t.came")
+    tree = checkpointed(tree)
+    node = pairs.schema["goal"].dataType.simpleString()
+    ddl = f"source {pairs.schema['pair_id'].dataType.simpleString()}, back long, node_id {node}, prev {node}, block long, head boolean"
+
+    def follow(rows: pd.DataFrame) -> pd.DataFrame:
+        """The steps of one path in one block, from where it leaves it to where it enters it, and the head beyond."""
+        here, source = int(rows["block"].iloc[0]), rows["source"].iloc[0]
+        before = {n: (p, b) for n, p, b, head in zip(rows["node_id"].tolist(), rows["prev"].tolist(), rows["came"].tolist(), rows["head"].tolist(), strict=True) if not head}
+        out = []
+        for n, k in rows.loc[rows["head"], ["node_id", "back"]].itertuples(index=False):
+            block = here
+            while block == here and n in before and before[n][0] != n:
+                prev, block = before[n]
+                out.append((source, k, n, prev, here, False))
+                n, k = prev, k + 1
+            if block != here:
+                out.append((source, k, n, n, block, True))
+        return pd.DataFrame(out, columns=["source", "back", "node_id", "prev", "block", "head"])
+
+    heads = tree.join(goals, ["source", "node_id"]).select("block", "source", "node_id", F.lit(0).cast("long").alias("back"), "prev", "came", F.lit(True).alias("head"))
+    steps = None
+    for _ in range(most_rounds):
+        own = tree.join(heads.select("block", "source"), ["block", "source"], "left_semi").select("block", "source", "node_id", F.lit(0).cast("long").alias("back"), "prev", "came", F.lit(False).alias("head"))
+        out = checkpointed(own.unionByName(heads).groupBy("block", "source").applyInPandas(follow, ddl))
+        some = out.where("NOT head").select("source", "back", "node_id", "prev")
+        steps = some if steps is None else steps.unionByName(some)
+        heads = out.where("head").select("block", "source", "node_id", "back", "prev", F.col("block").alias("came"), "head")
+        if heads.isEmpty():
+            break
+    # the lightest edge between two neighbours is the one that was taken
+    taken = adjacency(weighed, "c", "w").groupBy("src", "dst").agg(F.min(F.struct("w", "edge_id", "c")).alias("e"))
+    path = steps.join(taken, (F.col("prev") == F.col("src")) & (F.col("node_id") == F.col("dst")))
+    one = Window.partitionBy("source")  # a path
+    return path.select(
+        F.col("source").alias("pair_id"),
+        (F.max("back").over(one) - F.col("back")).alias("seq"),
+        F.col("e.edge_id").alias("edge_id"),
+        F.col("e.c").alias("cost"),
+        F.sum("e.c").over(one).alias("total"),
+    )
+
+
+def draw(seed: int, walk: int, step: int, n: int) -> int:
+    """One of n places for a step of a walk: the first 32 bits of an MD5 of all three, spread over n."""
+    return int(hashlib.md5(f"{seed}:{walk}:{step}".encode()).hexdigest()[:8], 16) * n >> 32
+
+
+def random_walks(starts: DataFrame, edges: DataFrame, steps: int, seed: int, blocks: DataFrame | None = None, salts: int = 1) -> DataFrame:
+    """(walk_id, step, node_id, edge_id): uniform steps from starts(walk_id, node_id) over incident edges, in the order of their
+    ids, without turning back where another edge exists. A step depends on seed, walk and step alone (`draw`), so walks are the
+    same however the graph is cut. A round takes each walk on until it leaves its block; salts deals a block's walks out."""
+    adj = checkpointed(_blocked(_blocked(adjacency(edges), blocks, "src", "block"), blocks, "dst", "to_block").select("block", "src", "dst", "to_block", F.col("edge_id").cast("long").alias("edge_id")))
+    dealt = adj.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    columns = ["walk_id", "step", "node_id", "edge_id", "block", "head"]
+
+    def go(heads: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        around: dict[int, list[tuple[int, int, int]]] = {}
+        for src, *edge in sorted(zip(*(own[c].tolist() for c in ("src", "edge_id", "dst", "to_block")), strict=True)):
+            around.setdefault(src, []).append(tuple(edge))
+        out = []
+        for walk, k, node, last, here in zip(*(heads[c].tolist() for c in columns[:5]), strict=True):
+            block = here
+            while k < steps and block == here and (found := around.get(node)):
                 ahead = [x for x in found if x[0] != last] or found
-                if not ahead:
-                    break
-                last, node = ahead[int(rng.integers(len(ahead)))]
-                rows.append((walk, k, node, last))
-        return pd.DataFrame(rows, columns=["walk_id", "step", "node_id", "edge_id"]).astype({"edge_id": "Int64"})
-
-    s = starts.select(F.lit(0).alias("__r"), "walk_id", "node_id")
-    return s.groupBy("__r").cogroup(e.groupBy("__r")).applyInPandas(run, "walk_id long, step long, node_id long, edge_id long")
+                k += 1
+                last, node, block = ahead[draw(seed, walk, k, len(ahead))]
+                out.append((walk, k, node, last, block, False))
+            if block != here and k < steps:
+                out.append((walk, k, node, last, block, True))
+        return pd.DataFrame(out, columns=columns)
+
+    own = _blocked(starts.select(F.col("walk_id").cast("long").alias("walk_id"), "node_id"), blocks, "node_id", "block")
+    # no edge has the id -1 here: nothing to turn back on yet
+    heads = checkpointed(own.select("walk_id", F.lit(0).cast("long").alias("step"), F.col("node_id").cast("long").alias("node_id"), F.lit(-1).cast("long").alias("edge_id"), "block"))
+    walked = heads.select(*columns[:3], F.lit(None).cast("long").alias("edge_id"))
+    while not heads.isEmpty():
+        mine = dealt.join(heads.select("block").distinct(), "block", "left_semi")
+        at = heads.withColumn("salt", F.pmod(F.hash("walk_id"), F.lit(salts)))
+        out = checkpointed(at.groupBy("block", "salt").cogroup(mine.groupBy("block", "salt")).applyInPandas(go, "walk_id long, step long, node_id long, edge_id long, block long, head boolean"))
+        walked = walked.unionByName(out.where("NOT head").select(*columns[:4]))
+        heads = out.where("head").select(*columns[:5])
+    return walked

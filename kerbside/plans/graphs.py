@@ -143,7 +143,7 @@ def drivability_mask(t: Tables) -> DataFrame:
     parks = spatial.dealt_box(t.zones.where("zone_id % 6 = 0"), "minx", "miny", "maxx", "maxy", 400.0)
     strictly = (F.col("mx") > F.col("minx")) & (F.col("mx") < F.col("maxx")) & (F.col("my") > F.col("miny")) & (F.col("my") < F.col("maxy"))
     e = spatial.cell_join(spatial.dealt_point(e, "mx", "my", 400.0), parks, strictly & (F.col("edge_id") % 2 == 0), "left_anti")
-    closed = sequence.segments(t.route_points.where("route_id % 2 = 0"), "route_id")
+    closed = sequence.segments(t.route_points, "route_id")
     return not_colinear(e.drop("mx", "my"), closed, 10.0).select("edge_id")
 
 
@@ -160,34 +160,59 @@ def graph_neighbors(t: Tables) -> DataFrame:
     return graph.adjacency(t.edges)
 
 
-PAIR = "SELECT CAST(k AS BIGINT) AS pair_id, CAST(k * 37 % 441 AS BIGINT) AS start, CAST(k * 61 % 441 AS BIGINT) AS goal FROM (SELECT UNNEST(RANGE(1, 20)) AS k) q"
-LATTICE = "(ABS(start % 21 - goal % 21) + ABS(FLOOR(start / 21.0e0) - FLOOR(goal / 21.0e0)))"
+#: Streets of uneven length, with their ends' places, of the grid that grows with the tables.
+STREETS = """(SELECT e.edge_id, e.from_id, e.to_id, a.x AS x0, a.y AS y0, b.x AS x1, b.y AS y1, 80.0e0 + (e.edge_id * 7919 % 99991) / 1000.0e0 AS length_m,
+  CASE e.edge_id % 3 WHEN 0 THEN 25 WHEN 1 THEN 30 ELSE 50 END AS mph, CASE WHEN e.edge_id % 14 = 2 THEN 8.137e0 ELSE 1.0e0 END AS penalty
+  FROM v_street_edges e JOIN v_street_nodes a ON a.node_id = e.from_id JOIN v_street_nodes b ON b.node_id = e.to_id)"""
+_GOAL = "CAST(LEAST(side - 1, node % side + {dx}) + side * LEAST(side - 1, CAST(FLOOR(node / (side * 1.0e0)) AS BIGINT) + {dy}) AS BIGINT) AS goal"
+#: A start for each supplier, and a goal up to eight blocks east and eight north.
+PAIR = f"""SELECT pair_id, CAST(node AS BIGINT) AS start, {_GOAL.format(dx='pair_id * 37 % 9', dy='pair_id * 61 % 9')}
+  FROM (SELECT CAST(s_suppkey AS BIGINT) AS pair_id, s_suppkey * 7919 % (side * side) AS node, side FROM supplier CROSS JOIN (SELECT MAX(side) AS side FROM v_street_nodes) n) s"""
 
 
-def _pairs(t: Tables) -> DataFrame:
-    return t.spark.range(1, 20).select(F.col("id").alias("pair_id"), (F.col("id") * 37 % 441).alias("start"), (F.col("id") * 61 % 441).alias("goal"))
+def _paths_sql(pairs: str, out: str, weight: str = "length_m", cost: str = "length_m", where: str = "start <> goal") -> str:
+    """Least costs from each start by rounds over the edges: a node is kept with its best weight, no farther than straight ways
+    can cost; the cost and the number of edges are those of the best."""
+    return f"""WITH RECURSIVE pair AS MATERIALIZED ({pairs}), street AS MATERIALIZED (SELECT *, {weight} AS w, {cost} AS c FROM {STREETS} s),
+  adj AS MATERIALIZED (SELECT from_id AS a, to_id AS b, w, c FROM street UNION ALL SELECT to_id, from_id, w, c FROM street),
+  best (pair_id, node_id, w, c, n) USING KEY (pair_id, node_id) AS (SELECT pair_id, start, CAST(0 AS DOUBLE), CAST(0 AS DOUBLE), CAST(0 AS BIGINT) FROM pair
+    UNION SELECT q.pair_id, q.b, MIN(q.w), ARG_MIN(q.c, q.w), ARG_MIN(q.n, q.w) FROM (SELECT p.pair_id, j.b, p.w + j.w AS w, p.c + j.c AS c, p.n + 1 AS n FROM best p JOIN adj j ON j.a = p.node_id) q
+      LEFT JOIN recurring.best k ON k.pair_id = q.pair_id AND k.node_id = q.b LEFT JOIN pair g ON g.pair_id = q.pair_id LEFT JOIN recurring.best h ON h.pair_id = q.pair_id AND h.node_id = g.goal
+      WHERE (k.w IS NULL OR q.w < k.w) AND (h.w IS NULL OR q.w < h.w) GROUP BY q.pair_id, q.b)
+  SELECT {out} FROM pair JOIN best ON best.pair_id = pair.pair_id AND best.node_id = pair.goal WHERE {where}"""
+
+
+def _paths(t: Tables, pairs: DataFrame, streets: DataFrame, cost: str = "length_m", penalty: str | None = None) -> DataFrame:
+    return graph.shortest_paths(pairs, streets, cost, penalty, street_cells(t, 3200.0), 4)
+
+
+def street_cells(t: Tables, size: float) -> DataFrame:
+    """The block of each street node: a square of the map."""
+    return t.street_nodes.select("node_id", (F.floor(F.col("x") / size) * 1_000_000 + F.floor(F.col("y") / size)).alias("block"))
+
+
+def _streets(t: Tables) -> DataFrame:
+    return t.sql(f"SELECT * FROM {STREETS} s")
 
 
 def _totals(paths: DataFrame) -> DataFrame:
     return paths.groupBy("pair_id").agg(F.round(F.max("total"), 6).alias("total"))
 
 
-@query("graph_shortest_path", f"SELECT pair_id, {LATTICE} * 100.0e0 AS total FROM ({PAIR}) p WHERE start <> goal")
+@query("graph_shortest_path", _paths_sql(PAIR, "pair.pair_id, ROUND(c, 6) AS total"))
 def graph_shortest_path(t: Tables) -> DataFrame:
-    return _totals(graph.shortest_paths(_pairs(t), t.edges))
+    return _totals(_paths(t, t.sql(PAIR), _streets(t)))
 
 
-@query("graph_shortest_time", f"SELECT pair_id, ROUND({LATTICE} * (100.0e0 / (25 * 0.44704e0)), 6) AS total FROM ({PAIR}) p WHERE start <> goal")
+@query("graph_shortest_time", _paths_sql(PAIR, "pair.pair_id, ROUND(c, 6) AS total", "length_m / (mph * 0.44704e0)", "length_m / (mph * 0.44704e0)"))
 def graph_shortest_time(t: Tables) -> DataFrame:
-    timed = t.edges.withColumn("seconds", F.col("length_m") / scalar.class_speed(F.lit(0), F.lit(25)))
-    return _totals(graph.shortest_paths(_pairs(t), timed, "seconds"))
+    return _totals(_paths(t, t.sql(PAIR), _streets(t).withColumn("seconds", F.col("length_m") / scalar.class_speed(F.lit(0), F.col("mph"))), "seconds"))
 
 
-@query("graph_penalised_path")
+@query("graph_penalised_path", _paths_sql(PAIR, "pair.pair_id, ROUND(c, 6) AS total", "length_m * penalty"))
 def graph_penalised_path(t: Tables) -> DataFrame:
     """Highways weigh eight times as much in the search; the totals are true lengths."""
-    weighed = t.edges.withColumn("penalty", F.when(F.col("edge_id") % 14 == 2, 8.0).otherwise(1.0))
-    return _totals(graph.shortest_paths(_pairs(t), weighed, penalty="penalty"))
+    return _totals(_paths(t, t.sql(PAIR), _streets(t), penalty="penalty"))
 
 
 STARTS = "SELECT CAST(s_suppkey AS BIGINT) AS source, CAST(s_suppkey * 7919 % n AS BIGINT) AS node_id FROM supplier CROSS JOIN (SELECT COUNT(*) AS n FROM v_street_nodes) c"
@@ -201,15 +226,15 @@ WALK_M, CELL_M = 600.0, 800.0
   SELECT p.source, e.edge_id FROM v_street_edges e JOIN reached p ON p.node_id = e.from_id JOIN reached q ON q.node_id = e.to_id AND q.source = p.source""")
 def graph_isochrone(t: Tables) -> DataFrame:
     """The streets within a walk of every start, on a grid that grows with the tables, settled cell by cell."""
-    cells = t.street_nodes.select("node_id", (F.floor(F.col("x") / CELL_M) * 1_000_000 + F.floor(F.col("y") / CELL_M)).alias("block"))
-    reached = graph.reach(t.street_edges, t.sql(STARTS), WALK_M, blocks=cells, salts=4)
+    reached = graph.reach(t.street_edges, t.sql(STARTS), WALK_M, blocks=street_cells(t, CELL_M), salts=4)
     return graph.isochrone_edges(t.street_edges, reached).select("source", "edge_id")
 
 
-@query("graph_build_route", f"SELECT pair_id, CAST({LATTICE} + 1 AS BIGINT) AS points FROM ({PAIR}) p WHERE start <> goal")
+@query("graph_build_route", _paths_sql(PAIR, "pair.pair_id, n + 1 AS points"))
 def graph_build_route(t: Tables) -> DataFrame:
-    paths = graph.shortest_paths(_pairs(t), t.edges).join(t.edges, "edge_id")
-    return stitched(paths, _pairs(t)).groupBy("pair_id").agg(F.count("*").alias("points"))
+    streets = _streets(t)
+    paths = _paths(t, t.sql(PAIR), streets).join(streets, "edge_id")
+    return stitched(paths, t.sql(PAIR)).groupBy("pair_id").agg(F.count("*").alias("points"))
 
 
 def stitched(paths: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -238,23 +263,33 @@ def entity_cluster(t: Tables) -> DataFrame:
     return grouped(t.sensors, clusters(t)).groupBy(F.col("grp").alias("component")).agg(F.count("*").alias("members"), F.bool_or("confirmed").alias("confirmed"))
 
 
-@query("graph_random_walk")
+WALKERS = "SELECT CAST(c_custkey AS BIGINT) AS walk_id, CAST(c_custkey * 7919 % n AS BIGINT) AS node_id FROM customer CROSS JOIN (SELECT COUNT(*) AS n FROM v_street_nodes) s"
+
+
+@query("graph_random_walk", f"""WITH RECURSIVE near AS MATERIALIZED (SELECT a, LIST({{'e': edge_id, 'b': b}} ORDER BY edge_id) AS out FROM (SELECT from_id AS a, to_id AS b, edge_id FROM v_street_edges UNION ALL SELECT to_id, from_id, edge_id FROM v_street_edges) j GROUP BY a),
+  walk AS (SELECT walk_id, CAST(0 AS BIGINT) AS step, node_id, CAST(-1 AS BIGINT) AS last FROM ({WALKERS}) w
+    UNION ALL SELECT walk_id, step + 1, ahead[pick].b, ahead[pick].e FROM (SELECT *, CAST(('0x' || SUBSTR(MD5('7:' || walk_id || ':' || (step + 1)), 1, 8)) AS BIGINT) * LEN(ahead) // 4294967296 + 1 AS pick FROM
+      (SELECT w.walk_id, w.step, CASE WHEN LEN(out) > 1 THEN LIST_FILTER(out, lambda x: x.e <> w.last) ELSE out END AS ahead FROM walk w JOIN near ON near.a = w.node_id WHERE w.step < 30) q) p)
+  SELECT walk_id, step, node_id FROM walk""")
 def graph_random_walk(t: Tables) -> DataFrame:
-    starts = t.spark.range(20).select(F.col("id").alias("walk_id"), (F.col("id") * 17 % 441).alias("node_id"))
-    return graph.random_walks(starts, t.edges, 30, 7).select("walk_id", "step", "node_id")
+    """Thirty steps of a walk for each customer."""
+    return graph.random_walks(t.sql(WALKERS), t.street_edges, 30, 7, street_cells(t, 3200.0), 4).select("walk_id", "step", "node_id")
+
 
+_TOP = "SELECT pu_zone, do_zone, COUNT(*) AS trips FROM v_trips GROUP BY pu_zone, do_zone ORDER BY trips DESC, pu_zone, do_zone LIMIT 15"
+POOL = f"""SELECT pu_zone * 100 + do_zone AS pair_id, trips, CAST(node AS BIGINT) AS start, {_GOAL.format(dx='1 + do_zone % 8', dy='do_zone * 5 % 9')}
+  FROM (SELECT t.*, pu_zone * 7919 % (side * side) AS node, side FROM ({_TOP}) t CROSS JOIN (SELECT MAX(side) AS side FROM v_street_nodes) n) s"""
 
-@query("graph_route_pool")
+
+@query("graph_route_pool", _paths_sql(POOL, "pair.pair_id, ROUND(c, 6) AS total, n AS edges, ROUND(trips / (SUM(trips) OVER ()), 8) AS weight"))
 def graph_route_pool(t: Tables) -> DataFrame:
     """The most frequent pairs, routed, weights summing to 1."""
-    from .sequences import top_pairs
-
-    top = graph.checkpointed(top_pairs(t.trips, 15).select((F.col("pu_zone") * 100 + F.col("do_zone")).alias("pair_id"), (F.col("pu_zone") * 17 % 441).alias("start"), (F.col("do_zone") * 29 % 441).alias("goal"), "trips"))
-    paths = graph.shortest_paths(top, t.edges).groupBy("pair_id").agg(F.max("total").alias("total"), F.count("*").alias("edges"))
+    top = graph.checkpointed(t.sql(POOL))
+    paths = _paths(t, top, _streets(t)).groupBy("pair_id").agg(F.round(F.max("total"), 6).alias("total"), F.count("*").alias("edges"))
     routed = paths.join(top.select("pair_id", "trips"), "pair_id")
     return routed.crossJoin(F.broadcast(routed.agg(F.sum("trips").alias("all")))).select("pair_id", "total", "edges", F.round(F.col("trips") / F.col("all"), 8).alias("weight"))
 
 
-@query("graph_edge_incidence", f"SELECT pair_id, CAST({LATTICE} AS BIGINT) AS edges FROM ({PAIR}) p WHERE start <> goal")
+@query("graph_edge_incidence", _paths_sql(PAIR, "pair.pair_id, n AS edges"))
 def graph_edge_incidence(t: Tables) -> DataFrame:
-    return graph.shortest_paths(_pairs(t), t.edges).groupBy("pair_id").agg(F.count_distinct("edge_id").alias("edges"))
+    return _paths(t, t.sql(PAIR), _streets(t)).groupBy("pair_id").agg(F.count_distinct("edge_id").alias("edges"))

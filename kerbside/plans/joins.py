@@ -19,14 +19,14 @@ def sites(t: Tables) -> DataFrame:
     return t.sql(SITES)
 
 
-@query("join_inner_hash", "SELECT trip_id, n_name AS zone FROM v_trips JOIN nation ON n_nationkey = pu_zone WHERE pu_min < 60")
+@query("join_inner_hash", "SELECT trip_id, n_name AS zone FROM v_trips JOIN nation ON n_nationkey = pu_zone")
 def join_inner_hash(t: Tables) -> DataFrame:
-    return t.trips.where("pu_min < 60").join(t.nation, F.col("n_nationkey") == F.col("pu_zone")).select("trip_id", F.col("n_name").alias("zone"))
+    return t.trips.join(t.nation, F.col("n_nationkey") == F.col("pu_zone")).select("trip_id", F.col("n_name").alias("zone"))
 
 
-@query("join_left_default", "SELECT zone_id, COALESCE(n, 0) AS n FROM v_zones LEFT JOIN (SELECT pu_zone, COUNT(*) AS n FROM v_trips WHERE pu_min < 3 GROUP BY pu_zone) q ON pu_zone = zone_id")
+@query("join_left_default", "SELECT zone_id, COALESCE(n, 0) AS n FROM v_zones LEFT JOIN (SELECT do_zone, COUNT(*) AS n FROM v_trips GROUP BY do_zone) q ON do_zone = zone_id")
 def join_left_default(t: Tables) -> DataFrame:
-    n = t.trips.where("pu_min < 3").groupBy(F.col("pu_zone").alias("zone_id")).agg(F.count("*").alias("n"))
+    n = t.trips.groupBy(F.col("do_zone").alias("zone_id")).agg(F.count("*").alias("n"))
     return t.zones.select("zone_id").join(n, "zone_id", "left").select("zone_id", F.coalesce("n", F.lit(0)).alias("n"))
 
 
@@ -121,14 +121,14 @@ def join_anti_proximity(t: Tables) -> DataFrame:
     return spatial.beyond(t.sensors, sites(t), 50.0).select("sensor_id")
 
 
-CLOSED = "SELECT route_id, seq, x0 AS cx0, y0 AS cy0, x1 AS cx1, y1 AS cy1 FROM (SELECT route_id, seq, x AS x0, y AS y0, LEAD(x) OVER (PARTITION BY route_id ORDER BY seq) AS x1, LEAD(y) OVER (PARTITION BY route_id ORDER BY seq) AS y1 FROM v_route_points) s WHERE x1 IS NOT NULL AND route_id % 2 = 0"
+CLOSED = "SELECT route_id, seq, x0 AS cx0, y0 AS cy0, x1 AS cx1, y1 AS cy1 FROM (SELECT route_id, seq, x AS x0, y AS y0, LEAD(x) OVER (PARTITION BY route_id ORDER BY seq) AS x1, LEAD(y) OVER (PARTITION BY route_id ORDER BY seq) AS y1 FROM v_route_points) s WHERE x1 IS NOT NULL"
 CT = "GREATEST(0.0e0, LEAST(1.0e0, ((mx - cx0) * (cx1 - cx0) + (my - cy0) * (cy1 - cy0)) / ((cx1 - cx0) ** 2 + (cy1 - cy0) ** 2)))"
 
 
 @query("join_colinear", f"""SELECT e.edge_id FROM (SELECT *, (x0 + x1) / 2 AS mx, (y0 + y1) / 2 AS my FROM v_edges) e WHERE NOT EXISTS (SELECT 1 FROM ({CLOSED}) c WHERE
   ABS(((x1 - x0) * (cx1 - cx0) + (y1 - y0) * (cy1 - cy0)) / (length_m * SQRT((cx1 - cx0) ** 2 + (cy1 - cy0) ** 2))) > 0.87e0 AND (mx - cx0 - {CT} * (cx1 - cx0)) ** 2 + (my - cy0 - {CT} * (cy1 - cy0)) ** 2 < 100.0e0)""")
 def join_colinear(t: Tables) -> DataFrame:
-    return not_colinear(t.edges, sequence.segments(t.route_points.where("route_id % 2 = 0"), "route_id"), 10.0).select("edge_id")
+    return not_colinear(t.edges, sequence.segments(t.route_points, "route_id"), 10.0).select("edge_id")
 
 
 def not_colinear(edges: DataFrame, closed: DataFrame, reach: float, least: float = 0.87) -> DataFrame:

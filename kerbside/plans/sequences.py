@@ -4,14 +4,12 @@ from __future__ import annotations
 
 import heapq
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
 
 from kerbside.functions import geo
-from kerbside.operators import fleet, geometry, sequence, spatial
+from kerbside.operators import fleet, geometry, graph, sequence, spatial
 
 from .registry import query
 from .scalars import SEGMENTS, r
@@ -204,24 +202,58 @@ def even_spread_sample(t: Tables) -> DataFrame:
 
 
 def even_spread(df: DataFrame, key: str, k: int, *order) -> DataFrame:
-    """The rows at places j * n / k of each key's sorted rows."""
-    w = Window.partitionBy(key)
-    q = df.withColumns({"__r": F.row_number().over(w.orderBy(*order)) - 1, "__n": F.count("*").over(w)})
-    at = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda j: F.floor(j * F.col("__n") / k))
-    return q.where(F.array_contains(at, F.col("__r").cast("long"))).drop("__r", "__n")
+    """The rows at places j * n / k of each key's sorted rows. Places are two-level: within the parts of a range-partitioned sort,
+    which is written first so that parts stay as they are, and over each key's counts in the parts; a key may be spread over many."""
+    at = graph.checkpointed(df.orderBy(key, *order).withColumn("__at", F.monotonically_increasing_id()))
+    at = at.withColumns({"__part": F.shiftright("__at", 33), "__in": F.expr("__at & 8589934591")})
+    w = Window.partitionBy("__key")  # a row for each part
+    parts = at.groupBy(F.col(key).alias("__key"), F.col("__part").alias("__p")).agg(F.count("*").alias("__n"), F.min("__in").alias("__first"))
+    before = F.coalesce(F.sum("__n").over(w.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.select("__key", "__p", (before - F.col("__first")).alias("__shift"), F.sum("__n").over(w).alias("__all"))
+    places = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda j: F.floor(j * F.col("__all") / k))
+    found = at.join(parts, F.col(key).eqNullSafe(F.col("__key")) & (F.col("__part") == F.col("__p")))
+    return found.where(F.array_contains(places, F.col("__in") + F.col("__shift"))).select(*df.columns)
 
 
-def splitmix64():
+def _halves(z) -> tuple:
+    return F.shiftrightunsigned(z, 32), z.bitwiseAND(0xFFFFFFFF)
+
+
+def _joined(high, low):
+    """The long of two halves; what high has beyond 32 bits goes."""
+    return F.shiftleft(high, 32).bitwiseOR(low)
+
+
+def _bound(value, use):
+    """use(value), with value computed once and named, so that the expression does not grow with each use of it."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _times(z, factor: int):
+    """z * factor modulo 2**64, without a sum or product beyond a long."""
+    high, low = _halves(z)
+    # the low 16 and the next 16 bits of the factor; a half times either has 48 bits
+    f0, f1, top = factor & 0xFFFF, factor >> 16 & 0xFFFF, factor >> 32
+    by = lambda x, a, b: x * a + F.shiftleft((x * b).bitwiseAND(0xFFFF), 16)
+    inner = by(low, f0, f1)
+    upper = F.shiftright(inner, 32) + F.shiftright(low * f1, 16) + by(high, f0, f1) + by(low, top & 0xFFFF, top >> 16)
+    return _joined(upper, inner.bitwiseAND(0xFFFFFFFF))
+
+
+def splitmix64(k):
     """A uniform [0, 1) double of a long, by splitmix64 in wrapping 64-bit arithmetic."""
 
-    @pandas_udf("double")
-    def run(k: pd.Series) -> pd.Series:
-        z = k.to_numpy(np.int64).astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)
-        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return pd.Series((z ^ (z >> np.uint64(31))).astype(np.float64) / 2.0**64)
+    def last(z):
+        high, low = _halves(z.bitwiseXOR(F.shiftrightunsigned(z, 31)))
+        return (high.cast("double") * 2.0**32 + low.cast("double")) / 2.0**64
 
-    return run
+    high, low = _halves(k)
+    low = low + 0x7F4A7C15
+    z = _joined(high + 0x9E3779B9 + F.shiftright(low, 32), low.bitwiseAND(0xFFFFFFFF))
+    z = _bound(z, lambda z: z.bitwiseXOR(F.shiftrightunsigned(z, 30)))
+    z = _bound(z, lambda z: _times(z, 0xBF58476D1CE4E5B9))
+    z = _bound(z, lambda z: z.bitwiseXOR(F.shiftrightunsigned(z, 27)))
+    return _bound(_bound(z, lambda z: _times(z, 0x94D049BB133111EB)), last)
 
 
 def _mixed_sql(z: str, shift: int, factor: str) -> str:
@@ -238,7 +270,7 @@ RESERVOIR = f"""WITH z0 AS (SELECT facility_id, kind, CAST((CAST(facility_id AS
 @query("weighted_reservoir", RESERVOIR)
 def weighted_reservoir(t: Tables) -> DataFrame:
     """Six facilities of each kind by weight: the greatest u ** (1 / w)."""
-    f = t.facilities.withColumn("key", F.pow(splitmix64()("facility_id"), 1 / (F.sqrt(F.expr("facility_id % 500 + 20.0e0")) + 1)))
+    f = t.facilities.withColumn("key", F.pow(splitmix64(F.col("facility_id")), 1 / (F.sqrt(F.expr("facility_id % 500 + 20.0e0")) + 1)))
     return top_per(f, ["kind"], 6, F.desc("key"), "facility_id").select("kind", "facility_id")
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import random
 
 import numpy as np
 import pytest
@@ -62,6 +63,46 @@ def test_square_graph(spark):
     assert [(r.pair_id, r.total) for r in graph.shortest_paths(pairs, edges).collect()] == [(1, 10.0)]
 
 
+@pytest.mark.parametrize("blocks", [1, 4])
+def test_paths_and_walks_are_those_of_the_whole_graph(spark, blocks):
+    """However a random graph with parallel edges is cut into blocks: costs by Bellman-Ford, paths that hold together, walks step by step."""
+    rng = random.Random(blocks)
+    edges = [(i, rng.randrange(60), rng.randrange(60), rng.randrange(1, 50) / 1.0, rng.choice([1.0, 8.0])) for i in range(110)]
+    df = spark.createDataFrame(edges, "edge_id long, from_id long, to_id long, length_m double, penalty double")
+    pairs = [(i, rng.randrange(62), rng.randrange(62)) for i in range(25)]
+    cut = spark.createDataFrame([(n, n * 7919 % blocks) for n in range(62)], "node_id long, block long")
+    rows = graph.shortest_paths(spark.createDataFrame(pairs, "pair_id long, start long, goal long"), df, penalty="penalty", blocks=cut, salts=2).collect()
+    for pair, start, goal in pairs:
+        best = {start: 0.0}
+        for _ in range(62):
+            for _, a, b, c, p in edges:
+                for x, y in ((a, b), (b, a)):
+                    if x in best and best[x] + c * p < best.get(y, math.inf):
+                        best[y] = best[x] + c * p
+        path = sorted((r.seq, r.edge_id, r.cost, r.total) for r in rows if r.pair_id == pair)
+        assert bool(path) == (goal in best and start != goal)
+        node, weighed = start, 0.0
+        for k, (seq, edge, cost, total) in enumerate(path):
+            _, a, b, c, p = edges[edge]
+            assert seq == k and node in (a, b) and cost == c and total == sum(x[2] for x in path)
+            node, weighed = a + b - node, weighed + c * p
+        assert not path or node == goal and weighed == pytest.approx(best[goal])
+    starts = [(w, rng.randrange(62)) for w in range(20)]
+    got = sorted((r.walk_id, r.step, r.node_id) for r in graph.random_walks(spark.createDataFrame(starts, "walk_id long, node_id long"), df, 6, 3, cut, 2).collect())
+    want = []
+    for walk, node in starts:
+        want.append((walk, 0, node))
+        last = None
+        for k in range(1, 7):
+            found = sorted((e, y) for e, a, b, _, _ in edges for x, y in ((a, b), (b, a)) if x == node)
+            if not found:
+                break
+            ahead = [x for x in found if x[0] != last] or found
+            last, node = ahead[graph.draw(3, walk, k, len(ahead))]
+            want.append((walk, k, node))
+    assert got == sorted(want)
+
+
 def test_pace_and_dwell(spark):
     points = spark.sql("SELECT * FROM VALUES (1L, 0L, 0.0D, 0.0D), (1L, 1L, 200.0D, 0.0D) AS p(r, seq, x, y)")
     assert [r.time_frac for r in sequence.paced(points, "r").orderBy("seq").collect()] == [0.0, 1.0]

@@ -51,10 +51,10 @@ def test_every_institution_is_ranked(spark):
     assert got == want and len(want) > 50
 
 
-@pytest.mark.parametrize("name", ["agg_edge_traversals", "agg_sensing_power", "q_sensing_power", "agg_edge_class_coverage", "join_asof_keyframe", "agg_breakdown", "split_ways", "q_institutions", "q_tesla_field"])
+@pytest.mark.parametrize("name", ["agg_edge_traversals", "agg_sensing_power", "q_sensing_power", "agg_edge_class_coverage", "join_asof_keyframe", "agg_breakdown", "split_ways", "q_institutions", "q_tesla_field", "join_inner_hash", "join_left_default", "join_colinear", "drivability_mask"])
 def test_sql_takes_all_rows(name):
     """The SQL too takes whole tables: no part of the ids, no limit."""
-    assert not re.search(r"trip_id % \d+ = 0|l_orderkey % \d+ = 0|edge_id < \d+|LIMIT", SQL[name])
+    assert not re.search(r"trip_id % \d+ = 0|l_orderkey % \d+ = 0|route_id % \d+|pu_min <|edge_id < \d+|LIMIT", SQL[name])
 
 
 def test_trips_are_numbered_in_two_levels(spark):
