@@ -41,12 +41,12 @@ def fixed_rate(points: DataFrame, sensors: DataFrame, key: str, reach: float, fa
     return groups.groupBy(key).agg(F.sum(F.when(F.col("ok"), 1.0).otherwise(factor)).alias("fixed"))
 
 
-def heatmap(points: DataFrame, key: str, sensors: DataFrame, corridor: DataFrame, zones: DataFrame, hour: float, reach: float, zone_size: float) -> DataFrame:
+def heatmap(points: DataFrame, key: str, sensors: DataFrame, corridor: DataFrame, zones: DataFrame, hour: float, reach: float, zone_size: float, ace_reach: float = ACE_REACH_M) -> DataFrame:
     """(key, fixed, ace, dashcam, glasses, robots, tesla): captures per minute at points(key, px, py) at an hour.
 
     corridor(sx, sy) are points along bus corridors; zones(ring, box, intensity) is the dashcam field, 1 outside."""
     fixed = fixed_rate(points, sensors, key, reach)
-    near = spatial.within(points, corridor, ACE_REACH_M, ("px", "py"), how="left_semi").select(key, F.lit(True).alias("near"))
+    near = spatial.within(points, corridor, ace_reach, ("px", "py"), how="left_semi").select(key, F.lit(True).alias("near"))
     field = spatial.in_polygons(points, zones, zone_size, ("px", "py")).select(key, "zone_id", "intensity")
     # the facets are laid one under another and meet in one aggregate by key, not in a join for each
     facets = points.select(key)

@@ -68,15 +68,37 @@ def q_edge_heatmap(t: Tables) -> DataFrame:
     return out.select("edge_id", *(F.round(c, 6).alias(c) for c in out.columns[1:]))
 
 
-GRID = "SELECT k AS cell_id, -975.0e0 + (k % 40) * 50 AS px, -975.0e0 + CAST(FLOOR(k / 40.0e0) AS BIGINT) * 50 AS py FROM (SELECT CAST(UNNEST(RANGE(0, 1600)) AS BIGINT) AS k) g"
+HEAT_CLASSES = ("fixed", "ace", "dashcam", "glasses", "robots", "tesla")
+#: Metres of a cell and around the streets, least and most columns and rows.
+HEAT_CELL_M, HEAT_PAD_M, HEAT_COLUMNS, HEAT_ROWS = 45.0, 60.0, (48, 280), (48, 360)
+GRID = """SELECT i + j * gw AS cell_id, minx + (i + 0.5e0) * (w / gw) AS px, miny + (j + 0.5e0) * (h / gh) AS py, 20.0e0 + GREATEST(w / gw, h / gh) AS wide
+  FROM (SELECT *, GREATEST(48, LEAST(280, CAST(ROUND(w / 45.0e0) AS BIGINT))) AS gw, GREATEST(48, LEAST(360, CAST(ROUND(h / 45.0e0) AS BIGINT))) AS gh
+    FROM (SELECT MIN(x) - 60 AS minx, MIN(y) - 60 AS miny, MAX(x) - MIN(x) + 120 AS w, MAX(y) - MIN(y) + 120 AS h FROM v_nodes) e) g
+  JOIN (SELECT CAST(UNNEST(RANGE(0, 280)) AS BIGINT) AS i) a ON i < gw JOIN (SELECT CAST(UNNEST(RANGE(0, 360)) AS BIGINT) AS j) b ON j < gh"""
 
 
-@query("q_grid_heatmap", f"SELECT cell_id, ROUND(fixed / MAX(fixed) OVER (), 6) AS heat FROM ({_heat_sql(GRID, 'cell_id')}) h")
+@query("q_grid_heatmap", f"""SELECT cell_id, ROUND(total / MAX(total) OVER (), 6) AS heat FROM
+  (SELECT cell_id, {' + '.join(HEAT_CLASSES)} AS total FROM ({_heat_sql(GRID, 'cell_id').replace('<= 400.0e0', '<= t.wide ** 2')}) h) q""")
 def q_grid_heatmap(t: Tables) -> DataFrame:
-    grid = t.spark.range(1600).select(F.col("id").alias("cell_id"), (-975.0 + F.col("id") % 40 * 50).alias("px"), (-975.0 + F.floor(F.col("id") / 40) * 50).alias("py"))
-    fixed = exposure.fixed_rate(grid, own_groups(t), "cell_id", 30.0)
-    heat = grid.select("cell_id").join(fixed, "cell_id", "left").select("cell_id", F.round(F.coalesce("fixed", F.lit(0.0)), 6).alias("fixed"))
-    return heat.crossJoin(F.broadcast(heat.agg(F.max("fixed").alias("top")))).select("cell_id", F.round(F.col("fixed") / F.col("top"), 6).alias("heat"))
+    return grid_heat(t)
+
+
+def grid_heat(t: Tables, chosen: str = "total") -> DataFrame:
+    """(cell_id, heat): one class or the total in cells over the extent of the streets, against the hottest cell.
+
+    Cells are of about 45 m, but 48 to 280 by 48 to 360 of them, whatever the extent; a corridor is near if it comes within
+    its reach and a cell's longer side."""
+    e = t.nodes.agg(*(f(c).alias(f"{n}{c}") for c in ("x", "y") for n, f in (("min", F.min), ("max", F.max)))).first()
+    if e.minx is None:
+        return t.spark.createDataFrame([], "cell_id long, heat double")
+    (w, gw), (h, gh) = ((most - least + 2 * HEAT_PAD_M, min(max(round((most - least + 2 * HEAT_PAD_M) / HEAT_CELL_M), low), high)) for least, most, (low, high) in ((e.minx, e.maxx, HEAT_COLUMNS), (e.miny, e.maxy, HEAT_ROWS)))
+    at = lambda least, i, side, n: least - HEAT_PAD_M + (i + 0.5) * (side / n)
+    grid = t.spark.range(gw * gh).select(F.col("id").alias("cell_id"), at(e.minx, F.col("id") % gw, w, gw).alias("px"), at(e.miny, F.floor(F.col("id") / gw), h, gh).alias("py"))
+    rates = exposure.heatmap(grid, "cell_id", own_groups(t), corridor(t), zones(t), HOUR, 30.0, 200.0, exposure.ACE_REACH_M + max(w / gw, h / gh))
+    parts = [F.round(c, 6) for c in (HEAT_CLASSES if chosen == "total" else (chosen,))]
+    heat = rates.select("cell_id", sum(parts[1:], parts[0]).alias("value"))
+    top = F.broadcast(heat.agg(F.max("value").alias("top")))
+    return heat.crossJoin(top).select("cell_id", F.when(F.col("top") > 0, F.round(F.col("value") / F.col("top"), 6)).otherwise(0.0).alias("heat"))
 
 
 WALK = f"SELECT route_id, CAST(k AS BIGINT) AS tick, LEAST(k * 1.0e0, d) AS t, CASE WHEN k < CEIL(d) THEN 1.0e0 ELSE d - (CEIL(d) - 1) END AS weight, x0 + (x1 - x0) * (a - a0) / (a1 - a0) AS px, y0 + (y1 - y0) * (a - a0) / (a1 - a0) AS py FROM (SELECT s.*, k, total / 1.34e0 AS d, LEAST(LEAST(k * 1.0e0, total / 1.34e0) * 1.34e0, total) AS a FROM ({STRETCH}) s CROSS JOIN (SELECT UNNEST(RANGE(0, 400)) AS k) n WHERE a1 IS NOT NULL AND k <= CEIL(total / 1.34e0)) q WHERE a >= a0 AND (a < a1 OR (a1 = total AND a <= a1))"
@@ -338,11 +360,16 @@ def q_dashcam_field(t: Tables) -> DataFrame:
     return ag.agg_density_intensity(t)
 
 
-@query("q_tesla_field", FIELD)
+REGISTERED = f"""SELECT a.zone_id, area, COALESCE(n, 0) AS n FROM (SELECT zone_id, ABS(SUM(x0 * y1 - x1 * y0)) / 2 AS area FROM ({RING_EDGES}) e GROUP BY zone_id) a
+  LEFT JOIN (SELECT c_nationkey, COUNT(*) AS n FROM customer WHERE c_mktsegment = 'AUTOMOBILE' GROUP BY c_nationkey) c ON c.c_nationkey = a.zone_id"""
+
+
+@query("q_tesla_field", f"SELECT zone_id, ROUND(CASE WHEN area > 0 THEN LEAST(8.0e0, n / area / (SELECT median FROM ({ag.MEDIAN.replace(ag.DENSITY, REGISTERED)}) m)) ELSE 0.0e0 END, 6) AS intensity FROM ({REGISTERED}) q")
 def q_tesla_field(t: Tables) -> DataFrame:
-    areas = t.zones.select("zone_id", F.expr("CASE WHEN zone_id % 9 = 0 THEN 0.0e0 ELSE 160000.0e0 + zone_id * 1000 END").alias("area"))
-    counts = t.trips.groupBy(F.col("pu_zone").alias("zone_id")).agg(F.count("*").alias("n"))
-    return ag.density_intensity(counts, areas, "zone_id").withColumn("intensity", F.round("intensity", 6))
+    """Registered cars for each area of a zone's own ring; customers of one segment stand for the registrations."""
+    areas = t.zone_rings.select("zone_id", geo.ring_area("ring").alias("area"))
+    counts = t.customer.where("c_mktsegment = 'AUTOMOBILE'").groupBy(F.col("c_nationkey").cast("long").alias("zone_id")).agg(F.count("*").alias("n"))
+    return ag.density_intensity(counts, areas, "zone_id").select("zone_id", F.round("intensity", 6).alias("intensity"))
 
 
 RASTER = """SELECT g.cx, g.cy, s.score FROM (SELECT k % 80 - 40 AS cx, CAST(FLOOR(k / 80.0e0) AS BIGINT) - 40 AS cy FROM (SELECT CAST(UNNEST(RANGE(0, 6400)) AS BIGINT) AS k) n) g LEFT JOIN

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from kerbside.functions import geo, scalar
 from kerbside.operators import geometry, graph, sequence, spatial
+from kerbside.plans import composites
+from kerbside.plans.views import Tables
 
 SQUARE = "SELECT * FROM VALUES (0L, 0L, 1L, 10.0D), (1L, 1L, 2L, 10.0D), (2L, 2L, 3L, 10.0D), (3L, 3L, 0L, 10.0D) AS e(edge_id, from_id, to_id, length_m)"
 
@@ -230,3 +232,12 @@ def test_streets_are_entered_once_a_visit(spark):
     path = [(10, 1), (60, 1), (60, -80), (90, -80), (90, 1), (180, 1), (20, 1)]
     points = spark.createDataFrame([(7, i, float(x), float(y)) for i, (x, y) in enumerate(path)], "route long, seq long, x double, y double")
     assert {(r.edge_id, r.entries) for r in fleet.street_entries(points, edges, "route").collect()} == {(1, 2), (2, 1)}
+
+
+def test_grid_heatmap_by_class(spark):
+    """Each class's cells lie in 0..1 with the hottest at 1, and the classes differ."""
+    t = Tables(spark, "/root/testdata/sf0.001")
+    heat = {c: {r.cell_id: r.heat for r in composites.grid_heat(t, c).collect()} for c in ("fixed", "ace", "total")}
+    for cells in heat.values():
+        assert len(cells) == 48 * 48 and min(cells.values()) >= 0 and max(cells.values()) == 1
+    assert heat["fixed"] != heat["ace"] != heat["total"]
