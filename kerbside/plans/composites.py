@@ -37,9 +37,10 @@ def devices(t: Tables) -> DataFrame:
 
 
 def corridor(t: Tables) -> DataFrame:
-    """Points at most ten metres apart along each corridor, so that no middle of a long segment is missed."""
-    points = geometry.densified(sequence.segments(t.route_points, "route_id"), CORRIDOR_STEP_M)
-    return points.select(F.col("x").alias("sx"), F.col("y").alias("sy"))
+    """Points at most ten metres apart along each corridor, so that no middle of a long segment is missed; a place that several
+    share occurs once."""
+    stretches = sequence.segments(t.route_points, "route_id").select("x0", "y0", "x1", "y1").distinct()
+    return geometry.densified(stretches, CORRIDOR_STEP_M).select(F.col("x").alias("sx"), F.col("y").alias("sy")).distinct()
 
 
 def zones(t: Tables) -> DataFrame:
