@@ -115,15 +115,17 @@ def mobile_integral(ticks: DataFrame, key: str, departure: float, corridor: Data
 
 
 def tally(seen: DataFrame, keys: list[str], factor: float = 1 / RECALL) -> DataFrame:
-    """(keys, devices, frames, covered_s, grouped) of captures(keys, tick, weight, sensor_id, kind, grp, confirmed, frame_rate)."""
+    """(keys, devices, frames, covered_s, grouped) of captures(keys, tick, weight, sensor_id, kind, grp, confirmed, frame_rate).
+    With a column `copies` a sensor stands for as many of its group."""
+    copies = F.col("copies") if "copies" in seen.columns else F.lit(1).cast("long")
     # each capture counts for its device, its tick and its group, so that captures are computed once
-    facet = lambda i, key, value: F.struct(F.lit(i).alias("facet"), F.col(key).cast("long").alias("id"), value.alias("value"))
-    facets = F.array(facet(0, "sensor_id", F.col("frame_rate") * F.col("weight")), facet(1, "tick", F.col("weight")), facet(2, "grp", F.lit(0.0)))
+    facet = lambda i, key, value: F.struct(F.lit(i).alias("facet"), F.col(key).cast("long").alias("id"), value.alias("value"), copies.alias("copies"))
+    facets = F.array(facet(0, "sensor_id", F.col("frame_rate") * F.col("weight") * copies), facet(1, "tick", F.col("weight")), facet(2, "grp", F.lit(0.0)))
     rows = seen.select(*keys, "confirmed", F.explode(facets).alias("f")).groupBy(*keys, "f.facet", "f.id")
-    one = rows.agg(F.sum("f.value").alias("total"), F.max("f.value").alias("weight"), F.bool_or("confirmed").alias("ok"))
+    one = rows.agg(F.sum("f.value").alias("total"), F.max("f.value").alias("weight"), F.max("f.copies").alias("copies"), F.bool_or("confirmed").alias("ok"))
     of = lambda i, value: F.when(F.col("facet") == i, value)
     return one.groupBy(*keys).agg(
-        F.count(of(0, F.col("id"))).alias("devices"),
+        F.coalesce(F.sum(of(0, F.col("copies"))), F.lit(0)).alias("devices"),
         F.sum(of(0, F.col("total"))).alias("frames"),
         F.sum(of(1, F.col("weight"))).alias("covered_s"),
         F.sum(of(2, F.when(F.col("ok"), 1.0).otherwise(factor))).alias("grouped"),

@@ -140,7 +140,7 @@ CAPTURED = "SELECT edge_id, tick, sensor_id, kind, frame_rate FROM (SELECT * FRO
 
 
 def captured(t: Tables) -> DataFrame:
-    return spatial.captures(edge_ticks(t), spatial.placed(t.sensors), 30.0)
+    return spatial.captures(edge_ticks(t), spatial.placed(t.sensors), 30.0, few=True)
 
 
 @query("agg_distinct_devices", f"SELECT edge_id, kind, COUNT(DISTINCT sensor_id) AS devices, SUM(frame_rate) AS frames FROM ({CAPTURED}) c GROUP BY edge_id, kind")
@@ -346,8 +346,11 @@ def agg_solve_n(t: Tables) -> DataFrame:
 
 @query("agg_institution_type_avg", f"SELECT fkind AS kind, ROUND(AVG(n), 6) AS mean FROM (SELECT f.facility_id, f.fkind, COUNT(s.sensor_id) AS n FROM ({SITES}) f LEFT JOIN v_sensors s ON (s.x - f.sx) ** 2 + (s.y - f.sy) ** 2 <= 40000.0e0 GROUP BY 1, 2) q GROUP BY fkind")
 def agg_institution_type_avg(t: Tables) -> DataFrame:
-    n = spatial.within(t.sensors, sites(t), 200.0).groupBy("facility_id").agg(F.count("*").alias("n"))
-    return t.facilities.join(n, "facility_id", "left").groupBy("kind").agg(F.round(F.avg(F.coalesce("n", F.lit(0))), 6).alias("mean")).orderBy(F.desc("mean"), "kind")
+    """Sensors are counted by place, and the counts summed up once for each place of facilities."""
+    seen = t.sensors.groupBy("x", "y").agg(F.count("*").alias("c"))
+    at = sites(t).select("sx", "sy").distinct()
+    n = spatial.within(seen, at, 200.0).groupBy(F.col("sx").alias("x"), F.col("sy").alias("y")).agg(F.sum("c").alias("n"))
+    return t.facilities.join(n, ["x", "y"], "left").groupBy("kind").agg(F.round(F.avg(F.coalesce("n", F.lit(0))), 6).alias("mean")).orderBy(F.desc("mean"), "kind")
 
 
 @query("agg_edge_class_coverage", f"SELECT COUNT(*) AS total, COUNT(c.edge_id) AS covered FROM v_edges e LEFT JOIN (SELECT DISTINCT edge_id FROM ({INCIDENCE}) i) c ON c.edge_id = e.edge_id WHERE e.edge_id % 14 = 2")

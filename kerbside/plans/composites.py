@@ -36,6 +36,28 @@ def devices(t: Tables) -> DataFrame:
     return spatial.placed(exposure.grouped(t.sensors, clusters(t)))
 
 
+def devices_by_place(t: Tables) -> DataFrame:
+    """Devices, one row for sensors that differ in their ids alone: the smallest id stands for `copies` of them."""
+    d = devices(t)
+    return d.groupBy(*(c for c in d.columns if c != "sensor_id")).agg(F.min("sensor_id").alias("sensor_id"), F.count("*").alias("copies"))
+
+
+def walks(t: Tables) -> DataFrame:
+    """(route_id, walk): routes along the same points are one walk, named by the smallest of them."""
+    lines = geometry.rings(t.route_points, "route_id", "seq").select("route_id", F.col("ring").alias("points"))
+    return lines.join(lines.groupBy("points").agg(F.min("route_id").alias("walk")), "points").select("route_id", "walk")
+
+
+def walked(t: Tables, walk: DataFrame) -> DataFrame:
+    """The ticks of each walk once; route_id is the walk."""
+    return exposure.walk_ticks(t.route_points.join(walk.where("route_id = walk").select("route_id"), "route_id", "left_semi"), "route_id")
+
+
+def of_routes(found: DataFrame, walk: DataFrame) -> DataFrame:
+    """What was found for each walk, for all its routes."""
+    return walk.join(found.withColumnRenamed("route_id", "walk"), "walk").drop("walk")
+
+
 def corridor(t: Tables) -> DataFrame:
     """Points at most ten metres apart along each corridor, so that no middle of a long segment is missed; a place that several
     share occurs once."""
@@ -132,8 +154,9 @@ MOBILE = f"""SELECT route_id, ROUND(SUM(CASE WHEN near THEN 120.0e0 / GREATEST(6
 @query("q_mobile_integral", MOBILE)
 def q_mobile_integral(t: Tables) -> DataFrame:
     """The five mobile integrals of every walk, with all fields and the real day's curves."""
-    out = mobile(t, exposure.walk_ticks(t.route_points, "route_id"))
-    return out.select("route_id", *(F.round(c, 6).alias(c) for c in out.columns[1:]))
+    walk = graph.checkpointed(walks(t))
+    out = mobile(t, walked(t, walk))
+    return of_routes(out.select("route_id", *(F.round(c, 6).alias(c) for c in out.columns[1:])), walk)
 
 
 def mobile(t: Tables, ticks: DataFrame) -> DataFrame:
@@ -152,12 +175,15 @@ UNION ALL SELECT route_id, kind, expected, NULL, ROUND(1 - EXP(-expected), 6) FR
 def q_route_exposure(t: Tables) -> DataFrame:
     """The exposure of every walk: fixed cameras by kind that no wall hides, all of them as devices corrected for recall
     (`fixed`), and the five mobile classes with the probability of one capture at least."""
-    ticks = exposure.walk_ticks(t.route_points, "route_id")
-    seen = spatial.unblocked(spatial.captures(ticks, devices(t), 30.0), t.sql(WALLS), 60.0, ("route_id", "tick", "sensor_id"))
+    walk = graph.checkpointed(walks(t))
+    ticks = walked(t, walk)
+    walls = t.sql(WALLS).select("wx0", "wy0", "wx1", "wy1").distinct()
+    seen = graph.checkpointed(spatial.unblocked(spatial.captures(ticks, devices_by_place(t), 30.0), walls, 60.0, ("route_id", "tick", "sensor_id")))
     by_kind = exposure.tally(seen, ["route_id", "kind"]).select("route_id", "kind", F.col("devices").cast("double").alias("expected"), F.round("frames", 3).alias("frames"), F.lit(1.0).alias("p"))
     fixed = exposure.tally(seen, ["route_id"]).select("route_id", F.lit("fixed").alias("kind"), F.round("grouped", 6).alias("expected"), F.round("frames", 3).alias("frames"), F.lit(1.0).alias("p"))
     moving = mobile(t, ticks).select("route_id", F.explode(F.array(*(F.struct(F.lit(c).alias("kind"), F.round(c, 6).alias("expected")) for c in CLASSES))).alias("m")).select("route_id", "m.*")
-    return by_kind.unionByName(fixed).unionByName(moving.withColumns({"frames": F.lit(None).cast("double"), "p": F.round(1 - F.exp(-F.col("expected")), 6)}))
+    found = by_kind.unionByName(fixed).unionByName(moving.withColumns({"frames": F.lit(None).cast("double"), "p": F.round(1 - F.exp(-F.col("expected")), 6)}))
+    return of_routes(found, walk)
 
 
 HOPS = """WITH RECURSIVE adj AS (SELECT from_id AS a, to_id AS b FROM v_edges UNION ALL SELECT to_id, from_id FROM v_edges),
@@ -171,7 +197,7 @@ def q_walkshed_exposure(t: Tables) -> DataFrame:
     start = t.spark.sql("SELECT 0L AS source, 220L AS node_id")
     kept = t.edges.join(graph.isochrone_edges(t.edges, graph.reach(t.edges, start, 400.0)), "edge_id")
     ends = kept.select(F.explode(F.array(F.struct(F.col("x0").alias("px"), F.col("y0").alias("py")), F.struct(F.col("x1").alias("px"), F.col("y1").alias("py")))).alias("p")).select("p.*").distinct()
-    seen = spatial.captures(ends, devices(t), 30.0).select("grp", "confirmed").distinct()
+    seen = spatial.captures(ends, devices(t), 30.0, few=True).select("grp", "confirmed").distinct()
     return seen.agg(F.count("*").alias("raw"), F.round(F.sum(F.when(F.col("confirmed"), 1.0).otherwise(1 / exposure.RECALL)), 6).alias("corrected"))
 
 
@@ -221,8 +247,14 @@ def q_institutions(t: Tables) -> DataFrame:
     """Every institution, ranked by the groups (sensors of different kinds within 15 m are one device) that have a member
     within 200 m; those with none come last. Ranks are two-level: within the parts
     of a range-partitioned sort, which is written first so that parts stay as they are, and over the parts' counts."""
-    n = spatial.within(exposure.grouped(t.sensors, clusters(t)), sites(t), 200.0).select("facility_id", "grp").distinct().groupBy("facility_id").agg(F.count("*").alias("n"))
-    all_ = sites(t).select("facility_id", "name").join(n, "facility_id", "left").withColumn("cameras", F.coalesce("n", F.lit(0)))
+    # groups and facilities by place; a group that lies at one place only is counted there
+    grp = t.sensors.join(clusters(t).withColumnsRenamed({"node_id": "sensor_id", "component": "grp"}), "sensor_id").select("grp", "x", "y").distinct()
+    grp = graph.checkpointed(grp.join(grp.groupBy("grp").agg(F.count("*").alias("places")), "grp"))
+    rows = grp.groupBy("x", "y", F.when(F.col("places") > 1, F.col("grp")).alias("grp")).agg(F.count("*").alias("c"))
+    near = spatial.within(rows, sites(t).select("sx", "sy").distinct(), 200.0)
+    once = near.groupBy("sx", "sy", "grp").agg(F.sum("c").alias("c"))
+    n = once.groupBy("sx", "sy").agg(F.sum(F.when(F.col("grp").isNull(), F.col("c")).otherwise(1)).alias("n"))
+    all_ = sites(t).select("facility_id", "name", "sx", "sy").join(n, ["sx", "sy"], "left").withColumn("cameras", F.coalesce("n", F.lit(0)))
     at = graph.checkpointed(all_.orderBy(F.desc("cameras"), "name", "facility_id").select("facility_id", "cameras", F.monotonically_increasing_id().alias("at")))
     at = at.select("facility_id", "cameras", F.shiftright("at", 33).alias("part"), F.expr("at & 8589934591").alias("inside"))
     parts = at.groupBy("part").agg(F.count("*").alias("n"))  # a row for each part

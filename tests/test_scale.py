@@ -14,7 +14,7 @@ from kerbside.plans.views import TABLES, Tables
 
 SF = "/root/testdata/sf0.001"
 QUERIES, SQL = catalog.queries(), catalog.oracle_sql()
-#: Keys that are shifted from copy to copy, by multiples of 180,000: places and headings repeat.
+#: Keys that are shifted from copy to copy, by multiples of 1,260,000: places, headings and remainders repeat.
 KEYS = {"customer": ("c_custkey",), "supplier": ("s_suppkey",), "part": ("p_partkey",), "events": ("event_id",)}
 
 
@@ -25,7 +25,7 @@ def copies(tmp_path_factory):
     con = duckdb.connect()
     for t in TABLES:
         if t in KEYS:
-            shifted = ", ".join(f"{k} + i * 180000 AS {k}" for k in KEYS[t])
+            shifted = ", ".join(f"{k} + i * 1260000 AS {k}" for k in KEYS[t])
             con.execute(f"COPY (SELECT * REPLACE ({shifted}) FROM '{SF}/{t}.parquet', RANGE(3) r(i)) TO '{out}/{t}.parquet' (FORMAT parquet)")
         else:
             shutil.copy(f"{SF}/{t}.parquet", out)
@@ -61,3 +61,36 @@ def test_corridor_has_each_place_once(spark, copies):
 def test_heatmap_of_copies(spark, copies):
     same_as_sql(spark, copies, "q_edge_heatmap")
     same_as_sql(spark, copies, "q_grid_heatmap")
+
+
+@pytest.mark.parametrize("name", ["q_mobile_integral", "q_route_exposure", "agg_institution_type_avg", "q_institutions", "graph_components", "join_nearest_pick", "join_within_distance", "clip_polygon", "agg_first_seen", "join_capture"])
+def test_copies_in_one_place(spark, copies, name):
+    same_as_sql(spark, copies, name)
+
+
+def test_copied_routes_are_one_walk(spark, copies):
+    walk = composites.walks(Tables(spark, copies[0]))
+    assert walk.count() == 3 * walk.select("walk").distinct().count()
+
+
+def test_places_are_paired_once(spark, copies, monkeypatch):
+    """What the spatial joins give before rows are put in must not grow with the copies."""
+    pairs = {}
+    within = spatial.within
+
+    def counted(*a, **k):
+        out = within(*a, **k)
+        if k.get("how", "inner") == "inner":
+            pairs.setdefault(folder, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(spatial, "within", counted)
+    for name in ("agg_institution_type_avg", "q_institutions", "join_within_distance", "graph_components"):
+        for folder in (SF, copies[0]):
+            QUERIES[name](spark, folder).count()
+    assert pairs[SF] == pairs[copies[0]]
+
+
+def test_edge_ticks_are_broadcast(spark):
+    """Sensors, however many, stay where they are read."""
+    assert "SortMergeJoin" not in joins(QUERIES["join_capture"](spark, SF))
