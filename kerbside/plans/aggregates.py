@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kerbside.functions import geo, scalar
-from kerbside.operators import order, spatial
+from kerbside.operators import graph, order, spatial
 
 from .joins import PIP, SITES, edge_ticks, sites
 from .registry import query
@@ -31,17 +31,17 @@ def at_rank(histogram: DataFrame, value: str, index: Column, keys: list[str]) ->
 
 @query("agg_group_count", "SELECT pu_zone, do_zone, COUNT(*) AS trips FROM v_trips GROUP BY pu_zone, do_zone")
 def agg_group_count(t: Tables) -> DataFrame:
-    return t.trips.groupBy("pu_zone", "do_zone").agg(F.count("*").alias("trips"))
+    return t.trip_rows.groupBy("pu_zone", "do_zone").agg(F.count("*").alias("trips"))
 
 
 @query("agg_group_sum", "SELECT pu_zone, ROUND(SUM(dur_min), 4) AS dur, ROUND(SUM(trip_miles), 4) AS miles FROM v_trips GROUP BY pu_zone")
 def agg_group_sum(t: Tables) -> DataFrame:
-    return t.trips.groupBy("pu_zone").agg(F.round(F.sum("dur_min"), 4).alias("dur"), F.round(F.sum("trip_miles"), 4).alias("miles"))
+    return t.trip_rows.groupBy("pu_zone").agg(F.round(F.sum("dur_min"), 4).alias("dur"), F.round(F.sum("trip_miles"), 4).alias("miles"))
 
 
 @query("agg_upper_median", "SELECT pu_zone, dur_min AS median FROM (SELECT pu_zone, dur_min, ROW_NUMBER() OVER (PARTITION BY pu_zone ORDER BY dur_min) AS rn, COUNT(*) OVER (PARTITION BY pu_zone) AS n FROM v_trips) q WHERE rn = CAST(FLOOR(n / 2.0e0) AS BIGINT) + 1")
 def agg_upper_median(t: Tables) -> DataFrame:
-    h = ranked(t.trips, "dur_min", ["pu_zone"])
+    h = ranked(t.trip_rows, "dur_min", ["pu_zone"])
     return at_rank(h, "dur_min", F.floor(F.col("n") / 2), ["pu_zone"]).withColumnRenamed("dur_min", "median")
 
 
@@ -64,13 +64,13 @@ MEDIAN = f"SELECT GREATEST(d, 1.0e-12) AS median FROM (SELECT d, ROW_NUMBER() OV
 @query("agg_density_intensity", f"SELECT zone_id, ROUND(CASE WHEN area > 0 THEN LEAST(8.0e0, n / area / (SELECT median FROM ({MEDIAN}) m)) ELSE 0.0e0 END, 6) AS intensity FROM ({DENSITY}) q")
 def agg_density_intensity(t: Tables) -> DataFrame:
     areas = t.zones.select("zone_id", F.expr("CASE WHEN zone_id % 9 = 0 THEN 0.0e0 ELSE 160000.0e0 + zone_id * 1000 END").alias("area"))
-    counts = t.trips.groupBy(F.col("pu_zone").alias("zone_id")).agg(F.count("*").alias("n"))
+    counts = t.trip_rows.groupBy(F.col("pu_zone").alias("zone_id")).agg(F.count("*").alias("n"))
     return density_intensity(counts, areas, "zone_id").withColumn("intensity", F.round("intensity", 6))
 
 
 @query("agg_index_percentile", "SELECT MAX(CASE WHEN rn - 1 = CAST(ROUND(0.05e0 * (n - 1)) AS BIGINT) THEN dur_min END) AS lo, MAX(CASE WHEN rn - 1 = CAST(ROUND(0.95e0 * (n - 1)) AS BIGINT) THEN dur_min END) AS hi FROM (SELECT dur_min, ROW_NUMBER() OVER (ORDER BY dur_min) AS rn, COUNT(*) OVER () AS n FROM v_trips) q")
 def agg_index_percentile(t: Tables) -> DataFrame:
-    return index_range(t.trips, "dur_min")
+    return index_range(t.trip_rows, "dur_min")
 
 
 def index_range(df: DataFrame, value: str) -> DataFrame:
@@ -89,13 +89,13 @@ def _rounded(x: float) -> int:
 
 @query("agg_floor_percentile", "SELECT MAX(CASE WHEN rn - 1 = CAST(FLOOR(n * 0.5e0) AS BIGINT) THEN dur_min END) AS p50, MAX(CASE WHEN rn - 1 = CAST(FLOOR(n * 0.9e0) AS BIGINT) THEN dur_min END) AS p90 FROM (SELECT dur_min, ROW_NUMBER() OVER (ORDER BY dur_min) AS rn, COUNT(*) OVER () AS n FROM v_trips) q")
 def agg_floor_percentile(t: Tables) -> DataFrame:
-    values, *_ = order.at_ranks(t.trips, "dur_min", lambda n: [math.floor(n * p) for p in (0.5, 0.9)])
+    values, *_ = order.at_ranks(t.trip_rows, "dur_min", lambda n: [math.floor(n * p) for p in (0.5, 0.9)])
     return t.spark.createDataFrame([tuple(values)], "p50 double, p90 double")
 
 
 @query("agg_weighted_percentile", "SELECT MIN(CASE WHEN cum >= 0.5e0 * total THEN v END) AS p50, MIN(CASE WHEN cum >= 0.9e0 * total THEN v END) AS p90 FROM (SELECT v, SUM(w) OVER (ORDER BY v) AS cum, SUM(w) OVER () AS total FROM (SELECT FLOOR(trip_miles * 4) AS v, SUM(dur_min) AS w FROM v_trips GROUP BY 1) h) q")
 def agg_weighted_percentile(t: Tables) -> DataFrame:
-    h = t.trips.groupBy(F.floor(F.col("trip_miles") * 4).cast("double").alias("v")).agg(F.sum("dur_min").alias("w"))
+    h = t.trip_rows.groupBy(F.floor(F.col("trip_miles") * 4).cast("double").alias("v")).agg(F.sum("dur_min").alias("w"))
     q = h.withColumns({"cum": F.sum("w").over(Window.orderBy("v")), "total": F.sum("w").over(Window.partitionBy())})
     return q.agg(*(F.min(F.when(F.col("cum") >= p * F.col("total"), F.col("v"))).alias(n) for p, n in ((0.5, "p50"), (0.9, "p90"))))
 
@@ -122,7 +122,7 @@ def pearson(x: str, y: str) -> Column:
 
 @query("agg_pearson", "SELECT ROUND(CORR(dur_min, trip_miles), 6) AS r FROM v_trips")
 def agg_pearson(t: Tables) -> DataFrame:
-    return t.trips.agg(F.round(pearson("dur_min", "trip_miles"), 6).alias("r"))
+    return t.trip_rows.agg(F.round(pearson("dur_min", "trip_miles"), 6).alias("r"))
 
 
 @query("agg_mean_var", "SELECT CASE WHEN COUNT(*) > 100 THEN ROUND(AVG(s), 6) ELSE ROUND(LN(1.8e0), 6) END AS mu, CASE WHEN COUNT(*) > 100 THEN ROUND(LEAST(0.8e0, GREATEST(0.35e0, SQRT(VAR_POP(s)))), 6) ELSE 0.55e0 END AS tau FROM (SELECT LN(dur_min / (trip_miles * 2 + 0.5e0)) AS s FROM v_trips) q")
@@ -248,7 +248,7 @@ def agg_headway_from_activity(t: Tables) -> DataFrame:
 
 @query("agg_volume_mult", "SELECT pu_min AS minute, ROUND(n * 1.0e0 / MAX(n) OVER (), 8) AS mult FROM (SELECT pu_min, COUNT(*) AS n FROM v_trips GROUP BY pu_min) q")
 def agg_volume_mult(t: Tables) -> DataFrame:
-    n = t.trips.groupBy(F.col("pu_min").alias("minute")).agg(F.count("*").alias("n"))
+    n = t.trip_rows.groupBy(F.col("pu_min").alias("minute")).agg(F.count("*").alias("n"))
     return n.crossJoin(F.broadcast(n.agg(F.max("n").alias("top")))).select("minute", F.round(F.col("n") / F.col("top"), 8).alias("mult"))
 
 
@@ -265,6 +265,7 @@ def concurrency(trips: DataFrame) -> DataFrame:
 
 
 def concurrency_summary(c: DataFrame) -> DataFrame:
+    c = graph.checkpointed(c)  # a row for each minute
     (median, p95), *_ = order.at_ranks(c, "active", lambda n: [math.floor(n * p) for p in (0.5, 0.95)])
     top = c.agg(F.max("active").alias("peak"), F.max_by("minute", F.struct("active", -F.col("minute"))).alias("peak_minute"), F.round(F.avg("active"), 6).alias("mean"), F.count_if(F.col("active") > 1000).alias("over_k"))
     return top.withColumns({"median": F.lit(median).cast("long"), "p95": F.lit(p95).cast("long")})
@@ -276,7 +277,7 @@ SUMMARY = f"""SELECT (SELECT MAX(active) FROM ({CONCURRENCY}) a) AS peak, (SELEC
 
 @query("agg_concurrency_diff", SUMMARY)
 def agg_concurrency_diff(t: Tables) -> DataFrame:
-    return concurrency_summary(concurrency(t.trips))
+    return concurrency_summary(concurrency(t.trip_rows))
 
 
 INCIDENCE = "SELECT trip_id AS route_id, (trip_id * 7 + k * 13) % 880 AS edge_id FROM v_trips CROSS JOIN (SELECT UNNEST(RANGE(0, 5)) AS k) n"
@@ -306,7 +307,7 @@ def sensing_power(counts: DataFrame, trips: int | Column, segments: int, sizes=S
 def traversal_histogram(t: Tables) -> DataFrame:
     """(c, k, m): how many edges have c traversals, and the number of trips."""
     c = incidence(t).groupBy("edge_id").agg(F.count("*").alias("c")).groupBy("c").agg(F.count("*").alias("k"))
-    return c.crossJoin(F.broadcast(t.trips.agg(F.count("*").alias("m"))))
+    return c.crossJoin(F.broadcast(t.trip_rows.agg(F.count("*").alias("m"))))
 
 
 @query("agg_sensing_power", POWER)
@@ -369,7 +370,7 @@ def agg_cell_set(t: Tables) -> DataFrame:
 
 @query("agg_argmax", f"SELECT MIN(minute) AS minute FROM ({CONCURRENCY}) c WHERE active = (SELECT MAX(active) FROM ({CONCURRENCY}) d)")
 def agg_argmax(t: Tables) -> DataFrame:
-    return concurrency(t.trips).agg(F.max_by("minute", F.struct("active", -F.col("minute"))).alias("minute"))
+    return concurrency(t.trip_rows).agg(F.max_by("minute", F.struct("active", -F.col("minute"))).alias("minute"))
 
 
 @query("agg_first_seen", f"SELECT edge_id, grp, sensor_id, kind FROM (SELECT edge_id, {GRP} AS grp, sensor_id, kind, ROW_NUMBER() OVER (PARTITION BY edge_id, {GRP} ORDER BY tick, sensor_id) AS rn FROM ({CAPTURED}) c) q WHERE rn = 1")

@@ -136,7 +136,7 @@ WALK_ZONE = f"""SELECT route_id, tick, MIN(zone_id) AS zone_id FROM (SELECT s.ro
 def day(t: Tables) -> DataFrame:
     """(minute, headway, traffic) of the day that the tables hold: bus headways from trips under way, traffic from pickups."""
     minutes = t.spark.range(1440).withColumnRenamed("id", "minute")
-    n = t.trips.groupBy(F.col("pu_min").alias("minute")).agg(F.count("*").alias("n"))
+    n = t.trip_rows.groupBy(F.col("pu_min").alias("minute")).agg(F.count("*").alias("n"))
     volume = minutes.join(n, "minute", "left").crossJoin(F.broadcast(n.agg(F.max("n").alias("top")))).select("minute", (F.coalesce("n", F.lit(0)) / F.col("top")).alias("traffic"))
     return ag.headway_from_activity(ag.active_per_minute(ag.runs(t)), minutes).join(volume, "minute")
 
@@ -377,7 +377,7 @@ def q_roving_coverage(t: Tables) -> DataFrame:
 
 @query("q_concurrency", ag.SUMMARY)
 def q_concurrency(t: Tables) -> DataFrame:
-    return ag.concurrency_summary(ag.concurrency(t.trips))
+    return ag.concurrency_summary(ag.concurrency(t.trip_rows))
 
 
 @query("q_sensing_power", ag.POWER)

@@ -9,12 +9,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
 LATE = "10 minutes"
+STEP_ROWS = 100_000
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -153,21 +155,25 @@ def fresh_entries(events: DataFrame, key: str, edge: str) -> DataFrame:
 
 def slot_pool(events: DataFrame, zone: str, slots: int, stay_s: float) -> DataFrame:
     """Admits events into a zone's slots for stay_s seconds; (zone, event_id, admitted). The state is the times when slots
-    get free; times past are forgotten, so it holds `slots` numbers at most."""
+    get free; times past are forgotten, so it holds `slots` numbers at most. A task holds times and ids of a zone's new events,
+    and gives them back in runs of STEP_ROWS."""
 
     def step(k: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         busy = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(parts)).sort_values(["ts", "event_id"])
-        out = []
-        for ts, event in zip(rows["ts"], rows["event_id"], strict=True):
-            now = ts.timestamp()
-            busy = [b for b in busy if b > now]
-            fits = len(busy) < slots
-            if fits:
-                busy.append(now + stay_s)
-            out.append((k[0], event, fits))
+        us, ids = (np.concatenate(c) for c in zip(*((p["us"].to_numpy(), p["event_id"].to_numpy()) for p in parts), strict=True))
+        order = np.lexsort((ids, us))
+        for at in range(0, len(order), STEP_ROWS):
+            some = order[at : at + STEP_ROWS]
+            admitted = np.zeros(len(some), bool)
+            for i, now in enumerate((us[some] / 1e6).tolist()):
+                if busy and busy[0] <= now:
+                    busy = [b for b in busy if b > now]
+                if len(busy) < slots:
+                    admitted[i] = True
+                    busy.append(now + stay_s)  # the latest: in order
+            yield pd.DataFrame({zone: k[0], "event_id": ids[some], "admitted": admitted})
         state.update((busy,))
-        yield pd.DataFrame(out, columns=[zone, "event_id", "admitted"])
 
     kind = events.schema[zone].dataType.simpleString()
-    return events.groupBy(zone).applyInPandasWithState(step, f"{zone} {kind}, event_id long, admitted boolean", "busy array<double>", "append", "NoTimeout")
+    rows = events.select(zone, F.unix_micros("ts").alias("us"), F.col("event_id").cast("long").alias("event_id"))
+    return rows.groupBy(zone).applyInPandasWithState(step, f"{zone} {kind}, event_id long, admitted boolean", "busy array<double>", "append", "NoTimeout")

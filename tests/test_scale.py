@@ -94,3 +94,25 @@ def test_places_are_paired_once(spark, copies, monkeypatch):
 def test_edge_ticks_are_broadcast(spark):
     """Sensors, however many, stay where they are read."""
     assert "SortMergeJoin" not in joins(QUERIES["join_capture"](spark, SF))
+
+
+def test_rank_passes_read_values_once(spark):
+    """What computes the rows must not run again for each pass."""
+    from kerbside.operators import order
+
+    runs = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def value(i):
+        runs.add(1)
+        return float(i * 7919 % 5003)
+
+    got, n, *_ = order.at_ranks(spark.range(20000).select(value("id").alias("x")), "x", lambda n: [0, n // 2])
+    assert got == [0.0, sorted(i * 7919 % 5003 for i in range(20000))[10000]] and n == 20000
+    assert runs.value <= 2 * n  # filter and projection may each ask for it
+
+
+def test_trips_without_numbers_are_the_trips(spark):
+    t = Tables(spark, SF)
+    assert "Window" not in t.trip_rows._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, t.trip_rows.collect())) == sorted(map(tuple, t.trips.drop("trip_id").collect()))
