@@ -116,3 +116,12 @@ def test_trips_without_numbers_are_the_trips(spark):
     t = Tables(spark, SF)
     assert "Window" not in t.trip_rows._jdf.queryExecution().optimizedPlan().toString()
     assert sorted(map(tuple, t.trip_rows.collect())) == sorted(map(tuple, t.trips.drop("trip_id").collect()))
+
+
+def test_search_stays_near_its_goal(spark):
+    """A goal two streets away must not settle the whole block."""
+    from kerbside.operators import graph
+
+    edges = spark.range(900).select(F.col("id").alias("edge_id"), F.col("id").alias("from_id"), (F.col("id") + 1).alias("to_id"), F.lit(1.0).alias("c"))
+    sources, goals = (spark.createDataFrame([(0, n)], "source long, node_id long") for n in (400, 402))
+    assert graph._expanded(edges, sources, float("inf"), "c", None, 1, 100, goals=goals).count() < 50
