@@ -32,9 +32,10 @@ def enforced_routes(routes: DataFrame, listed: DataFrame, only_m: bool = False)
 
 
 def placed(rows: DataFrame, lat: str, lon: str) -> DataFrame:
-    """rows with x, y in metres; a bad coordinate counts as 0, as feeds pad and break them."""
+    """rows with x, y in metres, to the micrometre; a bad coordinate counts as 0, as feeds pad and break them. Degrees as doubles
+    are off by some nanometres, which would decide between stretches that are equally near to a stop."""
     degrees = lambda c: F.coalesce(F.trim(c).try_cast("double"), F.lit(0.0))
-    return rows.withColumns({"x": geo.enu_x(degrees(lon)), "y": geo.enu_y(degrees(lat))})
+    return rows.withColumns({"x": F.round(geo.enu_x(degrees(lon)), 6), "y": F.round(geo.enu_y(degrees(lat)), 6)})
 
 
 def shape_points(shapes: DataFrame) -> DataFrame:

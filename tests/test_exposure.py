@@ -166,6 +166,23 @@ def test_services_and_forward_stops(spark):
     assert got == {"a": 111.0, "b": 10.0, "c": 50.0}  # c lies between both ways: the first one
 
 
+def test_ties_between_stretches_outlast_degrees(spark):
+    """Stops as far from two stretches of a route lie on the first, though a feed gives all places in degrees."""
+    from kerbside.operators import timetable
+    from kerbside.plans.views import VIEWS
+
+    ties = [(780, 5100, 0.0), (1986, 3800, 0.0), (1380, 11100, 0.0), (786, 11800, 0.0), (80, 18100, 0.0), (636, 10300, 0.0), (1436, 18300, 0.0), (1770, 5426, 41.231056), (1430, 11600, 0.0), (1270, 8050, 0.0)]
+    found = spark.createDataFrame(ties, "s_suppkey long, p_partkey long, arc double")
+    text = lambda c: c.cast("string")
+    points = spark.sql(VIEWS["v_route_points"].replace("FROM supplier", "FROM {s}"), s=found)
+    shapes = points.select(F.col("route_id").alias("shape_id"), text(geo.enu_lat("y")).alias("shape_pt_lat"), text(geo.enu_lon("x")).alias("shape_pt_lon"), text(F.col("seq")).alias("shape_pt_sequence"))
+    at = spark.sql(composites.FEED_STOPS.replace("FROM part", "FROM {p}"), p=found).select("stop_id", text(geo.enu_lat("py")).alias("lat"), text(geo.enu_lon("px")).alias("lon"))
+    stops = timetable.placed(at, "lat", "lon").select("stop_id", F.col("x").alias("px"), F.col("y").alias("py"))
+    pairs = found.select(F.col("s_suppkey").alias("shape_id"), F.col("p_partkey").alias("stop_id"))
+    arcs = timetable.stop_arcs(pairs.join(stops, "stop_id"), timetable.shape_points(shapes)).collect()
+    assert sorted((r.shape_id, r.stop_id, round(r.arc, 6) + 0.0) for r in arcs) == sorted(ties)
+
+
 def test_reach_by_blocks(spark):
     """Costs as by a plain search on a random graph, cut into blocks in several ways, from several sources."""
     import heapq
