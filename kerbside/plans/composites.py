@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -446,6 +448,7 @@ LIVE_CLASSES = {
     "robot": ("signup", 8.0, 0.5),
     "tesla": ("error", 20.0, 0.3),
 }
+DRAW_MOD, DRAW_FACTOR = 2147483647, 16807
 DRAW = "((event_id * 48271 + facility_id * 69621) * 16807 % 2147483647) / 2147483647.0e0"
 LIVE_PASS = "CASE event_type " + " ".join(f"WHEN '{e}' THEN d2 <= {r * r}e0 AND draw < {p}e0" for e, r, p in LIVE_CLASSES.values()) + " ELSE FALSE END"
 LIVE_COUNTS = {n: f"COUNT(CASE WHEN event_type = '{e}' THEN 1 END)" for n, (e, _, _) in LIVE_CLASSES.items()}
@@ -456,9 +459,52 @@ LIVE_COUNTS = {n: f"COUNT(CASE WHEN event_type = '{e}' THEN 1 END)" for n, (e, _
 def q_live_walk(t: Tables) -> DataFrame:
     """Captures of a walker who stands at each facility, by class: passes within the class's reach, kept by a draw of event
     and facility below the class's chance."""
-    near = spatial.within(t.pings, sites(t), max(r for _, r, _ in LIVE_CLASSES.values()))
-    kept = near.select("facility_id", "event_type", F.expr(DRAW).alias("draw"), geo.distance2("x", "y", "sx", "sy").alias("d2")).where(LIVE_PASS)
-    return kept.groupBy("facility_id").agg(*(F.expr(c).alias(n) for n, c in LIVE_COUNTS.items()))
+    return live_captures(t.pings, sites(t))
+
+
+def live_captures(pings: DataFrame, walkers: DataFrame) -> DataFrame:
+    """pings(event_id, event_type, x, y), walkers(facility_id, sx, sy) -> (facility_id, a count for each class) of walkers with
+    any capture. Ids are not negative.
+
+    A draw is the sum of a number of the event and one of the facility, modulo DRAW_MOD; so the events that a facility keeps
+    are those whose numbers lie in one range of a circle. Events meet each place once, whatever number of facilities is
+    there, and are sorted by place and class with the ends of the facilities' ranges: what a range holds is the difference of
+    the running counts at its ends."""
+    place, none = ["sx", "sy", "event_type"], F.lit(None).cast("long")
+    events = live_passes(pings, walkers).select(*place, draw_part("event_id", 48271).alias("at"), F.lit(1).alias("event"), none.alias("facility_id"), F.lit(0).alias("sign"))
+    ends = F.explode(F.concat(*(range_ends(e, p) for e, _, p in LIVE_CLASSES.values())))
+    ranges = walkers.where("facility_id IS NOT NULL").withColumn("low", F.pmod(-draw_part("facility_id", 69621), F.lit(DRAW_MOD))).select("sx", "sy", "facility_id", ends.alias("end"))
+    ends = ranges.select("sx", "sy", "end.event_type", "end.at", F.lit(0).alias("event"), "facility_id", "end.sign")
+    before = Window.partitionBy(*place).orderBy("at", "event").rowsBetween(Window.unboundedPreceding, 0)
+    found = events.union(ends).withColumn("n", F.sum("event").over(before)).where("event = 0")
+    counts = found.groupBy("facility_id").agg(*(F.coalesce(F.sum(F.when(F.col("event_type") == e, F.col("sign") * F.col("n"))), F.lit(0)).alias(n) for n, (e, _, _) in LIVE_CLASSES.items()))
+    return counts.where(" + ".join(LIVE_CLASSES) + " > 0")
+
+
+def live_passes(pings: DataFrame, walkers: DataFrame) -> DataFrame:
+    """pings with each place of walkers that lies within their class's reach, once."""
+    classes = LIVE_CLASSES.values()
+    radius = F.create_map(*(F.lit(v) for e, r, _ in classes for v in (e, r * r)))
+    known = pings.where(F.col("event_id").isNotNull() & F.col("event_type").isin(*(e for e, _, _ in classes)))
+    met = spatial.within(known, walkers.select("sx", "sy").distinct(), max(r for _, r, _ in classes))
+    return met.where(geo.distance2("x", "y", "sx", "sy") <= radius[F.col("event_type")])
+
+
+def draw_part(key: str, factor: int):
+    """What a key adds to the number of a draw, modulo DRAW_MOD."""
+    return F.pmod(F.pmod(key, F.lit(DRAW_MOD)) * F.lit(factor * DRAW_FACTOR % DRAW_MOD), F.lit(DRAW_MOD))
+
+
+def range_ends(event_type: str, chance: float):
+    """The ends (event_type, at, sign) of the range from `low` on, around the circle of DRAW_MOD, whose numbers make a draw below
+    the chance: what lies below the ends, added with their signs, is what the range holds."""
+    size = math.ceil(chance * DRAW_MOD)
+    size += next(k for k in (-1, 0, 1, 2) if not (size + k) / DRAW_MOD < chance)  # the first number that is no longer below
+    end = lambda at, sign: F.struct(F.lit(event_type).alias("event_type"), at.cast("long").alias("at"), F.lit(sign).alias("sign"))
+    all_, low, high = F.lit(DRAW_MOD), F.col("low"), F.col("low") + size
+    if size >= DRAW_MOD:
+        return F.array(end(all_, 1))
+    return F.when(high <= DRAW_MOD, F.array(end(low, -1), end(high, 1))).otherwise(F.array(end(low, -1), end(all_, 1), end(high - DRAW_MOD, 1)))
 
 
 @query("q_population_scale", f"""SELECT hour, CAST(ROUND(LEAST(2000.0e0, 2000 * {curve_sql('hour', 0.1, 9.0, 18.0)})) AS BIGINT) AS peds, CAST(ROUND(LEAST(300.0e0, 300 * {curve_sql('hour', 0.05, 12.0, 18.5)})) AS BIGINT) AS robots,

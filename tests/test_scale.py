@@ -53,6 +53,27 @@ def test_dealt_points_are_merged(spark):
         assert joins(spatial.within(points, sites, 3.0, how=how)) == {"SortMergeJoin"}
 
 
+def test_live_walk_meets_each_place_once(spark, copies):
+    """Three facilities at each place: no more rows are met, and all have their captures, also where a range goes round."""
+    one, three = Tables(spark, SF), Tables(spark, copies[0])
+    met = composites.live_passes(three.pings, composites.sites(one)).count()
+    assert composites.live_passes(three.pings, composites.sites(three)).count() == met > 0
+    same_as_sql(spark, copies, "q_live_walk")
+
+
+def test_live_ranges_hold_the_draws(spark):
+    """Events all over the circle near facilities that share a place: counts as by the draw of each pair."""
+    types = [e for e, _, _ in composites.LIVE_CLASSES.values()] + ["other"]
+    pings = [(i * i * 5_003 + i, types[i % 6], float(i % 31) - 15, 0.0) for i in range(1200)] + [(None, "view", 0.0, 0.0), (1, None, 0.0, 0.0)]
+    walkers = [(i * i * 104_729, float(i % 3) * 9, 0.0) for i in range(40)] + [(7, 500.0, 0.0), (0, 0.0, 0.0)]
+    p, w = spark.createDataFrame(pings, "event_id long, event_type string, x double, y double"), spark.createDataFrame(walkers, "facility_id long, sx double, sy double")
+    pairs = p.crossJoin(w).withColumn("draw", F.expr(composites.DRAW)).withColumn("d2", F.expr("(x - sx) * (x - sx) + (y - sy) * (y - sy)")).where(composites.LIVE_PASS)
+    want = pairs.groupBy("facility_id").agg(*(F.expr(c).alias(n) for n, c in composites.LIVE_COUNTS.items()))
+    got = composites.live_captures(p, w)
+    assert got.columns == want.columns
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
 def test_corridor_has_each_place_once(spark, copies):
     once, thrice = (composites.corridor(Tables(spark, d)) for d in (SF, copies[0]))
     assert thrice.count() == once.distinct().count() == once.count()
