@@ -138,3 +138,21 @@ def test_long_chunks_are_encoded_like_short_ones():
             assert ids.tolist() == JSON.encode(f" {chunks[at + k]}", add_special_tokens=False).ids
         at += len(n)
     assert at == len(chunks)
+
+
+def test_chunks_of_one_shape_are_aligned_once(spark):
+    """Blocks that hold chunks of few shapes: an alignment for each shape, however many chunks and blocks have it."""
+    common.prepare(spark)
+    words = [f"{a}{b}" for a in "abcdefgh" for b in "ijklmnop"]
+    cut = align._cut(docs(spark, [" ".join(words)] * 3).coalesce(1), align.BYTES_MODEL, align.PIECES_MODEL, 1).cache()
+    shapes = {tuple(map(tuple, r)) for r in cut.where("kind = 2").select("a", "b").collect()}
+    assert 0 < len(shapes) < len(words) / 4
+    rows = align._aligned_shapes(cut).collect()
+    assert len(rows) == len({r.segment for r in rows}) == cut.where("kind = 2").count() == 3 * len(shapes)
+    assert all(r.ends[-1] == "3" and set(r.ends) <= set("123") for r in rows)
+
+
+def test_lists_as_bytes():
+    lists = [np.array(x, np.int32) for x in ([], [1, 2, 1 << 20], [0], [], [-1, 1 << 30])]
+    flat, at = align._unpacked(align._packed(lists))
+    assert flat.tolist() == [1, 2, 1 << 20, 0, -1, 1 << 30] and at.tolist() == [0, 0, 3, 4, 4, 6]
